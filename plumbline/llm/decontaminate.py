@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,6 +108,23 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
     return map_texts(docs, keep, "n_words long, n_hit long, n_items long, items array<string>, spans string", build)
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
+    """``docs`` with all its columns, less the rows with a word inside an occurrence of a window. No shuffle."""
+    blocks = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, most))
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text().alias("text"))
+
+    def run(batches):
+        whole = Matcher(blocks.value[0], width) if len(blocks.value) == 1 else None
+        for b in batches:
+            clean = np.ones(b.num_rows, bool)
+            for match in [whole] if whole else (Matcher(x, width) for x in blocks.value):
+                for i, text in enumerate(b.column(1).to_pylist()):
+                    clean[i] &= not len(match(text)[1])
+            yield b.filter(pa.array(clean))
+
+    return named.mapInArrow(run, named.schema).select("row.*")
+
+
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
