@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ SAMPLE = 12_000
 #: Entries of the lexicon, at most: those with the largest evidence.
 ENTRIES = 4096
 THRESHOLD = 0.3
+#: Least log likelihood ratio of an entry: about one in 60,000 features of no meaning has it by chance.
+EVIDENCE = 11.0
 PREFIXES = (4, 5, 6, 7, 8)
 # Words that are toxic before any label is seen, and phrases in which a word is not.
 WORDS = "idiot moron stupid scum loser trash pathetic worthless disgusting clown"
@@ -77,9 +80,9 @@ class Lexicon:
         return sum(at.values()), len(at)
 
 
-def signals(score: float, hits: int, line: str) -> tuple[float, float, float]:
-    """What the logistic model sees: the sum, the number of words, and the weight for each thousand words, all dampened."""
-    return math.log1p(score), math.log1p(hits), math.log1p(1000.0 * score / (1 + line.count(" ")))
+def signals(score: float, hits: int, line: str) -> tuple[float, ...]:
+    """What the logistic model sees: the sum of weights and that for each thousand words, both dampened, and steps of the number of words."""
+    return math.log1p(score), math.log1p(1000.0 * score / (1 + line.count(" "))), float(hits >= 1), float(hits >= 2), float(hits >= 3), float(hits >= 5)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 40) -> np.ndarray:
@@ -117,10 +120,18 @@ def held_out() -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """``text, y`` of at most ``sample`` labelled rows that are not held out, the same ones on every run."""
+    """``text, y`` of at most ``sample`` labelled rows that are not held out, the same ones on every run; of (near) copies one."""
     usable = labels.select("doc_id", F.col("toxic").cast("int").alias("y")).filter("y is not null and doc_id is not null").filter(~held_out())
     chosen = usable.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    return docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")  # at most `sample` rows are sent
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "y")  # at most `sample` rows are sent
+    return map_texts(rows, ("text", "y"), "least long, most long", lambda: lambda texts: [shingle_ends(t) for t in texts]).dropDuplicates(["least", "y"]).dropDuplicates(["most", "y"]).select("text", "y")
+
+
+def shingle_ends(text: str) -> tuple[int, int]:
+    """The least and the largest hash of the three-word shingles: near copies share at least one of them most of the time."""
+    words = fold_line(text).split()
+    hashes = [xxhash.xxh3_64_intdigest(" ".join(words[i : i + 3])) >> 1 for i in range(max(1, len(words) - 2))]
+    return min(hashes), max(hashes)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
@@ -145,9 +156,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int =
     n_pos, n_neg = total.pos, total.n - total.pos
     fixed = {f" {w} ": 6.0 for w in WORDS.split()}
     if n_pos < 2 or n_neg < 2:
-        return Model(fixed, [2.0, 0.5, 0.0, -3.0])
+        return Model(fixed, [1.0, 0.5, 0.0, 1.0, 1.0, 0.0, -5.0])
     rate_pos, rate_neg = (F.col("pos") + 0.5) / (n_pos + 1.0), (F.col("neg") + 0.5) / (n_neg + 1.0)
-    sure = (F.col("pos") / n_pos - F.col("neg") / n_neg) / F.sqrt(((F.col("pos") + F.col("neg")) / (n_pos + n_neg)) * (1.0 / n_pos + 1.0 / n_neg))
+    seen = F.col("pos") + F.col("neg")
+    # likelihood ratio of the feature's share of toxic rows against that of all rows
+    sure = F.col("pos") * F.log(F.col("pos") / (seen * (n_pos / total.n))) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (seen * (n_neg / total.n)))).otherwise(0.0)
     best = (
         rows.mapInArrow(counted, "feature string, pos long, neg long")
         .groupBy("feature")
@@ -155,12 +168,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int =
         .filter("pos >= 2")
         .withColumn("weight", F.log(rate_pos / rate_neg))
         .withColumn("sure", sure)
-        .filter((F.col("sure") > 4.5) & (F.col("weight") > 2.3))
+        .filter((F.col("sure") > EVIDENCE) & (F.col("weight") > 2.5))
         .orderBy(F.desc("sure"), "feature")
         .limit(entries)
         .collect()
     )
     weights = fixed | {r.feature: r.weight for r in best}
+    for entry in sorted(weights, key=len):  # a longer form of an entry stands only if it says much more, not by chance
+        if entry not in fixed and any(weights.get(entry[:n], -9.0) > weights[entry] - 2.0 for n in range(5, len(entry))):
+            del weights[entry]
+    for word in fixed:  # four letters of a word that is known as a whole say less than it
+        weights.pop(word[:5], None)
 
     def signalled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(weights)
@@ -168,10 +186,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, entries: int =
             lines = [fold_line(t) for t in b.column(0).to_pylist()]
             own = [signals(*lexicon(x), x) for x in lines]
             if own:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*own)] + [b.column(1)], names=["a", "b", "c", "y"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*own)] + [b.column(1)], names=names)
 
-    seen = np.array([tuple(r) for r in rows.mapInArrow(signalled, "a double, b double, c double, y int").collect()], float)
-    return Model(weights, fit_logistic(seen[:, :3], seen[:, 3]).tolist())
+    names = [f"s{i}" for i in range(len(signals(0.0, 0, "")))] + ["y"]
+    seen = np.array([tuple(r) for r in rows.mapInArrow(signalled, ", ".join(f"{n} double" for n in names[:-1]) + ", y int").collect()], float)
+    return Model(weights, fit_logistic(seen[:, :-1], seen[:, -1]).tolist())
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
