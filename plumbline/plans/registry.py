@@ -2,21 +2,44 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+FAMILIES = ("compare",)
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
 
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers a function of (spark, sf_dir) and the SQL that gives the same rows."""
+
+    def put(f):
+        if name in _QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        _QUERIES[name] = f
+        if sql is not None:
+            _ORACLES[name] = sql
+        return f
+
+    return put
+
+
+def _load() -> None:
+    for family in FAMILIES:
+        importlib.import_module(f"plumbline.plans.{family}")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _QUERIES["cmp_keyed_diff"](spark, sf_dir)
+    return queries()["cmp_keyed_diff"](spark, sf_dir)
