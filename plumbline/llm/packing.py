@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import durable, read_table, vocabulary, whole_text
@@ -57,29 +56,26 @@ def turns(k: np.ndarray, queue: np.ndarray, slices: list[int], weights: list[int
     return out.astype(np.int64)
 
 
-def places(start: int, size: int, queue: int, totals: list[int], weights: list[int], tails: list[int], quantum: int = QUANTUM, window: int = WINDOW) -> list[tuple[int, int, int, int]]:
-    """(start in the document, length, sequence, offset) of the pieces of a document's tokens start..start+size of its queue."""
-    slices = [t // quantum for t in totals]
-    first, last = start // quantum, (start + size - 1) // quantum
-    k = np.arange(first, last + 1)
-    lo = np.maximum(k * quantum, start)
-    hi = np.minimum((k + 1) * quantum, start + size)
+def places(starts: np.ndarray, sizes: np.ndarray, queues: np.ndarray, totals: list[int], weights: list[int], tails: list[int], quantum: int = QUANTUM, window: int = WINDOW) -> tuple[np.ndarray, ...]:
+    """(document, start in it, length, sequence, offset) of the pieces of many documents, each given by its place in its queue."""
+    slices = np.array([t // quantum for t in totals])
+    first, last = starts // quantum, (starts + sizes - 1) // quantum
+    doc = np.repeat(np.arange(len(starts)), last - first + 1)
+    k = np.arange(len(doc)) - np.repeat(np.cumsum(last - first + 1) - (last - first + 1), last - first + 1) + first[doc]
+    lo, hi = np.maximum(k * quantum, starts[doc]), np.minimum((k + 1) * quantum, starts[doc] + sizes[doc])
+    queue = queues[doc]
+    at = np.array(tails)[queue] + lo - slices[queue] * quantum  # if it is the queue's end
     whole = k < slices[queue]
-    at = np.empty(len(k), np.int64)
-    if whole.any():
-        at[whole] = turns(k[whole], np.full(int(whole.sum()), queue), slices, weights) * quantum + lo[whole] % quantum
-    if not whole.all():  # the queue's end
-        at[~whole] = tails[queue] + lo[~whole] - slices[queue] * quantum
-    pieces: list[list[int]] = []
-    for s, n, p in zip((lo - start).tolist(), (hi - lo).tolist(), at.tolist()):
-        while n:
-            take = min(n, window - p % window)
-            if pieces and pieces[-1][2] == p // window and pieces[-1][3] + pieces[-1][1] == p % window:
-                pieces[-1][1] += take
-            else:
-                pieces.append([s, take, p // window, p % window])
-            s, n, p = s + take, n - take, p + take
-    return [tuple(x) for x in pieces]
+    at[whole] = turns(k[whole], queue[whole], slices.tolist(), weights) * quantum + lo[whole] % quantum
+    begin, size = lo - starts[doc], hi - lo
+    over = at % window + size - window  # only a queue's end can reach over a window
+    if (cut := np.flatnonzero(over > 0)).size:
+        doc, begin, at = (np.insert(x, cut + 1, x[cut] + y) for x, y in ((doc, 0), (begin, size[cut] - over[cut]), (at, size[cut] - over[cut])))
+        size = np.insert(np.where(over > 0, size - over, size), cut + 1, over[cut])
+    joined = np.zeros(len(doc), bool)  # to the piece before
+    joined[1:] = (doc[1:] == doc[:-1]) & (at[1:] == at[:-1] + size[:-1]) & (at[1:] // window == at[:-1] // window)
+    heads = np.flatnonzero(~joined)
+    return doc[heads], begin[heads], np.add.reduceat(size, heads) if len(heads) else size, at[heads] // window, at[heads] % window
 
 
 def _queue_names(docs: DataFrame, source: str) -> list[str] | None:
@@ -139,17 +135,15 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict[str, float] | N
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
-                b = whole.slice(at, 500).to_pydict()
-                rows = []
-                for doc, q, base, own, n, ids in zip(b["doc_id"], b["queue"], b["base"], b["queue_start"], b["doc_tokens"], b["ids"]):
-                    wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4").tobytes())
-                    for s, size, sequence, offset in places(base + own, n, q, totals, shares, tails, quantum, window):
-                        rows.append((doc, s, size, zlib.crc32(wide[4 * s : 4 * (s + size)]), n, sequence, offset, q))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=fields)
+                b = whole.slice(at, 500)
+                queue, base, own, n = (np.asarray(b.column(i)).astype(np.int64) for i in range(1, 5))
+                doc, start, size, sequence, offset = places(base + own, n, queue, totals, shares, tails, quantum, window)
+                wide = [memoryview(np.frombuffer(x, "<u2").astype("<u4").tobytes()) for x in b.column(5).to_pylist()]
+                crc = [zlib.crc32(wide[i][4 * s : 4 * (s + m)]) for i, s, m in zip(doc.tolist(), start.tolist(), size.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc))] + [pa.array(c, pa.int64()) for c in (start, size, crc, n[doc], sequence, offset)] + [pa.array(queue[doc], pa.int32())], names=fields)
 
-    kind = tokens.schema["doc_id"].dataType
     fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]
-    kinds = [pa.string() if isinstance(kind, T.StringType) else pa.int32() if isinstance(kind, T.IntegerType) else pa.int64()] + [pa.int64()] * 6 + [pa.int32()]
+    kind = tokens.schema["doc_id"].dataType
     small = offsets.select(F.col("part").alias("__part"), F.col("queue").alias("__queue"), "base")
     near = F.broadcast(small) if offsets.count() <= BROADCAST_ROWS else small
     placed = tokens.join(near, (F.col("part") == F.col("__part")) & (F.col("queue") == F.col("__queue")))
