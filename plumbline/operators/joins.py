@@ -77,6 +77,22 @@ def suggest_joins(columns: DataFrame) -> DataFrame:
     return same.unionByName(owned)
 
 
+def with_overlap(suggestions: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Suggestions with each side's distinct values and how many both have: one job over the distinct values of key columns."""
+    keys = [(n, c) for n, t in tables.items() for c in t.columns if c.lower().endswith(KEY_SUFFIXES) or c.lower() == "id"]
+    values = None
+    for n, c in keys:
+        one = tables[n].select(F.lit(n.lower()).alias("t"), F.lit(c.lower()).alias("c"), F.col(c).cast("string").alias("v")).filter("v is not null").distinct()
+        values = one if values is None else values.unionByName(one)
+    ndv = values.groupBy("t", "c").agg(F.count(F.lit(1)).alias("ndv"))
+    out = suggestions
+    for s in "ab":
+        out = out.join(ndv.toDF("__t", "__c", f"ndv_{s}"), (F.col(f"table_{s}") == F.col("__t")) & (F.col(f"column_{s}") == F.col("__c"))).drop("__t", "__c")
+    a = suggestions.join(values.toDF("table_a", "column_a", "v"), ["table_a", "column_a"])
+    both = a.join(values.toDF("table_b", "column_b", "v"), ["table_b", "column_b", "v"]).groupBy("table_a", "column_a", "table_b", "column_b").agg(F.count(F.lit(1)).alias("shared"))
+    return out.join(both, ["table_a", "column_a", "table_b", "column_b"], "left").fillna({"shared": 0})
+
+
 def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str, str | None]], how: str = "left") -> DataFrame:
     """A fact with dimensions (table, fact key, dimension key, filter in the ON clause); Catalyst broadcasts those that are small."""
     out = fact

@@ -169,18 +169,23 @@ def cmp_eval_match(spark, d):
     return C.eval_match(a, b)
 
 
-@query("cmp_schema", """SELECT * FROM (VALUES ('o_comment', 'added', CAST(NULL AS VARCHAR), 'string'), ('o_custkey', 'type_changed', 'bigint', 'string'), ('o_orderpriority', 'removed', 'string', CAST(NULL AS VARCHAR))) t(column_name, change, old_type, new_type)""")
+@query("cmp_schema", """SELECT * FROM (VALUES ('o_comment', 'added', CAST(NULL AS VARCHAR), 'string', NULL), ('o_custkey', 'type_changed', 'bigint', 'string', (SELECT count(*) FROM orders)), ('o_orderpriority', 'removed', 'string', CAST(NULL AS VARCHAR), (SELECT count(*) FROM orders))) t(column_name, change, old_type, new_type, values_held)""")
 def cmp_schema(spark, d):
     o = S.table(spark, d, "orders")
     changed = o.drop("o_orderpriority").withColumn("o_custkey", F.col("o_custkey").cast("string")).withColumn("O_COMMENT", F.lit("")).withColumnRenamed("o_orderstatus", "O_ORDERSTATUS")
-    return C.schema_diff(spark, o.schema, changed.schema)
+    counts = C.unpivoted(o.agg(*[F.count(c).alias(f"{c}|values") for c in o.columns])).select("column_name", F.col("value").alias("values_held"))
+    return C.schema_diff(spark, o.schema, changed.schema).join(counts, "column_name", "left")
 
 
-@query("cmp_common_tables", """SELECT lower(a) AS name, a AS name_a, b AS name_b FROM (VALUES ('orders', 'ORDERS'), ('part', 'PART')) t(a, b)""")
+@query("cmp_common_tables", """SELECT lower(a) AS name, a AS name_a, b AS name_b, rows FROM (VALUES ('orders', 'ORDERS', (SELECT count(*) FROM orders)), ('part', 'PART', (SELECT count(*) FROM part))) t(a, b, rows)""")
 def cmp_common_tables(spark, d):
     a = S.catalog(spark, d, ["orders", "part", "region"]).select("table_name")
     b = S.catalog(spark, d, ["orders", "part", "nation"]).select(F.upper("table_name").alias("table_name"))
-    return C.common_tables(a, b)
+    rows = None
+    for n in ("orders", "part", "region", "nation"):
+        one = S.table(spark, d, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"))
+        rows = one if rows is None else rows.unionByName(one)
+    return C.common_tables(a, b).join(rows, "name")
 
 
 _MONTHS = "m AS (SELECT o_orderpriority AS p, strftime(o_orderdate, '%Y-%m') AS ym, CASE WHEN count(*) % 7 = 0 THEN NULL ELSE count(*) END AS n FROM orders GROUP BY 1, 2)"
@@ -283,12 +288,13 @@ def jn_findings(spark, d):
     return J.join_findings(audited(spark, d))
 
 
-@query("jn_suggest", """WITH c AS (SELECT table_name AS t, column_name AS c FROM (VALUES ('sales', 'user_id'), ('sales', 'region_code'), ('users', 'user_id'), ('users', 'id'), ('visits', 'users_id'), ('stores', 'region_code'), ('stores', 'name'), ('sales', 'name')) v(table_name, column_name))
-SELECT a.t AS table_a, a.c AS column_a, b.t AS table_b, b.c AS column_b, CAST(0.9 AS DOUBLE) AS confidence FROM c a JOIN c b ON a.c = b.c AND a.t < b.t WHERE a.c LIKE '%\\_id' ESCAPE '\\' OR a.c LIKE '%\\_code' ESCAPE '\\'
-UNION ALL SELECT 'users', 'id', 'visits', 'users_id', CAST(0.85 AS DOUBLE)""")
+@query("jn_suggest", """SELECT 'customer' AS table_a, 'custkey' AS column_a, 'orders' AS table_b, 'custkey' AS column_b, CAST(0.9 AS DOUBLE) AS confidence, (SELECT count(DISTINCT c_custkey) FROM customer) AS ndv_a, (SELECT count(DISTINCT o_custkey) FROM orders) AS ndv_b, (SELECT count(*) FROM (SELECT DISTINCT c_custkey FROM customer INTERSECT SELECT DISTINCT o_custkey FROM orders)) AS shared UNION ALL SELECT 'customer' AS table_a, 'nationkey' AS column_a, 'nation' AS table_b, 'nationkey' AS column_b, CAST(0.9 AS DOUBLE) AS confidence, (SELECT count(DISTINCT c_nationkey) FROM customer) AS ndv_a, (SELECT count(DISTINCT n_nationkey) FROM nation) AS ndv_b, (SELECT count(*) FROM (SELECT DISTINCT c_nationkey FROM customer INTERSECT SELECT DISTINCT n_nationkey FROM nation)) AS shared UNION ALL SELECT 'customer' AS table_a, 'nationkey' AS column_a, 'supplier' AS table_b, 'nationkey' AS column_b, CAST(0.9 AS DOUBLE) AS confidence, (SELECT count(DISTINCT c_nationkey) FROM customer) AS ndv_a, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS ndv_b, (SELECT count(*) FROM (SELECT DISTINCT c_nationkey FROM customer INTERSECT SELECT DISTINCT s_nationkey FROM supplier)) AS shared UNION ALL SELECT 'nation' AS table_a, 'nationkey' AS column_a, 'supplier' AS table_b, 'nationkey' AS column_b, CAST(0.9 AS DOUBLE) AS confidence, (SELECT count(DISTINCT n_nationkey) FROM nation) AS ndv_a, (SELECT count(DISTINCT s_nationkey) FROM supplier) AS ndv_b, (SELECT count(*) FROM (SELECT DISTINCT n_nationkey FROM nation INTERSECT SELECT DISTINCT s_nationkey FROM supplier)) AS shared UNION ALL SELECT 'nation' AS table_a, 'regionkey' AS column_a, 'region' AS table_b, 'regionkey' AS column_b, CAST(0.9 AS DOUBLE) AS confidence, (SELECT count(DISTINCT n_regionkey) FROM nation) AS ndv_a, (SELECT count(DISTINCT r_regionkey) FROM region) AS ndv_b, (SELECT count(*) FROM (SELECT DISTINCT n_regionkey FROM nation INTERSECT SELECT DISTINCT r_regionkey FROM region)) AS shared UNION ALL SELECT 'lineitem' AS table_a, 'orderkey' AS column_a, 'orders' AS table_b, 'orderkey' AS column_b, CAST(0.9 AS DOUBLE) AS confidence, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS ndv_a, (SELECT count(DISTINCT o_orderkey) FROM orders) AS ndv_b, (SELECT count(*) FROM (SELECT DISTINCT l_orderkey FROM lineitem INTERSECT SELECT DISTINCT o_orderkey FROM orders)) AS shared UNION ALL SELECT 'lineitem' AS table_a, 'partkey' AS column_a, 'part' AS table_b, 'partkey' AS column_b, CAST(0.9 AS DOUBLE) AS confidence, (SELECT count(DISTINCT l_partkey) FROM lineitem) AS ndv_a, (SELECT count(DISTINCT p_partkey) FROM part) AS ndv_b, (SELECT count(*) FROM (SELECT DISTINCT l_partkey FROM lineitem INTERSECT SELECT DISTINCT p_partkey FROM part)) AS shared UNION ALL SELECT 'lineitem' AS table_a, 'suppkey' AS column_a, 'supplier' AS table_b, 'suppkey' AS column_b, CAST(0.9 AS DOUBLE) AS confidence, (SELECT count(DISTINCT l_suppkey) FROM lineitem) AS ndv_a, (SELECT count(DISTINCT s_suppkey) FROM supplier) AS ndv_b, (SELECT count(*) FROM (SELECT DISTINCT l_suppkey FROM lineitem INTERSECT SELECT DISTINCT s_suppkey FROM supplier)) AS shared""")
 def jn_suggest(spark, d):
-    rows = [("sales", "user_id"), ("sales", "region_code"), ("users", "user_id"), ("users", "id"), ("visits", "users_id"), ("stores", "region_code"), ("stores", "name"), ("sales", "name")]
-    return J.suggest_joins(spark.createDataFrame(rows, "table_name string, column_name string"))
+    names = ["orders", "customer", "nation", "region", "lineitem", "part", "supplier"]
+    tables = {n: S.table(spark, d, n) for n in names}
+    tables = {n: t.toDF(*[c.partition("_")[2] for c in t.columns]) for n, t in tables.items()}
+    catalog = spark.createDataFrame([(n, c) for n, t in tables.items() for c in t.columns], "table_name string, column_name string")
+    return J.with_overlap(J.suggest_joins(catalog), tables)
 
 
 @query("jn_star", """SELECT n_name, r_name, count(*) AS n, CAST(sum(CAST(o_totalprice AS DECIMAL(20, 2))) AS DOUBLE) AS gmv FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_name <> 'ASIA' GROUP BY 1, 2""")
