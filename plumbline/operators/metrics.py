@@ -196,5 +196,5 @@ def cost_anomalies(daily: DataFrame, by: Sequence[str], factor: float = 2.0, lea
     d = F.unix_date("day")
     w = Window.partitionBy(*by).orderBy(d).rangeBetween(-7, -1)
     spent = F.when(F.col("cost") > 0, F.col("cost"))
-    x = daily.withColumn("trailing", F.avg(spent).over(w)).withColumn("spend_days", F.count(spent).over(w))
+    x = daily.withColumn("trailing", F.sum(spent.cast("decimal(20,4)")).over(w).cast("double") / F.nullif(F.count(spent).over(w).cast("double"), F.lit(0.0))).withColumn("spend_days", F.count(spent).over(w))
     return x.withColumn("anomaly", (F.col("spend_days") >= least) & (F.col("cost") > factor * F.col("trailing")))

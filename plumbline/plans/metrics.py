@@ -276,8 +276,8 @@ def cost_llm_usage(spark, d):
     return text_day(usage(spark, d))
 
 
-@query("cost_anomalies", f"""WITH {_USE}, w AS (SELECT user_id, day, cost, avg(CASE WHEN cost > 0 THEN cost END) OVER w AS typical, count(CASE WHEN cost > 0 THEN cost END) OVER w AS spend_days FROM dc WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
-SELECT user_id, CAST(day AS VARCHAR) AS day, cost, round(typical, 4) AS typical, spend_days FROM w WHERE spend_days >= 3 AND cost > 2 * typical""")
+@query("cost_anomalies", f"""WITH {_USE}, w AS (SELECT user_id, day, cost, CAST(sum(CASE WHEN cost > 0 THEN CAST(cost AS DECIMAL(20, 4)) END) OVER w AS DOUBLE) / CAST(nullif(count(CASE WHEN cost > 0 THEN cost END) OVER w, 0) AS DOUBLE) AS typical, count(CASE WHEN cost > 0 THEN cost END) OVER w AS spend_days FROM dc WINDOW w AS (PARTITION BY user_id ORDER BY day RANGE BETWEEN INTERVAL 7 DAY PRECEDING AND INTERVAL 1 DAY PRECEDING))
+SELECT user_id, CAST(day AS VARCHAR) AS day, cost, typical, spend_days FROM w WHERE spend_days >= 3 AND cost > 2 * typical""")
 def cost_anomalies(spark, d):
     x = M.cost_anomalies(usage(spark, d), ["user_id"]).filter("anomaly")
-    return text_day(x.select("user_id", "day", "cost", F.round("trailing", 4).alias("typical"), "spend_days"))
+    return text_day(x.select("user_id", "day", "cost", F.col("trailing").alias("typical"), "spend_days"))
