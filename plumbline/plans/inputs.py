@@ -53,16 +53,16 @@ def arrivals(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", event_s.alias("event_s"), (event_s + late).alias("arrival_s"))
 
 
-#: A graph of parts: layers of 40 nodes, from n to nodes of later numbers, so it has no cycles.
+#: A graph of parts: 40 nodes, from n to n+4..n+8, so it has no cycles.
 EDGES = """
 edges AS (
-  SELECT DISTINCT 't' || (l_partkey % 40) AS src, 't' || (l_partkey % 40 + 1 + l_suppkey % 3) AS dst
-  FROM lineitem WHERE l_partkey % 40 + 1 + l_suppkey % 3 < 40)
+  SELECT DISTINCT 't' || (l_partkey % 40) AS src, 't' || (l_partkey % 40 + 4 + l_suppkey % 5) AS dst
+  FROM lineitem WHERE l_partkey % 40 + 4 + l_suppkey % 5 < 40)
 """
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem")
     src = F.col("l_partkey") % 40
-    dst = src + 1 + F.col("l_suppkey") % 3
+    dst = src + 4 + F.col("l_suppkey") % 5
     return li.filter(dst < 40).select(F.concat(F.lit("t"), src.cast("string")).alias("src"), F.concat(F.lit("t"), dst.cast("string")).alias("dst")).distinct()
