@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("compare", "quality", "scans", "metrics", "texts", "graphs", "telemetry")
+FAMILIES = ("compare", "quality", "scans", "metrics", "texts", "graphs", "telemetry", "sources")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
