@@ -10,7 +10,6 @@ from plumbline.sources import tables as S
 from .inputs import EDGES, edges
 from .registry import query
 
-N = F.count(F.lit(1))
 NODES = "nodes AS (SELECT DISTINCT 't' || l_partkey % 40 AS node FROM lineitem UNION SELECT 'lone' || l_returnflag FROM lineitem)"
 NUM = "CAST(substr({}, 2) AS BIGINT)"
 DUR = "dur AS (SELECT node, CAST(CAST(substr(node, 2) AS BIGINT) * 7 % 11 + 1 AS DOUBLE) AS duration FROM nodes WHERE node LIKE 't%')"
@@ -134,7 +133,7 @@ def ln_fan_in(spark, d):
 
 @query("ln_offboard", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='t28', depth=10)} SELECT CAST(hop AS INTEGER) AS hop, count(*) AS consumers FROM (SELECT node, min(hop) AS hop FROM t WHERE hop > 0 GROUP BY 1) GROUP BY 1")
 def ln_offboard(spark, d):
-    return G.trace(edges(spark, d), roots(spark, "t28")).groupBy("hop").agg(N.alias("consumers"))
+    return G.trace(edges(spark, d), roots(spark, "t28")).groupBy("hop").agg(F.count(F.lit(1)).alias("consumers"))
 
 
 _LEVELS = "lv(node, level) AS (SELECT node, 0 FROM hit UNION SELECT dst, level + 1 FROM lv JOIN inn ON src = node), lm AS (SELECT node, max(level) AS level FROM lv GROUP BY 1)"

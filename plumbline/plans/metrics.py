@@ -13,7 +13,6 @@ from plumbline.sources import tables as S
 from .inputs import DAILY, daily
 from .registry import query
 
-N = F.count(F.lit(1))
 DAY = "CAST(o_orderdate AS DATE)"
 GMV = M.Metric("gmv", "sum(cast(o_totalprice as decimal(20,2)))", "to_date(o_orderdate)", ("o_orderpriority", "o_orderstatus"), "o_totalprice > 0")
 AOV = M.Metric("aov", "sum(cast(o_totalprice as decimal(20,2)))", "to_date(o_orderdate)", ("o_orderpriority",), None, "count(*)")
@@ -157,7 +156,7 @@ def vol_flat(spark, d):
 
 @query("vol_gap", f"WITH {DAILY}, n AS (SELECT metric, day, lead(day) OVER (PARTITION BY metric ORDER BY day) AS nxt FROM daily) SELECT metric, count(*) AS gaps, CAST(sum(nxt - day - 1) AS BIGINT) AS missing FROM n WHERE nxt - day > 1 GROUP BY 1")
 def vol_gap(spark, d):
-    return W.date_gaps(daily(spark, d), ["metric"], "day").groupBy("metric").agg(N.alias("gaps"), F.sum("missing_days").alias("missing"))
+    return W.date_gaps(daily(spark, d), ["metric"], "day").groupBy("metric").agg(F.count(F.lit(1)).alias("gaps"), F.sum("missing_days").alias("missing"))
 
 
 def _against(steps):
@@ -256,7 +255,7 @@ _CORR = f"c AS (SELECT {DAY} AS day, CAST(count(*) AS DOUBLE) AS x, {DEC.format(
 @query("corr_metrics", f"""WITH {_CORR}, p AS (SELECT lag, a.x, b.y FROM c a, (SELECT unnest(range(-7, 8)) AS lag) JOIN c b ON b.day = a.day + CAST(lag AS INTEGER)), g AS (SELECT CAST(lag AS INTEGER) AS lag, count(*) AS n, CASE WHEN count(*) >= 7 AND stddev_pop(x) > 0 AND stddev_pop(y) > 0 THEN round(corr(x, y), 6) END AS r FROM p GROUP BY 1)
 SELECT (SELECT r FROM g WHERE lag = 0) AS r0, arg_max(lag, abs(r)) AS best_lag, arg_max(r, abs(r)) AS best_r FROM g""")
 def corr_metrics(spark, d):
-    c = S.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day"), ).agg(N.cast("double").alias("x"), F.sum(exact("o_totalprice")).cast("double").alias("y"))
+    c = S.table(spark, d, "orders").groupBy(F.to_date("o_orderdate").alias("day"), ).agg(F.count(F.lit(1)).cast("double").alias("x"), F.sum(exact("o_totalprice")).cast("double").alias("y"))
     g = W.lagged_correlation(c, "day", "x", "y")
     return g.agg(F.max(F.when(F.col("lag") == 0, F.col("r"))).alias("r0"), F.max_by("lag", F.abs("r")).alias("best_lag"), F.max_by("r", F.abs("r")).alias("best_r"))
 

@@ -12,7 +12,6 @@ from plumbline.sources import tables as S
 
 from .registry import query
 
-N = F.count(F.lit(1))
 COLS = ["c_custkey", "segment", "amount", "joined"]
 DIRTY = """dirty AS (SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN ' ' || lower(c_mktsegment) ELSE c_mktsegment END AS segment,
   CASE WHEN c_custkey % 10 = 0 THEN '$' || c_custkey || '.50' WHEN c_custkey % 3 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE c_custkey || '.25' END AS amount,
@@ -76,7 +75,7 @@ def dq_run(spark, d):
 @query("dq_row_count", """WITH runs AS (SELECT o_orderpriority AS table_name, strftime(o_orderdate, '%Y') AS run, count(*) AS rows FROM orders GROUP BY 1, 2), cur AS (SELECT table_name, rows FROM runs WHERE run = '1999'), last AS (SELECT table_name, arg_max(rows, run) AS previous FROM runs WHERE run < '1999' GROUP BY 1)
 SELECT table_name, rows, previous, (rows - previous) * 100.0 / nullif(previous, 0) AS change_pct FROM cur LEFT JOIN last USING (table_name)""")
 def dq_row_count(spark, d):
-    runs = S.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("table_name"), F.date_format("o_orderdate", "yyyy").alias("run")).agg(N.alias("rows"))
+    runs = S.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("table_name"), F.date_format("o_orderdate", "yyyy").alias("run")).agg(F.count(F.lit(1)).alias("rows"))
     out = Q.row_count_change(runs.filter("run = '1999'").select("table_name", "rows"), runs.filter("run < '1999'"))
     return out.withColumn("change_pct", F.col("change_pct").cast("double"))
 
@@ -112,7 +111,7 @@ def prof_findings(spark, d):
 
 @query("prof_table", "SELECT count(*) AS n, count(DISTINCT o_custkey) AS buyers, min(o_totalprice) AS low, max(o_totalprice) AS high FROM orders")
 def prof_table(spark, d):
-    return S.table(spark, d, "orders").agg(N.alias("n"), F.count_distinct("o_custkey").alias("buyers"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
+    return S.table(spark, d, "orders").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("buyers"), F.min("o_totalprice").alias("low"), F.max("o_totalprice").alias("high"))
 
 
 @query("prof_result_quality", """WITH v AS (SELECT CASE WHEN event_id % 500 = 0 THEN value * 100 ELSE value END AS value, CAST(user_id AS DOUBLE) AS user_id FROM events), s AS (SELECT avg(value) AS m, stddev_samp(value) AS d, avg(user_id) AS um, stddev_samp(user_id) AS ud FROM v)
@@ -146,8 +145,8 @@ def drift_profiles(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY key_name ORDER BY run DESC) AS r FROM led), g AS (SELECT key_name, count(*) AS runs, max(top1_pct) FILTER (r = 1) AS top1_pct_now, median(top1_pct) FILTER (r > 1) AS top1_pct_before, max(null_pct) FILTER (r = 1) AS null_pct_now, median(null_pct) FILTER (r > 1) AS null_pct_before, max(ndv) FILTER (r = 1) AS ndv_now, median(ndv) FILTER (r > 1) AS ndv_before FROM r GROUP BY 1)
 SELECT *, top1_pct_now - top1_pct_before >= 10 OR null_pct_now - null_pct_before >= 5 OR ndv_now < 0.7 * ndv_before AS drifted FROM g WHERE runs >= 3""")
 def drift_split_key(spark, d):
-    c = S.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("key_name"), F.date_format("o_orderdate", "yyyy").alias("run"), "o_custkey").agg(N.alias("c"))
-    ledger = c.groupBy("key_name", "run").agg((F.max("c").cast("double") * 100.0 / F.sum("c")).alias("top1_pct"), F.lit(0.0).alias("null_pct"), N.cast("double").alias("ndv"))
+    c = S.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("key_name"), F.date_format("o_orderdate", "yyyy").alias("run"), "o_custkey").agg(F.count(F.lit(1)).alias("c"))
+    ledger = c.groupBy("key_name", "run").agg((F.max("c").cast("double") * 100.0 / F.sum("c")).alias("top1_pct"), F.lit(0.0).alias("null_pct"), F.count(F.lit(1)).cast("double").alias("ndv"))
     return Q.key_drift(ledger, ["key_name"], "run")
 
 
@@ -291,5 +290,5 @@ def sch_message_to_table(spark, d):
 @query("sch_coverage", """SELECT * FROM (VALUES ('orders', 6, 2, CAST(2 AS DOUBLE) / 6, (SELECT count(*) FROM orders)), ('customer', 5, 0, CAST(0 AS DOUBLE), (SELECT count(*) FROM customer))) t(table_name, columns, covered, share, rows)""")
 def sch_coverage(spark, d):
     rules = spark.createDataFrame([("orders", "o_orderkey"), ("orders", "o_custkey"), ("orders", "o_custkey")], "table_name string, column_name string")
-    rows = S.table(spark, d, "orders").agg(F.lit("orders").alias("table_name"), N.alias("rows")).unionByName(S.table(spark, d, "customer").agg(F.lit("customer").alias("table_name"), N.alias("rows")))
+    rows = S.table(spark, d, "orders").agg(F.lit("orders").alias("table_name"), F.count(F.lit(1)).alias("rows")).unionByName(S.table(spark, d, "customer").agg(F.lit("customer").alias("table_name"), F.count(F.lit(1)).alias("rows")))
     return H.coverage(S.catalog(spark, d, ["orders", "customer"]), rules).join(rows, "table_name")

@@ -11,7 +11,6 @@ from plumbline.sources import tables as S
 from .inputs import ARRIVALS, EDGES, arrivals, edges
 from .registry import query
 
-N = F.count(F.lit(1))
 SEC = "CAST(epoch(date_trunc('second', ts)) AS BIGINT)"
 
 
@@ -199,7 +198,7 @@ _PARTS = "pt AS (SELECT l_returnflag || l_linestatus AS table_name, CAST(date_tr
 
 def parts(spark, d):
     m = F.month("l_shipdate")
-    return S.table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("table_name"), F.trunc("l_shipdate", "month").alias("day"), m.alias("m")).agg(N.alias("n")).select("table_name", "day", (F.col("n") * F.when(F.col("m") == 7, 30).when(F.col("m") == 2, 0).otherwise(1)).alias("size"))
+    return S.table(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("table_name"), F.trunc("l_shipdate", "month").alias("day"), m.alias("m")).agg(F.count(F.lit(1)).alias("n")).select("table_name", "day", (F.col("n") * F.when(F.col("m") == 7, 30).when(F.col("m") == 2, 0).otherwise(1)).alias("size"))
 
 
 @query("prt_health", f"""WITH {_PARTS}, m AS (SELECT table_name, median(size) AS mid, count(*) AS k, max(day) AS last FROM pt GROUP BY 1), e AS (SELECT table_name, median(size) AS before FROM pt JOIN m USING (table_name) WHERE day < last GROUP BY 1)
@@ -211,7 +210,7 @@ def prt_health(spark, d):
 @query("prt_compact", """WITH f AS (SELECT l_returnflag AS table_name, strftime(l_shipdate, '%Y-%m') AS part, count(*) AS file_count, CAST(CAST(sum(CAST(l_quantity AS DECIMAL(20, 2))) AS DOUBLE) AS BIGINT) AS total_mb FROM lineitem GROUP BY 1, 2), s AS (SELECT table_name, part, file_count AS files, file_count - CAST(greatest(1, ceil(total_mb / 256.0)) AS BIGINT) AS freed FROM f WHERE total_mb / CAST(file_count AS DOUBLE) < 32 AND file_count > 10)
 SELECT *, freed / CAST((SELECT sum(freed) FROM s) AS DOUBLE) AS share FROM s""")
 def prt_compact(spark, d):
-    f = S.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("table_name"), F.date_format("l_shipdate", "yyyy-MM").alias("part")).agg(N.alias("file_count"), F.sum(exact("l_quantity")).cast("double").cast("long").alias("total_mb"))
+    f = S.table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("table_name"), F.date_format("l_shipdate", "yyyy-MM").alias("part")).agg(F.count(F.lit(1)).alias("file_count"), F.sum(exact("l_quantity")).cast("double").cast("long").alias("total_mb"))
     return T.compaction(f)
 
 

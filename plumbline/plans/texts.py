@@ -10,7 +10,6 @@ from plumbline.sources import tables as S
 
 from .registry import query
 
-N = F.count(F.lit(1))
 
 #: Contact columns made of customers: phone, id card, e-mail, bank card, name, ip.
 CONTACTS = """contacts AS (SELECT c_custkey, '13' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') AS phone, lpad(CAST(c_custkey AS VARCHAR), 17, '1') || 'X' AS id_no, CASE WHEN c_custkey % 10 = 0 THEN 'none' ELSE 'u' || c_custkey || '@mail' || c_custkey % 3 || '.example.com' END AS email,
@@ -60,7 +59,7 @@ def pii_by_name(spark, d):
     catalog = spark.createDataFrame([(n, c) for n, t in tables.items() for c in t.columns], "table_name string, column_name string")
     rows = None
     for n, t in tables.items():
-        one = t.agg(F.lit(n).alias("table_name"), N.alias("rows"))
+        one = t.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("rows"))
         rows = one if rows is None else rows.unionByName(one)
     return K.pii_by_name(catalog).join(rows, "table_name")
 
@@ -89,7 +88,7 @@ SELECT 'aws_access_key' AS rule, 'high' AS severity, x FROM l WHERE regexp_match
 SELECT 'password_assign', 'medium', x FROM l WHERE regexp_matches(x, '(?i)\b[\w.-]*(?:password|passwd|pwd)\s*[:=]\s*[''"]([^''"\s]{6,})[''"]') AND NOT regexp_matches(x, '\bAKIA[0-9A-Z]{16}\b')) GROUP BY 1, 2""")
 def sec_scan(spark, d):
     found = K.secret_lines(S.table(spark, d, "documents"), "doc_id")
-    return found.filter("rule in ('aws_access_key', 'password_assign')").groupBy("rule", "severity").agg(N.alias("n"))
+    return found.filter("rule in ('aws_access_key', 'password_assign')").groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("sec_entropy")
@@ -112,7 +111,7 @@ def _message(sql: bool):
 
 @query("log_template", "SELECT event_type, 'worker <N> at <ADDR> failed reading <PATH> after <N> ms' AS template, count(*) AS n FROM events GROUP BY 1")
 def log_template(spark, d):
-    return S.table(spark, d, "events").groupBy("event_type", X.template(_message(False)).alias("template")).agg(N.alias("n"))
+    return S.table(spark, d, "events").groupBy("event_type", X.template(_message(False)).alias("template")).agg(F.count(F.lit(1)).alias("n"))
 
 
 #: Log lines made of events: an INFO line each, errors with an exception, a cause and frames; one file a user.
@@ -152,7 +151,7 @@ _ERR = "e AS (SELECT user_id % 50 AS k, event_id, event_type FROM events WHERE e
 SELECT * FROM (SELECT k, n_old, n_new, CASE WHEN n_old IS NULL THEN 'appeared' WHEN n_new IS NULL THEN 'gone' WHEN n_new >= greatest(2 * n_old, n_old + 1) THEN 'grew' END AS change FROM o FULL JOIN w USING (k)) WHERE change IS NOT NULL""")
 def log_run_diff(spark, d):
     e = S.table(spark, d, "events").filter("event_type = 'error'").withColumnRenamed("user_id", "k")
-    old, new = (e.filter(F.col("event_id") % 2 == i).groupBy("k").agg(N.alias("n")) for i in (0, 1))
+    old, new = (e.filter(F.col("event_id") % 2 == i).groupBy("k").agg(F.count(F.lit(1)).alias("n")) for i in (0, 1))
     return X.run_diff(old, new, ["k"])
 
 
@@ -225,7 +224,7 @@ def txt_hybrid(spark, d):
     queries = spark.createDataFrame(_QUERIES, "query_id int, query string")
     best = X.bm25(queries, postings, lengths, "doc_id", 50).select("query_id", "doc_id", "score")
     terms = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("([a-z0-9_]+)"), 1))).alias("term"))
-    keyword = postings.join(terms, "term").groupBy("query_id", "doc_id").agg(N.cast("double").alias("score"))
+    keyword = postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return X.hybrid({"bm25": (best, 0.3), "keyword": (keyword, 0.4)}, ["query_id", "doc_id"])
 
 

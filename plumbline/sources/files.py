@@ -9,7 +9,6 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from plumbline.functions.values import normalize_nulls
 
@@ -95,7 +94,7 @@ def read_log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 #: The part of Spark's event log that skew needs; a given schema keeps the many kinds of events apart.
-EVENT = T._parse_datatype_string(
+EVENT = (
     "`Event` string, `Stage ID` long, `Task End Reason` struct<`Reason`: string>, `Task Info` struct<`Index`: long, `Launch Time`: long, `Finish Time`: long, `Failed`: boolean, `Killed`: boolean>, "
     "`Task Metrics` struct<`Shuffle Read Metrics`: struct<`Remote Bytes Read`: long, `Local Bytes Read`: long>>"
 )
