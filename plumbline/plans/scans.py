@@ -204,10 +204,10 @@ def win_proportion(spark, d):
     return W.proportion(s, "gmv").withColumn("pct", F.round("pct", 6))
 
 
-@query("win_moving_avg", f"WITH {DAILY} SELECT metric, CAST(day AS VARCHAR) AS day, round(avg(value) OVER (PARTITION BY metric ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 2) AS ma FROM daily")
+@query("win_moving_avg", f"WITH {DAILY} SELECT metric, CAST(day AS VARCHAR) AS day, round(avg(value) OVER (PARTITION BY metric ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 4) AS ma FROM daily")
 def win_moving_avg(spark, d):
     x = daily(spark, d)
-    return x.select("metric", F.col("day").cast("string").alias("day"), F.round(W.moving_average(x, ["metric"], "day", "value", 7), 2).alias("ma"))
+    return x.select("metric", F.col("day").cast("string").alias("day"), F.round(W.moving_average(x, ["metric"], "day", "value", 7), 4).alias("ma"))
 
 
 @query("win_cumulative", f"WITH {DAILY} SELECT metric, CAST(day AS VARCHAR) AS day, CAST(sum(CAST(value AS DECIMAL(20, 2))) OVER (PARTITION BY metric ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE) AS total FROM daily")
@@ -256,10 +256,10 @@ def win_gaps(spark, d):
 
 @query("win_mad", f"""WITH {DAILY}, p AS (SELECT metric, day, value, array_agg(value) OVER (PARTITION BY metric ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS prior FROM daily),
 m AS (SELECT *, CASE WHEN len(prior) >= 3 THEN list_aggregate(prior, 'median') END AS median FROM p)
-SELECT metric, CAST(day AS VARCHAR) AS day, round(median, 2) AS median, round(CASE WHEN median IS NOT NULL THEN list_aggregate(list_transform(prior, lambda x: abs(x - median)), 'median') END, 2) AS mad FROM m""")
+SELECT metric, CAST(day AS VARCHAR) AS day, round(median, 4) AS median, round(CASE WHEN median IS NOT NULL THEN list_aggregate(list_transform(prior, lambda x: abs(x - median)), 'median') END, 4) AS mad FROM m""")
 def win_mad(spark, d):
     m = W.rolling_mad(daily(spark, d), ["metric"], "day", "value")
-    return m.select("metric", F.col("day").cast("string").alias("day"), F.round("median", 2).alias("median"), F.round("mad", 2).alias("mad"))
+    return m.select("metric", F.col("day").cast("string").alias("day"), F.round("median", 4).alias("median"), F.round("mad", 4).alias("mad"))
 
 
 @query("win_out_of_order", f"""WITH {ARRIVALS}, o AS (SELECT *, event_s < max(event_s) OVER (ORDER BY arrival_s, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS late FROM arrivals)
