@@ -4,7 +4,7 @@ import re
 
 import corpus_pipeline as P
 from plumbline.llm.queries import ORACLE_SQL, QUERIES
-from tests.llm.test_operators import brute_fingerprint, brute_windows, check_packing, components
+from tests.llm.test_llm_operators import brute_fingerprint, brute_windows, check_packing, components
 
 SF = "/root/testdata/sf0.001"
 
