@@ -4,7 +4,9 @@ A text is cut at single spaces between two other characters; byte-level pre-toke
 reach over such a place, so that a cut piece always has the same tokens and can be kept. The
 pieces that a task has not met are pre-tokenised together and merged together: one flat
 array of symbols with their sequence numbers, where each round finds the lowest-ranked pair
-of every sequence and merges all its places at once. Only symbols that are left count.
+of every sequence and merges all its places at once. Only symbols that are left count. A
+pre-token of many bytes (a text without spaces) has rounds of its own, which touch the places
+of the lowest rank and their neighbours only, so that its time grows with its length.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import json
 import re
 import struct
 from functools import lru_cache
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +26,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pieces that a task keeps; then it starts again with none.
 KEPT = 500_000
+#: Bytes from which on a pre-token is merged by itself.
+LONG = 1024
 CUT = re.compile(r" (?<=\S )(?=\S)")
 # Fixed value: the pre-tokens of the byte-level vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,8 +60,57 @@ class Merges:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], NONE)
 
-    def count(self, pretokens: list[bytes]) -> np.ndarray:
+    def count_long(self, pretoken: bytes) -> int:
+        """Symbols that are left of one byte string: the same rounds, with the places kept by rank and the symbols linked to their neighbours."""
+        symbols = self.letters[np.frombuffer(pretoken, np.uint8)]
+        n = left = len(symbols)
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        rank = np.append(self.ranks(symbols[:-1], symbols[1:]), NONE)
+        queue: list[int] = []
+        waiting: dict[int, list[np.ndarray]] = {}
+
+        def wait(at: np.ndarray) -> None:
+            at = at[rank[at] != NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            for own in np.split(at, np.flatnonzero(np.diff(rank[at])) + 1) if len(at) else ():
+                r = int(rank[own[0]])
+                if r not in waiting:
+                    waiting[r] = []
+                    heappush(queue, r)
+                waiting[r].append(own)
+
+        wait(np.arange(n))
+        while queue:
+            r = heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[rank[at] == r]
+            if not len(at):
+                continue
+            first = np.concatenate([[True], at[1:] != after[at[:-1]]])  # of a run such as a a a: every other pair, from the left
+            at = at[(np.arange(len(at)) - np.flatnonzero(first)[np.cumsum(first) - 1]) % 2 == 0]
+            gone = after[at]
+            symbols[at], rank[gone], after[at] = self.merged[r], NONE, after[gone]
+            inner = at[after[at] < n]
+            before[after[inner]] = inner
+            left -= len(at)
+            near = np.unique(np.concatenate([at, before[at]]))
+            near = near[near >= 0]
+            rank[near] = NONE
+            near = near[after[near] < n]
+            rank[near] = self.ranks(symbols[near], symbols[after[near]])
+            wait(near)
+        return left
+
+    def count(self, pretokens: list[bytes], long: int = LONG) -> np.ndarray:
         """Symbols that are left of each byte string (none of them empty)."""
+        if any(len(p) > long for p in pretokens):
+            out = np.zeros(len(pretokens), np.int64)
+            short = [i for i, p in enumerate(pretokens) if len(p) <= long]
+            out[short] = self.count([pretokens[i] for i in short], long) if short else 0
+            for i, p in enumerate(pretokens):
+                if len(p) > long:
+                    out[i] = self.count_long(p)
+            return out
         sizes = np.fromiter(map(len, pretokens), np.int64, len(pretokens))
         left = sizes.copy()
         symbols = self.letters[np.frombuffer(b"".join(pretokens), np.uint8)]
