@@ -30,6 +30,9 @@ NOTICES = {
 TAG = "spdx license identifier"
 #: Families of the identifiers in expressions, by prefix; an identifier of none stands for itself.
 FAMILIES = ("agpl", "lgpl", "gpl", "apache", "cc-by", "mit", "bsd", "mpl", "epl", "unlicense", "isc", "zlib")
+#: What an expression is made of, and the signs that end its line.
+TOKEN = re.compile(rb"[A-Za-z0-9][A-Za-z0-9.+-]*|[()]|[\n\r*;\"'<]")
+STOPS = set("\n\r*;\"'<")
 COPYLEFT = ("gpl", "lgpl", "agpl", "mpl", "epl")
 BINDS = {"or": 1, "and": 2, "with": 3}
 
@@ -85,13 +88,19 @@ def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
     return held[0][0], held[0][1]
 
 
-def expression(text: str) -> tuple[set[str], bool] | None:
-    """The longest licence expression that the line begins with."""
-    tokens = re.findall(r"[A-Za-z0-9][A-Za-z0-9.+-]*|[()]", re.split(r"[\n\r*;\"'<]", text, maxsplit=1)[0])[:64]
-    for end in range(len(tokens), 0, -1):
-        if (postfix := to_postfix(tokens[:end])) is not None:
-            return evaluate(postfix)
-    return None
+def expression(raw: bytes, start: int = 0) -> tuple[set[str], bool] | None:
+    """The longest licence expression that the line begins with, from the byte ``start`` on; reading ends where none can follow."""
+    tokens, whole, depth, operand = [], 0, 0, True
+    for m in TOKEN.finditer(raw, start):
+        t = m[0].decode()
+        if t in STOPS or operand != (t == "(" or t != ")" and t.lower() not in BINDS) or t == ")" and not depth:
+            break
+        tokens.append(t)
+        depth += (t == "(") - (t == ")")
+        operand = t == "(" or t.lower() in BINDS
+        if not operand and not depth:
+            whole = len(tokens)
+    return evaluate(to_postfix(tokens[:whole])) if whole else None
 
 
 class Scanner:
@@ -104,18 +113,20 @@ class Scanner:
         """(words, base places, first, last, base labels, labels, score, permissive choice of the expressions)."""
         flat, words = word_bytes(text)
         line = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        starts, base, labels, tags, permissive = [], set(), set(), 0, None
-        for end, (n, label, is_base) in self.phrases.iter(line):
-            index = line.count(" ", 0, end) - n
+        starts, base, labels, tags, permissive, raw, places = [], set(), set(), 0, None, b"", []
+        before = at = 0
+        for end, (n, label, is_base) in self.phrases.iter(line):  # in the order of their ends
+            before, at = before + line.count(" ", at, end), end
+            index = before - n
             if is_base:
                 starts.append(index)
                 base.add(label)
             elif label:
                 labels.add(label)
             else:
-                raw = text.encode("utf-8", "surrogatepass")
-                places = [m.end() for m in re.finditer(rb"\S+", flat[: len(raw)])]
-                found = expression(raw[places[index + n - 1] :].decode("utf-8", "replace").lstrip(": \t"))
+                if not raw:
+                    raw, places = text.encode("utf-8", "surrogatepass"), [m.end() for m in re.finditer(rb"\S+", flat)]
+                found = expression(raw, places[index + n - 1])
                 if found:
                     tags += 1
                     labels |= found[0]
