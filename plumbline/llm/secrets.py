@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -68,18 +70,20 @@ class Scanner:
         return found + [(m.start(), 2, m.end()) for m in self.hex.finditer(text)]
 
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = []
+        found, starts, reach = [], [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
         for m in self.candidate.finditer(text):
             s, e = m.span()
-            if not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])) or any(a < e and s < b for a, _, b in base):
+            if not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
+                continue
+            if (k := bisect_left(starts, e)) and reach[k - 1] > s:  # a base span has some of it
                 continue
             if self.sensitive.search(text[max(0, s - self.before) : s].lower()) and self.measure(m[0], text[max(0, s - self.around) : s] + text[e : e + self.around // 4]) >= self.least:
                 found.append((s, 3, e))
         return found
 
     def __call__(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
-        base = self.base(text)
-        return sorted(base), sorted(base + self.novel(text, base))
+        base = sorted(self.base(text))
+        return base, sorted(base + self.novel(text, base))
 
 
 def spans_text(spans: list[tuple[int, int, int]]) -> str:

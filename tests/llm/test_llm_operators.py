@@ -68,6 +68,13 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_many_spans_in_a_long_text():
+    text = "token=abcdef123456 auth key: Zx9Qw3Rt7Yu1Io5Pa2Sd8Fg4Hj6Kl " * 3000
+    base, spans = secrets.Scanner()(text)
+    assert len(base) == 3000 and set(base) <= set(spans)
+    assert all(not (a < e and s < b) for (s, k, e), (a, _, b) in zip(spans, spans[1:]) if 3 in (k, _))
+
+
 def test_novelty_knows_what_it_has_seen():
     measure = secrets.Novelty()
     key = "q8Zr2Lx9Vb4Nm7Kc1Ty6Wp3"
@@ -91,7 +98,14 @@ def test_licences(spark, empty):
 
 @pytest.mark.parametrize(("text", "names", "free"), [("MIT", {"mit"}, True), ("GPL-3.0-only OR MIT", {"gpl", "mit"}, True), ("GPL-3.0-only AND MIT", {"gpl", "mit"}, False), ("(GPL-2.0-only WITH Foo) AND BSD-3-Clause", {"gpl", "bsd"}, True), ("MIT OR", {"mit"}, True), ("AND", None, None)])
 def test_expressions(text, names, free):
-    assert licenses.expression(text) == (None if names is None else (names, free))
+    assert licenses.expression(text.encode()) == (None if names is None else (names, free))
+
+
+def test_long_expressions_and_many_tags():
+    assert licenses.expression(b"(" * 500 + b"MIT" + b")" * 500 + b" AND BSD-3-Clause" * 300 + b" OR\nGPL-2.0-only") == ({"mit", "bsd"}, True)
+    tags = "SPDX-License-Identifier: MIT OR GPL-2.0-only\n" * 20_000
+    n_words, n_base, first, last, base, labels, _, permissive = licenses.Scanner()(tags + "apache license")
+    assert (n_words, n_base, first, last, base, labels, permissive) == (180_002, 1, 180_000, 180_000, "apache", "apache,gpl,mit", True)
 
 
 # decontamination
@@ -153,6 +167,13 @@ def test_token_ids_of_strange_texts(library):
         assert np.frombuffer(encode(text), "<u2").tolist() == ids and n == len(ids), repr(text)
 
 
+def test_long_pretokens(library):
+    table, rng = tokens.merges(vocabulary("byte_bpe_50k.json")), random.Random(9)
+    for text in ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "aab", "你好世界的一是不了人") for n in (1, 2, 5, 300, 1500)] + ["a" * 3001]:
+        own = text.encode()
+        assert table.count_long(own) == len(library.encode(text, add_special_tokens=False).ids) == table.count([own, b"b", own], 100)[2]
+
+
 # exact dedup
 
 
