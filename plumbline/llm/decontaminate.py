@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, read_table, whole_text, word_bytes
+from .common import durable, map_texts, read_table, whole_text, word_bytes
 
 WINDOW = 10
-#: UTF-8 bytes of benchmark text that one automaton holds; a larger benchmark is scanned in several passes.
+#: UTF-8 bytes of benchmark text that one automaton holds and that the driver and a broadcast hold at a time; a larger benchmark is scanned in several passes.
 AUTOMATON_BYTES = 2_000_000
 
 
@@ -67,16 +69,37 @@ def original_spans(text: str, hit: np.ndarray) -> str:
     return ",".join(f"{points[starts[a]]}:{points[ends[b]]}" for a, b in zip(first, last))
 
 
-def _blocks(benchmark: DataFrame, most: int) -> list[list[tuple[object, str]]]:
-    """The benchmark's items in blocks of bounded size, read through the driver one after the other."""
-    blocks, now, size = [], [], 0
+def _blocks(benchmark: DataFrame, most: int) -> Iterator[list[tuple[object, str]]]:
+    """The benchmark's items in blocks of bounded size, one of which is on the driver at a time; at least one, be it empty."""
+    now, size = [], 0
     for row in benchmark.select("item_id", whole_text().alias("text")).toLocalIterator():
-        if now and size + len(row.text) > most:
-            blocks.append(now)
+        own = len(row.text.encode())
+        if now and size + own > most:
+            yield now
             now, size = [], 0
         now.append((row.item_id, row.text))
-        size += len(row.text.encode())
-    return blocks + ([now] if now else [])
+        size += own
+    yield now
+
+
+def _hits_by_row(numbered: DataFrame, blocks: Iterator[list[tuple[object, str]]], width: int) -> DataFrame:
+    """``__row, hit array<long>, items array<string>`` of the rows that are hit, by one pass and one broadcast for each block."""
+    found = None
+    for block in blocks:
+        sent = numbered.sparkSession.sparkContext.broadcast(block)
+
+        def build(sent=sent):
+            match = Matcher(sent.value, width)
+            return lambda texts: [(hit.tolist(), items) for _, hit, items in map(match, texts)]
+
+        own = durable(map_texts(numbered, ("__row",), "hit array<long>, items array<string>", build, F.col("__text")).filter(F.size("hit") > 0))
+        sent.destroy()
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
+def _numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    return durable(docs.select(*columns, whole_text().alias("__text"), F.monotonically_increasing_id().alias("__row")))
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), width: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
@@ -84,43 +107,55 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
 
     The benchmark is read once and its size is checked: up to ``most`` bytes it is one
     automaton sent to the tasks, and every document is read once without a shuffle. A larger
-    one is held against the documents in a fixed number of bytes at a time inside each task.
+    one is held against the documents in as many passes as it has blocks of that size; only
+    the hits of each pass are kept, by row, and joined to the documents at the end.
     Null texts count as empty and have no words; items without words match nothing; repeated
     rows are returned again; an empty table of documents gives no rows, an empty benchmark no
     hits. Other columns are ignored. ``items`` are ids sorted as strings.
     """
     blocks = _blocks(benchmark, most)
-    sent = docs.sparkSession.sparkContext.broadcast(blocks)
-
-    def build():
-        whole = Matcher(blocks[0] if blocks else [], width) if len(blocks := sent.value) <= 1 else None
-
-        def rows(texts):
-            found = [(0, np.empty(0, int), [])] * len(texts)
-            for match in [whole] if whole else (Matcher(b, width) for b in blocks):
-                for i, text in enumerate(texts):
-                    n, hit, items = match(text)
-                    found[i] = (n, np.union1d(found[i][1], hit).astype(int), sorted({*found[i][2], *items})) if len(hit) else (n, *found[i][1:])
-            return [(n, len(hit), len(items), items, original_spans(t, hit)) for t, (n, hit, items) in zip(texts, found)]
-
-        return rows
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+
+        def build():
+            match = Matcher(sent.value, width)
+            return lambda texts: [(n, len(hit), len(items), items, original_spans(t, hit)) for t, (n, hit, items) in zip(texts, map(match, texts))]
+
+        return map_texts(docs, keep, "n_words long, n_hit long, n_items long, items array<string>, spans string", build)
+    kept = {f"__keep{i}": name for i, name in enumerate(keep)}
+    numbered = _numbered(docs, *[F.col(f"`{name}`").alias(k) for k, name in kept.items()])
+    hits = _hits_by_row(numbered, chain((block, more), blocks), width).groupBy("__row")
+    found = hits.agg(*[F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hit", "items")])  # a row has at most one entry for each block
+    joined = numbered.join(found, "__row", "left").select(*kept, "__text", *[F.coalesce(c, F.array().cast(t)).alias(c) for c, t in (("hit", "array<bigint>"), ("items", "array<string>"))])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, hit = b.column(len(kept)).to_pylist(), [np.array(x, int) for x in b.column(len(kept) + 1).to_pylist()]
+            items = b.column(len(kept) + 2)
+            counts = [[len(word_bytes(t)[1]) for t in texts], [len(x) for x in hit], [len(x) for x in items]]
+            spans = pa.array([original_spans(t, x) for t, x in zip(texts, hit)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(i) for i in range(len(kept))] + [pa.array(c, pa.int64()) for c in counts] + [items, spans], names=[*kept.values(), "n_words", "n_hit", "n_items", "items", "spans"])
 
-    return map_texts(docs, keep, "n_words long, n_hit long, n_items long, items array<string>, spans string", build)
+    kinds = "".join(f"`{name}` {joined.schema[k].dataType.simpleString()}, " for k, name in kept.items())
+    return joined.mapInArrow(finish, f"{kinds}n_words long, n_hit long, n_items long, items array<string>, spans string")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
-    """``docs`` with all its columns, less the rows with a word inside an occurrence of a window. No shuffle."""
-    blocks = docs.sparkSession.sparkContext.broadcast(_blocks(benchmark, most))
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_text().alias("text"))
+    """``docs`` with all its columns, less the rows with a word inside an occurrence of a window. No shuffle for one block of benchmark."""
+    blocks = _blocks(benchmark, most)
+    block, more = next(blocks), next(blocks, None)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    if more is not None:
+        numbered = _numbered(docs, row)
+        return numbered.join(_hits_by_row(numbered, chain((block, more), blocks), width).select("__row").distinct(), "__row", "left_anti").select("row.*")
+    sent = docs.sparkSession.sparkContext.broadcast(block)
+    named = docs.select(row, whole_text().alias("text"))
 
     def run(batches):
-        whole = Matcher(blocks.value[0], width) if len(blocks.value) == 1 else None
+        match = Matcher(sent.value, width)
         for b in batches:
-            clean = np.ones(b.num_rows, bool)
-            for match in [whole] if whole else (Matcher(x, width) for x in blocks.value):
-                for i, text in enumerate(b.column(1).to_pylist()):
-                    clean[i] &= not len(match(text)[1])
-            yield b.filter(pa.array(clean))
+            yield b.filter(pa.array([not len(match(text)[1]) for text in b.column(1).to_pylist()], pa.bool_()))
 
     return named.mapInArrow(run, named.schema).select("row.*")
 

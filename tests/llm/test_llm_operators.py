@@ -131,10 +131,14 @@ def test_decontamination(spark, docs, rows, empty):
         for r in decontaminate.find_contamination(docs, bench, most=most).collect():
             assert (r.n_words, r.n_hit, r["items"]) == brute_windows(rows[r.doc_id], items), r.doc_id
     spans = {r.doc_id: r.spans for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert spans == {r.doc_id: r.spans for r in decontaminate.find_contamination(docs, bench, most=300).collect()}
+    twice = decontaminate.find_contamination(docs.unionAll(docs), bench, keep=("doc_id", "row"), most=300).collect()
+    assert Counter(r.doc_id for r in twice) == dict.fromkeys(rows, 2) and {r.row for r in twice} == {"r"}
     s, e = map(int, spans[2].split(",")[0].split(":"))
     assert words(rows[2][s:e]) == words(rows[2])
-    clean = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench).collect()}
-    assert clean == {i for i, t in rows.items() if not brute_windows(t, items)[1]}
+    for most in (10_000, 300):
+        clean = {r.doc_id for r in decontaminate.drop_contaminated(docs, bench, most=most).collect()}
+        assert clean == {i for i, t in rows.items() if not brute_windows(t, items)[1]}
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
     assert decontaminate.find_contamination(empty, bench).count() == 0
     assert decontaminate.find_contamination(docs, bench.limit(0)).filter("n_hit > 0").count() == 0
