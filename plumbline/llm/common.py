@@ -75,6 +75,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of ids or fingerprints that are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def near(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A narrow side of a join, sent to all tasks if it is counted to have at most ``most`` rows."""
+    return F.broadcast(keys) if keys.count() <= most else keys
+
+
 def automaton(patterns: dict[str, object]):
     """An Aho-Corasick automaton of the patterns with their payloads; None without patterns."""
     import ahocorasick

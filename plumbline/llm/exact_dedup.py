@@ -13,11 +13,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, read_table, whole_text
+from .common import BROADCAST_ROWS, durable, near, read_table, whole_text
 
 QUOTIENT_BITS, REMAINDER_BITS = 16, 48
-#: Fingerprints that are sent to all tasks (8 bytes each); more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def normalised(text: str = "text") -> Column:
@@ -89,8 +87,7 @@ def exact_groups(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataF
     base = docs.select("doc_id", normalised().alias("norm")).select("doc_id", "norm", F.xxhash64("norm").alias("fp"))
     narrow = durable(base.select("doc_id", "fp", F.unhex(F.sha2("norm", 256)).alias("sha")))
     repeated = durable(repeated_fingerprints(narrow))
-    few = repeated.select("fp")
-    routed = base.join(F.broadcast(few) if repeated.count() <= broadcast_rows else few, "fp", "left_semi")
+    routed = base.join(near(repeated.select("fp"), broadcast_rows), "fp", "left_semi")
     groups = (
         routed.groupBy("fp", "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
@@ -108,12 +105,22 @@ def exact_groups(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataF
     )
 
 
-def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, less the rows that repeat another's text; of rows with one doc_id and text, one stays."""
-    kept = exact_groups(docs).filter("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+def keep_first_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` with all its columns, less the rows that repeat another's text; of rows with one doc_id and text, one stays.
+
+    Whole rows are not shuffled while the ids that go are few (``broadcast_rows``); only rows
+    that repeat both doc_id and text, if there are any, are brought together.
+    """
+    many = exact_groups(docs, broadcast_rows).filter("group_size > 1")
+    marks = durable(many.groupBy(F.col("doc_id").alias("__kid"), F.col("text_sha256").alias("__ksha")).agg(F.bool_or("kept").alias("__stays"), F.count(F.lit(1)).alias("__n")))
+    gone, again = (marks.filter(x).select("__kid", "__ksha") for x in ("not __stays", "__stays and __n > 1"))
     named = docs.withColumn("__id", F.col("doc_id")).withColumn("__sha", F.sha2(normalised(), 256))
-    same = named.join(kept.withColumnRenamed("__id", "__kid").withColumnRenamed("__sha", "__ksha"), F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("__ksha")), "left_semi")
-    return same.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    same = F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("__ksha"))
+    rest = named.join(near(gone, broadcast_rows), same, "left_anti")
+    if not again.isEmpty():
+        few = near(again, broadcast_rows)
+        rest = rest.join(few, same, "left_anti").unionByName(rest.join(few, same, "left_semi").dropDuplicates(["__id", "__sha"]))
+    return rest.select(*docs.columns)
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, read_table
+from .common import durable, map_texts, near, read_table
 from .components import connected
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
@@ -99,12 +99,12 @@ def link_tiles(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS,
     forest = Forest(len(nodes))
     for i, s in enumerate(cuts_a):
         gap = np.maximum(0, np.maximum(low_b - high_a[i], low_a[i] - high_b)).sum(axis=1)
-        near = np.flatnonzero(gap <= radius)
+        close = np.flatnonzero(gap <= radius)
         if right is None:
-            near = near[near >= i]
+            close = close[close >= i]
         own = a[s : s + tile]
-        for k in range(0, len(near), 16):
-            cols = np.concatenate([np.arange(c, min(c + tile, len(b))) for c in cuts_b[near[k : k + 16]]])
+        for k in range(0, len(close), 16):
+            cols = np.concatenate([np.arange(c, min(c + tile, len(b))) for c in cuts_b[close[k : k + 16]]])
             u, v = np.nonzero(np.bitwise_count(own[:, None] ^ b[cols][None, :]) <= radius)
             if len(u):
                 forest.join(u + s, cols[v] + shift)
@@ -188,9 +188,12 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 
 
 def keep_one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with all its columns, less the rows whose component has a smaller doc_id; rows without doc_id stay."""
-    gone = near_duplicates(docs.select("doc_id", "text"), size, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    """``docs`` with all its columns, less the rows whose component has a smaller doc_id; rows without doc_id stay.
+
+    Whole rows are shuffled only if more ids go than may be sent to all tasks.
+    """
+    gone = durable(near_duplicates(docs.select("doc_id", "text"), size, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(near(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -195,13 +195,16 @@ def test_exact_dedup(docs, rows, empty):
     kept = exact_dedup.keep_first_copies(docs)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {min(g) for g in groups.values()}
     assert exact_dedup.exact_groups(empty).count() == 0
-    assert exact_dedup.keep_first_copies(docs.unionAll(docs)).count() == len(groups)
+    for most in (1000, 0):
+        assert sorted(r.doc_id for r in exact_dedup.keep_first_copies(docs.unionAll(docs), most).collect()) == sorted(min(g) for g in groups.values())
+    assert exact_dedup.keep_first_copies(empty).count() == 0
 
 
 def test_null_ids_and_repeated_rows(spark):
     df = spark.createDataFrame([(None, "a"), (None, "b"), (3, "a"), (3, "a"), (2, "a")], "doc_id long, text string")
     got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(df).collect())
     assert got == Counter({(None, 2, 4, False): 1, (None, None, 1, True): 1, (3, 2, 4, False): 2, (2, 2, 4, True): 1})
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.keep_first_copies(df).collect()) == [(0, "b"), (2, "a")]
     near = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()}
     assert {c for i, c in near if i is not None} == {2}
 
