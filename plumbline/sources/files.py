@@ -108,6 +108,26 @@ def read_event_log(spark: SparkSession, path: str) -> DataFrame:
     return e.filter(ok).select(F.col("`Stage ID`").alias("stage"), i["Index"].alias("index"), (i["Finish Time"] - i["Launch Time"]).alias("duration_ms"), (F.coalesce(m["Remote Bytes Read"], F.lit(0)) + F.coalesce(m["Local Bytes Read"], F.lit(0))).alias("shuffle_bytes"))
 
 
+#: The part of Spark's event log that lineage needs.
+SQL_START = "`Event` string, `executionId` long, `time` long, `physicalPlanDescription` string"
+
+
+def read_plan_edges(spark: SparkSession, path: str) -> DataFrame:
+    """``src, dst, runs, last_ms``: which folders the logged SQL executions read to write which, how often and when last.
+
+    Folders are taken from the plan texts of the event log, as Spark prints them: the
+    locations of file scans and the first argument of the file insert. Executions that write
+    no folder, or read none, give no edge. ``spark.sql.maxMetadataStringLength`` of the logged
+    application cuts long lists of locations; what is cut is not seen.
+    """
+    plan = F.col("physicalPlanDescription")
+    started = spark.read.schema(SQL_START).json(path).filter(F.col("Event").endswith("SparkListenerSQLExecutionStart"))
+    written = F.regexp_extract(plan, r"Execute InsertIntoHadoopFsRelationCommand\s*\nInput[^\n]*\nArguments: ([^,\n]+),", 1)
+    locations = F.regexp_extract_all(plan, F.lit(r"\nLocation: \w+(?:\(\d+ paths\))?\s*\[([^\]\n]*)\]"), 1)
+    runs = started.select("executionId", "time", written.alias("dst"), F.explode(F.array_distinct(F.split(F.array_join(locations, ", "), ", "))).alias("src"))
+    return runs.filter("dst <> '' and src <> '' and src not like '%...'").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("runs"), F.max("time").alias("last_ms"))
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

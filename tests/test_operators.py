@@ -133,3 +133,22 @@ def test_lateness_of_planned_events(spark):
     df = spark.createDataFrame([(i, 100 + i * 10, 100 + i * 10 + (9000 if i == 19 else 2)) for i in range(20)], "k long, e long, a long")
     r = telemetry.lateness(df, "e", "a", "k").first()
     assert (r.p50, r.p99, r.most, r.bound, r.residual) == (2, 2, 9000, 3, 0.05) and "WM003" in r.codes
+
+
+def test_edges_of_a_spark_event_log(spark, tmp_path):
+    import json
+
+    from plumbline.sources.files import read_plan_edges
+
+    scan = "({0}) Scan parquet {1}\nOutput [1]: [a#0]\nBatched: true\nLocation: InMemoryFileIndex{2}\nReadSchema: struct<a:int>\n\n"
+    insert = "(4) Execute InsertIntoHadoopFsRelationCommand\nInput: []\nArguments: {0}, false, Parquet, [path=/out], Overwrite, [a]\n"
+    plans = [
+        scan.format(1, "", " [file:/a]") + scan.format(2, "spark_catalog.default.b", "(2 paths)[file:/b, file:/c]") + insert.format("file:/out"),
+        scan.format(1, "", " [file:/a]") + scan.format(2, "", " [file:/a]") + insert.format("file:/out"),
+        scan.format(1, "", " [file:/read/only]"),
+        insert.format("file:/from/nothing"),
+    ]
+    events = [{"Event": "org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart", "executionId": i, "time": i, "physicalPlanDescription": "== Physical Plan ==\n\n" + p} for i, p in enumerate(plans)]
+    (tmp_path / "log").write_text("\n".join(map(json.dumps, [{"Event": "SparkListenerTaskEnd"}, *events])))
+    got = {(r.src, r.dst, r.runs, r.last_ms) for r in read_plan_edges(spark, str(tmp_path / "log")).collect()}
+    assert got == {("file:/a", "file:/out", 2, 1), ("file:/b", "file:/out", 1, 0), ("file:/c", "file:/out", 1, 0)}
