@@ -1,4 +1,4 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
+"""The corpus pipeline: six stages over ``documents``, each written as Parquet and read again by the next.
 
 It belongs to the subpackage ``plumbline.llm`` and goes with it.
 """
@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, exact_dedup, packing, simhash, toxicity
+from plumbline.llm import decontaminate, exact_dedup, packing, simhash, similar, toxicity
 from plumbline.llm.common import read_table
 
 
@@ -29,6 +29,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one_of_each(docs)
 
 
+def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts whose five-word shingles are alike to 0.8 or more, linked or by steps, the row with the smallest doc_id."""
+    return similar.keep_one_of_similar(docs)
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark text."""
     return decontaminate.drop_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
@@ -44,6 +49,7 @@ STAGES = [
     ("exact_dedup", drop_copies),
     ("simhash_near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
+    ("jaccard_near_dedup", drop_similar),
     ("packing", pack),
 ]
 

@@ -1,8 +1,10 @@
 """The pipeline over the smallest tables: each stage against brute force on what the stage before kept."""
 
+import random
 import re
 
 import corpus_pipeline as P
+from plumbline.llm import similar
 from plumbline.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_llm_operators import brute_fingerprint, brute_windows, check_packing, components
 
@@ -47,3 +49,52 @@ def test_run(spark):
 
 def test_registered():
     assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11)) and set(ORACLE_SQL) <= set(QUERIES)
+
+
+def shingles(text):
+    w = [x for x in re.split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)) if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_roots(texts):
+    sets, root = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = {d: low if r == high else r for d, r in root.items()}
+    return root
+
+
+def test_no_similar_texts_reach_packing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for name, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, SF).localCheckpoint()
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert all(d == r for d, r in similar_roots(left).items())
+
+
+def test_similar_texts(spark):
+    rng = random.Random(3)
+    texts = []
+    for size in (3, 4, 5, 8, 9, 30, 60, 200, 900):
+        base = [f"w{rng.randrange(5000)}" for _ in range(size)]
+        for changes in (0, 0, 1, 1, 2, 3, 5, 8, 13):
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(size)] = f"n{rng.randrange(5000)}"
+            texts.append(" ".join(w + [f"end{i}" for i in range(changes % 3)]))
+    line = " ".join(f"common{i}" for i in range(25))
+    texts += [f"{line} {' '.join(f'own{i}-{k}' for k in range(i % 9))}" for i in range(40)]  # one hot line, chains of links
+    texts = dict(enumerate(texts + ["", " \n", None]))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    roots = similar_roots({d: t or "" for d, t in texts.items()})
+    assert 20 < len(set(roots.values())) < len(roots) - 20
+    assert {r.doc_id for r in similar.keep_one_of_similar(df).collect()} == set(roots.values())
+
+
+def test_rows_go_by_themselves(spark):
+    long, other = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    df = spark.createDataFrame([(1, long), (7, long + " tail"), (7, other), (None, other + " tail"), (None, "alone")], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in similar.keep_one_of_similar(df).collect()) == sorted([(1, long), (7, other), (0, "alone")])
+    assert similar.keep_one_of_similar(df.limit(0)).count() == 0
