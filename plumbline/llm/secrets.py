@@ -1,6 +1,7 @@
 """Secret scan: fixed patterns, and strings that a primed compressor finds nothing known in.
 
-A candidate is a long run of key characters with a sensitive word shortly before it. Its
+A candidate is a long run of key characters with a sensitive word shortly before it, or the
+next line of one. It is scored by blocks, which share what stands before the first. Its
 novelty is the number of bytes that it adds to the compressed form of the code around it,
 divided by its length; the compressor is zstandard, primed with a dictionary of identifiers
 and common words. Names, paths and repeated strings cost few bytes, keys cost nearly all of
@@ -36,7 +37,10 @@ IDENTIFIERS = (
     "authorization bearer basic content type length accept encoding abcdefghijklmnopqrstuvwxyz "
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 xxxxxxxx XXXXXXXX the and that with this from have for not "
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,200}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+#: Characters that are scored at a time, what may stand between the lines of one key, and a key's short last line.
+BLOCK, NEXT_LINE = 200, r"[ \t]*\r?\n[ \t]*"
+LAST_LINE = NEXT_LINE + r"([A-Za-z0-9+/_=]{1,19})(?=" + NEXT_LINE + "-----END)"
 
 
 class Novelty:
@@ -58,6 +62,7 @@ class Scanner:
     def __init__(self, novelty: float = 0.62, before: int = 48, around: int = 400):
         self.assign, self.access, self.hex, self.candidate = map(re.compile, (ASSIGN, ACCESS, HEX, CANDIDATE))
         self.sensitive = re.compile("|".join(SENSITIVE.split()))
+        self.next_line, self.last_line = re.compile(NEXT_LINE), re.compile(LAST_LINE)
         self.least, self.before, self.around, self.measure = novelty, before, around, Novelty()
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
@@ -71,14 +76,27 @@ class Scanner:
 
     def novel(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         found, starts, reach = [], [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
+        stop, inherits = 0, False
         for m in self.candidate.finditer(text):
             s, e = m.span()
-            if not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
+            inherits = inherits and self.next_line.fullmatch(text, stop, s) is not None  # a further line of a key
+            inherits = inherits or self.sensitive.search(text[max(0, s - self.before) : s].lower()) is not None
+            stop = e
+            if not inherits or not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
                 continue
-            if (k := bisect_left(starts, e)) and reach[k - 1] > s:  # a base span has some of it
-                continue
-            if self.sensitive.search(text[max(0, s - self.before) : s].lower()) and self.measure(m[0], text[max(0, s - self.around) : s] + text[e : e + self.around // 4]) >= self.least:
-                found.append((s, 3, e))
+            last = None
+            cuts = [*range(s, max(s + 1, e - 19), BLOCK), e]  # a rest of under 20 characters goes with the block before it
+            for a, b in zip(cuts, cuts[1:]):
+                if (k := bisect_left(starts, b)) and reach[k - 1] > a:  # a base span has some of it
+                    continue
+                if self.measure(text[a:b], text[max(0, a - self.around) : a] + text[b : b + self.around // 4]) >= self.least:
+                    if last == a:
+                        found[-1] = (found[-1][0], 3, b)
+                    else:
+                        found.append((a, 3, b))
+                    last = b
+            if last == e and (tail := self.last_line.match(text, e)) and not ((k := bisect_left(starts, tail.end(1))) and reach[k - 1] > tail.start(1)):
+                found.append((tail.start(1), 3, tail.end(1)))
         return found
 
     def __call__(self, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -95,8 +113,8 @@ def scan_secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), novelty:
 
     Spans are code points, end exclusive. A null text counts as an empty one (no spans, empty
     strings); repeated rows are scanned and returned again; an empty table gives no rows; other
-    columns are ignored. The candidates' length is capped at 200 characters per match, a longer
-    run is several candidates. No shuffle.
+    columns are ignored. Candidates have any length; neighbouring blocks that are reported are
+    one span. No shuffle.
     """
 
     def build():
