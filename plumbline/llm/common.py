@@ -62,16 +62,19 @@ def map_texts(docs: DataFrame, keep: Sequence[str], schema: str, build: Callable
     return narrow.mapInArrow(run, f"{fields}, {schema}" if fields else schema)
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder: later reads neither compute again nor depend on an executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``; one of this machine only where Spark runs on this machine alone."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return named or tempfile.mkdtemp(prefix="plumbline-checkpoint-")
 
-    The folder is the one that the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests on one machine) a temporary one is made.
-    """
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows written to the shared checkpoint folder: later reads neither compute again nor depend on an executor."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -13,6 +13,7 @@ ROUNDS = 60
 def connected(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``node, root`` for each node of ``edges(a, b)`` that is not its component's smallest; roots are those smallest nodes.
 
+    Nodes are of any type that has an order; a struct makes the root the smallest by its fields.
     Every round is two joins on a node with its smallest neighbour, pre-aggregated before
     each shuffle, and is written to the checkpoint folder. Hot nodes are split by the
     adaptive skew join, for nothing above the joins needs a key's rows together.

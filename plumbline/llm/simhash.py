@@ -10,6 +10,8 @@ forest, at most one edge for each fingerprint, however many pairs a group of cop
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,6 +24,8 @@ SEED, SHINGLE, RADIUS = 42, 4, 4
 #: ASCII upper to lower case.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 BLOCKS, BLOCK_ROWS, TILE = 16, 1_000_000, 256
+#: Tasks that pairs of blocks are dealt to, at most.
+PAIR_TASKS = 10_000
 
 
 def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
@@ -112,61 +116,66 @@ def link_tiles(left: np.ndarray, right: np.ndarray | None, radius: int = RADIUS,
     return nodes[at], nodes[forest.label[at]]
 
 
-def _block_plan(classes: DataFrame, radius: int) -> tuple[Column, dict[int, list[int]], dict[int, tuple[int, int]]]:
-    """The block of a fingerprint, the pairs that each block meets in, and the pairs' blocks.
+def deal_blocks(rows: DataFrame, key: Column, apart: Callable[[int, int], bool], block_rows: int = BLOCK_ROWS) -> DataFrame | None:
+    """``rows`` with ``block, i, j``: a row of a block for each pair of blocks (i <= j) that the block has to meet in.
 
-    It is made of the counts by population count (at most 65 rows), so it needs no
-    fingerprints on the driver. A population count with more rows than a block is dealt by hash.
+    ``key`` is a long of few values (at most some thousand); rows go to blocks in its order,
+    and a key of more rows than a block is dealt by hash. ``apart(high, low)`` says that keys
+    up to ``high`` never meet keys from ``low`` on, so that a block meets a run of blocks; both
+    tables that are sent to the tasks have one row for each key or block. None without rows.
     """
-    by_count = sorted((r["pop"], r["n"]) for r in classes.groupBy(F.bit_count("fp").alias("pop")).agg(F.count(F.lit(1)).alias("n")).collect())
-    total = sum(n for _, n in by_count)
-    most = max(1, -(-total // max(BLOCKS, -(-total // BLOCK_ROWS))))
-    spans, first, now, low = [], {}, 0, None
-    for pop, n in by_count:
-        if n > most:
-            if now:
-                spans.append((low, pop - 1))
-                now = 0
-            parts = -(-n // most)
-            first[pop] = (len(spans), parts)
-            spans += [(pop, pop)] * parts
-            continue
-        if now and now + n > most:
-            spans.append((low, pop - 1))
-            now = 0
-        low = low if now else pop
-        now += n
-        first[pop] = (len(spans), 1)
-    if now:
-        spans.append((low, by_count[-1][0]))
-    pairs = {}
+    spark = rows.sparkSession
+    keyed = rows.withColumn("__key", key)
+    by_key = sorted((r["__key"], r["n"]) for r in keyed.groupBy("__key").agg(F.count(F.lit(1)).alias("n")).collect())
+    if not by_key:
+        return None
+    total = sum(n for _, n in by_key)
+    most = max(1, -(-total // max(BLOCKS, -(-total // block_rows))))
+    spans: list[list[int]] = []  # of keys, both ends included
+    places, room = [], 0
+    for k, n in by_key:
+        parts = -(-n // most)
+        if parts == 1 and n <= room:
+            spans[-1][1] = k
+            room -= n
+        else:
+            spans += [[k, k] for _ in range(parts)]
+            room = most - n if parts == 1 else 0
+        places.append((k, len(spans) - parts, parts))
+    last, j = [], 0
     for i, (_, high) in enumerate(spans):
-        for j in range(i, len(spans)):
-            if spans[j][0] - high <= radius:
-                pairs[len(pairs)] = (i, j)
-    meets: dict[int, list[int]] = {i: [p for p, ij in pairs.items() if i in ij] for i in range(len(spans))}
-    start = F.create_map(*[F.lit(x) for pop, (k, _) in first.items() for x in (pop, k)]) if first else None
-    parts = F.create_map(*[F.lit(x) for pop, (_, n) in first.items() for x in (pop, n)]) if first else None
-    pop = F.bit_count("fp")
-    block = (start[pop] + F.pmod(F.xxhash64("fp"), parts[pop])).cast("int") if first else F.lit(0)
-    return block, meets, pairs
+        j = max(i, j)
+        while j + 1 < len(spans) and not apart(high, spans[j + 1][0]):
+            j += 1
+        last.append(j)
+    first, i = [], 0
+    for b in range(len(spans)):
+        while last[i] < b:
+            i += 1
+        first.append(i)
+    start = near(spark.createDataFrame(places, "__key long, __start int, __parts int"))
+    reach = near(spark.createDataFrame(list(zip(range(len(spans)), first, last)), "block int, __first int, __last int"))
+    salt = F.pmod(F.xxhash64(*rows.columns[:1], F.lit("block")), F.col("__parts"))
+    placed = keyed.join(start, "__key").withColumn("block", (F.col("__start") + salt).cast("int")).join(reach, "block")
+    met = placed.withColumn("__other", F.explode(F.sequence("__first", "__last")))
+    dealt = met.select(*rows.columns, "block", F.least("block", "__other").alias("i"), F.greatest("block", "__other").alias("j"))
+    pairs = sum(b - a + 1 for a, b in enumerate(last))
+    return dealt.repartition(min(pairs, PAIR_TASKS), "i", "j")
 
 
 def near_links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``a long, b long``: a spanning set of the links between the distinct fingerprints ``fp``."""
-    block, meets, pairs = _block_plan(classes, radius)
-    if not pairs:
-        return classes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    where = F.create_map(*[x for i, own in meets.items() for x in (F.lit(i), F.array(*map(F.lit, own)))])
-    dealt = classes.select("fp", block.alias("block")).select("fp", "block", F.explode(where[F.col("block")]).alias("pair"))
-
-    def compare(table: pa.Table) -> pa.Table:
-        i, j = pairs[table.column("pair")[0].as_py()]
+    dealt = deal_blocks(classes.select("fp"), F.bit_count("fp").cast("long"), lambda high, low: low - high > radius)
+    if dealt is None:
+        return classes.select(F.col("fp").alias("a"), F.col("fp").alias("b"))
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
         fps, blocks = np.asarray(table.column("fp")).view(np.uint64), np.asarray(table.column("block"))
         a, b = link_tiles(fps[blocks == i], None if i == j else fps[blocks == j], radius)
         return pa.table({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
 
-    return dealt.groupBy("pair").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -176,25 +185,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     reached by links, and ``component_id`` is its smallest doc_id that is not null (null if
     there is none). A null text is an empty one; texts without words have fingerprint zero and
     link like others. Rows with one fingerprint are one class, however many; repeated rows are
-    returned again; an empty table gives no rows; other columns are ignored.
+    returned again; an empty table gives no rows; other columns are ignored. Very long texts
+    are read whole.
     """
     rows = durable(fingerprints(docs, size))
-    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = connected(near_links(classes, radius))
-    of_class = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = of_class.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = durable(of_class.join(smallest, "root").select(F.col("fp").alias("__fp"), "component_id"))
+    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "fp")))
+    named = classes.select("fp", "node")
+    links = near_links(classes, radius).join(named.toDF("a", "node_a"), "a").join(named.toDF("b", "node_b"), "b")
+    roots = connected(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))  # of the smallest doc_id
+    moved = roots.select(F.col("node.fp").alias("__fp"), F.col("root.first_id").alias("component_id"))
+    labels = durable(classes.join(moved, F.col("fp") == F.col("__fp"), "left").select(F.col("fp").alias("__fp"), F.when(F.col("__fp").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")))
     return rows.join(labels, F.col("fp") == F.col("__fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_each(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with all its columns, less the rows whose component has a smaller doc_id; rows without doc_id stay.
-
-    Whole rows are shuffled only if more ids go than may be sent to all tasks.
-    """
-    gone = durable(near_duplicates(docs.select("doc_id", "text"), size, radius).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(near(gone), F.col("doc_id") == F.col("__gone"), "left_anti")
-
-
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -1,27 +1,39 @@
-"""Near copies by Jaccard similarity of word shingles, exactly: a prefix-filter join, with every link verified.
-
-Sort each text's shingles by one order for all texts, and let ``n`` be their number: two
-texts of similarity t or more share one of their first ``n - ceil(t * n) + 1`` shingles.
-Only these go to the shuffle; any order is right, so the one that is used (rare in a sample
-first, then by hash) decides about cost alone. A shingle that two texts share gives one
-candidate; where more share it, the smallest is compared with all, and after that only what
-is not yet in one component with the others is compared pair by pair.
+"""Near copies by Jaccard similarity of word shingles: SimHash tiles give the candidates, their shingle sets decide.
+
+Texts of similarity 0.8 have, on average, fingerprints that differ in 15 % of their bits. With
+a fingerprint of four 64-bit planes a radius of 60 of 256 bits (20 in the first plane) leaves
+out about one such pair in a thousand, and keeps texts apart that have little in common. The
+fingerprints of distinct shingle sets are compared exactly, tile by tile, as in
+``simhash``: tiles whose population counts differ beyond the radius are skipped, and so are
+tiles whose sets differ too much in size to be similar. What is left is held against a bound
+that is exact: the parities of a set's hashes in 512 places; where two sets' parities differ
+in more places than the sets may differ in shingles, they are not similar.
+
+Candidates are verified on whole sets in two steps, so that a group of copies does not give
+all its pairs: first each set's nearest candidates, then those that are still between
+different components.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, map_texts, near, whole_text
 from .components import connected
-from .simhash import SEED, shingle_hashes
+from .simhash import SEED, TILE, deal_blocks, fingerprint, shingle_hashes
 
 #: The default of near-duplicate stages: words of a shingle, and similarity as a fraction.
 WORDS, LEAST = 5, (4, 5)
-#: Texts that the order is taken from, and shingles that it moves back at most; both change cost, never results.
-SAMPLE, COMMON = 20_000, 100_000
+#: Planes of the fingerprint, bits that may differ in the first and in all of them, places of the parity bound.
+PLANES, FIRST_RADIUS, RADIUS, PARITIES = 4, 20, 60, 512
+#: Candidates of a set that the first step verifies in a pair of blocks; it changes cost, never results.
+NEAREST = 4
+#: Rows of a block (each has about 130 bytes), and shingles that one task verifies at a time, about.
+BLOCK_ROWS, SHINGLES_AT_ONCE = 250_000, 2_000_000
 
 
 def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
@@ -29,104 +41,177 @@ def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def digest(items: np.ndarray) -> int | None:
-    """A number for the set, signed; None for an empty one."""
-    import xxhash
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Other, independent 64 bits of each hash."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
 
-    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64)) if len(items) else None
 
+def sketch(items: np.ndarray) -> tuple[int, int, bytes, bytes]:
+    """A set's id (a hash of it), its size, its fingerprint's planes and its parities."""
+    planes, x = [], items
+    for _ in range(PLANES):
+        planes.append(fingerprint(x))
+        x = remixed(x)
+    odd = np.bincount((items % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
+    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64)), len(items), np.array(planes, "<i8").tobytes(), np.packbits(odd.astype(np.uint8)).tobytes()
 
-def prefix(items: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: tuple[int, int] = LEAST) -> np.ndarray:
-    """The first ``n - ceil(least * n) + 1`` of ``n`` items; those in ``common`` (sorted items, their counts) come last."""
-    known, counts = common
-    if len(known) and len(items):
-        at = np.minimum(np.searchsorted(known, items), len(known) - 1)
-        items = items[np.argsort(np.where(known[at] == items, counts[at], 0), kind="stable")]
-    n = len(items)
-    return items[: n - -(-least[0] * n // least[1]) + 1] if n else items
 
+class Side:
+    """The sets of a block in the order of their sizes."""
 
-def common_shingles(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """At most ``COMMON`` shingles that several texts of a sample have, sorted, and in how many."""
-    n = docs.count()
-    some = docs.filter(F.pmod(F.xxhash64(whole_text(), F.lit("sample")), F.lit(max(1, n // SAMPLE))) == 0)
-    sets = map_texts(some, (), "items array<long>", lambda: lambda texts: [(shingle_set(t, size).view(np.int64),) for t in texts])
-    counts = sets.select(F.explode("items").alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n")).filter("n > 2")
-    rows = counts.orderBy(F.desc("n"), "item").limit(COMMON).collect()
-    known = np.array([r["item"] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(known)
-    return known[order], np.array([r["n"] for r in rows], np.int64)[order]
+    def __init__(self, table: pa.Table):
+        n = np.asarray(table.column("n"))
+        order = np.argsort(n, kind="stable")
+        self.n, self.id, self.root = n[order], np.asarray(table.column("id"))[order], np.asarray(table.column("root"))[order]
+        self.planes, self.parities = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u8").reshape(len(n), words)[order] for c, words in (("planes", PLANES), ("parities", PARITIES // 64)))
+        self.first = np.ascontiguousarray(self.planes[:, 0])
+        self.pop = np.bitwise_count(self.planes).sum(axis=1, dtype=np.int64)
 
 
-def similar_links(rows: DataFrame, sets_of, least: tuple[int, int] = LEAST) -> DataFrame:
-    """``node, root`` of the components that links of similarity ``least`` or more make of the sets in ``rows``.
-
-    ``rows`` has ``id long, n long, prefix array<long>``; ``sets_of`` takes a table of ``id``
-    and gives ``id, items array<long>`` of those, one row each.
+def candidates(a: Side, b: Side | None, least: tuple[int, int] = LEAST, tile: int = TILE, strip: int = 4096):
+    """Yields (row of a, row of b, bits that differ) for what may be similar, less what has one root; b None: within a."""
+    many, whole = least
+    own, other = a, a if b is None else b
+    for s in range(0, len(own.n), tile):
+        e = min(s + tile, len(own.n))
+        low = int(np.searchsorted(other.n, -(-int(own.n[s]) * many // whole)))
+        high = int(np.searchsorted(other.n, int(own.n[e - 1]) * whole // many, "right"))
+        for t in range(max(low, s) if b is None else low, high, strip):
+            cols = slice(t, min(t + strip, high))
+            if max(other.pop[cols].min() - own.pop[s:e].max(), own.pop[s:e].min() - other.pop[cols].max()) > RADIUS:
+                continue
+            u, v = np.nonzero(np.bitwise_count(own.first[s:e, None] ^ other.first[None, cols]) <= FIRST_RADIUS)
+            u, v = u + s, v + t
+            if b is None:
+                after = u < v
+                u, v = u[after], v[after]
+            apart = own.root[u] != other.root[v]
+            u, v = u[apart], v[apart]
+            bits = np.bitwise_count(own.planes[u] ^ other.planes[v]).sum(axis=1, dtype=np.int64)
+            total = own.n[u] + other.n[v]
+            odd = np.bitwise_count(own.parities[u] ^ other.parities[v]).sum(axis=1, dtype=np.int64)
+            # similar sets of m and n items differ in at most (m + n) * (whole - many) / (whole + many) items
+            close = (bits <= RADIUS) & (odd * (whole + many) <= total * (whole - many))
+            if close.any():
+                yield u[close], v[close], bits[close]
+
+
+def nearest(node: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` entries of each node with the fewest bits."""
+    order = np.lexsort((bits, node))
+    first = np.concatenate([[True], np.diff(node[order]) != 0])
+    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+    return order[rank < most]
+
+
+def candidate_pairs(sets: DataFrame, most: int | None, least: tuple[int, int] = LEAST) -> DataFrame:
+    """``a, b, n`` (ids, both sizes together) of candidates of different ``root``; ``most``: only so many of each set in a pair of blocks."""
+    many, whole = least
+    step = 64  # sizes by their logarithm, so that the keys are few
+    bucket = F.when(F.col("n") == 0, 0).otherwise(F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double")) * step) + 1).cast("long")
+    wide = np.log2(whole / many) * step + 2
+    dealt = deal_blocks(sets.select("id", "n", "planes", "parities", "root"), bucket, lambda high, low: low - high > wide, BLOCK_ROWS)
+    if dealt is None:
+        return sets.select(F.col("id").alias("a"), F.col("id").alias("b"), "n")
+
+    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        i, j = (k.as_py() for k in key)
+        blocks = np.asarray(table.column("block"))
+        a, b = (Side(table.filter(pa.array(blocks == k))) for k in (i, j))
+        found, held = [np.empty((3, 0), np.int64)], 0
+        for part in candidates(a, None if i == j else b, least):
+            found.append(np.stack(part))
+            held += len(part[0])
+            if most and held > 1_000_000:
+                found, held = [trimmed(np.concatenate(found, axis=1), most, i == j)], 0
+        u, v, bits = trimmed(np.concatenate(found, axis=1), most, i == j) if most else np.concatenate(found, axis=1)
+        return pa.table({"a": pa.array(a.id[u]), "b": pa.array(b.id[v]), "n": pa.array(a.n[u] + b.n[v])})
+
+    def trimmed(pairs: np.ndarray, most: int, same: bool) -> np.ndarray:
+        u, v, bits = pairs
+        if same:  # one numbering: a pair stays if it is near for either of its sets
+            keep = nearest(np.concatenate([u, v]), np.concatenate([bits, bits]), most) % max(1, len(u))
+        else:
+            keep = np.concatenate([nearest(u, bits, most), nearest(v, bits, most)])
+        return pairs[:, np.unique(keep)]
+
+    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, n long")
+
+
+def verified(pairs: DataFrame, texts_of, least: tuple[int, int] = LEAST, size: int = WORDS) -> DataFrame:
+    """``a, b`` of the pairs whose shingle sets have the similarity ``least`` or more.
+
+    Pairs are dealt to chunks by hash; a set is sent once to each chunk that needs it, so that
+    a text with many candidates is no hot key. ``texts_of`` takes a table of ``id`` and gives a
+    table of one ``text`` for each.
     """
     many, whole = least
+    pairs = durable(pairs)
+    chunks = max(1, -(-(pairs.agg(F.sum("n")).first()[0] or 0) // SHINGLES_AT_ONCE))
+    dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(chunks)).alias("chunk"))
+    slots = durable(dealt.select("chunk", F.explode(F.array("a", "b")).alias("id")).distinct())
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = durable(pairs)
-        sets = durable(sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
-        both = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        shared = both.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("s"), (F.size("x") + F.size("y")).cast("long").alias("t"))
-        return shared.filter(F.col("s") * whole >= (F.col("t") - F.col("s")) * many).select("a", "b")
-
-    def alike(m, n):  # sets whose sizes are further apart cannot be similar enough
-        return (F.least(m, n) * whole >= F.greatest(m, n) * many)
-
-    sizes = rows.select("id", "n").distinct()
-    tokens = rows.select("id", F.explode("prefix").alias("token"))
-    met = durable(tokens.repartition("token").groupBy("token").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("k")).filter("a <> b"))
-    crowded = near(met.filter("k > 2").select("token", "a"))
-    posted = durable(tokens.join(crowded, "token"))
-    first = met.select("a", "b").union(posted.filter("a <> id").select("a", F.col("id").alias("b"))).distinct()
-    sized = first.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").filter(alike(F.col("na"), F.col("nb"))).select("a", "b")
-    links = durable(verified(sized))
-    roots = connected(links)
-    placed = posted.select("token", "id").distinct().join(roots, posted.id == roots.node, "left").select("token", "id", F.coalesce("root", "id").alias("root"))
-    placed = durable(placed.join(sizes, "id"))
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("token")
-    left = placed.join(mixed, "token", "left_semi")
-    other = left.select("token", F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("nb"))
-    rest = left.join(other, "token").filter((F.col("id") < F.col("b")) & (F.col("root") != F.col("root_b")) & alike(F.col("n"), F.col("nb"))).select(F.col("id").alias("a"), "b").distinct()
-    seen = sized.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return connected(links.union(verified(rest.join(seen, ["a", "b"], "left_anti"))))
+    def build():
+        def rows(texts):
+            sets = [shingle_set(t, size) for t in texts]
+            return [(sketch(s)[0], s.tobytes()) for s in sets]
+
+        return rows
+
+    items = map_texts(texts_of(slots.select("id").distinct()), (), "id long, items binary", build).dropDuplicates(["id"])
+    sent = slots.join(items, "id").select("chunk", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "items")
+
+    def verify(table: pa.Table) -> pa.Table:
+        a, b = table.column("a").to_pylist(), table.column("b").to_pylist()
+        sets = {x: np.frombuffer(raw, np.uint64) for x, y, raw in zip(a, b, table.column("items").to_pylist()) if y is None}
+        links = []
+        for x, y in zip(a, b):
+            if y is not None:
+                shared, total = len(np.intersect1d(sets[x], sets[y], assume_unique=True)), len(sets[x]) + len(sets[y])
+                if shared * whole >= (total - shared) * many:
+                    links.append((x, y))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    both = dealt.select("chunk", "a", "b", F.lit(None).cast("binary").alias("items")).unionByName(sent)
+    return durable(both.repartition(min(chunks, 10_000), "chunk").groupBy("chunk").applyInArrow(verify, "a long, b long"))
 
 
 def keep_one_of_similar(docs: DataFrame, size: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
     """``docs`` with all its columns, less the rows whose component has a smaller row.
 
     Texts link if the Jaccard similarity of their sets of ``size``-word shingles is ``least``
-    (numerator, denominator) or more; all such links are found. Rows are told apart by
-    doc_id and text, in the order of doc_id (null last), so that of several texts with one
-    doc_id only the near copies go; repeated rows of one doc_id and text share their fate.
-    Texts without words are no copies. Words are split at white space, ASCII in lower case.
-    Shingles and sets are known by 64-bit hashes.
+    (numerator, denominator) or more and their fingerprints are within the radius (see above).
+    Rows are told apart by doc_id and text, in the order of doc_id (null last), so that of
+    several texts with one doc_id only the near copies go; repeated rows of one doc_id and text
+    share their fate. Null and empty texts, and others without words, are copies of one
+    another. Words are split at white space, ASCII in lower case; very long texts are read
+    whole. Shingles and sets are known by 64-bit hashes. An empty table gives no rows.
     """
     keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), "text")
-    common = common_shingles(keyed, size)
 
     def build():
-        def made(texts):
-            sets = [shingle_set(t, size) for t in texts]
-            return [(digest(s), len(s), prefix(s, common, least).view(np.int64)) for s in sets]
-
-        return made
+        return lambda texts: [sketch(shingle_set(t, size)) for t in texts]
 
-    rows = durable(map_texts(keyed, ("doc_id", "text_key"), "id long, n long, prefix array<long>", build).filter("id is not null"))
+    rows = durable(map_texts(keyed, ("doc_id", "text_key"), "id long, n long, planes binary, parities binary", build))
+    named = rows.select("id", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key").alias("row"))
+    best = durable(named.groupBy("id").agg(F.min("row").alias("best"), F.max("row").alias("last")))
+    sets = durable(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("planes").alias("planes"), F.first("parities").alias("parities")))
 
-    def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = rows.join(near(durable(ids)), "id", "left_semi").groupBy("id").agg(F.min("text_key").alias("text_key"))
-        texts = keyed.join(near(durable(wanted.select("text_key").distinct())), "text_key", "left_semi")
-        build = lambda: lambda texts: [(digest(s), s.view(np.int64)) for s in (shingle_set(t, size) for t in texts)]
-        return map_texts(texts, (), "id long, items array<long>", build).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = best.join(near(durable(ids)), "id", "left_semi").select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__key"))
+        return keyed.join(near(durable(wanted)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
 
-    roots = similar_links(rows, sets_of, least)
-    named = rows.select("doc_id", "text_key", "id").join(near(roots), F.col("id") == F.col("node"), "left")
-    named = named.select(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key").alias("row"), F.coalesce("root", "id").alias("root"))
-    best = named.groupBy("root").agg(F.min("row").alias("best"), F.max("row").alias("last")).filter("best <> last").select("root", "best")
-    lost = durable(named.join(best, "root").filter("row <> best").select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key")).distinct())
+    links = verified(candidate_pairs(sets.withColumn("root", F.col("id")), NEAREST, least), texts_of, least, size)
+    roots = connected(links)
+    placed = sets.join(near(roots), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+    links = links.union(verified(candidate_pairs(placed, None, least), texts_of, least, size))
+    nodes = best.select("id", "best")
+    ends = links.join(nodes.toDF("a", "best_a"), "a").join(nodes.toDF("b", "best_b"), "b")
+    moved = connected(ends.select(F.col("best_a").alias("a"), F.col("best_b").alias("b")))  # to the smallest row
+    fate = best.join(near(moved), F.col("best") == F.col("node"), "left").filter("root is not null or best <> last").select("id", F.coalesce("root", "best").alias("stays"))
+    lost = durable(named.join(near(durable(fate)), "id").filter("row <> stays").select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key")).distinct())
     gone = (F.xxhash64(whole_text()) == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
     return docs.join(near(lost), gone, "left_anti")
