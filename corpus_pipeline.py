@@ -1,17 +1,16 @@
-"""The corpus pipeline: six stages over ``documents``, each written as Parquet and read again by the next.
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read again by the next.
 
 It belongs to the subpackage ``plumbline.llm`` and goes with it.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import decontaminate, exact_dedup, packing, simhash, similar, toxicity
-from plumbline.llm.common import read_table
+from plumbline.llm import decontaminate, exact_dedup, packing, similar, toxicity
+from plumbline.llm.common import read_table, shared_folder
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,11 +24,6 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies, the row with the smallest doc_id."""
-    return simhash.keep_one_of_each(docs)
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts whose five-word shingles are alike to 0.8 or more, linked or by steps, the row with the smallest doc_id."""
     return similar.keep_one_of_similar(docs)
 
@@ -49,7 +43,6 @@ STAGES = [
     ("exact_dedup", drop_copies),
     ("simhash_near_dedup", drop_near_copies),
     ("decontamination", drop_contaminated),
-    ("jaccard_near_dedup", drop_similar),
     ("packing", pack),
 ]
 
@@ -57,15 +50,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{named or tempfile.mkdtemp(prefix='plumbline-pipeline-')}/pipeline-{uuid.uuid4().hex}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows that the last stage makes of ``documents``."""
-    docs, folder = read_table(spark, sf_dir, "documents"), shared_folder(spark)
+    docs, folder = read_table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(path := f"{folder}/{i}_{name}")
         docs = spark.read.parquet(path)
