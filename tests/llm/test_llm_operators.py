@@ -326,22 +326,65 @@ def test_packing(docs, rows, empty, library):
     assert packing.pack(empty).count() == 0
 
 
+def served_all(turns, firsts):
+    n = turns.leaves
+    return np.stack([turns.served(np.full(n, e), np.arange(n))[1] for e in firsts])
+
+
 def test_turns_are_deficit_round_robin():
     rng = random.Random(5)
-    for _ in range(20):
-        slices = [rng.randint(0, 30) for _ in range(4)]
-        weights = [max(1, s) for s in slices]
-        order = sorted(((2 * k + 1) / w, q, k) for q, (n, w) in enumerate(zip(slices, weights)) for k in range(n))
-        want = {(q, k): i for i, (_, q, k) in enumerate(order)}
-        pairs = list(want)
-        if pairs:
-            got = packing.turns(np.array([k for _, k in pairs]), np.array([q for q, _ in pairs]), slices, weights)
-            assert sorted(got.tolist()) == list(range(len(pairs)))
-            total, served = sum(slices), [0] * 4
-            for _, (q, _k) in sorted(zip(got.tolist(), pairs)):
-                served[q] += 1
-                done = sum(served)
-                assert all(abs(served[i] - done * slices[i] / total) <= 2 for i in range(4))  # the carried deficit stays bounded
+    for trial in range(40):
+        n = rng.randint(1, 12)
+        sizes = [rng.randint(1, 60) if trial % 2 else rng.choice([1, 7, 30]) for _ in range(n)]
+        weights = [rng.choice([0.5, 1.0, 3.0, 7.25]) if trial % 3 else float(s) for s in sizes]
+        later = [int(trial % 4 == 0 and rng.random() < 0.3) for _ in range(n)]
+        turns = packing.Turns(weights, sizes, later)
+        places = {}
+        for c in range(n):
+            for m, at in enumerate(turns.rank(np.arange(sizes[c]), np.full(sizes[c], c)).tolist()):
+                places[at] = (c, m)
+        assert sorted(places) == list(range(sum(sizes)))
+        counts = [0] * n
+        total = sum(w for w, k in zip(weights, later) if not k)
+        for e in range(sum(sizes) + 1):
+            assert served_all(turns, [e])[0].tolist() == counts
+            if total and all(counts[c] < sizes[c] for c in range(n)):  # all live: no deficit over one and a half slices
+                assert all(abs(counts[c] - e * weights[c] / total) <= 1.5 for c in range(n) if not later[c])
+            if e < sum(sizes):
+                c, m = places[e]
+                assert counts[c] == m and (not later[c] or all(counts[d] == sizes[d] for d in range(n) if not later[d]))
+                counts[c] += 1
+
+
+@pytest.mark.parametrize("n", [5, 200, 300, 2000])
+def test_windows_hold_the_targets(n):
+    rng = random.Random(n)
+    small = [rng.choice([1, 1, 2, 0.05 + rng.random()]) for _ in range(n - 1)]
+    weights = [0.9] + [0.1 * v / sum(small) for v in small]
+    sizes = [int(6400 * w) + 2 for w in weights]
+    turns = packing.Turns(weights, sizes, [0] * n)
+    done = np.arange(0, 6400, 32)
+    served = served_all(turns, done)
+    assert np.abs(served - done[:, None] * np.array(weights)).max() <= 1.5  # carried deficits, in slices
+    assert np.abs(np.diff(served, axis=0) - 32 * np.array(weights)).max() <= 2
+
+
+def test_mixture_of_many_sources(spark, library):
+    words = [f"w{i % 50}" for i in range(260)]
+    rows = [(i, " ".join(words[i % 7 : i % 7 + 200]), "big" if i % 3 == 0 else f"s{i % 300}") for i in range(900)] + [(1000, " ".join(words), "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    sources = {r[2] for r in rows} - {"none", "big"}
+    weights = {"big": 0.5} | {s: 0.5 / len(sources) for s in sources}
+    got = packing.pack(df, weights=weights).collect()
+    check_packing(got, {i: t for i, t, _ in rows}, library)
+    share, total = Counter(), sum(r.length for r in got if r.queue == "big")
+    for r in got:
+        if r.queue == "big":
+            share[r.sequence_id] += r.length
+    both = total // 512 - 1  # windows in which it lasts
+    assert both > 50 and all(abs(share[s] - 512) <= packing.QUANTUM for s in range(both)) and {r.target for r in got if r.queue == "big"} == {0.5}
+    lasts = max(r.sequence_id for r in got if r.queue != "none" and r.length >= packing.QUANTUM)
+    assert min(r.sequence_id for r in got if r.queue == "none") >= lasts  # weight zero: nothing while another lasts
 
 
 # chats
@@ -390,7 +433,41 @@ def test_toxicity(spark, labelled, empty):
     nulls = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert {r.score < toxicity.THRESHOLD for r in toxicity.score_toxicity(nulls, model).collect()} == {True}
     bare = toxicity.fit(docs, labels.limit(0))
-    assert bare.scorer()("you 1d10t, you m0rоn")[0] > toxicity.THRESHOLD > bare.scorer()("the trash can is full")[0]
+    score = bare.scorer()
+    assert score("you 1d10t, you m0rоn")[0] > toxicity.THRESHOLD > score("the trash can is full")[0]
+    plain = score("you idiot")[0]
+    assert all(score(x)[0] == plain for x in ("you idiot!", "You IDIOT!!!", "you !d!ot", "you ïdîöt", "you i.d.i.o.t", "you 1di0t5", "you ｉｄｉｏｔ"))
+
+
+def test_toxicity_with_repeated_rows_and_ids(spark, labelled):
+    docs, labels = labelled
+    again = docs.unionByName(docs.filter("doc_id < 300")).unionByName(docs.filter("doc_id < 5").withColumn("text", F.lit("another text")))
+    first, second = (toxicity.fit(d.repartition(n), labels) for d, n in ((again, 3), (again, 7)))
+    assert first.weights == second.weights and np.allclose(first.beta, second.beta)
+    scored = toxicity.score_toxicity(again, first).collect()
+    assert len(scored) == 1205
+    scores = {}
+    for r in scored:
+        scores.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(v) == 1 for k, v in scores.items() if k >= 5)
+
+
+def test_scores_are_those_of_a_plain_scorer():
+    rng = random.Random(2)
+    weights = {f" {w} ": (rng.random(), 1 + rng.random()) for w in WORDS[:20]} | {f" {w[:3]}": (rng.random(), 2 + rng.random()) for w in WORDS[5:30] if len(w) > 3}
+    lexicon = toxicity.Lexicon(weights, ("a bb", "ccc"))
+    for _ in range(200):
+        own = [rng.choice([*WORDS, "a", "bb", "ccc"]) for _ in range(rng.randint(0, 40))]
+        line = toxicity.fold_line(" ".join(own))
+        folded = line.split()
+        spared = {i for i, w in enumerate(folded) if w == "ccc"} | {i + k for i in range(len(folded) - 1) if folded[i : i + 2] == ["a", "bb"] for k in (0, 1)}
+        best = Counter()
+        for i, w in enumerate(folded):
+            fits = [e for e in weights if i not in spared and (e == f" {w} " or not e.endswith(" ") and f" {w} ".startswith(e))]
+            if fits:
+                best[max(fits, key=lambda e: (sum(weights[e]), e))] += 1
+        score, hits = lexicon(line)
+        assert hits == sum(best.values()) and abs(score - sum(weights[e][n > 1] for e, n in best.items())) < 1e-9
 
 
 def test_quality(labelled, empty):
