@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from .common import BROADCAST_ROWS, durable, near, read_table, whole_text
 
 QUOTIENT_BITS, REMAINDER_BITS = 16, 48
+#: Blocks of quotients at least, and fingerprints of a block, about: what one task merges.
+BLOCKS, BLOCK_ROWS = 32, 1_000_000
 
 
 def normalised(text: str = "text") -> Column:
@@ -48,13 +50,20 @@ def summed(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def repeated_fingerprints(fingerprints: DataFrame, column: str = "fp", blocks: int | None = None) -> DataFrame:
     """``fp long, n long``: the fingerprints that occur more than once, by merged counting quotient filters."""
-    blocks = blocks or min(1 << QUOTIENT_BITS, 4 * int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = blocks or min(1 << QUOTIENT_BITS, max(BLOCKS, -(-fingerprints.count() // BLOCK_ROWS)))
 
     def build(batches):
-        values, counts = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        for b in batches:  # held as a filter, not as rows
-            own = np.asarray(b.column(0)).astype(np.int64).view(np.uint64)
-            values, counts = summed(np.concatenate([values, own]), np.concatenate([counts, np.ones(len(own), np.uint64)]))
+        values, counts, fresh, waiting = np.empty(0, np.uint64), np.empty(0, np.uint64), [], 0
+
+        def merged():
+            return summed(np.concatenate([values, *fresh]), np.concatenate([counts, np.ones(waiting, np.uint64)]))
+
+        for b in batches:  # held as a filter, not as rows; merged when it can double, so that the time grows with the rows
+            fresh.append(np.asarray(b.column(0)).astype(np.int64).view(np.uint64))
+            waiting += len(fresh[-1])
+            if waiting > max(len(values), 100_000):
+                (values, counts), fresh, waiting = merged(), [], 0
+        values, counts = merged()
         block = ((values >> np.uint64(REMAINDER_BITS)) * np.uint64(blocks)) >> np.uint64(QUOTIENT_BITS)
         at = np.searchsorted(block, np.arange(blocks + 1, dtype=np.uint64))
         rows = [(k, *pack_filter(values[a:b], counts[a:b])) for k, (a, b) in enumerate(zip(at[:-1], at[1:])) if b > a]
@@ -124,6 +133,7 @@ def keep_first_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) ->
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents; see ``exact_groups`` for nulls, ties and repeated rows."""
     return exact_groups(read_table(spark, sf_dir, "documents"))
 
 
