@@ -55,6 +55,18 @@ class Matcher:
         return len(words), np.flatnonzero(np.cumsum(depth[:-1])), sorted(items)
 
 
+_KEPT: dict[str, Matcher] = {}
+
+
+def kept_matcher(items: list[tuple[object, str]], width: int) -> Matcher:
+    """The automaton of the items: a Python worker keeps the last one that it built, for the tasks that it runs after one another."""
+    key = hashlib.sha256(repr((width, items)).encode("utf-8", "surrogatepass")).hexdigest()
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Matcher(items, width)
+    return _KEPT[key]
+
+
 def original_spans(text: str, hit: np.ndarray) -> str:
     """Runs of hit words as start:end in code points of the text as it was."""
     if not len(hit):
@@ -89,7 +101,7 @@ def _hits_by_row(numbered: DataFrame, blocks: Iterator[list[tuple[object, str]]]
         sent = numbered.sparkSession.sparkContext.broadcast(block)
 
         def build(sent=sent):
-            match = Matcher(sent.value, width)
+            match = kept_matcher(sent.value, width)
             return lambda texts: [(hit.tolist(), items) for _, hit, items in map(match, texts)]
 
         own = durable(map_texts(numbered, ("__row",), "hit array<long>, items array<string>", build, F.col("__text")).filter(F.size("hit") > 0))
@@ -119,7 +131,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def build():
-            match = Matcher(sent.value, width)
+            match = kept_matcher(sent.value, width)
             return lambda texts: [(n, len(hit), len(items), items, original_spans(t, hit)) for t, (n, hit, items) in zip(texts, map(match, texts))]
 
         return map_texts(docs, keep, "n_words long, n_hit long, n_items long, items array<string>, spans string", build)
@@ -142,7 +154,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: tuple[str, .
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, most: int = AUTOMATON_BYTES) -> DataFrame:
-    """``docs`` with all its columns, less the rows with a word inside an occurrence of a window. No shuffle for one block of benchmark."""
+    """``docs`` with all its columns, less the rows with a word inside an occurrence of a window.
+
+    Null, empty and wordless texts stay; repeated rows stay or go together; very long texts are
+    read whole; an empty table gives no rows, an empty benchmark takes none away. No shuffle
+    for one block of benchmark.
+    """
     blocks = _blocks(benchmark, most)
     block, more = next(blocks), next(blocks, None)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -153,7 +170,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
     named = docs.select(row, whole_text().alias("text"))
 
     def run(batches):
-        match = Matcher(sent.value, width)
+        match = kept_matcher(sent.value, width)
         for b in batches:
             yield b.filter(pa.array([not len(match(text)[1]) for text in b.column(1).to_pylist()], pa.bool_()))
 

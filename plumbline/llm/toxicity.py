@@ -282,7 +282,11 @@ def op10_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` with all its columns, less the rows that the model, fitted on its own labelled rows, rejects."""
+    """``docs`` with all its columns, less the rows that the model, fitted on its own labelled rows, rejects.
+
+    A null text counts as an empty one, which stays; repeated rows stay or go together; very
+    long texts are read whole; an empty table gives no rows. Labels are used to fit the model only.
+    """
     model = fit(docs, labels)
     named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
 

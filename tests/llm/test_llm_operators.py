@@ -90,6 +90,44 @@ def test_many_spans_in_a_long_text():
     assert all(not (a < e and s < b) for (s, k, e), (a, _, b) in zip(spans, spans[1:]) if 3 in (k, _))
 
 
+def test_planted_keys_and_plain_names():
+    rng = random.Random(12)
+    key = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    before = ["auth key: ", "Authorization: Bearer ", "credential = '", "the private one is ", "signing key \"", "session cookie ", "x-webhook-signature: ", "otp seed ", "PWD "]
+    names = ["user", "account", "number", "address", "default", "settings", "release", "version", "document", "response", "request", "service", "config", "value", "order", "group"]
+    prose = "the account settings of the service and the value of the response in this document "
+    scan = secrets.Scanner(identifiers=" ".join(names * 2))
+    found = wrong = 0
+    for _ in range(300):
+        k = key(rng.choice([16, 20, 24, 32, 40, 64]), base62)
+        while not (any(c.isdigit() for c in k) and any(c.isalpha() for c in k)):
+            k = key(24, base62)
+        head = prose + rng.choice(before)
+        found += (len(head), 3, len(head) + len(k)) in scan(head + k + " and so on")[1]
+        plain = rng.choice(["_", "/", "-"]).join(rng.sample(names, rng.randint(3, 5)) + [str(rng.randint(1, 30))])
+        wrong += bool(scan(head + plain + " and so on")[1]) + bool(scan(prose + k + " and so on")[1])
+    assert found >= 294 and wrong <= 30, (found, wrong)  # of 300 keys, and of 600 texts without one
+
+
+def test_novelty_is_the_difference_of_two_compressions():
+    import zstandard
+
+    known = zstandard.ZstdCompressionDict(b"some known words", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    size = lambda x: len(zstandard.ZstdCompressor(level=3, dict_data=known, write_content_size=False, write_checksum=False).compress(x.encode()))
+    measure = secrets.Novelty("some known words")
+    for candidate, around in (("abc123XYZ987qqq", "text around it"), ("some known words", ""), ("x", "x x x")):
+        assert measure(candidate, around) == (size(f"{around} {candidate}") - size(around)) / len(candidate)
+
+
+def test_identifiers_of_all_documents(spark):
+    df = spark.createDataFrame([(i, f"alpha beta_gamma alpha k3y9 word{i} solo{'x' * (i % 40)} {'delta' if i % 2 else ''}") for i in range(60)] + [(None, None)], "doc_id long, text string").repartition(3)
+    assert secrets.common_identifiers(df, held=5).split()[-3:] == ["delta", "beta_gamma", "alpha"]
+    assert secrets.common_identifiers(df.limit(0)) == "" and "alpha" not in secrets.common_identifiers(df, size=3)
+    twice = secrets.scan_secrets(df.unionAll(df).withColumn("spans", F.lit("clash")))
+    assert twice.count() == 122
+
+
 def test_novelty_knows_what_it_has_seen():
     measure = secrets.Novelty()
     key = "q8Zr2Lx9Vb4Nm7Kc1Ty6Wp3"
@@ -111,11 +149,45 @@ def test_licences(spark, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
-@pytest.mark.parametrize(("text", "names", "free"), [("MIT", {"mit"}, True), ("GPL-3.0-only OR MIT", {"gpl", "mit"}, True), ("GPL-3.0-only AND MIT", {"gpl", "mit"}, False), ("(GPL-2.0-only WITH Foo) AND BSD-3-Clause", {"gpl", "bsd"}, True), ("MIT OR", {"mit"}, True), ("AND", None, None)])
+@pytest.mark.parametrize(("text", "names", "free"), [("MIT", {"mit"}, True), ("GPL-3.0-only OR MIT", {"gpl", "mit"}, True), ("GPL-3.0-only AND MIT", {"gpl", "mit"}, False), ("(GPL-2.0-only WITH Foo) AND BSD-3-Clause", None, None), ("(GPL-2.0-only WITH Classpath-exception-2.0) AND BSD-3-Clause", {"gpl", "bsd"}, True), ("GPL-2.0-only WITH made-up", {"gpl"}, False), ("(GPL-2.0-only AND MIT) WITH Classpath-exception-2.0", {"gpl", "mit"}, False), ("MIT.", {"mit"}, True), ("GPL.", {"gpl"}, False), ("NONE", None, None), ("MIT and more", {"mit"}, True), ("LicenseRef-own.v1 OR LGPL-2.1+", {"licenseref-own.v1", "lgpl"}, True), ("MIT\nGPL-2.0", {"mit"}, True), ("MIT OR", {"mit"}, True), ("AND", None, None)])
 def test_expressions(text, names, free):
     assert licenses.expression(text.encode()) == (None if names is None else (names, free))
 
 
+def test_base_places_against_brute_force(spark):
+    rng = random.Random(8)
+    phrases = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
+    vocabulary = "gnu general public license apache cc by mit the é x1".split()
+    texts = ["".join(w.upper() if rng.random() < 0.2 else w for w in [rng.choice(vocabulary) + rng.choice([" ", "-", ",\n", "/", "_"]) for _ in range(rng.randint(0, 60))]) for _ in range(150)] + [None, "", " ", "cc by" * 3]
+    rows = [(i, t, "clash") for i, t in enumerate(texts)]
+    df = spark.createDataFrame([*rows, *rows[:5]], "doc_id long, text string, labels string")
+    got = licenses.scan_licenses(df).collect()
+    assert len(got) == len(rows) + 5
+    for r in got:
+        w = words(texts[r.doc_id] or "")
+        found = [(i, label) for p, label in phrases.items() for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(found), min((i for i, _ in found), default=None), max((i for i, _ in found), default=None))
+        assert r.base_labels == ",".join(sorted({x for _, x in found})) and set(r.base_labels.split(",")) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def test_parser_against_python():
+    rng = random.Random(6)
+    free = {"MIT": True, "Apache-2.0": True, "GPL-2.0-only": False, "MPL-2.0": False}
+
+    def made(depth):
+        if depth == 0 or rng.random() < 0.3:
+            x = rng.choice(list(free))
+            return x, str(free[x])
+        (a, pa), (b, pb) = made(depth - 1), made(depth - 1)
+        op = rng.choice(["AND", "OR", "and"])
+        text, python = f"{a} {op} {b}", f"{pa} {op.lower()} {pb}"
+        return (f"({text})", f"({python})") if rng.random() < 0.5 else (text, python)
+
+    for _ in range(300):
+        text, python = made(4)
+        assert licenses.expression(text.encode())[1] == eval(python), text
+
+
 def test_long_expressions_and_many_tags():
     assert licenses.expression(b"(" * 500 + b"MIT" + b")" * 500 + b" AND BSD-3-Clause" * 300 + b" OR\nGPL-2.0-only") == ({"mit", "bsd"}, True)
     tags = "SPDX-License-Identifier: MIT OR GPL-2.0-only\n" * 20_000
@@ -398,7 +470,20 @@ def test_chats(spark):
     assert (got[1].n_turns, got[1].copies) == (2, 2) and got[7].n_turns == 2
     assert got[1].rendered == "<|im_start|>user\na<|im_end|>\n<|im_start|>bot\nb<|im_end|>\n"
     assert got[6].rendered.count("<|im_end|>") == 1
-    assert chat.format_chats(df.limit(0)).count() == 0
+    assert chat.format_chats(df.limit(0)).count() == 0 and {r.chunk for r in got.values()} == {0}
+
+
+def test_a_very_long_conversation(spark):
+    rng = random.Random(4)
+    long = [(None if i % 2 else 7, i // 2, "user", f"text {rng.randrange(50)}") for i in range(4000)]
+    ties = [(9, 0, "user", "again")] * 500
+    df = spark.createDataFrame([*long, *ties, *[(11, i, r, t) for c, i, r, t in long if c == 7][:900], (12, 0, "user", "again")], "conv_id long, turn long, role string, text string").repartition(6)
+    got = chat.format_chats(df, chunk=1000).collect()
+    assert {(r.conv_id, r.n_turns, r.copies) for r in got} == {(None, 2000, 1), (7, 2000, 1), (9, 500, 1)}
+    for conv in (None, 7, 9):
+        own = sorted((r.chunk, r.rendered) for r in got if r.conv_id == conv)
+        want = [f"<|im_start|>{r}\n{t}<|im_end|>\n" for c, _, r, t in [*long, *ties] if c == conv]
+        assert len(own) > 10 and max(len(x) for _, x in own) < 1100 and "".join(x for _, x in own) == "".join(want)
 
 
 # toxicity and quality
@@ -476,3 +561,57 @@ def test_quality(labelled, empty):
     got = quality.score_quality(docs, labels).collect()
     assert len(got) == 900 and sum(r.kept == bool(truth[r.doc_id]) for r in got) / 900 > 0.97
     assert quality.score_quality(empty, labels).count() == 0
+    again = docs.unionByName(docs.filter("doc_id < 50")).unionByName(docs.limit(0).sparkSession.createDataFrame([(None, None, None, None), (5, "", None, "s0")], docs.schema)).withColumn("site", F.lit("clash"))
+    rows = quality.score_quality(again, labels).collect()
+    assert len(rows) == 952 and all(0 < r.score < 1 for r in rows)
+    assert all(len({r.score for r in rows if r.doc_id == i}) == 1 for i in range(50) if i != 5)
+
+
+def test_quality_posteriors_against_brute_force(spark):
+    rng = random.Random(3)
+    sites = {f"http://{'www.' if i % 2 else ''}h{i}.example.com": rng.random() for i in range(12)}
+    rows, labels = [], []
+    for i in range(600):
+        site = rng.choice(list(sites))
+        good = rng.random() < sites[site]
+        rows.append((i, "plain words of a text " * rng.randint(1, 9) if good or rng.random() < 0.2 else "BAD!!! ###" * rng.randint(1, 20), f"{site}/p{rng.randint(0, 2)}/x?y=1"))
+        labels.append((i, int(good)))
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string, url string").repartition(4), spark.createDataFrame(labels[:400], "doc_id long, quality int")
+    host, path = quality.host_and_path("url")
+    got = {r.doc_id: r for r in quality.score_quality(docs, lab, host, path).collect()}
+    value = {i: float(labels[i][1]) if i < 400 and zlib.crc32(str(i).encode()) % 4 != 2 else got[i].evidence for i in got}
+    place = {i: (u.split("://")[1].removeprefix("www.").split("/")[0], u.split("/")[3]) for i, _, u in rows}
+    by_path, by_site = {}, {}
+    for i, (h, p) in place.items():
+        by_path.setdefault((h, p), []).append(value[i])
+        by_site.setdefault(h, []).append(value[i])
+    mean = sum(value.values()) / len(value)
+    rates = {h: np.mean(v) for h, v in by_site.items()}
+    strength = lambda between: min(1e4, max(2.0, mean * (1 - mean) / max(1e-6, between) - 1))
+    of_sites = strength(np.var(list(rates.values()), ddof=1) - mean * (1 - mean) * np.mean([1 / len(v) for v in by_site.values()]))
+    of_paths = strength(np.mean([(np.mean(v) - rates[h]) ** 2 - rates[h] * (1 - rates[h]) / len(v) for (h, _), v in by_path.items()]))
+    logit = lambda x: np.log(x / (1 - x))
+    for i, r in got.items():
+        h, own = place[i][0], by_path[place[i]]
+        site = (sum(by_site[h]) + of_sites * mean) / (len(by_site[h]) + of_sites)
+        others = (sum(own) - value[i] + of_paths * site) / (len(own) - 1 + of_paths)
+        assert abs(r.site_posterior - site) < 1e-9 and abs(r.path_posterior - others) < 1e-9
+        assert abs(logit(r.score) - (logit(r.evidence) + logit(others) - logit(mean))) < 1e-6
+    held = [i for i in got if zlib.crc32(str(i).encode()) % 4 == 2]
+    auc = lambda f: np.mean([(f(a) > f(b)) + 0.5 * (f(a) == f(b)) for a in held for b in held if labels[a][1] > labels[b][1]])
+    assert auc(lambda i: got[i].score) > auc(lambda i: got[i].evidence) + 0.01
+
+
+def test_filters_take_time_by_their_rows(spark):
+    df = spark.range(300_000).selectExpr("xxhash64(id % 250000) as fp")
+    rows = exact_dedup.repeated_fingerprints(df, blocks=7)
+    assert (rows.count(), rows.filter("n <> 2").count()) == (50_000, 0)
+
+
+def test_pipeline_functions_on_empty_tables(spark, empty):
+    import corpus_pipeline
+
+    narrow = empty.select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, narrow, "/root/testdata/sf0.001")
+        assert out.count() == 0 and (name == "packing" or out.columns == narrow.columns)
