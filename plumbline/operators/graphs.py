@@ -1,8 +1,10 @@
 """Lineage and task graphs as edge tables: closures, paths, cycles, levels, critical paths, slack, overlaps.
 
-Every traversal is a loop of joins on the frontier only; ``settle`` writes each round to the
-checkpoint folder so that a lost executor costs one round, and plans stay short. Loops end
-when the frontier is empty.
+Every traversal is a loop of joins on the frontier only, several hops at a time; ``settle``
+writes each round to the checkpoint folder so that a lost executor costs one round, and plans
+stay short. Loops end when the frontier is empty, at any depth; where only a cycle can keep
+one going, they raise an error. Runs of nodes that are joined one to one are ranked by pointer
+doubling first, so that a chain costs rounds by the logarithm of its length.
 """
 
 from __future__ import annotations
@@ -10,84 +12,204 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from plumbline.functions.values import share
 
+#: Hops of a round, rounds after which what was found is written anew, and rows that a round may send to all tasks.
+HOPS, ROUNDS, FRONT = 3, 16, 200_000
+
 
 def settle(df: DataFrame) -> DataFrame:
-    """The rows in the checkpoint folder that the cluster names; a temporary one only where it names none."""
+    """The rows in the checkpoint folder that the cluster names; one of this machine only where Spark runs on this machine alone."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-graphs-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-graphs-"))
     return df.checkpoint(eager=True)
 
 
-def trace(edges: DataFrame, roots: DataFrame, depth: int = 10, direction: str = "down") -> DataFrame:
-    """``root, node, hop``: what is reached from each root (``root``), with the least number of hops; upstream hops are negative."""
-    a, b, sign = ("src", "dst", 1) if direction == "down" else ("dst", "src", -1)
-    steps = edges.select(F.col(a).alias("__from"), F.col(b).alias("node")).distinct()
-    front = roots.select("root", F.col("root").alias("node"))
-    seen, out = settle(front), None
-    front = seen
-    for hop in range(1, depth + 1):
-        step = front.withColumnRenamed("node", "__from").join(steps, "__from").select("root", "node").distinct()
-        front = settle(step.join(seen, ["root", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        found = front.withColumn("hop", F.lit(sign * hop))
-        out = found if out is None else out.unionByName(found)
-        seen = seen.unionByName(front)
-    return out if out is not None else seen.limit(0).withColumn("hop", F.lit(0))
+def near(df: DataFrame, rows: int) -> DataFrame:
+    """A frontier of a counted number of rows, sent to all tasks if it is small."""
+    return F.broadcast(df) if rows <= FRONT else df
+
+
+def _reach(steps: DataFrame, front: DataFrame, depth: int | None) -> DataFrame:
+    """``by..., node, hop``: what ``steps(by..., __from, node)`` reach from ``front(by..., root, node)``, with the least number of hops."""
+    by = [c for c in steps.columns if c not in ("__from", "node")]
+    key = [*by, "root", "node"]
+    seen = settle(front.distinct().withColumn("hop", F.lit(0)))
+    front, done, rounds = seen, 0, 0
+    while (rows := front.count()) and (depth is None or done < depth):
+        hops = HOPS if depth is None else min(HOPS, depth - done)
+        now, layers = near(front.select(key), rows), []
+        for k in range(1, hops + 1):
+            now = now.withColumnRenamed("node", "__from").join(steps, [*by, "__from"]).select(key).distinct()
+            layers.append(now.withColumn("hop", F.lit(done + k)))
+        found = layers[0]
+        for layer in layers[1:]:
+            found = found.unionByName(layer)
+        if len(layers) > 1:
+            found = found.groupBy(key).agg(F.min("hop").alias("hop"))
+        found = settle(found.join(seen, key, "left_anti"))
+        done, rounds = done + hops, rounds + 1
+        seen, front = seen.unionByName(found), found.filter(F.col("hop") == done)
+        if rounds % ROUNDS == 0:
+            seen = settle(seen)
+    return seen.filter("hop > 0")
+
+
+def trace(edges: DataFrame, roots: DataFrame, depth: int | None = 10, direction: str = "down") -> DataFrame:
+    """``root, node, hop``: what is reached from each root (``root``), with the least number of hops; upstream hops are negative.
+
+    ``direction`` is down, up or both; ``depth`` None goes as far as there are edges.
+    """
+    e = edges.select("src", "dst").distinct()
+    down, up = e.select(F.lit(1).alias("sign"), F.col("src").alias("__from"), F.col("dst").alias("node")), e.select(F.lit(-1).alias("sign"), F.col("dst").alias("__from"), F.col("src").alias("node"))
+    steps, signs = {"down": (down, [1]), "up": (up, [-1]), "both": (down.unionByName(up), [1, -1])}[direction]
+    front = roots.select(F.explode(F.array(*map(F.lit, signs))).alias("sign"), "root", F.col("root").alias("node"))
+    return _reach(settle(steps), front, depth).select("root", "node", (F.col("sign") * F.col("hop")).cast("int").alias("hop"))
+
 
+def both_ways(edges: DataFrame, roots: DataFrame, depth: int | None = 10) -> DataFrame:
+    return trace(edges, roots, depth, "both")
 
-def both_ways(edges: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
-    return trace(edges, roots, depth).unionByName(trace(edges, roots, depth, "up"))
 
+def closure(edges: DataFrame) -> DataFrame:
+    """``src, dst``: all pairs joined by a path, by doubling: the number of rounds is the logarithm of the longest path.
 
-def closure(edges: DataFrame, depth: int = 60) -> DataFrame:
-    """``src, dst``: all pairs joined by a path, by doubling: the number of rounds is the logarithm of the longest path."""
+    Its size is that of the answer; for large graphs it is meant for those of many small parts.
+    """
     now = settle(edges.select("src", "dst").distinct())
-    n = now.count()
-    for _ in range(depth):
+    n = -1
+    while (m := now.count()) != n:
+        n = m
         two = now.alias("x").join(now.alias("y"), F.col("x.dst") == F.col("y.src")).select(F.col("x.src").alias("src"), F.col("y.dst").alias("dst"))
         now = settle(now.unionByName(two).distinct())
-        if (m := now.count()) == n:
-            break
-        n = m
     return now
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, depth: int = 60) -> DataFrame:
+def chain_runs(edges: DataFrame, lengths: DataFrame | None = None, keep: Sequence[str] | DataFrame = ()) -> tuple[DataFrame, DataFrame | None, bool]:
+    """``(edges, runs, rings)``: distinct ``src, dst, link``; ``node, head, hops, length`` of nodes inside of runs; is there a ring?
+
+    An edge is a link if its source has no other way out and its target no other way in
+    (targets in ``keep`` are not). A run's nodes after its head are ranked by pointer doubling;
+    ``length`` sums ``lengths(node, duration)`` of the nodes after the head. Nodes of rings, which
+    have no head, have a null one. ``runs`` is None without links.
+    """
+    e = edges.select("src", "dst").distinct()
+    kept = keep if isinstance(keep, DataFrame) else e.sparkSession.createDataFrame([(k,) for k in keep], "node string")
+    kept = kept.select(F.col("node").alias("dst"), F.lit(True).alias("__keep"))
+    outs = e.groupBy("src").agg(F.count(F.lit(1)).alias("__outs"))
+    ins = e.groupBy("dst").agg(F.count(F.lit(1)).alias("__ins"))
+    link = (F.col("__outs") == 1) & (F.col("__ins") == 1) & F.col("__keep").isNull() & (F.col("src") != F.col("dst"))
+    e = settle(e.join(outs, "src").join(ins, "dst").join(kept, "dst", "left").select("src", "dst", link.alias("link")))
+    links = e.filter("link")
+    n = links.count()
+    if not n:
+        return e, None, False
+    own = links.select(F.col("dst").alias("node"), F.col("src").alias("to"), F.lit(1).alias("hops"))
+    own = own.join(lengths.select("node", F.col("duration").cast("double").alias("length")), "node", "left") if lengths is not None else own.withColumn("length", F.lit(0.0))
+    now = settle(own.select("node", "to", "hops", F.coalesce("length", F.lit(0.0)).alias("length")))
+    heads = links.select(F.col("src").alias("to")).join(links.select(F.col("dst").alias("to")), "to", "left_anti")
+    reach = 1
+    while (left := now.join(heads, "to", "left_anti").count()) and reach <= n:
+        nxt = now.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("hops").alias("hops2"), F.col("length").alias("length2"))
+        hops, length = F.col("hops") + F.coalesce("hops2", F.lit(0)), F.col("length") + F.coalesce("length2", F.lit(0.0))
+        now = settle(now.join(nxt, "to", "left").select("node", F.coalesce("to2", "to").alias("to"), hops.alias("hops"), length.alias("length")))
+        reach *= 2
+    runs = now.join(heads.withColumnRenamed("to", "__head"), F.col("to") == F.col("__head"), "left").select("node", F.col("__head").alias("head"), "hops", "length")
+    return e, settle(runs), bool(left)
+
+
+def contracted(e: DataFrame, runs: DataFrame | None, trails: bool = False) -> DataFrame:
+    """``src, dst, hops, length``: edges that are no links, from the head of a run, with what stands between; and its names, on demand.
+
+    A run is left at its last node only, so that ``trail`` has its nodes after the head, joined by '>', and the target.
+    """
+    names = [F.col("dst").alias("trail")] if trails else []
+    if runs is None:
+        return e.select("src", "dst", F.lit(1).alias("hops"), F.lit(0.0).alias("length"), *names)
+    x = e.filter("not link").join(runs, F.col("src") == F.col("node"), "left")
+    if trails:
+        x = x.join(run_names(runs), "head", "left")
+        names = [F.concat_ws(">", "names", "dst").alias("trail")]
+    return x.select(F.coalesce("head", "src").alias("src"), "dst", (1 + F.coalesce("hops", F.lit(0))).alias("hops"), F.coalesce("length", F.lit(0.0)).alias("length"), *names)
+
+
+def run_names(runs: DataFrame) -> DataFrame:
+    """``head, names``: the nodes of a run after its head, joined by '>'."""
+    return runs.filter("head is not null").groupBy("head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hops", "node"))), lambda x: x["node"]), ">").alias("names"))
+
+
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     """``path, hops`` from start to goal, else from goal to start; of equal lengths the first by names. No row if there is none."""
+    spark = edges.sparkSession
+    e, runs, _ = chain_runs(edges, keep=(start, goal))
+    steps = settle(contracted(e, runs, trails=True).select(F.col("src").alias("__from"), F.col("dst").alias("to"), F.col("hops").alias("more"), "trail"))
     for a, b in ((start, goal), (goal, start)):
-        front = edges.sparkSession.createDataFrame([(a, a)], "node string, path string")
-        seen = front.select("node")
-        for hop in range(1, depth + 1):
-            step = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat_ws(">", "path", "dst")).alias("path"))
-            front = settle(step.join(seen, "node", "left_anti"))
-            if front.isEmpty():
-                break
-            hit = front.filter(F.col("node") == b)
-            if not hit.isEmpty():
-                return hit.select("path", F.lit(hop).alias("hops"))
-            seen = seen.unionByName(front.select("node"))
-    return edges.sparkSession.createDataFrame([], "path string, hops int")
-
-
-def core_of_cycles(edges: DataFrame, rounds: int = 200) -> DataFrame:
+        best = settle(spark.createDataFrame([(a, 0, a)], "node string, hops int, path string"))
+        front, rows = best, 1
+        while rows:
+            step = near(front, rows).join(steps, F.col("node") == F.col("__from")).select(F.col("to").alias("node"), F.struct((F.col("hops") + F.col("more")).alias("hops"), F.concat_ws(">", "path", "trail").alias("path")).alias("r"))
+            step = step.groupBy("node").agg(F.min("r").alias("r")).select("node", "r.*")
+            known = best.select("node", F.struct("hops", "path").alias("__known"))
+            front = settle(step.join(known, "node", "left").filter("__known is null or struct(hops, path) < __known").select("node", "hops", "path"))
+            rows = front.count()
+            if rows:
+                best = settle(best.unionByName(front).groupBy("node").agg(F.min(F.struct("hops", "path")).alias("r")).select("node", "r.*"))
+                found = best.filter(F.col("node") == b).first()
+                front = front if found is None else front.filter(F.col("hops") < found.hops)
+                rows = rows if found is None else front.count()
+        hit = best.filter(F.col("node") == b)
+        if not hit.isEmpty():
+            return hit.select("path", "hops")
+    return spark.createDataFrame([], "path string, hops int")
+
+
+def core_of_cycles(edges: DataFrame) -> DataFrame:
     """``src, dst``: edges in cycles or between them; what has no way in or no way out is peeled off until nothing is."""
-    now = settle(edges.select("src", "dst").distinct())
-    n = now.count()
-    for _ in range(rounds):
-        kept = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        now = settle(kept)
-        if (m := now.count()) == n:
-            break
+    e, runs, _ = chain_runs(edges)
+    inner = contracted(e, runs).select("src", "dst").distinct()
+    now, n = settle(inner), -1
+    while (m := now.count()) != n:
         n = m
-    return now
+        for _ in range(HOPS):
+            now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        now = settle(now)
+    if runs is None:
+        return now
+    named = e.join(runs.select(F.col("node").alias("__node"), "head"), F.when(F.col("link"), F.col("dst")).otherwise(F.col("src")) == F.col("__node"), "left")
+    named = named.withColumn("a", F.coalesce("head", "src"))
+    ring = named.filter("link and __node is not null and head is null").select("src", "dst")
+    whole = named.filter("not link").join(now.withColumnRenamed("src", "a"), ["a", "dst"], "left_semi").select("src", "dst")
+    inside = named.filter("link and head is not null").join(now.select(F.col("src").alias("a")).distinct(), "a", "left_semi").select("src", "dst")
+    return whole.unionByName(inside).unionByName(ring)
+
+
+def cycle_samples(edges: DataFrame, most: int = 5, longest: int = 50) -> DataFrame:
+    """``cycle``: at most ``most`` cycles as 'a>b>a', each from its first name: the shortest ones through the first edges of the core.
+
+    A report of a few samples: cycles of more than ``longest`` edges are not looked for.
+    """
+    core = settle(core_of_cycles(edges))
+    front = settle(core.orderBy("src", "dst").limit(most).select(F.concat_ws(">", "src", "dst").alias("root"), F.col("src").alias("goal"), F.col("dst").alias("node"), F.concat_ws(">", "src", "dst").alias("path")))
+    seen, found = front.select("root", "node"), front.filter("node = goal").select("root", "path")
+    for _ in range(longest - 1):
+        front = front.join(found.select("root"), "root", "left_anti").filter("node <> goal")
+        step = front.join(core, F.col("node") == F.col("src")).groupBy("root", "goal", F.col("dst").alias("node")).agg(F.min(F.concat_ws(">", "path", "dst")).alias("path"))
+        front = settle(step.join(seen, ["root", "node"], "left_anti"))
+        if front.isEmpty():
+            break
+        seen, found = seen.unionByName(front.select("root", "node")), found.unionByName(front.filter("node = goal").select("root", "path"))
+    nodes = F.slice(F.split("path", ">"), 1, F.size(F.split("path", ">")) - 1)
+    at = F.array_position(nodes, F.array_min(nodes)).cast("int")
+    turned = F.concat(F.slice(nodes, at, F.size(nodes)), F.slice(nodes, F.lit(1), at - 1), F.slice(nodes, at, F.lit(1)))
+    return found.select(F.array_join(turned, ">").alias("cycle")).distinct()
 
 
 def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -162,6 +284,24 @@ def duplicate_pipelines(edges: DataFrame) -> DataFrame:
     return sets.groupBy("sources").agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("targets"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def overlapping_pipelines(edges: DataFrame, least: float = 0.6) -> DataFrame:
+    """``a, b, shared, jaccard, kind``: pairs of targets whose sources overlap: equal, subset (all of a's are b's), superset, or overlap of ``least`` or more.
+
+    Two sets of that similarity share one of the first ``n - ceil(least * n) + 1`` sources of
+    each, the rarest first, and a subset shares its rarest: only these are joined.
+    """
+    e = edges.select("src", "dst").distinct()
+    df = e.groupBy("src").agg(F.count(F.lit(1)).alias("df"))
+    ranked = e.join(df, "src").groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("df", "src"))).alias("s"))
+    sets = settle(ranked.select("dst", F.col("s.src").alias("src"), F.size("s").alias("n")))
+    head = sets.select("dst", F.explode(F.slice("src", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("k"))
+    met = head.join(e.select(F.col("src").alias("k"), F.col("dst").alias("other")), "k").filter("dst <> other").select(F.least("dst", "other").alias("a"), F.greatest("dst", "other").alias("b")).distinct()
+    both = met.join(sets.toDF("a", "sa", "na"), "a").join(sets.toDF("b", "sb", "nb"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
+    union = F.col("na") + F.col("nb") - F.col("shared")
+    kind = F.when((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb")), "equal").when(F.col("shared") == F.col("na"), "subset").when(F.col("shared") == F.col("nb"), "superset").when(F.col("shared") >= least * union, "overlap")
+    return both.select("a", "b", "shared", share(F.col("shared"), union).alias("jaccard"), kind.alias("kind")).filter("kind is not null")
+
+
 def dictionary(edges: DataFrame, ranks: DataFrame) -> DataFrame:
     """``node, layer, ins, outs`` of every node of a layer table."""
     return health(ranks.select("node"), edges.select("src", "dst").distinct()).select("node", "ins", "outs").join(ranks, "node")
@@ -179,31 +319,61 @@ def from_meta(meta: DataFrame, partition: str) -> DataFrame:
     return meta.filter(F.col(partition) == F.lit(newest)).select(F.explode(items).alias("src"), F.col("target").alias("dst")).filter("src <> ''").distinct()
 
 
-def levels(edges: DataFrame, nodes: DataFrame, rounds: int = 500) -> DataFrame:
-    """``node, level``: the longest path to each node, by relaxation of what rose in the round before; for graphs without cycles."""
-    now = settle(nodes.select("node", F.lit(0).alias("level")))
-    front = now
-    for _ in range(rounds):
-        rise = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg((F.max("level") + 1).alias("l"))
-        front = settle(rise.join(now, "node").filter("l > level").select("node", F.col("l").alias("level")))
-        if front.isEmpty():
-            return now
-        now = settle(now.join(front.withColumnRenamed("level", "l"), "node", "left").select("node", F.coalesce("l", "level").alias("level")))
-    raise ValueError("the graph has a cycle")
-
-
-def critical_path(edges: DataFrame, durations: DataFrame, rounds: int = 500) -> DataFrame:
-    """``node, finish, path`` of the longest path by ``node, duration``; of equal lengths the first path by names."""
-    now = settle(durations.select("node", "duration", F.col("duration").alias("finish"), F.col("node").alias("path")))
-    front = now
-    for _ in range(rounds):
-        best = front.join(edges, front.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max("finish").alias("f"), F.min_by("path", F.struct(-F.col("finish"), F.col("path"))).alias("p"))
-        better = best.join(now, "node").filter("f + duration > finish or (f + duration = finish and concat(p, '>', node) < path and contains(path, '>'))")
-        front = settle(better.select("node", "duration", (F.col("f") + F.col("duration")).alias("finish"), F.concat_ws(">", "p", "node").alias("path")))
-        if front.isEmpty():
-            return now.orderBy(F.desc("finish"), "path").limit(1).select("node", "finish", "path")
-        now = settle(now.join(front.select("node", F.col("finish").alias("f2"), F.col("path").alias("p2")), "node", "left").select("node", "duration", F.coalesce("f2", "finish").alias("finish"), F.coalesce("p2", "path").alias("path")))
-    raise ValueError("the graph has a cycle")
+def walks(steps: DataFrame, start: DataFrame, most: int, better: Column, value: Column, tags: Sequence[str] = ()) -> DataFrame:
+    """``node, tags..., v``: the best value over all walks from ``start(node, tags..., v)`` by ``steps(__from, to, more)``; ``better`` picks it, ``value`` moves it on.
+
+    Each round goes one edge further from all that the round before reached, so that it ends
+    after the longest walk, or never if there is a cycle: then after ``most`` rounds it raises.
+    """
+    key = ["node", *tags]
+    best, rounds = settle(start.select(*key, "v")), 0
+    steps = settle(steps)
+    front = best
+    while rows := front.count():
+        rounds += 1
+        if rounds > most + 1:
+            raise ValueError("the graph has a cycle")
+        moved = near(front, rows).join(steps, F.col("node") == F.col("__from")).select(F.col("to").alias("node"), *tags, value.alias("v"))
+        front = settle(moved.groupBy(key).agg(better.alias("v")))
+        best = best.unionByName(front)
+        if rounds % ROUNDS == 0:
+            best = settle(best.groupBy(key).agg(better.alias("v")))
+    return best.groupBy(key).agg(better.alias("v"))
+
+
+def _acyclic(edges: DataFrame, durations: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    e, runs, rings = chain_runs(edges, durations)
+    if rings:
+        raise ValueError("the graph has a cycle")
+    return e, runs
+
+
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, level``: the longest path to each node, for graphs without cycles (else an error)."""
+    e, runs = _acyclic(edges)
+    steps = contracted(e, runs).groupBy(F.col("src").alias("__from"), F.col("dst").alias("to")).agg(F.max("hops").alias("more"))
+    start = nodes.select("node", F.lit(0).alias("v")) if runs is None else nodes.select("node", F.lit(0).alias("v")).join(runs.select("node"), "node", "left_anti")
+    found = settle(walks(steps, start, nodes.count(), F.max("v"), F.col("v") + F.col("more")))
+    if runs is not None:
+        inner = runs.join(found.withColumnRenamed("node", "head"), "head").select("node", (F.col("v") + F.col("hops")).alias("v"))
+        found = found.unionByName(inner)
+    return nodes.select("node").join(found, "node").select("node", F.col("v").cast("int").alias("level"))
+
+
+def critical_path(edges: DataFrame, durations: DataFrame) -> DataFrame:
+    """``node, finish, path`` of the longest path by ``node, duration``; of equal lengths the first path by names. Durations are not negative."""
+    e, runs = _acyclic(edges, durations)
+    own = durations.select(F.col("node").alias("to"), "duration")
+    steps = contracted(e, runs, trails=True).withColumnsRenamed({"src": "__from", "dst": "to"}).join(own, "to").select("__from", "to", (F.col("length") + F.col("duration")).alias("more"), "trail")
+    start = durations.select("node", F.struct((-F.col("duration")).alias("f"), F.col("node").alias("path")).alias("v"))
+    start = start if runs is None else start.join(runs.select("node"), "node", "left_anti")
+    further = F.struct((F.col("v.f") - F.col("more")).alias("f"), F.concat_ws(">", "v.path", "trail").alias("path"))
+    found = settle(walks(steps, start, durations.count(), F.min("v"), further))
+    if runs is not None:
+        ends = runs.groupBy("head").agg(F.max("length").alias("length"), F.max_by("node", "hops").alias("node")).join(run_names(runs), "head")
+        inner = ends.join(found.withColumnRenamed("node", "head"), "head").select("node", F.struct((F.col("v.f") - F.col("length")).alias("f"), F.concat_ws(">", "v.path", "names").alias("path")).alias("v"))
+        found = found.unionByName(inner)
+    return found.orderBy("v.f", "v.path").limit(1).select("node", (-F.col("v.f")).alias("finish"), F.col("v.path").alias("path"))
 
 
 def redundant(edges: DataFrame) -> DataFrame:
@@ -215,46 +385,54 @@ def redundant(edges: DataFrame) -> DataFrame:
 
 def chains(edges: DataFrame, least: int = 3) -> DataFrame:
     """``head, nodes``: runs of nodes joined one to one, with at least three nodes."""
-    e = edges.select("src", "dst").distinct()
-    one_out = e.groupBy("src").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("src")
-    one_in = e.groupBy("dst").agg(F.count(F.lit(1)).alias("n")).filter("n = 1").select("dst")
-    links = settle(e.join(one_out, "src").join(one_in, "dst").select("src", "dst"))
-    heads = links.select(F.col("src").alias("root")).join(links.select(F.col("dst").alias("root")), "root", "left_anti")
-    run = trace(links, heads, 10_000)
-    return run.groupBy(F.col("root").alias("head")).agg((F.count(F.lit(1)) + 1).alias("nodes")).filter(F.col("nodes") >= least)
+    _, runs, _ = chain_runs(edges)
+    if runs is None:
+        return edges.select(F.col("src").alias("head"), F.lit(0).cast("long").alias("nodes")).limit(0)
+    return runs.filter("head is not null").groupBy("head").agg((F.count(F.lit(1)) + 1).alias("nodes")).filter(F.col("nodes") >= least)
 
 
 def rerun_plan(edges: DataFrame, states: DataFrame) -> DataFrame:
     """``node, reason, origins``: failed tasks and all that runs after them; successes among these are stale."""
     failed = states.filter("state = 'failed'").select(F.col("node").alias("root"))
-    down = trace(edges, failed, 1000).groupBy("node").agg(F.count_distinct("root").alias("origins"))
+    down = trace(edges, failed, None).groupBy("node").agg(F.count_distinct("root").alias("origins"))
     x = states.join(down, "node", "left").join(failed.select(F.col("root").alias("node"), F.lit(True).alias("f")), "node", "left")
     reason = F.when(F.col("f"), "failed").when(F.col("origins").isNotNull() & (F.col("state") == "success"), "stale").when(F.col("origins").isNotNull(), "downstream")
     return x.select("node", reason.alias("reason"), F.coalesce("origins", F.lit(0)).alias("origins")).filter("reason is not null")
 
 
-def schedule(edges: DataFrame, durations: DataFrame, goal: str, deadline: float, rounds: int = 500) -> DataFrame:
+def schedule(edges: DataFrame, durations: DataFrame, goal: str, deadline: float) -> DataFrame:
     """``node, start, finish, slack``: earliest times, and for what runs before the goal how late it may finish."""
-    now = settle(durations.select("node", "duration", F.lit(0.0).alias("start")))
-    for _ in range(rounds):
-        ready = now.join(edges, now.node == edges.src).groupBy(F.col("dst").alias("node")).agg(F.max(F.col("start") + F.col("duration")).alias("s"))
-        nxt = settle(now.join(ready, "node", "left").select("node", "duration", F.coalesce("s", F.lit(0.0)).alias("start2"), "start"))
-        moved = not nxt.filter("start2 <> start").isEmpty()
-        now = nxt.select("node", "duration", F.col("start2").alias("start"))
-        if not moved:
-            break
-    late = settle(edges.sparkSession.createDataFrame([(goal, float(deadline))], "node string, latest double"))
-    front = late
-    for _ in range(rounds):
-        own = front.join(durations, "node").select("node", (F.col("latest") - F.col("duration")).alias("must_start"))
-        need = own.join(edges, own.node == edges.dst).groupBy(F.col("src").alias("node")).agg(F.min("must_start").alias("l"))
-        front = settle(need.join(late, "node", "left").filter("latest is null or l < latest").select("node", F.col("l").alias("latest")))
-        if front.isEmpty():
-            break
-        late = settle(late.unionByName(front).groupBy("node").agg(F.min("latest").alias("latest")))
+    e, runs = _acyclic(edges, durations)
+    base, n = contracted(e, runs), durations.count()
+    own = durations.select("node", "duration")
+    first = own if runs is None else own.join(runs.select("node"), "node", "left_anti")
+    steps = base.join(own.withColumnRenamed("node", "src"), "src").select(F.col("src").alias("__from"), F.col("dst").alias("to"), (F.col("duration") + F.col("length")).alias("more"))
+    early = settle(walks(steps, first.select("node", F.lit(0.0).alias("v")), n, F.max("v"), F.col("v") + F.col("more")))
+    if runs is not None:  # a node of a run starts when the head has finished and what stands between
+        after = runs.join(early.withColumnRenamed("node", "head"), "head").join(own.select(F.col("node").alias("head"), F.col("duration").alias("d0")), "head").join(own, "node")
+        early = early.unionByName(after.select("node", (F.col("v") + F.col("d0") + F.col("length") - F.col("duration")).alias("v")))
+    whole = e.select("src", "dst").join(own.select(F.col("node").alias("dst"), "duration"), "dst").select(F.col("dst").alias("__from"), F.col("src").alias("to"), F.col("duration").alias("more"))
+    last = edges.sparkSession.createDataFrame([(goal, float(deadline))], "node string, v double")
+    late = settle(walks(whole, last, n, F.min("v"), F.col("v") - F.col("more"))).withColumnRenamed("v", "latest")
+    now = early.join(own, "node").withColumnRenamed("v", "start")
     return now.join(late, "node", "left").select("node", "start", (F.col("start") + F.col("duration")).alias("finish"), (F.col("latest") - F.col("start") - F.col("duration")).alias("slack"))
 
 
+def follow(pointers: DataFrame, start: str) -> DataFrame:
+    """``step, node``: from the start along ``node, to`` (one row a node) to its end, by doubling: rounds by the logarithm of its length."""
+    jump = settle(pointers.select("node", "to").filter("to is not null"))
+    path, reach, n = settle(pointers.sparkSession.createDataFrame([(0, start)], "step long, node string")), 1, jump.count()
+    while True:
+        further = path.join(jump, "node").select((F.col("step") + reach).alias("step"), F.col("to").alias("node"))
+        now = settle(path.unionByName(further))
+        if now.count() < 2 * path.count():
+            return now
+        path, reach = now, 2 * reach
+        if reach > 2 * n + 2:
+            raise ValueError("the graph has a cycle")
+        jump = settle(jump.alias("x").join(jump.alias("y"), F.col("x.to") == F.col("y.node")).select("x.node", "y.to"))
+
+
 def peak_parallel(intervals: DataFrame, by: Sequence[str], start: str = "start", finish: str = "finish", weight: str | None = None) -> DataFrame:
     """``by, peak``: the most (or heaviest) intervals that run at once; finishes count before starts."""
     w = F.col(weight) if weight else F.lit(1)
@@ -273,7 +451,7 @@ def write_overlaps(runs: DataFrame) -> DataFrame:
 
 def rollback_levels(edges: DataFrame, nodes: DataFrame, root: str, durations: DataFrame) -> DataFrame:
     """``level, tasks, slowest``: what must run again after a rollback of a node, in topological levels, with the slowest task of each."""
-    hit = trace(edges, edges.sparkSession.createDataFrame([(root,)], "root string"), 1000).select("node").unionByName(edges.sparkSession.createDataFrame([(root,)], "node string"))
+    hit = trace(edges, edges.sparkSession.createDataFrame([(root,)], "root string"), None).select("node").unionByName(edges.sparkSession.createDataFrame([(root,)], "node string"))
     inner = edges.join(hit.select(F.col("node").alias("src")), "src", "left_semi").join(hit.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
     lv = levels(inner, hit)
     return lv.join(durations, "node").groupBy("level").agg(F.count(F.lit(1)).alias("tasks"), F.max("duration").alias("slowest"))

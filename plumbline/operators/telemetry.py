@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from plumbline.functions.values import nearest_rank, share
 
+from . import graphs as G
 from .windows import out_of_order
 
 HOUR = 3600
@@ -146,16 +147,21 @@ def missing_slots(updates: DataFrame, by: str, day: Column, start: str, end: str
     return spine.join(have, [by, "day"], "left_anti")
 
 
-def cascade(missing: DataFrame, edges: DataFrame, depth: int = 20) -> DataFrame:
-    """``node, day, hop``: what must run again downstream of missing days (``node, day``), with the largest number of hops: batches in order."""
-    front = missing.select("node", "day", F.lit(0).alias("hop"))
-    out = front
-    for hop in range(1, depth + 1):
-        front = front.join(edges, front.node == edges.src).select(F.col("dst").alias("node"), "day", F.lit(hop).alias("hop")).distinct()
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
-    return out.groupBy("node", "day").agg(F.max("hop").alias("hop"))
+def cascade(missing: DataFrame, edges: DataFrame) -> DataFrame:
+    """``node, day, hop``: what must run again downstream of missing days (``node, day``), with the largest number of hops: batches in order.
+
+    At any depth; a graph with a cycle is an error.
+    """
+    asked = missing.select("node", "day").distinct()
+    e, runs, rings = G.chain_runs(edges, keep=asked.select("node").distinct())
+    if rings:
+        raise ValueError("the graph has a cycle")
+    steps = G.contracted(e, runs).groupBy(F.col("src").alias("__from"), F.col("dst").alias("to")).agg(F.max("hops").alias("more"))
+    found = G.walks(steps, asked.withColumn("v", F.lit(0)), e.count() + 1, F.max("v"), F.col("v") + F.col("more"), ["day"])
+    if runs is not None:
+        inner = runs.select(F.col("node").alias("inner"), F.col("head").alias("node"), "hops")
+        found = found.unionByName(found.join(inner, "node").select(F.col("inner").alias("node"), "day", (F.col("v") + F.col("hops")).alias("v")))
+    return found.select("node", "day", F.col("v").cast("int").alias("hop"))
 
 
 def sla_board(runs: DataFrame) -> DataFrame:
@@ -169,20 +175,13 @@ def sla_board(runs: DataFrame) -> DataFrame:
     return g.join(q, "task", "left").join(s, "task", "left").withColumn("attainment", 1 - share(F.col("misses"), F.col("runs")))
 
 
-def critical_run(tasks: DataFrame, goal: str, depth: int = 200) -> DataFrame:
+def critical_run(tasks: DataFrame, goal: str) -> DataFrame:
     """``step, task, start, finish, wait``: from the goal back through the dependency that finished last (``task, start, finish, deps``)."""
     deps = tasks.select("task", F.explode("deps").alias("dep")).join(tasks.select(F.col("task").alias("dep"), F.col("finish").alias("f")), "dep")
-    blocker = deps.groupBy("task").agg(F.max_by("dep", F.struct("f", "dep")).alias("dep"), F.max("f").alias("f"))
-    now, rows = goal, []
-    for step in range(depth):  # one task a step
-        r = tasks.filter(F.col("task") == now).join(blocker, "task", "left").select("task", "start", "finish", "dep", "f").first()
-        if r is None:
-            break
-        rows.append((step, r.task, r.start, r.finish, None if r.f is None else r.start - r.f))
-        if r.dep is None:
-            break
-        now = r.dep
-    return tasks.sparkSession.createDataFrame(rows, "step int, task string, start long, finish long, wait long")
+    blocker = G.settle(deps.groupBy("task").agg(F.max_by("dep", F.struct("f", "dep")).alias("dep"), F.max("f").alias("f")))
+    path = G.follow(blocker.select(F.col("task").alias("node"), F.col("dep").alias("to")), goal)
+    run = path.select("step", F.col("node").alias("task")).join(tasks.select("task", "start", "finish"), "task").join(blocker.select("task", "f"), "task", "left")
+    return run.select(F.col("step").cast("int").alias("step"), "task", "start", "finish", (F.col("start") - F.col("f")).alias("wait"))
 
 
 def signature(x: Column, noise: str = r"[\d/:\\.\-_=']+", most: int = 70) -> Column:

@@ -1,64 +1,72 @@
-"""Queries of lineage and task graphs, over a graph of forty nodes that lineitem's part and supplier keys draw."""
+"""Queries of lineage and task graphs: lineage drawn by the keys of the sales tables, and a task graph for each customer's orders."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.operators import graphs as G
 from plumbline.sources import tables as S
 
-from .inputs import EDGES, edges
+from .inputs import EDGES, NODES, TASKS, deps, edges, name, nodes, tasks
 from .registry import query
 
-NODES = "nodes AS (SELECT DISTINCT 't' || l_partkey % 40 AS node FROM lineitem UNION SELECT 'lone' || l_returnflag FROM lineitem)"
-NUM = "CAST(substr({}, 2) AS BIGINT)"
-DUR = "dur AS (SELECT node, CAST(CAST(substr(node, 2) AS BIGINT) * 7 % 11 + 1 AS DOUBLE) AS duration FROM nodes WHERE node LIKE 't%')"
+NUM = "CAST(regexp_replace({}, '^[a-z]+', '') AS BIGINT)"
 DOWN = "t(node, hop) AS (SELECT '{root}', 0 UNION SELECT dst, hop + 1 FROM t JOIN edges ON src = node WHERE hop < {depth})"
-
-
-def nodes(spark, d):
-    li = S.table(spark, d, "lineitem")
-    return li.select(F.concat(F.lit("t"), (F.col("l_partkey") % 40).cast("string")).alias("node")).distinct().unionByName(li.select(F.concat(F.lit("lone"), "l_returnflag").alias("node")).distinct())
+REAL = "node NOT LIKE 'lone%'"
 
 
 def number(c="node"):
-    return F.substring(F.col(c), 2, 9).cast("long")
+    return F.regexp_replace(F.col(c), "^[a-z]+", "").cast("long")
 
 
-def durations(spark, d):
-    return nodes(spark, d).filter("node like 't%'").select("node", (number() * 7 % 11 + 1).cast("double").alias("duration"))
+def real(spark, d):
+    return nodes(spark, d).filter("node not like 'lone%'")
 
 
 def roots(spark, *names):
     return spark.createDataFrame([(n,) for n in names], "root string")
 
 
-@query("ln_trace", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='t5', depth=10)} SELECT 't5' AS root, node, CAST(min(hop) AS INTEGER) AS hop FROM t WHERE hop > 0 GROUP BY node UNION ALL SELECT * FROM (WITH RECURSIVE u(node, hop) AS (SELECT 't5', 0 UNION SELECT src, hop + 1 FROM u JOIN edges ON dst = node WHERE hop < 10) SELECT 't5', node, CAST(-min(hop) AS INTEGER) FROM u WHERE hop > 0 GROUP BY node)")
+@query("ln_trace", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='s5', depth=10)} SELECT 's5' AS root, node, CAST(min(hop) AS INTEGER) AS hop FROM t WHERE hop > 0 GROUP BY node UNION ALL SELECT * FROM (WITH RECURSIVE u(node, hop) AS (SELECT 's5', 0 UNION SELECT src, hop + 1 FROM u JOIN edges ON dst = node WHERE hop < 10) SELECT 's5', node, CAST(-min(hop) AS INTEGER) FROM u WHERE hop > 0 GROUP BY node)")
 def ln_trace(spark, d):
-    return G.both_ways(edges(spark, d), roots(spark, "t5"))
+    return G.both_ways(edges(spark, d), roots(spark, "s5"))
 
 
-@query("ln_column_impact", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='t0', depth=5)} SELECT 't0' AS root, node, CAST(min(hop) AS INTEGER) AS hop FROM t WHERE hop > 0 GROUP BY node")
+@query("ln_column_impact", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='p7', depth=5)} SELECT 'p7' AS root, node, CAST(min(hop) AS INTEGER) AS hop FROM t WHERE hop > 0 GROUP BY node")
 def ln_column_impact(spark, d):
-    return G.trace(edges(spark, d), roots(spark, "t0"), 5)
+    return G.trace(edges(spark, d), roots(spark, "p7"), 5)
 
 
-@query("ln_path", f"WITH RECURSIVE {EDGES}, p(node, path, hops) AS (SELECT 't2', 't2', 0 UNION ALL SELECT dst, min(path || '>' || dst), hops + 1 FROM p JOIN edges ON src = node WHERE hops < 8 GROUP BY dst, hops) SELECT path, CAST(hops AS INTEGER) AS hops FROM p WHERE node = 't17' ORDER BY hops, path LIMIT 1")
+@query("ln_path", f"WITH RECURSIVE {EDGES}, p(node, path, hops) AS (SELECT 'p2', 'p2', 0 UNION ALL SELECT dst, min(path || '>' || dst), hops + 1 FROM p JOIN edges ON src = node WHERE hops < 8 GROUP BY dst, hops) SELECT path, CAST(hops AS INTEGER) AS hops FROM p WHERE node = 'n17' ORDER BY hops, path LIMIT 1")
 def ln_path(spark, d):
-    return G.shortest_path(edges(spark, d), "t2", "t17")
+    return G.shortest_path(edges(spark, d), "p2", "n17")
 
 
-@query("ln_sla_impact", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='t3', depth=10)} SELECT node, CAST(min(hop) AS INTEGER) AS hop, '0' || {NUM.format('node')} % 9 || ':00' AS sla FROM t WHERE hop > 0 AND {NUM.format('node')} % 4 = 0 GROUP BY node")
+@query("ln_sla_impact", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='p3', depth=10)} SELECT node, CAST(min(hop) AS INTEGER) AS hop, '0' || {NUM.format('node')} % 9 || ':00' AS sla FROM t WHERE hop > 0 AND {NUM.format('node')} % 4 = 0 GROUP BY node")
 def ln_sla_impact(spark, d):
-    slas = nodes(spark, d).filter("node like 't%'").filter(number() % 4 == 0).select("node", F.concat(F.lit("0"), (number() % 9).cast("string"), F.lit(":00")).alias("sla"))
-    return G.sla_impact(edges(spark, d), "t3", slas)
+    slas = real(spark, d).filter(number() % 4 == 0).select("node", F.concat(F.lit("0"), (number() % 9).cast("string"), F.lit(":00")).alias("sla"))
+    return G.sla_impact(edges(spark, d), "p3", slas)
+
+
+_LOOPS = "loops AS (SELECT * FROM deps UNION SELECT 't' || max(o_orderkey), 't' || min(o_orderkey) FROM orders GROUP BY o_custkey HAVING o_custkey % 3 = 0 AND count(*) > 1)"
 
 
-@query("ln_cycles", "SELECT DISTINCT 'c' || l_partkey % 12 AS src, 'c' || CASE WHEN l_partkey % 12 = 7 THEN 4 ELSE l_partkey % 12 + 1 END AS dst FROM lineitem WHERE l_partkey % 12 BETWEEN 4 AND 7")
+def loops(spark, d):
+    """The task graphs, where every third customer's last order leads back to the first."""
+    back = S.table(spark, d, "orders").groupBy("o_custkey").agg(F.max("o_orderkey").alias("a"), F.min("o_orderkey").alias("b"), F.count(F.lit(1)).alias("n")).filter("o_custkey % 3 = 0 and n > 1")
+    return deps(spark, d).unionByName(back.select(name("t", "a").alias("src"), name("t", "b").alias("dst"))).distinct()
+
+
+@query("ln_cycles", f"WITH {TASKS}, {_LOOPS}, own AS (SELECT 't' || o_orderkey AS node, o_custkey FROM orders) SELECT src, dst FROM loops JOIN own ON src = node WHERE o_custkey % 3 = 0")
 def ln_cycles(spark, d):
-    k = F.col("l_partkey") % 12
-    e = S.table(spark, d, "lineitem").select(F.concat(F.lit("c"), k.cast("string")).alias("src"), F.concat(F.lit("c"), F.when(k == 7, 4).otherwise(k + 1).cast("string")).alias("dst")).distinct()
-    return G.core_of_cycles(e)
+    """Whole graphs of every third customer are in cycles, for the first order leads to all of its others."""
+    return G.core_of_cycles(loops(spark, d))
+
+
+@query("ln_cycle_samples")
+def ln_cycle_samples(spark, d):
+    return G.cycle_samples(loops(spark, d))
 
 
 _HEALTH = "h AS (SELECT node, coalesce(i.n, 0) AS ins, coalesce(o.n, 0) AS outs, CASE WHEN coalesce(i.n, 0) = 0 AND coalesce(o.n, 0) = 0 THEN 'isolated' WHEN coalesce(o.n, 0) = 0 THEN 'leaf' WHEN coalesce(i.n, 0) = 0 THEN 'source' ELSE 'inner' END AS state FROM nodes LEFT JOIN (SELECT dst AS node, count(*) AS n FROM edges GROUP BY 1) i USING (node) LEFT JOIN (SELECT src AS node, count(*) AS n FROM edges GROUP BY 1) o USING (node))"
@@ -84,22 +92,24 @@ def ln_diff(spark, d):
     return G.diff(graph(spark, d, number("src") % 3 != 0, 0.9, "sql"), new)
 
 
-@query("ln_change_impact", f"WITH RECURSIVE {EDGES}, c AS (SELECT * FROM (VALUES ('t30', 'removed'), ('t35', 'modified'), ('t39', 'removed'), ('t1', 'added')) v(node, change)), t(root, node, hop) AS (SELECT node, node, 0 FROM c UNION SELECT root, dst, hop + 1 FROM t JOIN edges ON src = t.node WHERE hop < 10), r AS (SELECT root, count(DISTINCT node) AS n FROM t WHERE hop > 0 GROUP BY 1) SELECT node, change, coalesce(n, 0) AS reached, CASE WHEN change = 'removed' AND coalesce(n, 0) > 0 THEN 'error' WHEN change <> 'added' AND coalesce(n, 0) > 0 THEN 'warn' ELSE 'info' END AS severity FROM c LEFT JOIN r ON c.node = r.root")
+@query("ln_change_impact", f"WITH RECURSIVE {EDGES}, c AS (SELECT * FROM (VALUES ('s3', 'removed'), ('c5', 'modified'), ('r1', 'removed'), ('p1', 'added')) v(node, change)), t(root, node, hop) AS (SELECT node, node, 0 FROM c UNION SELECT root, dst, hop + 1 FROM t JOIN edges ON src = t.node WHERE hop < 10), r AS (SELECT root, count(DISTINCT node) AS n FROM t WHERE hop > 0 GROUP BY 1) SELECT node, change, coalesce(n, 0) AS reached, CASE WHEN change = 'removed' AND coalesce(n, 0) > 0 THEN 'error' WHEN change <> 'added' AND coalesce(n, 0) > 0 THEN 'warn' ELSE 'info' END AS severity FROM c LEFT JOIN r ON c.node = r.root")
 def ln_change_impact(spark, d):
-    changes = spark.createDataFrame([("t30", "removed"), ("t35", "modified"), ("t39", "removed"), ("t1", "added")], "node string, change string")
+    changes = spark.createDataFrame([("s3", "removed"), ("c5", "modified"), ("r1", "removed"), ("p1", "added")], "node string, change string")
     return G.change_impact(edges(spark, d), changes)
 
 
-@query("ln_hygiene", f"WITH {EDGES}, {NODES}, known AS (SELECT node FROM nodes WHERE node <> 't7'), hh AS (SELECT dst FROM edges) SELECT node, 'orphan_output' AS problem FROM known WHERE node NOT IN (SELECT src FROM edges) AND node IN (SELECT dst FROM edges) UNION ALL SELECT DISTINCT x, 'dangling' FROM (SELECT src AS x FROM edges UNION SELECT dst FROM edges) WHERE x NOT IN (SELECT node FROM known)")
+@query("ln_hygiene", f"WITH {EDGES}, {NODES}, known AS (SELECT node FROM nodes WHERE node <> 's7') SELECT node, 'orphan_output' AS problem FROM known WHERE node NOT IN (SELECT src FROM edges) AND node IN (SELECT dst FROM edges) AND NOT regexp_matches(node, '^r[01]$') UNION ALL SELECT DISTINCT x, 'dangling' FROM (SELECT src AS x FROM edges UNION SELECT dst FROM edges) WHERE x NOT IN (SELECT node FROM known)")
 def ln_hygiene(spark, d):
-    return G.hygiene(nodes(spark, d).filter("node <> 't7'"), edges(spark, d))
+    return G.hygiene(nodes(spark, d).filter("node <> 's7'"), edges(spark, d), "^r[01]$")
 
 
-_RANKS = f"ranks AS (SELECT node, {NUM.format('node')} // 10 AS layer FROM nodes WHERE node LIKE 't%' AND node <> 't12')"
+_RANKS = f"ranks AS (SELECT node, CASE substr(node, 1, 1) WHEN 'p' THEN 0 WHEN 's' THEN CAST({NUM.format('node')} % 3 AS INTEGER) WHEN 'o' THEN 2 WHEN 'c' THEN 3 WHEN 'n' THEN 5 ELSE 6 END AS layer FROM nodes WHERE {REAL} AND node <> 'c12')"
 
 
 def ranks(spark, d):
-    return nodes(spark, d).filter("node like 't%' and node <> 't12'").select("node", F.floor(number() / 10).alias("layer"))
+    kind = F.substring("node", 1, 1)
+    layer = F.when(kind == "p", 0).when(kind == "s", (number() % 3).cast("int")).when(kind == "o", 2).when(kind == "c", 3).when(kind == "n", 5).otherwise(6)
+    return real(spark, d).filter("node <> 'c12'").select("node", layer.alias("layer"))
 
 
 @query("ln_layers", f"WITH {EDGES}, {NODES}, {_RANKS} SELECT * FROM (SELECT src, dst, CASE WHEN b.layer - a.layer IS NULL THEN 'unknown' WHEN b.layer < a.layer THEN 'reverse' WHEN b.layer = a.layer THEN 'same_layer' WHEN b.layer - a.layer > 1 THEN 'skip' END AS problem FROM edges LEFT JOIN ranks a ON src = a.node LEFT JOIN ranks b ON dst = b.node) WHERE problem IS NOT NULL")
@@ -107,10 +117,10 @@ def ln_layers(spark, d):
     return G.layers(edges(spark, d), ranks(spark, d))
 
 
-@query("ln_suspects", f"WITH RECURSIVE {EDGES}, u(node, hop) AS (SELECT 't20', 0 UNION SELECT src, hop + 1 FROM u JOIN edges ON dst = node WHERE hop < 10), m AS (SELECT node, min(hop) AS distance FROM u WHERE hop > 0 GROUP BY 1) SELECT node, CAST(distance AS INTEGER) AS distance, round(100.0 / (1 + distance) * CASE WHEN {NUM.format('node')} % 2 = 0 THEN 1.0 ELSE 0.4 END + CASE WHEN {NUM.format('node')} % 7 = 0 THEN 40.0 ELSE 0 END + CASE WHEN {NUM.format('node')} % 5 = 0 THEN 10.0 ELSE 0 END, 4) AS score FROM m")
+@query("ln_suspects", f"WITH RECURSIVE {EDGES}, u(node, hop) AS (SELECT 'c20', 0 UNION SELECT src, hop + 1 FROM u JOIN edges ON dst = node WHERE hop < 10), m AS (SELECT node, min(hop) AS distance FROM u WHERE hop > 0 GROUP BY 1) SELECT node, CAST(distance AS INTEGER) AS distance, round(100.0 / (1 + distance) * CASE WHEN {NUM.format('node')} % 2 = 0 THEN 1.0 ELSE 0.4 END + CASE WHEN {NUM.format('node')} % 7 = 0 THEN 40.0 ELSE 0 END + CASE WHEN {NUM.format('node')} % 5 = 0 THEN 10.0 ELSE 0 END, 4) AS score FROM m")
 def ln_suspects(spark, d):
-    n = nodes(spark, d).filter("node like 't%'")
-    return G.suspects(edges(spark, d), "t20", n.filter(number() % 2 == 0), n.filter(number() % 7 == 0), n.filter(number() % 5 == 0)).withColumn("score", F.col("score").cast("double"))
+    n = real(spark, d)
+    return G.suspects(edges(spark, d), "c20", n.filter(number() % 2 == 0), n.filter(number() % 7 == 0), n.filter(number() % 5 == 0)).withColumn("score", F.col("score").cast("double"))
 
 
 @query("ln_metric_conflict", "SELECT 'gmv_' || p_size AS column_name, CAST(2 AS BIGINT) AS forms, count(DISTINCT p_brand) AS tables, 'high' AS severity FROM part GROUP BY p_size HAVING count(DISTINCT p_brand) > 1 AND count(DISTINCT p_partkey % 2) > 1")
@@ -119,11 +129,19 @@ def ln_metric_conflict(spark, d):
     return G.metric_conflicts(ce)
 
 
-@query("ln_dup_pipelines", f"WITH e AS (SELECT DISTINCT 's' || l_suppkey % 6 AS src, 'p' || l_partkey % 90 AS dst FROM lineitem WHERE (l_suppkey % 6 + l_partkey % 90) % 4 = 0), s AS (SELECT dst, string_agg(src, ',' ORDER BY src) AS sources FROM e GROUP BY 1) SELECT sources, string_agg(dst, ',' ORDER BY dst) AS targets, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1")
+@query("ln_dup_pipelines", "WITH e AS (SELECT DISTINCT 'c' || o_orderpriority AS src, 'c' || o_custkey AS dst FROM orders), s AS (SELECT dst, string_agg(src, ',' ORDER BY src) AS sources FROM e GROUP BY 1) SELECT sources, string_agg(dst, ',' ORDER BY dst) AS targets, count(*) AS n FROM s GROUP BY 1 HAVING count(*) > 1")
 def ln_dup_pipelines(spark, d):
-    s, p = F.col("l_suppkey") % 6, F.col("l_partkey") % 90
-    e = S.table(spark, d, "lineitem").filter((s + p) % 4 == 0).select(F.concat(F.lit("s"), s.cast("string")).alias("src"), F.concat(F.lit("p"), p.cast("string")).alias("dst"))
-    return G.duplicate_pipelines(e)
+    """Customers as targets of the priorities that they order with."""
+    return G.duplicate_pipelines(S.table(spark, d, "orders").select(name("c", "o_orderpriority").alias("src"), name("c", "o_custkey").alias("dst")))
+
+
+_PARTS_OF = "e AS (SELECT DISTINCT 'o' || l_orderkey AS dst, 'p' || l_partkey AS src FROM lineitem)"
+
+
+@query("ln_overlaps", f"WITH {_PARTS_OF}, s AS (SELECT dst, count(*) AS n FROM e GROUP BY 1), p AS (SELECT a.dst AS a, b.dst AS b, count(*) AS shared FROM e a JOIN e b ON a.src = b.src AND a.dst < b.dst GROUP BY 1, 2), q AS (SELECT p.a, p.b, shared, x.n AS na, y.n AS nb FROM p JOIN s x ON x.dst = p.a JOIN s y ON y.dst = p.b) SELECT * FROM (SELECT a, b, CAST(shared AS INTEGER) AS shared, shared / CAST(na + nb - shared AS DOUBLE) AS jaccard, CASE WHEN shared = na AND shared = nb THEN 'equal' WHEN shared = na THEN 'subset' WHEN shared = nb THEN 'superset' WHEN shared >= 0.6 * (na + nb - shared) THEN 'overlap' END AS kind FROM q) WHERE kind IS NOT NULL")
+def ln_overlaps(spark, d):
+    """Orders as targets of their parts."""
+    return G.overlapping_pipelines(S.table(spark, d, "lineitem").select(name("p", "l_partkey").alias("src"), name("o", "l_orderkey").alias("dst")))
 
 
 @query("ln_fan_in", f"WITH {EDGES} SELECT src, count(DISTINCT dst) AS targets, count(DISTINCT dst) / CAST((SELECT count(*) FROM edges) AS DOUBLE) AS share FROM edges GROUP BY 1 HAVING count(DISTINCT dst) >= 3")
@@ -131,17 +149,18 @@ def ln_fan_in(spark, d):
     return G.fan_in_share(edges(spark, d))
 
 
-@query("ln_offboard", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='t28', depth=10)} SELECT CAST(hop AS INTEGER) AS hop, count(*) AS consumers FROM (SELECT node, min(hop) AS hop FROM t WHERE hop > 0 GROUP BY 1) GROUP BY 1")
+@query("ln_offboard", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='s2', depth=10)} SELECT CAST(hop AS INTEGER) AS hop, count(*) AS consumers FROM (SELECT node, min(hop) AS hop FROM t WHERE hop > 0 GROUP BY 1) GROUP BY 1")
 def ln_offboard(spark, d):
-    return G.trace(edges(spark, d), roots(spark, "t28")).groupBy("hop").agg(F.count(F.lit(1)).alias("consumers"))
+    return G.trace(edges(spark, d), roots(spark, "s2")).groupBy("hop").agg(F.count(F.lit(1)).alias("consumers"))
 
 
+DUR = f"dur AS (SELECT node, CAST({NUM.format('node')} * 7 % 11 + 1 AS DOUBLE) AS duration FROM nodes WHERE {REAL})"
 _LEVELS = "lv(node, level) AS (SELECT node, 0 FROM hit UNION SELECT dst, level + 1 FROM lv JOIN inn ON src = node), lm AS (SELECT node, max(level) AS level FROM lv GROUP BY 1)"
 
 
-@query("ln_rollback", f"WITH RECURSIVE {EDGES}, {NODES}, {DUR}, {DOWN.format(root='t30', depth=40)}, hit AS (SELECT DISTINCT node FROM t), inn AS (SELECT * FROM edges WHERE src IN (SELECT node FROM hit) AND dst IN (SELECT node FROM hit)), {_LEVELS} SELECT CAST(level AS INTEGER) AS level, count(*) AS tasks, max(duration) AS slowest FROM lm JOIN dur USING (node) GROUP BY 1")
+@query("ln_rollback", f"WITH RECURSIVE {EDGES}, {NODES}, {DUR}, {DOWN.format(root='s3', depth=40)}, hit AS (SELECT DISTINCT node FROM t), inn AS (SELECT * FROM edges WHERE src IN (SELECT node FROM hit) AND dst IN (SELECT node FROM hit)), {_LEVELS} SELECT CAST(level AS INTEGER) AS level, count(*) AS tasks, max(duration) AS slowest FROM lm JOIN dur USING (node) GROUP BY 1")
 def ln_rollback(spark, d):
-    return G.rollback_levels(edges(spark, d), nodes(spark, d), "t30", durations(spark, d))
+    return G.rollback_levels(edges(spark, d), nodes(spark, d), "s3", real(spark, d).select("node", (number() * 7 % 11 + 1).cast("double").alias("duration")))
 
 
 @query("ln_dictionary", f"WITH {EDGES}, {NODES}, {_RANKS}, {_HEALTH} SELECT node, ins, outs, layer FROM h JOIN ranks USING (node)")
@@ -155,52 +174,58 @@ def ln_from_meta(spark, d):
     return G.from_meta(m, "pt")
 
 
-@query("gov_usage", f"WITH {EDGES}, {NODES}, {_HEALTH}, q AS (SELECT 't' || user_id % 60 AS node, count(*) AS queries FROM events GROUP BY 1) SELECT node, coalesce(queries, 0) AS queries, CASE WHEN coalesce(queries, 0) = 0 AND state IN ('leaf', 'isolated') THEN 'decommission' WHEN coalesce(queries, 0) > 0 THEN 'used' ELSE 'inner' END AS state FROM h LEFT JOIN q USING (node)")
+@query("gov_usage", f"WITH {EDGES}, {NODES}, {_HEALTH}, q AS (SELECT 'c' || user_id AS node, count(*) AS queries FROM events GROUP BY 1) SELECT node, coalesce(queries, 0) AS queries, CASE WHEN coalesce(queries, 0) = 0 AND state IN ('leaf', 'isolated') THEN 'decommission' WHEN coalesce(queries, 0) > 0 THEN 'used' ELSE 'inner' END AS state FROM h LEFT JOIN q USING (node)")
 def gov_usage(spark, d):
-    log = S.table(spark, d, "events").select(F.concat(F.lit("DB.T"), (F.col("user_id") % 60).cast("string")).alias("table_name"))
+    log = S.table(spark, d, "events").select(F.concat(F.lit("DB.C"), F.col("user_id").cast("string")).alias("table_name"))
     return G.usage(edges(spark, d), nodes(spark, d), log)
 
 
-@query("dag_levels", f"WITH RECURSIVE {EDGES}, {NODES}, hit AS (SELECT node FROM nodes), inn AS (SELECT * FROM edges), {_LEVELS} SELECT node, CAST(level AS INTEGER) AS level FROM lm")
+_TASK_LEVELS = "lv(node, level) AS (SELECT node, 0 FROM tasks UNION SELECT dst, level + 1 FROM lv JOIN deps ON src = node), lm AS (SELECT node, max(level) AS level FROM lv GROUP BY 1)"
+
+
+@query("dag_levels", f"WITH RECURSIVE {TASKS}, {_TASK_LEVELS} SELECT node, CAST(level AS INTEGER) AS level FROM lm")
 def dag_levels(spark, d):
-    return G.levels(edges(spark, d), nodes(spark, d))
+    return G.levels(deps(spark, d), tasks(spark, d))
 
 
-@query("dag_critical", f"WITH RECURSIVE {EDGES}, {NODES}, {DUR}, lp(node, finish) AS (SELECT node, duration FROM dur UNION SELECT e.dst, finish + d.duration FROM lp JOIN edges e ON e.src = lp.node JOIN dur d ON d.node = e.dst) SELECT max(finish) AS finish FROM lp")
+@query("dag_critical", f"WITH RECURSIVE {TASKS}, lp(node, finish, path) AS (SELECT node, duration, node FROM tasks UNION ALL SELECT e.dst, max(finish + d.duration), arg_min(path || '>' || e.dst, (-(finish + d.duration), path || '>' || e.dst)) FROM lp JOIN deps e ON e.src = lp.node JOIN tasks d ON d.node = e.dst GROUP BY e.dst) SELECT node, finish, path FROM lp ORDER BY finish DESC, path LIMIT 1")
 def dag_critical(spark, d):
-    return G.critical_path(edges(spark, d), durations(spark, d)).select("finish")
+    return G.critical_path(deps(spark, d), tasks(spark, d))
 
 
-@query("dag_redundant", f"WITH RECURSIVE {EDGES}, r(src, dst, n) AS (SELECT src, dst, 1 FROM edges UNION SELECT r.src, e.dst, 2 FROM r JOIN edges e ON r.dst = e.src) SELECT DISTINCT e.src, e.dst FROM edges e JOIN r ON e.src = r.src AND e.dst = r.dst AND r.n = 2")
+@query("dag_redundant", f"WITH RECURSIVE {TASKS}, r(src, dst, n) AS (SELECT src, dst, 1 FROM deps UNION SELECT r.src, e.dst, 2 FROM r JOIN deps e ON r.dst = e.src) SELECT DISTINCT e.src, e.dst FROM deps e JOIN r ON e.src = r.src AND e.dst = r.dst AND r.n = 2")
 def dag_redundant(spark, d):
-    return G.redundant(edges(spark, d))
+    return G.redundant(deps(spark, d))
 
 
-@query("dag_chains", "SELECT 'k' || o_custkey % 50 || '_0' AS head, max(o_orderkey % 9) + 1 AS nodes FROM orders GROUP BY o_custkey % 50 HAVING max(o_orderkey % 9) >= 2")
+@query("dag_chains", f"WITH {TASKS}, e AS (SELECT 't' || a.o_orderkey AS src, 't' || b.o_orderkey AS dst, a.o_custkey AS c, a.k AS k FROM seq a JOIN seq b ON a.o_custkey = b.o_custkey AND b.k = a.k + 1 WHERE b.o_orderkey % 4 <> 0), g AS (SELECT *, k - row_number() OVER (PARTITION BY c ORDER BY k) AS run FROM e) SELECT arg_min(src, k) AS head, count(*) + 1 AS nodes FROM g GROUP BY c, run HAVING count(*) >= 2")
 def dag_chains(spark, d):
-    """One chain for each of fifty customers, as long as its orders make it."""
-    top = S.table(spark, d, "orders").groupBy((F.col("o_custkey") % 50).cast("string").alias("c")).agg(F.max(F.col("o_orderkey") % 9).alias("n")).filter("n > 0")
-    e = top.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i")).select(F.concat(F.lit("k"), "c", F.lit("_"), F.col("i").cast("string")).alias("src"), F.concat(F.lit("k"), "c", F.lit("_"), (F.col("i") + 1).cast("string")).alias("dst"))
-    return G.chains(e)
+    """Each customer's orders one after another, where an order of a key divisible by four begins anew."""
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    e = S.table(spark, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(before).alias("p")).filter("p is not null and o_orderkey % 4 <> 0")
+    return G.chains(e.select(name("t", "p").alias("src"), name("t", "o_orderkey").alias("dst")))
 
 
-@query("dag_rerun", f"WITH RECURSIVE {EDGES}, {NODES}, s AS (SELECT node, CASE WHEN node IN ('t33', 't36') THEN 'failed' WHEN {NUM.format('node')} % 2 = 0 THEN 'success' ELSE 'waiting' END AS state FROM nodes WHERE node LIKE 't%'), t(root, node) AS (SELECT node, node FROM s WHERE state = 'failed' UNION SELECT root, dst FROM t JOIN edges ON src = node), o AS (SELECT node, count(DISTINCT root) AS origins FROM t WHERE node <> root GROUP BY 1) SELECT * FROM (SELECT node, CASE WHEN state = 'failed' THEN 'failed' WHEN origins IS NOT NULL AND state = 'success' THEN 'stale' WHEN origins IS NOT NULL THEN 'downstream' END AS reason, coalesce(origins, 0) AS origins FROM s LEFT JOIN o USING (node)) WHERE reason IS NOT NULL")
+@query("dag_rerun", f"WITH RECURSIVE {TASKS}, s AS (SELECT node, CASE WHEN {NUM.format('node')} % 97 = 5 THEN 'failed' WHEN {NUM.format('node')} % 2 = 0 THEN 'success' ELSE 'waiting' END AS state FROM tasks), t(root, node) AS (SELECT node, node FROM s WHERE state = 'failed' UNION SELECT root, dst FROM t JOIN deps ON src = node), o AS (SELECT node, count(DISTINCT root) AS origins FROM t WHERE node <> root GROUP BY 1) SELECT * FROM (SELECT node, CASE WHEN state = 'failed' THEN 'failed' WHEN origins IS NOT NULL AND state = 'success' THEN 'stale' WHEN origins IS NOT NULL THEN 'downstream' END AS reason, coalesce(origins, 0) AS origins FROM s LEFT JOIN o USING (node)) WHERE reason IS NOT NULL")
 def dag_rerun(spark, d):
-    states = nodes(spark, d).filter("node like 't%'").withColumn("state", F.when(F.col("node").isin("t33", "t36"), "failed").when(number() % 2 == 0, "success").otherwise("waiting"))
-    return G.rerun_plan(edges(spark, d), states)
+    states = tasks(spark, d).select("node", F.when(number() % 97 == 5, "failed").when(number() % 2 == 0, "success").otherwise("waiting").alias("state"))
+    return G.rerun_plan(deps(spark, d), states)
 
 
-@query("dag_slack", f"WITH RECURSIVE {EDGES}, {NODES}, {DUR}, f(node, start) AS (SELECT node, CAST(0 AS DOUBLE) FROM dur UNION SELECT e.dst, start + d.duration FROM f JOIN dur d ON d.node = f.node JOIN edges e ON e.src = f.node), s AS (SELECT node, max(start) AS start FROM f GROUP BY 1), b(node, latest) AS (SELECT 't39', CAST(400 AS DOUBLE) UNION SELECT e.src, latest - d.duration FROM b JOIN dur d ON d.node = b.node JOIN edges e ON e.dst = b.node), l AS (SELECT node, min(latest) AS latest FROM b GROUP BY 1) SELECT node, start, start + duration AS finish, latest - start - duration AS slack FROM s JOIN dur USING (node) LEFT JOIN l USING (node)")
+@query("dag_slack", f"WITH RECURSIVE {TASKS}, goal AS (SELECT 't' || max(o_orderkey) AS node FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)), f(node, start) AS (SELECT node, CAST(0 AS DOUBLE) FROM tasks UNION SELECT e.dst, start + d.duration FROM f JOIN tasks d ON d.node = f.node JOIN deps e ON e.src = f.node), s AS (SELECT node, max(start) AS start FROM f GROUP BY 1), b(node, latest) AS (SELECT node, CAST(400 AS DOUBLE) FROM goal UNION SELECT e.src, latest - d.duration FROM b JOIN tasks d ON d.node = b.node JOIN deps e ON e.dst = b.node), l AS (SELECT node, min(latest) AS latest FROM b GROUP BY 1) SELECT node, start, start + duration AS finish, latest - start - duration AS slack FROM s JOIN tasks USING (node) LEFT JOIN l USING (node)")
 def dag_slack(spark, d):
-    return G.schedule(edges(spark, d), durations(spark, d), "t39", 400.0)
+    """The goal is the last order of the first customer."""
+    o = S.table(spark, d, "orders")
+    goal = o.groupBy("o_custkey").agg(F.max("o_orderkey").alias("k")).orderBy("o_custkey").first().k
+    return G.schedule(deps(spark, d), tasks(spark, d), f"t{goal}", 400.0)
 
 
-_RUNS = "runs AS (SELECT o_orderpriority AS dag, 'w' || o_custkey % 40 AS target, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS start, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + 1 + o_orderkey % 2 AS finish FROM orders)"
+_RUNS = "runs AS (SELECT o_orderpriority AS dag, 'w' || o_custkey AS target, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS start, CAST(epoch(o_orderdate) AS BIGINT) // 86400 + 1 + o_orderkey % 2 AS finish FROM orders)"
 
 
 def runs(spark, d):
     day = F.unix_date(F.to_date("o_orderdate")).cast("long")
-    return S.table(spark, d, "orders").select(F.col("o_orderpriority").alias("dag"), F.concat(F.lit("w"), (F.col("o_custkey") % 40).cast("string")).alias("target"), day.alias("start"), (day + 1 + F.col("o_orderkey") % 2).alias("finish"))
+    return S.table(spark, d, "orders").select(F.col("o_orderpriority").alias("dag"), name("w", "o_custkey").alias("target"), day.alias("start"), (day + 1 + F.col("o_orderkey") % 2).alias("finish"))
 
 
 @query("dag_overlap", f"WITH {_RUNS} SELECT a.target, a.dag AS dag_a, b.dag AS dag_b, greatest(a.start, b.start) AS start, least(a.finish, b.finish) AS finish FROM runs a JOIN runs b ON a.target = b.target AND a.dag < b.dag AND a.start < b.finish AND b.start < a.finish")

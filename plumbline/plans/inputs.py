@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.sources.tables import table
 
@@ -53,16 +54,49 @@ def arrivals(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "user_id", "event_type", event_s.alias("event_s"), (event_s + late).alias("arrival_s"))
 
 
-#: A graph of parts: 40 nodes, from n to n+4..n+8, so it has no cycles.
+#: Lineage drawn by whole keys: parts to suppliers to orders to customers to nations to regions, so it has no cycles.
 EDGES = """
 edges AS (
-  SELECT DISTINCT 't' || (l_partkey % 40) AS src, 't' || (l_partkey % 40 + 4 + l_suppkey % 5) AS dst
-  FROM lineitem WHERE l_partkey % 40 + 4 + l_suppkey % 5 < 40)
+  SELECT 'p' || l_partkey AS src, 's' || l_suppkey AS dst FROM lineitem UNION SELECT 's' || l_suppkey, 'o' || l_orderkey FROM lineitem
+  UNION SELECT 'o' || o_orderkey, 'c' || o_custkey FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation)
 """
+NODES = "nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges UNION SELECT 'lone' || l_returnflag FROM lineitem)"
+
+
+def name(prefix: str, key: str):
+    return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    li = table(spark, d, "lineitem")
-    src = F.col("l_partkey") % 40
-    dst = src + 4 + F.col("l_suppkey") % 5
-    return li.filter(dst < 40).select(F.concat(F.lit("t"), src.cast("string")).alias("src"), F.concat(F.lit("t"), dst.cast("string")).alias("dst")).distinct()
+    li, o, c, n = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
+    pairs = ((li, "p", "l_partkey", "s", "l_suppkey"), (li, "s", "l_suppkey", "o", "l_orderkey"), (o, "o", "o_orderkey", "c", "o_custkey"), (c, "c", "c_custkey", "n", "c_nationkey"), (n, "n", "n_nationkey", "r", "n_regionkey"))
+    parts = [t.select(a, b).distinct().select(name(pa, a).alias("src"), name(pb, b).alias("dst")) for t, pa, a, pb, b in pairs]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    e = edges(spark, d)
+    lone = table(spark, d, "lineitem").select(name("lone", "l_returnflag").alias("node"))
+    return e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).unionByName(lone).distinct()
+
+
+#: Task graphs, one for each customer: an order runs after the one before it, some after those two and three before as well.
+TASKS = """
+seq AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders),
+tasks AS (SELECT 't' || o_orderkey AS node, CAST(o_orderkey * 7 % 11 + 1 AS DOUBLE) AS duration FROM orders),
+deps AS (SELECT DISTINCT 't' || a.o_orderkey AS src, 't' || b.o_orderkey AS dst FROM seq a JOIN seq b ON a.o_custkey = b.o_custkey AND (b.k = a.k + 1 OR b.k = a.k + 2 AND b.o_orderkey % 3 = 0 OR b.k = a.k + 3 AND b.o_orderkey % 5 = 0))
+"""
+
+
+def tasks(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(name("t", "o_orderkey").alias("node"), (F.col("o_orderkey") * 7 % 11 + 1).cast("double").alias("duration"))
+
+
+def deps(spark: SparkSession, d: str) -> DataFrame:
+    before = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    k, o = F.col("o_orderkey"), table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    lags = o.select("o_orderkey", F.lag("o_orderkey", 1).over(before).alias("x"), F.when(k % 3 == 0, F.lag("o_orderkey", 2).over(before)).alias("y"), F.when(k % 5 == 0, F.lag("o_orderkey", 3).over(before)).alias("z"))
+    return lags.select(F.explode(F.array("x", "y", "z")).alias("p"), "o_orderkey").filter("p is not null").select(name("t", "p").alias("src"), name("t", "o_orderkey").alias("dst")).distinct()

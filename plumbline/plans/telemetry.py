@@ -111,15 +111,12 @@ def fresh_table(spark, d):
     return T.table_freshness(u, rules)
 
 
-_MISSING = "ms AS (SELECT u.node, CAST(s.day AS DATE) AS day FROM (SELECT DISTINCT 't' || user_id % 40 AS node FROM events) u, (SELECT unnest(generate_series(DATE '2024-01-05', DATE '2024-01-20', INTERVAL 1 DAY)) AS day) s ANTI JOIN (SELECT DISTINCT 't' || user_id % 40 AS node, CAST(ts AS DATE) AS day FROM events WHERE user_id % 4 = 0) h ON u.node = h.node AND CAST(s.day AS DATE) = h.day)"
+_MISSING = "ms AS (SELECT u.node, CAST(s.day AS DATE) AS day FROM (SELECT DISTINCT 'c' || user_id AS node FROM events) u, (SELECT unnest(generate_series(DATE '2024-01-05', DATE '2024-01-20', INTERVAL 1 DAY)) AS day) s ANTI JOIN (SELECT DISTINCT 'c' || user_id AS node, CAST(ts AS DATE) AS day FROM events) h ON u.node = h.node AND CAST(s.day AS DATE) = h.day)"
 
 
 def gaps(spark, d):
-    e = S.table(spark, d, "events").select(F.concat(F.lit("t"), (F.col("user_id") % 40).cast("string")).alias("node"), "ts", "user_id")
-    every = e.select("node").distinct()
-    have = e.filter("user_id % 4 = 0").select("node", F.to_date("ts").alias("day"))
-    marked = have.unionByName(every.select("node", F.lit("2023-12-31").cast("date").alias("day")))
-    return T.missing_slots(marked, "node", F.col("day"), "2024-01-05", "2024-01-20")
+    e = S.table(spark, d, "events").select(F.concat(F.lit("c"), F.col("user_id").cast("string")).alias("node"), F.to_date("ts").alias("day"))
+    return T.missing_slots(e, "node", F.col("day"), "2024-01-05", "2024-01-20")
 
 
 @query("bf_missing_slots", f"WITH {_MISSING} SELECT node, CAST(day AS VARCHAR) AS day FROM ms")
@@ -127,9 +124,9 @@ def bf_missing_slots(spark, d):
     return gaps(spark, d).withColumn("day", F.col("day").cast("string"))
 
 
-@query("bf_cascade", f"WITH RECURSIVE {EDGES}, {_MISSING}, c(node, day, hop) AS (SELECT node, day, 0 FROM ms WHERE node IN ('t1', 't2', 't21') UNION SELECT dst, day, hop + 1 FROM c JOIN edges ON src = c.node) SELECT node, CAST(day AS VARCHAR) AS day, CAST(max(hop) AS INTEGER) AS hop FROM c GROUP BY 1, 2")
+@query("bf_cascade", f"WITH RECURSIVE {EDGES}, {_MISSING}, c(node, day, hop) AS (SELECT node, day, 0 FROM ms UNION SELECT dst, day, hop + 1 FROM c JOIN edges ON src = c.node) SELECT node, CAST(day AS VARCHAR) AS day, CAST(max(hop) AS INTEGER) AS hop FROM c GROUP BY 1, 2")
 def bf_cascade(spark, d):
-    return T.cascade(gaps(spark, d).filter("node in ('t1', 't2', 't21')"), edges(spark, d)).withColumn("day", F.col("day").cast("string"))
+    return T.cascade(gaps(spark, d), edges(spark, d)).withColumn("day", F.col("day").cast("string"))
 
 
 _SLA = "rn AS (SELECT o_orderpriority AS task, CAST(o_orderdate AS DATE) AS day, CAST(1380 AS BIGINT) AS deadline_min, max(1200 + o_orderkey % 400) AS finish_min FROM orders GROUP BY 1, 2)"

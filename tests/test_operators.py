@@ -152,3 +152,48 @@ def test_edges_of_a_spark_event_log(spark, tmp_path):
     (tmp_path / "log").write_text("\n".join(map(json.dumps, [{"Event": "SparkListenerTaskEnd"}, *events])))
     got = {(r.src, r.dst, r.runs, r.last_ms) for r in read_plan_edges(spark, str(tmp_path / "log")).collect()}
     assert got == {("file:/a", "file:/out", 2, 1), ("file:/b", "file:/out", 1, 0), ("file:/c", "file:/out", 1, 0)}
+
+
+def chain(spark, n=1000):
+    return spark.range(n).selectExpr("'n' || lpad(id, 5, '0') as src", "'n' || lpad(id + 1, 5, '0') as dst")
+
+
+def test_a_long_chain_of_edges(spark):
+    """Deep graphs: every loop goes to the end, and runs of nodes cost rounds by the logarithm of their length."""
+    from plumbline.operators import graphs as G
+    from plumbline.operators import telemetry as T
+
+    e, names = chain(spark), [f"n{i:05d}" for i in range(1001)]
+    nodes = spark.createDataFrame([(x, 2.0) for x in names], "node string, duration double")
+    assert {(r.node, r.level) for r in G.levels(e, nodes).collect()} == {(x, i) for i, x in enumerate(names)}
+    r = G.critical_path(e, nodes).first()
+    assert (r.node, r.finish, r.path) == (names[-1], 2002.0, ">".join(names))
+    r = G.shortest_path(e, names[-1], names[0]).first()
+    assert (r.hops, r.path) == (1000, ">".join(names))
+    assert G.core_of_cycles(e).count() == 0
+    back = e.unionByName(spark.createDataFrame([(names[700], names[200])], "src string, dst string"))
+    assert {x.src for x in G.core_of_cycles(back).collect()} == set(names[200:701])
+    ring = e.unionByName(spark.createDataFrame([(names[-1], names[0])], "src string, dst string"))
+    assert G.core_of_cycles(ring).count() == 1001
+    with pytest.raises(ValueError, match="cycle"):
+        G.levels(ring, nodes)
+    with pytest.raises(ValueError, match="cycle"):
+        G.levels(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "b"), ("b", "d")], "src string, dst string"), spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "node string")).count()
+    missing = spark.createDataFrame([(names[0], 1), (names[990], 2)], "node string, day int")
+    got = {(x.node, x.day): x.hop for x in T.cascade(missing, e).collect()}
+    assert got == {(x, 1): i for i, x in enumerate(names)} | {(x, 2): i for i, x in enumerate(names[990:])}
+    slack = {x.node: (x.start, x.slack) for x in G.schedule(e.limit(0).unionByName(chain(spark, 40)), nodes.filter("node <= 'n00040'"), names[40], 90.0).collect()}
+    assert slack[names[0]] == (0.0, 8.0) and slack[names[39]] == (78.0, 8.0)
+    tasks = spark.range(1001).selectExpr("'n' || lpad(id, 5, '0') as task", "id * 10 as start", "id * 10 + 7 as finish", "case when id > 0 then array('n' || lpad(id - 1, 5, '0')) else array() end as deps")
+    run = sorted((x.step, x.task, x.wait) for x in T.critical_run(tasks, names[-1]).collect())
+    assert run == [(i, x, 3 if x != names[0] else None) for i, x in enumerate(names[::-1])]
+
+
+def test_cycle_samples_and_overlaps(spark):
+    from plumbline.operators import graphs as G
+
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("f", "f"), ("x", "a")], "src string, dst string")
+    assert {r.cycle for r in G.cycle_samples(e).collect()} == {"a>b>c>a", "f>f"}
+    reads = spark.createDataFrame([(s, t) for t, own in {"p": "abcd", "q": "abc", "r": "abcde", "s": "xyz", "t": "abcd", "u": "axyz"}.items() for s in own], "src string, dst string")
+    got = {(r.a, r.b): r.kind for r in G.overlapping_pipelines(reads).collect()}
+    assert got == {("p", "q"): "superset", ("p", "r"): "subset", ("p", "t"): "equal", ("q", "r"): "subset", ("q", "t"): "subset", ("r", "t"): "superset", ("s", "u"): "subset"}
