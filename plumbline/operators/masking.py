@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .graphs import settle
+
 # Categories of column names; the first that matches wins. A weak pattern counts after the strong ones.
 NAMES = (
     ("phone", r"(^|_)(mobile|phone|tel|telephone|msisdn)(_?(no|num|number))?(_|$)"),
@@ -58,6 +60,7 @@ SECRETS = (
 HINT = r"(?i)akia|secret|gh[pousr]_|glpat-|xox[baprs]-|ltai|private key|eyj|passw|pwd|://|[:=]\s*['\"]"
 ENTROPY_PATTERN = r"[:=]\s*['\"]([A-Za-z0-9/+_\-]{20,})['\"]"
 ENTROPY_LEAST = 4.0
+# Random-looking assignments, marks of placeholders, and the mark of lines to leave out.
 PLACEHOLDERS = ("${", "{{", "<", "$(", "%s", "xxx", "***", "...", "your", "example", "changeme", "change_me", "dummy", "placeholder", "sample", "redacted", "insert", "fixme", "todo", "secret_here")
 PRAGMA = "secretscan:ignore"
 
@@ -166,13 +169,15 @@ def pii_spread(column_edges: DataFrame, sensitive: DataFrame, depth: int = 5) ->
     ``column_edges`` has ``src, dst, expression``; each hop is one join, edges that mask end the flow.
     """
     hidden = F.coalesce(F.col("expression").rlike(MASKING), F.lit(False))
-    e = column_edges.select("src", "dst", hidden.alias("masked"))
+    e = settle(column_edges.select("src", "dst", hidden.alias("masked")))
     seen = front = sensitive.select(F.col("column_name").alias("root"), "category", F.col("column_name").alias("node"))
     hops = None
     for _ in range(depth):
         step = front.join(e, F.col("node") == F.col("src")).select("root", "category", F.col("dst").alias("node"), "masked")
         hops = step if hops is None else hops.unionByName(step)
-        front = step.filter(~F.col("masked")).select("root", "category", "node").distinct().join(seen, ["root", "node"], "left_anti").select("root", "category", "node")
+        front = settle(step.filter(~F.col("masked")).select("root", "category", "node").distinct().join(seen, ["root", "node"], "left_anti").select("root", "category", "node"))
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return hops.groupBy(F.col("root").alias("src_column"), "category").agg(F.count_distinct("node").alias("reached"), F.count_if(~F.col("masked")).alias("unmasked_edges"))
 

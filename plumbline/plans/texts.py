@@ -8,6 +8,7 @@ from plumbline.operators import masking as K
 from plumbline.operators import texts as X
 from plumbline.sources import tables as S
 
+from .inputs import EDGES, edges
 from .registry import query
 
 
@@ -72,29 +73,70 @@ def pii_any_value(spark, d):
     return K.pii_inside(S.table(spark, d, "documents"), ["text"])
 
 
-_COLUMN_EDGES = """ce AS (SELECT DISTINCT 'c' || l_partkey % 30 AS src, 'c' || (l_partkey % 30 + 1 + l_suppkey % 2) AS dst, CASE WHEN (l_partkey % 30) % 4 = 3 THEN 'md5(x)' ELSE 'x' END AS expression FROM lineitem)"""
+_COLUMN_EDGES = f"""{EDGES}, ce AS (SELECT src, dst, CASE WHEN CAST(substr(src, 2) AS BIGINT) % 4 = 3 THEN 'md5(x)' ELSE 'x' END AS expression FROM edges)"""
 
 
-@query("pii_spread", f"""WITH RECURSIVE {_COLUMN_EDGES}, f(node, hop) AS (SELECT 'c0', 0 UNION SELECT dst, hop + 1 FROM f JOIN ce ON src = node WHERE hop < 5 AND NOT (expression = 'md5(x)') ), n AS (SELECT DISTINCT node FROM f WHERE hop < 5),
-h AS (SELECT ce.* FROM ce JOIN n ON ce.src = n.node) SELECT 'c0' AS src_column, 'phone' AS category, count(DISTINCT dst) AS reached, count(*) FILTER (expression = 'x') AS unmasked_edges FROM h""")
+@query("pii_spread", f"""WITH RECURSIVE {_COLUMN_EDGES}, f(root, node, hop) AS (SELECT 'c' || c_custkey, 'c' || c_custkey, 0 FROM customer UNION SELECT root, dst, hop + 1 FROM f JOIN ce ON src = node WHERE hop < 5 AND expression <> 'md5(x)'), n AS (SELECT DISTINCT root, node FROM f WHERE hop < 5)
+SELECT root AS src_column, 'phone' AS category, count(DISTINCT dst) AS reached, count(*) FILTER (expression = 'x') AS unmasked_edges FROM n JOIN ce ON src = node GROUP BY 1""")
 def pii_spread(spark, d):
-    k, s = F.col("l_partkey") % 30, F.col("l_suppkey") % 2
-    edges = S.table(spark, d, "lineitem").select(F.concat(F.lit("c"), k.cast("string")).alias("src"), F.concat(F.lit("c"), (k + 1 + s).cast("string")).alias("dst"), F.when(k % 4 == 3, "md5(x)").otherwise("x").alias("expression")).distinct()
-    return K.pii_spread(edges, spark.createDataFrame([("c0", "phone")], "column_name string, category string"))
+    """Every customer's column through the lineage that the keys draw; every fourth step hides the value."""
+    masked = F.when(F.substring("src", 2, 20).cast("long") % 4 == 3, "md5(x)").otherwise("x")
+    columns = S.table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("column_name"), F.lit("phone").alias("category"))
+    return K.pii_spread(edges(spark, d).select("src", "dst", masked.alias("expression")), columns)
+
+
+#: Lines with every kind of secret, placeholders, an ignored line and plain ones, made of customers' keys.
+_KEYS = "lpad(CAST(c_custkey AS VARCHAR), 8, '0')"
+_LINES = [
+    "id = AKIA{k}ABCDEFGH", "aws_secret_access_key = '{k}{k}{k}abcdEFGH/+=90123'", "token: ghp_{k}{k}{k}abcdefghijkl", "x glpat-{k}abcdef_-{k}", "slack xoxb-{k}-{k}", "LTAI{k}Abcd5678",
+    "-----BEGIN RSA PRIVATE KEY----- {k}", "eyJhbGci{k}.eyJzdWIi{k}.sig{k}", "db_password = \"p{k}\"", "password: 'changeme{k}'", "api_key = 'k{k}abcd-EFGH.12'", "see postgres://user:pw{k}@host/db",
+    "access_token: 'AKIA{k}ABCDEFGH'", "blob = 'q7Zp{k}XvB2mKtR9sLw'", "password = 'real{k}' # secretscan:ignore", "plain text of customer {k}",
+]
+SECRET_LINES = "sl AS (SELECT c_custkey, unnest([" + ", ".join("'" + x.replace("'", "''").replace("{k}", f"' || {_KEYS} || '") + "'" for x in _LINES) + f"]) AS x, unnest(range(1, {len(_LINES) + 1})) AS line FROM customer)"
+
+
+def secret_texts(spark, d):
+    k = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+    lines = []
+    for x in _LINES:
+        parts = x.split("{k}")
+        lines.append(F.concat(*[y for i, part in enumerate(parts) for y in ([F.lit(part)] if i == 0 else [k, F.lit(part)])]))
+    return S.table(spark, d, "customer").select("c_custkey", F.concat_ws("\n", *lines).alias("text"))
+
+
+def _sec_sql():
+    hits = []
+    for rule, severity, p, group in K.SECRETS:
+        pattern = p.replace("'", "''")
+        value = f"regexp_extract(x, '{pattern}', {group})"
+        bad = " OR ".join(f"contains(lower({value}), '{m}')" for m in K.PLACEHOLDERS)
+        hits.append(f"SELECT c_custkey, line, x, '{rule}' AS rule, '{severity}' AS severity, {value} AS v FROM open WHERE regexp_matches(x, '{pattern}')" + (f" AND NOT ({bad})" if group else ""))
+    entropy = K.ENTROPY_PATTERN.replace("'", "''")
+    bad = " OR ".join(f"contains(lower(v), '{m}')" for m in K.PLACEHOLDERS)
+    return f"""WITH {SECRET_LINES}, open AS (SELECT * FROM sl WHERE NOT contains(x, '{K.PRAGMA}')), h AS ({" UNION ALL ".join(hits)}), hi AS (SELECT DISTINCT c_custkey, line FROM h WHERE severity = 'high'),
+kept AS (SELECT h.* FROM h LEFT JOIN hi ON h.c_custkey = hi.c_custkey AND h.line = hi.line WHERE NOT (hi.line IS NOT NULL AND rule IN ('apikey_assign', 'password_assign'))),
+e AS (SELECT c_custkey, line, x, regexp_extract(x, '{entropy}', 1) AS v FROM open o WHERE regexp_matches(x, '{entropy}') AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.c_custkey = o.c_custkey AND k.line = o.line)),
+c AS (SELECT c_custkey, line, v, ch, count(*) AS n FROM (SELECT c_custkey, line, v, unnest(string_split(v, '')) AS ch FROM e) GROUP BY ALL), s AS (SELECT c_custkey, line, v, -sum(n / length(v) * log2(n / length(v))) AS bits FROM c GROUP BY ALL),
+r AS (SELECT c_custkey, line, 'high_entropy' AS rule, 'low' AS severity, v FROM s WHERE bits >= {K.ENTROPY_LEAST} AND CAST(regexp_matches(v, '[a-z]') AS INT) + CAST(regexp_matches(v, '[A-Z]') AS INT) + CAST(regexp_matches(v, '[0-9]') AS INT) >= 2 AND NOT ({bad}))
+SELECT c_custkey, CAST(line AS INTEGER) AS line, rule, severity, CASE WHEN length(v) <= 8 THEN substr(v, 1, 2) || '…' ELSE substr(v, 1, 4) || '…' || right(v, 2) END AS masked FROM (SELECT c_custkey, line, rule, severity, v FROM kept UNION ALL SELECT * FROM r)"""
+
+
+@query("sec_scan", _sec_sql())
+def sec_scan(spark, d):
+    """All rules on lines that hold every kind of secret."""
+    return K.secret_lines(secret_texts(spark, d), "c_custkey")
 
 
-@query("sec_scan", r"""WITH l AS (SELECT doc_id, unnest(string_split_regex(text, '\r\n|[\r\n]')) AS x FROM documents) SELECT rule, severity, count(*) AS n FROM (
-SELECT 'aws_access_key' AS rule, 'high' AS severity, x FROM l WHERE regexp_matches(x, '\bAKIA[0-9A-Z]{16}\b') UNION ALL
-SELECT 'password_assign', 'medium', x FROM l WHERE regexp_matches(x, '(?i)\b[\w.-]*(?:password|passwd|pwd)\s*[:=]\s*[''"]([^''"\s]{6,})[''"]') AND NOT regexp_matches(x, '\bAKIA[0-9A-Z]{16}\b')) GROUP BY 1, 2""")
-def sec_scan(spark, d):
-    found = K.secret_lines(S.table(spark, d, "documents"), "doc_id")
-    return found.filter("rule in ('aws_access_key', 'password_assign')").groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("n"))
+@query("sec_documents")
+def sec_documents(spark, d):
+    """All rules on every line of the documents."""
+    return K.secret_lines(X.spread(S.table(spark, d, "documents").select("doc_id", "text")), "doc_id")
 
 
 @query("sec_entropy")
 def sec_entropy(spark, d):
     """Random-looking assignments that no rule knows: entropy by higher-order functions."""
-    return K.secret_lines(S.table(spark, d, "documents"), "doc_id").filter("rule = 'high_entropy'")
+    return K.secret_lines(secret_texts(spark, d), "c_custkey").filter("rule = 'high_entropy'")
 
 
 @query("agg_entropy", """WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch FROM part), n AS (SELECT p_partkey, ch, count(*) AS k FROM c GROUP BY 1, 2) SELECT p_partkey, round(-sum(k / total * log2(k / total)), 6) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY p_partkey) AS total FROM n) GROUP BY 1""")
@@ -180,52 +222,49 @@ def txt_tokens(spark, d):
     return S.table(spark, d, "documents").select("doc_id", F.size(X.tokens(F.coalesce("text", F.lit("")))).cast("long").alias("n_tokens"))
 
 
-_QUERIES = [(1, "apache license version"), (2, "the idiot and the moron"), (3, "password secret token"), (4, "eauxpa èch une")]
-_BM = f"""{_POST}, q AS (SELECT DISTINCT id AS query_id, unnest(regexp_extract_all(lower(t), '([a-z0-9_]+)')) AS term FROM (VALUES {", ".join(f"({i}, '{t}')" for i, t in _QUERIES)}) v(id, t)), st AS (SELECT count(*) AS n, avg(length) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
-s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score FROM q JOIN p USING (term) JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY 1, 2)"""
+#: Queries are the whole texts of the documents whose id is divisible by 100.
+_BM = f"""{_POST}, q AS (SELECT DISTINCT doc_id AS query_id, term FROM p WHERE doc_id % 100 = 0), st AS (SELECT count(*) AS n, avg(length) AS mean FROM len), df AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+s AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * length / mean))), 6) AS score, count(*) AS terms FROM q JOIN p USING (term) JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY 1, 2)"""
 
 
-def ranked(spark, d, k):
-    docs = S.table(spark, d, "documents")
-    postings, lengths = X.inverted_index(docs, "doc_id")
-    return X.bm25(spark.createDataFrame(_QUERIES, "query_id int, query string"), postings, lengths, "doc_id", k)
+def asked(spark, d):
+    return S.table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("query"))
 
 
 @query("txt_bm25", f"WITH {_BM} SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 10")
 def txt_bm25(spark, d):
-    return ranked(spark, d, 10)
+    postings, lengths = X.inverted_index(S.table(spark, d, "documents"), "doc_id")
+    return X.bm25(asked(spark, d), postings, lengths, "doc_id", 10)
 
 
 @query("txt_near_dup")
 def txt_near_dup(spark, d):
-    return X.near_duplicates_by_terms(S.table(spark, d, "documents"), "doc_id")
+    """All documents; held against brute force in the tests."""
+    return X.near_duplicates(S.table(spark, d, "documents"), "doc_id")
 
 
-_COS = """e AS (SELECT vec_id, embedding FROM embeddings), q AS (SELECT vec_id AS q, embedding AS qe FROM embeddings WHERE vec_id < 3), c AS (SELECT q, vec_id, round(list_sum(list_transform(list_zip(embedding, qe), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(qe, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 5) AS score FROM e, q)"""
+_COS = """e AS (SELECT vec_id, embedding FROM embeddings), vq AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0), c AS (SELECT query_id, vec_id, round(list_sum(list_transform(list_zip(embedding, qe), lambda x: CAST(x[1] AS DOUBLE) * CAST(x[2] AS DOUBLE))) / (sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) * sqrt(list_sum(list_transform(qe, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))), 5) AS score FROM e, vq)"""
 
 
-@query("txt_vector", f"WITH {_COS} SELECT q, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS r FROM c) WHERE r <= 10")
+@query("txt_vector", f"WITH {_COS} SELECT query_id, vec_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM c) WHERE rank <= 10")
 def txt_vector(spark, d):
-    """Exact cosine of all vectors against a stated set of three queries, sent to every task."""
-    from pyspark.sql.window import Window
-
+    """Exact cosine of all vectors against those whose id is divisible by 100."""
     e = S.table(spark, d, "embeddings")
-    q = e.filter("vec_id < 3").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qe"))
-    c = e.join(F.broadcast(q)).select("q", "vec_id", F.round(X.cosine(F.col("embedding"), F.col("qe")), 5).alias("score"))
-    return c.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).filter("r <= 10").drop("r")
+    return X.top_cosine(e, e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "embedding")
 
 
-@query("txt_hybrid", f"""WITH {_BM}, b AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s) WHERE r <= 50),
-kw AS (SELECT query_id, doc_id, CAST(count(*) AS DOUBLE) AS score FROM q JOIN p USING (term) GROUP BY 1, 2), u AS (SELECT query_id, doc_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) * (0.3 / 0.7) AS part FROM b UNION ALL SELECT query_id, doc_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) * (0.4 / 0.7) FROM kw)
-SELECT query_id, doc_id, round(sum(part), 6) AS score FROM u GROUP BY 1, 2""")
+@query("txt_hybrid", f"""WITH {_BM}, {_COS.replace("vec_id", "doc_id").replace("doc_id AS query_id", "vec_id AS query_id").replace("SELECT doc_id, embedding FROM", "SELECT vec_id AS doc_id, embedding FROM").replace("WHERE doc_id %", "WHERE vec_id %")}, v AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM c) WHERE r <= 100),
+u AS (SELECT query_id, doc_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) * 0.3 AS part FROM s UNION ALL SELECT query_id, doc_id, terms / nullif(max(terms) OVER (PARTITION BY query_id), 0) * 0.4 FROM s UNION ALL SELECT query_id, doc_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) * 0.3 FROM v),
+f AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM u GROUP BY 1, 2)
+SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) WHERE rank <= 10""")
 def txt_hybrid(spark, d):
-    docs = S.table(spark, d, "documents")
-    postings, lengths = X.inverted_index(docs, "doc_id")
-    queries = spark.createDataFrame(_QUERIES, "query_id int, query string")
-    best = X.bm25(queries, postings, lengths, "doc_id", 50).select("query_id", "doc_id", "score")
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("query"), F.lit("([a-z0-9_]+)"), 1))).alias("term"))
-    keyword = postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return X.hybrid({"bm25": (best, 0.3), "keyword": (keyword, 0.4)}, ["query_id", "doc_id"])
+    """Keyword, BM25 (all scores) and the hundred nearest vectors of each query, where an embedding's id is that of its document."""
+    postings, lengths = X.inverted_index(S.table(spark, d, "documents"), "doc_id")
+    scores = X.settle(X.bm25_scores(asked(spark, d), postings, lengths, "doc_id"))
+    e = S.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
+    vectors = X.top_cosine(e, e.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), "doc_id", "embedding", 100).select("query_id", "doc_id", "score")
+    keyword = scores.select("query_id", "doc_id", F.col("terms").cast("double").alias("score"))
+    return X.best(X.hybrid({"bm25": (scores.select("query_id", "doc_id", "score"), 0.3), "keyword": (keyword, 0.4), "vector": (vectors, 0.3)}, ["query_id", "doc_id"]), "doc_id", 10)
 
 
 @query("txt_asset_search", """SELECT p_name AS table_name, CAST(max(CASE WHEN contains(p_name, 'widget') THEN 5 ELSE 0 END) + max(CASE WHEN contains(lower(p_type), 'economy') THEN 4 ELSE 0 END) + max(CASE WHEN contains(p_name, 'red') THEN 5 ELSE 0 END) AS BIGINT) AS score FROM part GROUP BY 1 HAVING score > 0""")
@@ -234,9 +273,13 @@ def txt_asset_search(spark, d):
     return X.search_catalog(parts, ["widget", "economy", "red"]).withColumn("score", F.col("score").cast("long"))
 
 
-@query("txt_value_hits", """SELECT 1 AS query_id, 'c_mktsegment' AS column_name, c_mktsegment AS v FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 3 UNION ALL SELECT 2, 'c_mktsegment', c_mktsegment FROM customer WHERE c_mktsegment = 'MACHINERY' GROUP BY 3""")
+@query("txt_value_hits", """WITH q AS (SELECT * FROM (VALUES (1, 'how many building customers, not buildings'), (2, 'machinery: share of orders'), (3, 'household''s and autos')) v(query_id, query) UNION ALL SELECT 100 + p_partkey, 'parts like ' || p_name || ' for ' || p_type FROM part),
+w AS (SELECT query_id, ' ' || array_to_string(regexp_extract_all(lower(query), '[a-z0-9_]+'), ' ') || ' ' AS line FROM q), i AS (SELECT DISTINCT 'c_mktsegment' AS column_name, c_mktsegment AS v FROM customer UNION SELECT DISTINCT 'p_type', p_type FROM part UNION SELECT DISTINCT 'p_brand', p_brand FROM part)
+SELECT CAST(query_id AS BIGINT) AS query_id, column_name, v FROM w JOIN i ON contains(line, ' ' || array_to_string(regexp_extract_all(lower(v), '[a-z0-9_]+'), ' ') || ' ')""")
 def txt_value_hits(spark, d):
-    from plumbline.operators.quality import domain_index
-
-    questions = spark.createDataFrame([(1, "how many building customers, not buildings"), (2, "machinery: share of orders"), (3, "household's and autos")], "query_id int, query string")
-    return X.value_hits(questions.filter("query_id < 3"), domain_index(S.table(spark, d, "customer")))
+    """A few questions and one for each part, against the values of three columns."""
+    few = spark.createDataFrame([(1, "how many building customers, not buildings"), (2, "machinery: share of orders"), (3, "household's and autos")], "query_id long, query string")
+    part, customer = S.table(spark, d, "part"), S.table(spark, d, "customer")
+    each = part.select((F.col("p_partkey") + 100).alias("query_id"), F.concat(F.lit("parts like "), "p_name", F.lit(" for "), "p_type").alias("query"))
+    values = [t.select(F.lit(c).alias("column_name"), F.col(c).alias("v")).distinct() for t, c in ((customer, "c_mktsegment"), (part, "p_type"), (part, "p_brand"))]
+    return X.value_hits(few.unionByName(each), values[0].unionByName(values[1]).unionByName(values[2]))

@@ -197,3 +197,48 @@ def test_cycle_samples_and_overlaps(spark):
     reads = spark.createDataFrame([(s, t) for t, own in {"p": "abcd", "q": "abc", "r": "abcde", "s": "xyz", "t": "abcd", "u": "axyz"}.items() for s in own], "src string, dst string")
     got = {(r.a, r.b): r.kind for r in G.overlapping_pipelines(reads).collect()}
     assert got == {("p", "q"): "superset", ("p", "r"): "subset", ("p", "t"): "equal", ("q", "r"): "subset", ("q", "t"): "subset", ("r", "t"): "superset", ("s", "u"): "subset"}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    import random
+    import re
+
+    rng = random.Random(7)
+    docs = []
+    for size in (3, 5, 9, 30, 80, 300):
+        base = [f"w{rng.randrange(400)}" for _ in range(size)]
+        for changes in (0, 0, 1, 2, 3, 6):
+            w = list(base)
+            for _ in range(changes):
+                w[rng.randrange(size)] = f"N{rng.randrange(400)}"
+            docs.append(" ".join(w))
+    line = " ".join(f"common{i}" for i in range(25))
+    docs += [f"{line} {' '.join(f'own{i}-{k}' for k in range(i % 9))}" for i in range(30)] + ["same text of some words"] * 60 + ["", " \n", None]
+    sets = []
+    for t in docs:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", (t or "").lower()) if x]
+        sets.append(frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    root = list(range(len(docs)))
+    for a in range(len(docs)):
+        for b in range(a + 1, len(docs)):
+            if (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and sets[a]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    df = spark.createDataFrame(list(enumerate(docs)), "id long, text string").repartition(3)
+    got = {r.id: r.class_id for r in texts.near_duplicates(df, "id").collect()}
+    assert got == dict(enumerate(root)) and 20 < len(set(root)) < 100
+    assert texts.near_duplicates(df.limit(0), "id").count() == 0
+
+
+def test_top_cosine_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(300, None), (301, [0.0] * 8), (302, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(4)
+    got = texts.top_cosine(df, df.filter("id % 10 = 0").withColumnRenamed("id", "query_id"), "id", "v", k=5, block=7).collect()
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    for q in range(0, 300, 10):
+        score = np.round(unit @ unit[q], 5)
+        want = sorted(range(300), key=lambda i: (-score[i], i))[:5]
+        assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+    assert {r.query_id for r in got} == set(range(0, 300, 10))
