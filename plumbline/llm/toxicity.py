@@ -33,6 +33,8 @@ FOLDS = 4
 #: Least log odds of an entry. Its log likelihood ratio must pass the logarithm of the number of
 #: features that were looked at (one of no meaning would by chance); repeats may fall short of it by some.
 LEAST_WEIGHT, REPEAT_SLACK = 1.5, 4.0
+#: Features that a task holds before it hands their counts on.
+HELD = 50_000
 BEGINNINGS = (3, 4, 5, 6, 7, 8, 9)
 # Words that are toxic before any label is seen, and phrases in which a word is not.
 WORDS = "idiot moron stupid scum loser trash pathetic worthless disgusting clown"
@@ -213,18 +215,29 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     names = [f"c{i}" for i in range(FOLDS * 4)]  # fold, toxic or not, once or repeated
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, list[int]] = {}
+        own: dict[str, bytearray] = {}
+        rows = 0
+
+        def flushed():
+            counts = np.frombuffer(b"".join(own.values()), np.uint8).reshape(len(own), len(names)).astype(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(list(own), pa.string())] + [pa.array(c) for c in counts.T], names=["feature", *names])
+
         for b in batches:
             for text, y, fold in zip(*(b.column(i).to_pylist() for i in range(3))):
                 at = 4 * fold + 2 * (1 if y else 0)
                 for feature, n in features(fold_line(text)).items():
-                    c = own.setdefault(feature, [0] * len(names))
+                    c = own.get(feature)
+                    if c is None:
+                        c = own[feature] = bytearray(len(names))
                     c[at] += 1
                     c[at + 1] += n > 1
-        keys = list(own)
-        for at in range(0, len(keys), 10_000):
-            part = keys[at : at + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string())] + [pa.array(c, pa.int64()) for c in zip(*map(own.get, part))], names=["feature", *names])
+                rows += 1
+                if rows == 255 or len(own) > HELD:  # a count fits in a byte
+                    yield flushed()
+                    own.clear()
+                    rows = 0
+        if own:
+            yield flushed()
 
     sizes = np.zeros((FOLDS, 2))
     for r in rows.groupBy("fold", (F.col("y") > 0).alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect():
@@ -256,8 +269,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*own)] + [b.column(1)], names=seen)
 
     seen = [f"s{i}" for i in range(len(signals(0.0, 0, "")))] + ["y"]
-    found = rows.mapInArrow(signalled, ", ".join(f"{n} double" for n in seen[:-1]) + ", y int").orderBy(*seen).collect()
-    table = np.array([tuple(r) for r in found], float)
+    found = rows.mapInArrow(signalled, ", ".join(f"{n} double" for n in seen[:-1]) + ", y int").collect()
+    table = np.array(sorted(tuple(r) for r in found), float)
     return Model(weights, fit_logistic(table[:, :-1], table[:, -1]).tolist())
 
 
