@@ -51,8 +51,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[float]
     """
     chosen = usable_labels(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     seen = docs.select("doc_id", *[c.alias(k) for k, c in features().items()]).join(F.broadcast(chosen), "doc_id")
-    seen = seen.groupBy("doc_id", "y").agg(F.min(F.struct(*FEATURES)).alias("f")).select("f.*", "y").orderBy(*FEATURES, "y")
-    rows = np.array([tuple(r) for r in seen.collect()], float)
+    seen = seen.groupBy("doc_id", "y").agg(F.min(F.struct(*FEATURES)).alias("f")).select("f.*", "y")
+    rows = np.array(sorted(tuple(r) for r in seen.collect()), float)
     if len(rows) < 2 or len(set(rows[:, -1])) < 2:
         return [0.0] * len(FEATURES) + [1.0]
     return fit_logistic(rows[:, :-1], rows[:, -1], ridge=0.1).tolist()
