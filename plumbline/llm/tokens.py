@@ -25,7 +25,7 @@ from .common import map_texts, read_table, vocabulary
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 #: Pieces that a task keeps; then it starts again with none.
-KEPT = 500_000
+KEPT = 200_000
 #: Bytes from which on a pre-token is merged by itself.
 LONG = 1024
 CUT = re.compile(r" (?<=\S )(?=\S)")
