@@ -17,13 +17,28 @@ NAMES = (
     ("bank_card", r"(^|_)(bank_?(card|acct|account)|card_?no|acct_?no|account_?no|iban)(_|$)"),
     ("passport", r"passport"),
     ("email", r"(^|_)e?mail(_?addr(ess)?)?(_|$)"),
-    ("person_name", r"(^|_)((user|real|full|cust(omer)?|contact|legal)_?name)(_|$)|(^|_)name(_|$)"),
+    ("person_name", r"(^|_)((user|real|full|cust(omer)?|contact|legal)_?name)(_|$)"),
     ("address", r"(^|_)(?<!ip_)(addr|address|home_?addr(ess)?|ship(ping)?_?addr(ess)?)(_|$)"),
     ("salary", r"(^|_)(salary|income|wage)(_|$)"),
     ("birthday", r"(^|_)(birth(day|date)?|date_?of_?birth|dob)(_|$)"),
     ("license_plate", r"(^|_)(license_?plate|plate_?no|car_?no)(_|$)"),
     ("ip_address", r"(^|_)(ip|ip_?addr(ess)?|client_?ip)(_|$)"),
 )
+WEAK_NAMES = (("person_name", r"(^|_)name(_|$)"),)
+# Words of a column's comment.
+COMMENTS = (
+    ("phone", ("手机", "电话", "联系方式")),
+    ("id_card", ("身份证", "证件号", "证件号码")),
+    ("bank_card", ("银行卡", "卡号", "银行账号")),
+    ("passport", ("护照",)),
+    ("email", ("邮箱", "电子邮件")),
+    ("person_name", ("姓名", "联系人")),
+    ("address", ("地址", "住址")),
+    ("salary", ("工资", "薪资", "薪酬", "收入")),
+    ("birthday", ("出生", "生日")),
+    ("license_plate", ("车牌",)),
+    ("ip_address", ("IP地址", "ip地址")),
+)
 SEVERITY = {"phone": "high", "id_card": "high", "bank_card": "high", "passport": "high", "ip_address": "low"}
 # Shapes of whole values, and the share of a column that must have one.
 SHAPES = (
@@ -66,16 +81,26 @@ PRAGMA = "secretscan:ignore"
 
 
 def category_of_name(name: str) -> str | None:
-    return next((c for c, p in NAMES if re.search(p, name.lower())), None)
+    return next((c for c, p in (*NAMES, *WEAK_NAMES) if re.search(p, name.lower())), None)
+
 
+def pii_by_name(df_catalog: DataFrame, extra: Sequence[tuple[str, str, str, str]] = ()) -> DataFrame:
+    """``table_name, column_name, category, severity`` of the catalog's columns whose names tell a category.
 
-def pii_by_name(df_catalog: DataFrame) -> DataFrame:
-    """``table_name, column_name, category, severity`` of the catalog's columns whose names tell a category."""
-    out, low = F.lit(None).cast("string"), F.lower("column_name")
-    for c, p in reversed(NAMES):
-        out = F.when(low.rlike(p), c).otherwise(out)
-    sev = F.when(out.isin(*[k for k, v in SEVERITY.items() if v == "high"]), "high").when(out == "ip_address", "low").otherwise("medium")
-    return df_catalog.select("table_name", "column_name", out.alias("category"), sev.alias("severity")).filter("category is not null")
+    ``extra`` has rules of one's own (category, severity, name pattern, words of the comment
+    joined by '|'), which come first. With a ``comment`` column, words of the comment count
+    where the name tells nothing, and a weak pattern (a bare 'name') only after both.
+    """
+    low = F.lower("column_name")
+    strong = [(F.lit(c), F.lit(sev), low.rlike(p)) for c, sev, p, _ in extra if p] + [(F.lit(c), None, low.rlike(p)) for c, p in NAMES]
+    weak = [(F.lit(c), None, low.rlike(p)) for c, p in WEAK_NAMES]
+    worded = []
+    if "comment" in df_catalog.columns:
+        words = [(c, sev, w) for c, sev, _, w in extra if w] + [(c, None, "|".join(w)) for c, w in COMMENTS]
+        worded = [(F.lit(c), F.lit(sev) if sev else None, F.coalesce(F.col("comment"), F.lit("")).rlike(w)) for c, sev, w in words]
+    known = lambda c: F.when(c.isin(*[k for k, v in SEVERITY.items() if v == "high"]), "high").when(c == "ip_address", "low").otherwise("medium")
+    hit = F.coalesce(*[F.when(on, F.struct(c.alias("category"), (known(c) if sev is None else sev).alias("severity"), F.lit(kind).alias("by"))) for kind, rules in (("name", strong), ("comment", worded), ("weak name", weak)) for c, sev, on in rules])
+    return df_catalog.select("table_name", "column_name", hit.alias("h")).filter("h is not null").select("table_name", "column_name", "h.category", "h.severity")
 
 
 def pii_by_value(df: DataFrame, columns: Sequence[str]) -> DataFrame:

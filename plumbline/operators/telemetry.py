@@ -244,23 +244,6 @@ def compaction(files: DataFrame, target_mb: int = 256) -> DataFrame:
     return small.join(F.broadcast(total)).select("table_name", "part", "files", "freed", share(F.col("freed"), F.col("__t")).alias("share"))
 
 
-def retention(parts: DataFrame, spare: int = 30) -> DataFrame:
-    """``table_name, ttl_days, expired, expired_size``: the oldest age at which a partition was read and 30 days, in steps of 30; what is older can go (``table_name, day, size, last_access``)."""
-    today = parts.agg(F.max(F.greatest("day", F.coalesce("last_access", "day"))).alias("today"))
-    x = parts.join(F.broadcast(today))
-    warm = x.groupBy("table_name").agg(F.coalesce(F.max(F.datediff("last_access", "day")), F.lit(0)).alias("w"))
-    ttl = F.greatest(F.lit(30), F.ceil((F.col("w") + spare) / 30) * 30).cast("long")
-    y = x.join(warm.withColumn("ttl_days", ttl), "table_name")
-    old = F.datediff("today", "day") > F.col("ttl_days")
-    return y.groupBy("table_name", "ttl_days").agg(F.count_if(old).alias("expired"), F.coalesce(F.sum(F.when(old, F.col("size"))), F.lit(0)).alias("expired_size"))
-
-
-def storage_actions(inventory: DataFrame) -> DataFrame:
-    """``table_name, action, size_gb``: tables of 100 GB that nobody read in 90 days, and tables of small files."""
-    cold = inventory.filter("size_gb >= 100 and access_cnt = 0 and idle_days > 90").select("table_name", F.lit("archive").alias("action"), "size_gb")
-    return cold.unionByName(inventory.filter("avg_file_mb < 32").select("table_name", F.lit("compact").alias("action"), "size_gb"))
-
-
 def asset_value(inventory: DataFrame) -> DataFrame:
     """``table_name, score, tier, quadrant`` by access, downstream tables and recency, against the median size."""
     recent = F.when(F.col("idle_days") <= 7, 20).when(F.col("idle_days") <= 30, 10).when(F.col("idle_days") <= 90, 5).otherwise(0)

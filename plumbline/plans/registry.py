@@ -7,12 +7,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FAMILIES = ("compare", "quality", "scans", "metrics", "texts", "graphs", "telemetry", "sources")
+FAMILIES = ("compare", "quality", "scans", "metrics", "texts", "graphs", "telemetry", "sources", "findings")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-_ORACLES: dict[str, str] = {}
+_ORACLES: dict[str, str | Callable[[], str]] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable:
+def query(name: str, sql: str | Callable[[], str] | None = None) -> Callable:
     """Registers a function of (spark, sf_dir) and the SQL that gives the same rows."""
 
     def put(f):
@@ -38,7 +38,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     _load()
-    return dict(_ORACLES)
+    return {name: oracle_of(name) for name in _ORACLES}
+
+
+def oracle_of(name: str) -> str:
+    sql = _ORACLES[name]
+    return sql if isinstance(sql, str) else sql()
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,27 +211,14 @@ def prt_compact(spark, d):
     return T.compaction(f)
 
 
-@query("prt_retention", f"""WITH {_PARTS}, a AS (SELECT *, CASE WHEN month(day) % 3 = 0 THEN CAST(day + CAST(40 + month(day) AS INTEGER) AS DATE) END AS la FROM pt), n AS (SELECT max(greatest(day, coalesce(la, day))) AS today FROM a), w AS (SELECT table_name, greatest(30, CAST(ceil((coalesce(max(la - day), 0) + 30) / 30.0) * 30 AS BIGINT)) AS ttl_days FROM a GROUP BY 1)
-SELECT table_name, ttl_days, count(*) FILTER (today - day > ttl_days) AS expired, CAST(coalesce(sum(size) FILTER (today - day > ttl_days), 0) AS BIGINT) AS expired_size FROM a JOIN w USING (table_name), n GROUP BY 1, 2""")
-def prt_retention(spark, d):
-    p = parts(spark, d)
-    access = F.when(F.month("day") % 3 == 0, F.date_add(F.col("day"), 40 + F.month("day")))
-    return T.retention(p.withColumn("last_access", access))
-
-
-_INV = "iv AS (SELECT p_brand AS table_name, CAST(sum(p_size) AS DOUBLE) AS size_gb, count(*) FILTER (p_size > 40) AS access_cnt, CAST(min(p_size) * 60 AS BIGINT) AS idle_days, count(DISTINCT p_type) AS downstream_cnt, CAST(avg(p_size) AS DOUBLE) AS avg_file_mb FROM part WHERE p_partkey % 9 = 0 OR p_brand < 'Brand#2' GROUP BY 1)"
+_INV = "iv AS (SELECT p_brand AS table_name, CAST(sum(p_size) AS DOUBLE) AS size_gb, count(*) FILTER (p_size > 40) AS access_cnt, CAST(min(p_size) * 60 AS BIGINT) AS idle_days, count(DISTINCT p_type) AS downstream_cnt, CAST(avg(p_size) AS DOUBLE) AS avg_file_mb FROM part GROUP BY 1)"
 
 
 def inventory(spark, d):
-    p = S.table(spark, d, "part").filter("p_partkey % 9 = 0 or p_brand < 'Brand#2'")
+    p = S.table(spark, d, "part")
     return p.groupBy(F.col("p_brand").alias("table_name")).agg(F.sum("p_size").cast("double").alias("size_gb"), F.count_if(F.col("p_size") > 40).alias("access_cnt"), (F.min("p_size") * 60).cast("long").alias("idle_days"), F.count_distinct("p_type").alias("downstream_cnt"), F.avg("p_size").alias("avg_file_mb"))
 
 
-@query("sto_actions", f"WITH {_INV} SELECT table_name, 'archive' AS action, size_gb FROM iv WHERE size_gb >= 100 AND access_cnt = 0 AND idle_days > 90 UNION ALL SELECT table_name, 'compact', size_gb FROM iv WHERE avg_file_mb < 32")
-def sto_actions(spark, d):
-    return T.storage_actions(inventory(spark, d))
-
-
 @query("ast_value", f"""WITH {_INV}, s AS (SELECT table_name, size_gb, round(least(50.0, 8 * log2(1 + access_cnt)) + least(30.0, 6.0 * downstream_cnt) + CASE WHEN idle_days <= 7 THEN 20 WHEN idle_days <= 30 THEN 10 WHEN idle_days <= 90 THEN 5 ELSE 0 END, 4) AS score FROM iv)
 SELECT table_name, score, CASE WHEN score >= 60 THEN 'core' WHEN score >= 35 THEN 'important' WHEN score >= 15 THEN 'normal' ELSE 'low' END AS tier, CASE WHEN score >= 35 THEN 'valued' ELSE 'plain' END || '-' || CASE WHEN size_gb > (SELECT median(size_gb) FROM s) THEN 'heavy' ELSE 'light' END AS quadrant FROM s""")
 def ast_value(spark, d):

@@ -54,21 +54,18 @@ def pii_by_value(spark, d):
     return K.pii_by_value(contacts(spark, d), ["phone", "id_no", "email", "card", "name"])
 
 
-@query("pii_by_name", "SELECT 'customer' AS table_name, 'name' AS column_name, 'person_name' AS category, 'medium' AS severity, (SELECT count(*) FROM customer) AS rows UNION ALL SELECT 'nation', 'name', 'person_name', 'medium', (SELECT count(*) FROM nation) UNION ALL SELECT 'supplier', 'phone_no', 'phone', 'high', (SELECT count(*) FROM supplier)")
-def pii_by_name(spark, d):
-    tables = {"customer": S.table(spark, d, "customer").withColumnsRenamed({"c_name": "name"}), "nation": S.table(spark, d, "nation").withColumnsRenamed({"n_name": "name"}), "supplier": S.table(spark, d, "supplier").withColumnsRenamed({"s_name": "phone_no"})}
-    catalog = spark.createDataFrame([(n, c) for n, t in tables.items() for c in t.columns], "table_name string, column_name string")
-    rows = None
-    for n, t in tables.items():
-        one = t.agg(F.lit(n).alias("table_name"), F.count(F.lit(1)).alias("rows"))
-        rows = one if rows is None else rows.unionByName(one)
-    return K.pii_by_name(catalog).join(rows, "table_name")
+_NAMED = [("phone", "mobile_no", "", "phone", "high"), ("weak", "name", "", "person_name", "medium"), ("comment", "name_2", "收货人电话", "phone", "high"), ("strong", "user_name", "身份证", "person_name", "medium"), ("own", "badge", "", "badge", "low"), ("none", "amount", "", None, None), ("ip", "ip_addr", "", "ip_address", "low")]
 
 
-_INSIDE = {"email": r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "phone": r"\b\d{3}[-.]?\d{3,4}[-.]?\d{4}\b", "id_number": r"\b\d{15,18}[xX]?\b", "credit_card": r"\b\d{4}[- ]?\d{4}[- ]?\d{4}[- ]?\d{4}\b"}
+@query("pii_by_name", "SELECT p_brand || '.' || kind AS table_name, column_name, category, severity FROM (SELECT DISTINCT p_brand FROM part), (VALUES " + ", ".join(f"('{k}', '{n}', '{c}', '{s}')" for k, n, _, c, s in _NAMED if c) + ") v(kind, column_name, category, severity)")
+def pii_by_name(spark, d):
+    """Seven columns for each brand: strong and weak names, words of comments, and a rule of one's own."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(n).alias("column_name"), F.lit(c).alias("comment")) for k, n, c, _, _ in _NAMED])).alias("x")
+    catalog = S.table(spark, d, "part").select("p_brand").distinct().select("p_brand", cells).select(F.concat_ws(".", "p_brand", "x.k").alias("table_name"), "x.column_name", "x.comment")
+    return K.pii_by_name(catalog, [("badge", "low", "^badge$", "")])
 
 
-@query("pii_any_value", " UNION ALL ".join(f"SELECT * FROM (SELECT 'text' AS column_name, '{k}' AS category, count(*) FILTER (regexp_matches(text, '{p}')) AS rows_hit, CAST(coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0) AS BIGINT) AS occurrences FROM documents) WHERE rows_hit > 0" for k, p in _INSIDE.items()))
+@query("pii_any_value", " UNION ALL ".join(f"SELECT * FROM (SELECT 'text' AS column_name, '{k}' AS category, count(*) FILTER (regexp_matches(text, '{p}')) AS rows_hit, CAST(coalesce(sum(len(regexp_extract_all(text, '{p}'))), 0) AS BIGINT) AS occurrences FROM documents) WHERE rows_hit > 0" for k, p in K.INSIDE))
 def pii_any_value(spark, d):
     return K.pii_inside(S.table(spark, d, "documents"), ["text"])
 
@@ -151,36 +148,46 @@ def _message(sql: bool):
     return F.concat(F.lit("worker "), s("user_id"), F.lit(" at 10.0."), (F.col("user_id") % 256).cast("string"), F.lit(".1:8080 failed reading /data/in/part-"), s("event_id"), F.lit(".csv after "), F.floor("value").cast("long").cast("string"), F.lit(" ms"))
 
 
-@query("log_template", "SELECT event_type, 'worker <N> at <ADDR> failed reading <PATH> after <N> ms' AS template, count(*) AS n FROM events GROUP BY 1")
+@query("log_template", f"""SELECT event_type, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({_message(True)}, '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}(?::\\d+)?\\b', '<ADDR>', 'g'), '(?:[\\\\/][\\w.$~-]+){{2,}}', '<PATH>', 'g'), '\\b\\d+\\b', '<N>', 'g'), '\\s+', ' ', 'g')) AS template, count(*) AS n FROM events GROUP BY ALL""")
 def log_template(spark, d):
     return S.table(spark, d, "events").groupBy("event_type", X.template(_message(False)).alias("template")).agg(F.count(F.lit(1)).alias("n"))
 
 
-#: Log lines made of events: an INFO line each, errors with an exception, a cause and frames; one file a user.
+#: Log lines made of events: an INFO line each, errors with an exception, a cause and frames that vary; one file a user.
 def log_lines(spark, d):
+    k, text = F.col("event_id"), lambda c: c.cast("string")
     e = S.table(spark, d, "events").withColumn("ts_text", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
-    kind = F.concat(F.lit("com.app.Type"), (F.col("event_id") % 3).cast("string"), F.lit("Exception"))
+    kind = F.concat(F.lit("com.app.Type"), text(k % 3), F.lit("Exception"))
+    cause = F.concat(F.lit("Caused by: java.io.Kind"), text(k % 4), F.lit("Error: disk "), text(k), F.when(k % 2 == 0, " full").otherwise(" is gone"))
+    frame = F.concat(F.lit("\tat com.app.Disk"), text(k % 2), F.lit(".write(Disk.java:"), text(k % 90), F.lit(")"))
+    level = F.when(k % 5 == 0, " WARN").otherwise(" ERROR")
+    head = F.concat("ts_text", level, F.lit(" [main] com.app.Job - task failed"))
     lines = F.when(
         F.col("event_type") == "error",
-        F.array(F.concat("ts_text", F.lit(" ERROR [main] com.app.Job - task failed")), F.concat(kind, F.lit(": "), _message(False)), F.lit("\tat com.app.Job.run(Job.java:10)"), F.lit("Caused by: java.io.IOException: disk 7 full"), F.lit("\tat com.app.Disk.write(Disk.java:5)")),
+        F.when(k % 7 == 0, F.array(F.concat("ts_text", level, F.lit(" [main] com.app.Job - lost part "), text(k)))).otherwise(F.array(head, F.concat(kind, F.lit(": "), _message(False)), F.lit("\tat com.app.Job.run(Job.java:10)"), cause, frame)),
     ).otherwise(F.array(F.concat("ts_text", F.lit(" INFO state changed to ERROR for "), F.col("event_type"))))
-    return e.select(F.concat(F.lit("user"), (F.col("user_id") % 50).cast("string")).alias("file"), "event_id", F.posexplode(lines).alias("i", "line")).select("file", (F.col("event_id") * 10 + F.col("i")).alias("n"), "line")
+    return e.select(F.concat(F.lit("user"), text(F.col("user_id") % 50)).alias("file"), "event_id", F.posexplode(lines).alias("i", "line")).select("file", (k * 10 + F.col("i")).alias("n"), "line")
+
+
+_EVENTS = """ev AS (SELECT 'user' || user_id % 50 AS file, event_id * 10 AS first_line, CASE WHEN event_id % 5 = 0 THEN 'WARN' ELSE 'ERROR' END AS level, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'java.io.Kind' || event_id % 4 || 'Error' END AS exception,
+CASE WHEN event_id % 7 = 0 THEN 'lost part ' || event_id ELSE 'disk ' || event_id || CASE WHEN event_id % 2 = 0 THEN ' full' ELSE ' is gone' END END AS message, CASE WHEN event_id % 7 = 0 THEN '' ELSE 'com.app.Disk' || event_id % 2 || '.write' END AS frame FROM events WHERE event_type = 'error'),
+et AS (SELECT *, regexp_replace(message, '\\b\\d+\\b', '<N>', 'g') AS template FROM ev), lc AS (SELECT exception, template, frame, min(level) AS level, count(*) AS n, count(DISTINCT file) AS files, min(ts) AS first_ts, max(ts) AS last_ts, min(message) AS sample FROM et GROUP BY 1, 2, 3)"""
 
 
-@query("log_events", """SELECT 'user' || user_id % 50 AS file, event_id * 10 AS first_line, 'ERROR' AS level, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, 'java.io.IOException' AS exception, 'disk 7 full' AS message, 'com.app.Disk.write' AS frame, 'disk <N> full' AS template FROM events WHERE event_type = 'error'""")
+@query("log_events", f"WITH {_EVENTS} SELECT * FROM et")
 def log_events(spark, d):
     return X.log_events(log_lines(spark, d))
 
 
-@query("log_cluster", """SELECT 'java.io.IOException' AS exception, 'disk <N> full' AS template, 'com.app.Disk.write' AS frame, 'ERROR' AS level, count(*) AS n, count(DISTINCT user_id % 50) AS files, min(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS first_ts, max(strftime(ts, '%Y-%m-%d %H:%M:%S')) AS last_ts, 'disk 7 full' AS sample FROM events WHERE event_type = 'error'""")
+@query("log_cluster", f"WITH {_EVENTS} SELECT * FROM lc")
 def log_cluster(spark, d):
     return X.log_clusters(X.log_events(log_lines(spark, d)))
 
 
-KB = [(1, "disk_full", "high", "(?i)disk .* full"), (2, "memory", "high", "(?i)outofmemory"), (3, "io", "mid", "IOException")]
+KB = [(1, "disk_full", "high", "(?i)disk .* full"), (2, "memory", "high", "(?i)outofmemory"), (3, "io", "mid", "java.io.Kind[01]Error")]
 
 
-@query("log_diagnose", "SELECT 'disk_full' AS problem, 'high' AS severity, count(*) AS n, CAST(1 AS BIGINT) AS clusters FROM events WHERE event_type = 'error'")
+@query("log_diagnose", f"WITH {_EVENTS} SELECT CASE WHEN template LIKE '%full' THEN 'disk_full' WHEN regexp_matches(exception, 'Kind[01]') THEN 'io' ELSE 'unknown' END AS problem, CASE WHEN template LIKE '%full' THEN 'high' WHEN regexp_matches(exception, 'Kind[01]') THEN 'mid' ELSE 'low' END AS severity, CAST(sum(n) AS BIGINT) AS n, count(*) AS clusters FROM lc GROUP BY 1, 2")
 def log_diagnose(spark, d):
     kb = spark.createDataFrame(KB, "rank int, problem string, severity string, pattern string")
     return X.diagnose(X.log_clusters(X.log_events(log_lines(spark, d))), kb)
