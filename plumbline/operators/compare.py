@@ -180,7 +180,8 @@ def chunked_diff(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str], r
 
     The key's bounds and the row count (one scan of the key column) fix the width of the
     chunks. Digests shuffle one row per chunk and task; the second phase reads only key
-    ranges that differ by a semi-join on the chunk, so that its cost follows the damage.
+    ranges that differ by a semi-join on the chunk, so that its cost follows the damage. Rows
+    without a key are held against each other as a bag of digests, in chunk -1.
     """
     low, high, n = a.select(key).unionAll(b.select(key)).agg(F.min(key), F.max(key), F.count(key)).first()
     if low is None:
@@ -197,7 +198,14 @@ def chunked_diff(a: DataFrame, b: DataFrame, key: str, columns: Sequence[str], r
 
     found = side(a, "da").join(side(b, "db"), ["chunk", "key"], "full")
     kind = F.when(F.col("db").isNull(), "only_a").when(F.col("da").isNull(), "only_b").when(F.col("da") != F.col("db"), "changed")
-    return found.withColumn("change", kind).filter("change is not null").select("chunk", "key", "change")
+    keyed = found.withColumn("change", kind).filter("change is not null").select("chunk", "key", "change")
+
+    def bare(d: DataFrame, name: str) -> DataFrame:
+        return d.filter(F.col(key).isNull()).groupBy(row_digest(columns).alias("d")).agg(F.count(F.lit(1)).alias(name))
+
+    bags = bare(a, "na").join(bare(b, "nb"), "d", "full").select((F.coalesce("na", F.lit(0)) - F.coalesce("nb", F.lit(0))).alias("more")).filter("more <> 0")
+    each = bags.select(F.explode(F.array_repeat(F.when(F.col("more") > 0, "only_a").otherwise("only_b"), F.abs("more").cast("int"))).alias("change"))
+    return keyed.unionByName(each.select(F.lit(-1).cast("long").alias("chunk"), F.lit(None).cast(keyed.schema["key"].dataType).alias("key"), "change"))
 
 
 def partition_diff(a: DataFrame, b: DataFrame, partition: Column) -> DataFrame:

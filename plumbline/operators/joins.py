@@ -112,15 +112,16 @@ def ratio_join(denominator: DataFrame, numerator: DataFrame, on: Sequence[str],
     return denominator.join(n, cond, "left").select(*on, "num", "den", (F.col("num") * F.lit(1.0) / F.nullif(F.col("den"), F.lit(0))).alias("ratio"))
 
 
-def hot_key_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence, how: str = "inner") -> DataFrame:
-    """A join whose named hot keys meet a broadcast of their few right rows, the rest by a shuffle; null keys stay with the rest.
+def hot_key_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence, how: str = "inner", rows: int = 1_000_000) -> DataFrame:
+    """A join whose named hot keys meet their right rows in every task, the rest by a shuffle; null keys stay with the rest.
 
-    ``hot`` is what a probe found; the right side of those keys is what is sent to all tasks,
-    so it is meant for right sides with few rows a key.
+    ``hot`` is what a probe found. The right rows of those keys are counted: up to ``rows`` they
+    are sent to all tasks, beyond that the hot keys are joined by the adaptive skew join.
     """
     is_hot = F.coalesce(F.col(key).isin(*hot), F.lit(False))
-    warm = left.filter(is_hot).join(F.broadcast(right.filter(F.col(key).isin(*hot))), key, how)
-    return warm.unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, how))
+    few = right.filter(F.col(key).isin(*hot))
+    few = F.broadcast(few) if few.count() <= rows else few
+    return left.filter(is_hot).join(few, key, how).unionByName(left.filter(~is_hot).join(right.filter(~is_hot), key, how))
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, row: str) -> DataFrame:

@@ -299,20 +299,22 @@ def plan_mock(df: DataFrame, columns: Sequence[str], most: int = 20) -> list[Col
     types = {f.name: f.dataType for f in df.schema.fields}
     counts = value_counts(df, columns)
     p = {r.column_name: r for r in profile(df, columns, counts).collect()}  # one row for each column
+    dates = [c for c in columns if isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType))]
+    few = [c for c in columns if c not in dates and not isinstance(types[c], T.NumericType) and p[c].ndv <= most]
+    number = {c: F.unix_date(F.to_date(c)) if c in dates else F.length(F.col(c).cast("string")) for c in columns if c not in few and not isinstance(types[c], T.NumericType)}
+    bounds = df.agg(F.count(F.lit(1)), *[f(x).alias(f"{c}|{n}") for c, x in number.items() for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    top: dict[str, list] = {c: [] for c in few}
+    for r in counts.filter(F.col("column_name").isin(*few) & F.col("v").isNotNull()).orderBy("column_name", "v").collect() if few else ():  # at most `most` for each column
+        top[r.column_name].append((r.v, r.n))
     for c in columns:
         r, nulls = p[c], p[c].null_pct / 100
         if isinstance(types[c], T.NumericType):
             whole = isinstance(types[c], T.IntegralType)
             made.append(Column_(c, "sequence" if whole and r.unique_pct == 100 else "int" if whole else "float", r.min_num or 0, r.max_num or 0, null_rate=nulls))
-        elif isinstance(types[c], (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            lo, hi = df.agg(F.min(F.unix_date(F.to_date(c))), F.max(F.unix_date(F.to_date(c)))).first()
-            made.append(Column_(c, "date", lo or 0, hi or 0, null_rate=nulls))
-        elif r.ndv <= most:
-            top = counts.filter((F.col("column_name") == c) & F.col("v").isNotNull()).orderBy("v").limit(most).collect()
-            made.append(Column_(c, "enum", values=tuple(x.v for x in top), weights=tuple(x.n for x in top), null_rate=nulls))
+        elif c in few:
+            made.append(Column_(c, "enum", values=tuple(v for v, _ in top[c]), weights=tuple(n for _, n in top[c]), null_rate=nulls))
         else:
-            lo, hi = df.agg(F.min(F.length(c)), F.max(F.length(c))).first()
-            made.append(Column_(c, "text", lo or 0, hi or 0, null_rate=nulls))
+            made.append(Column_(c, "date" if c in dates else "text", bounds[f"{c}|lo"] or 0, bounds[f"{c}|hi"] or 0, null_rate=nulls))
     return made
 
 

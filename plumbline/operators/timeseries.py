@@ -115,15 +115,15 @@ def forecast(s: DataFrame, by: str, horizon: int = 7, calendar: pd.DataFrame | N
     return narrow.groupBy(by).applyInPandas(one, f"`{by}` {kind}, day string, forecast double, low double, high double")
 
 
-def model_backtest(s: DataFrame, by: str, days: int = 365, day: str = "day", value: str = "value") -> DataFrame:
-    """``by, days, outside``: how many of the last days lie outside of the 95 % band of a model fitted on what came before them."""
+def model_backtest(s: DataFrame, by: str, days: int = 365, day: str = "day", value: str = "value", history: int = 56) -> DataFrame:
+    """``by, days, outside``: how many of the last days lie outside of the 95 % band of a model fitted on the ``history`` points before each."""
 
     def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.dropna().sort_values("d")
         d, v = pdf["d"].to_numpy(np.int64), pdf["v"].to_numpy(float)
         seen = outside = 0
         for i in range(max(14, len(d) - days), len(d)):
-            lo = max(0, i - 56)
+            lo = max(0, i - history)
             slope, intercept, weekday, _, sigma = fit_ols(d[lo:i], v[lo:i], True)
             y = slope * (d[i] - d[lo]) + intercept + weekday[(d[i] + 3) % 7]
             seen += 1

@@ -131,13 +131,14 @@ def through(spark, stream, mode="append"):
     return spark.read.schema(stream.schema).parquet(f"{out}/rows")
 
 
-@query("wm_apply")
+@query("wm_apply", "WITH w AS (SELECT date_trunc('hour', ts) AS s, event_type, count(*) AS n FROM events GROUP BY 1, 2), m AS (SELECT max(ts) - INTERVAL 2 MINUTE AS mark FROM events) SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM w, m WHERE s + INTERVAL 1 HOUR <= mark")
 def wm_apply(spark, d):
     """Hourly counts behind the measured bound; the last windows stay open until later events come."""
     return through(spark, W.tumbling(event_stream(spark, d), "ts", "2 minutes", "1 hour", ("event_type",))).withColumn("start", F.col("start").cast("string"))
 
 
-@query("wm_sessions")
+@query("wm_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g),
+s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS z, count(*) AS n FROM r GROUP BY user_id, k), m AS (SELECT max(ts) - INTERVAL 2 MINUTE AS mark FROM events) SELECT user_id, rtrim(rtrim(strftime(a, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS start, rtrim(rtrim(strftime(z, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS finish, n FROM s, m WHERE z <= mark""")
 def wm_sessions(spark, d):
     return through(spark, W.sessions(event_stream(spark, d), "ts", "2 minutes", "30 minutes", "user_id")).withColumns({c: F.col(c).cast("string") for c in ("start", "finish")})
 
@@ -149,6 +150,6 @@ def wm_late_rows(spark, d):
     return through(spark, tagged.filter("late").select("event_id", "late"))
 
 
-@query("wm_alert_memory")
+@query("wm_alert_memory", "WITH f AS (SELECT event_type, value, value > 90 AS up, coalesce(lag(value > 90) OVER (PARTITION BY event_type ORDER BY event_id), false) AS was FROM events) SELECT event_type, CAST(value AS DOUBLE) AS value, CASE WHEN up THEN 'raised' ELSE 'recovered' END AS kind FROM f WHERE up <> was")
 def wm_alert_memory(spark, d):
-    return through(spark, W.remembered_alerts(event_stream(spark, d), "event_type", "value", 90.0))
+    return through(spark, W.remembered_alerts(event_stream(spark, d), "event_type", "value", 90.0, "event_id"))

@@ -43,25 +43,25 @@ def split_late(stream: DataFrame, event: str, arrival: str, bound_s: int, on_tim
     return stream.writeStream.foreachBatch(batch)
 
 
-def remembered_alerts(stream: DataFrame, by: str, value: str, threshold: float) -> DataFrame:
+def remembered_alerts(stream: DataFrame, by: str, value: str, threshold: float, order: str) -> DataFrame:
     """``by, value, kind``: 'raised' when a value crosses the threshold, 'recovered' when it returns; nothing in between.
 
-    The state of a key is one flag; rows of a key within a batch are taken in their order.
+    The state of a key is one flag; rows of a key within a micro-batch are taken by ``order``.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         on = state.get[0] if state.exists else False
         out = []
-        for pdf in frames:
-            for v in pdf["v"]:
-                if (v > threshold) != on:
-                    on = v > threshold
-                    out.append((key[0], float(v), "raised" if on else "recovered"))
+        rows = pd.concat(list(frames), ignore_index=True).sort_values("o", kind="stable")
+        for v in rows["v"]:
+            if (v > threshold) != on:
+                on = v > threshold
+                out.append((key[0], float(v), "raised" if on else "recovered"))
         state.update((on,))
         yield pd.DataFrame(out, columns=[by, "value", "kind"])
 
     kind = stream.schema[by].dataType.simpleString()
-    narrow = stream.select(by, F.col(value).cast("double").alias("v"))
+    narrow = stream.select(by, F.col(value).cast("double").alias("v"), F.col(order).alias("o"))
     return narrow.groupBy(by).applyInPandasWithState(step, f"`{by}` {kind}, value double, kind string", "on boolean", "append", GroupStateTimeout.NoTimeout)
 
 

@@ -242,3 +242,46 @@ def test_top_cosine_in_blocks(spark):
         want = sorted(range(300), key=lambda i: (-score[i], i))[:5]
         assert [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
     assert {r.query_id for r in got} == set(range(0, 300, 10))
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_samples_and_sketches_of_the_tables(spark):
+    from plumbline.plans import registry
+
+    q = {n: registry.queries()[n](spark, SF) for n in ("smp_head", "smp_random", "smp_percent", "smp_percent_by_key", "agg_approx_ndv", "src_catalog", "met_backtest_model")}
+    orders, lines = tables.table(spark, SF, "orders"), tables.table(spark, SF, "lineitem")
+    assert q["smp_head"].count() == 100 == q["smp_head"].join(orders, "o_orderkey", "left_semi").count()
+    first, second = ({r.o_orderkey for r in registry.queries()["smp_random"](spark, SF).collect()} for _ in range(2))
+    assert len(first) == 100 and first == second and q["smp_random"].join(orders, "o_orderkey", "left_semi").count() == 100
+    n = q["smp_percent"].count()
+    assert 0.07 * lines.count() < n < 0.13 * lines.count() and q["smp_percent"].exceptAll(lines.select(*q["smp_percent"].columns)).count() == 0
+    n, whole = q["smp_percent_by_key"].count(), orders.count()
+    assert 0 < n < whole and q["smp_percent_by_key"].exceptAll(orders.select(*q["smp_percent_by_key"].columns)).count() == 0
+    exact = {r.l_returnflag: r.n for r in lines.groupBy("l_returnflag").agg(F.count_distinct("l_partkey").alias("n")).collect()} | {"all": lines.select("l_partkey").distinct().count()}
+    got = {r.l_returnflag: r.parts for r in q["agg_approx_ndv"].collect()}
+    assert set(got) == set(exact) and all(abs(got[k] - n) <= 0.1 * n for k, n in exact.items())
+    catalog = q["src_catalog"].collect()
+    assert {r.table_name: r.rows for r in catalog}["orders"] == orders.count()
+    assert {r.column_name for r in catalog if r.table_name == "orders"} == set(orders.columns)
+    assert all(0 < r.days <= 60 and r.outside <= r.days / 2 for r in q["met_backtest_model"].collect())
+
+
+def test_backtest_of_a_series_that_a_model_explains(spark):
+    rows = [("m", dt.date(2024, 1, 1) + dt.timedelta(days=i), 10.0 + 0.5 * i + (3.0 if i % 7 == 0 else 0.0) + 0.01 * ((i * 7919) % 5)) for i in range(120)]
+    rows[110] = ("m", rows[110][1], rows[110][2] + 500.0)
+    got = timeseries.model_backtest(spark.createDataFrame(rows, "metric string, day date, value double"), "metric", 20).first()
+    assert got.days == 20 and 1 <= got.outside <= 4
+
+
+def test_chunked_comparison_of_rows_without_a_key(spark):
+    a = spark.createDataFrame([(1, "x"), (None, "p"), (None, "p"), (None, "q")], "k long, v string")
+    b = spark.createDataFrame([(1, "y"), (None, "p"), (None, "r")], "k long, v string")
+    got = sorted((r.chunk, r.key or 0, r.change) for r in compare.chunked_diff(a, b, "k", ["v"]).collect())
+    assert got == [(-1, 0, "only_a"), (-1, 0, "only_a"), (-1, 0, "only_b"), (0, 1, "changed")]
+
+
+def test_names_by_comments_and_weak_names(spark):
+    c = spark.createDataFrame([("t", "mobile", ""), ("t", "name", "电话"), ("t", "name", None), ("t", "x", None)], "table_name string, column_name string, comment string")
+    assert sorted((r.column_name, r.category) for r in masking.pii_by_name(c).collect()) == [("mobile", "phone"), ("name", "person_name"), ("name", "phone")]
