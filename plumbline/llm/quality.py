@@ -1,6 +1,6 @@
 """Quality classifier: document evidence combined with site and path posteriors by hierarchical empirical Bayes.
 
-A logistic model over a few counts of the text gives each document its evidence. Sites and
+A logistic model over some counts of the text gives each document its evidence. Sites and
 paths get beta posteriors of their documents' quality, each level shrunk toward the one above
 (path to site, site to all) by a strength of the level, which the method of moments takes from
 how much its parts differ; a sparse site so stays near the global rate. A document's score adds to its own log
@@ -20,11 +20,13 @@ from .toxicity import fit_logistic, held_out
 
 #: Labelled rows that the document model is fitted on, at most: those with the smallest hash of doc_id.
 SAMPLE = 12_000
-FEATURES = ("noise", "capitals", "marks", "bars", "repeats", "length")
+FEATURES = ("noise", "capitals", "marks", "bars", "repeats", "again", "length")
+#: A word that is followed by itself.
+AGAIN = r"(?<!\S)(\S++)\s++(?=\1(?!\S))"
 
 
 def features(text: str = "text") -> dict[str, Column]:
-    """What the document model sees: shares of odd signs, capitals, marks, bars and repeated lines, and the length."""
+    """What the document model sees: shares of odd signs, capitals, marks, bars, repeated lines and words that follow themselves, and the length."""
     whole = whole_text(text)
     size = F.length(whole) + F.lit(1.0)
     lines = F.split(whole, "\n")
@@ -34,6 +36,7 @@ def features(text: str = "text") -> dict[str, Column]:
         "marks": F.regexp_count(whole, F.lit(r"[!?]{2,}")) / size * 10,
         "bars": F.regexp_count(whole, F.lit(r"[|]")) / size * 10,
         "repeats": 1.0 - F.size(F.array_distinct(lines)) / F.size(lines),
+        "again": F.regexp_count(whole, F.lit(AGAIN)) / size * 10,
         "length": F.log(size) / 10,
     }
 
