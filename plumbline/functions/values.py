@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .durable import settle
+
 # Texts that stand for null, after trimming and lower case.
 NULL_TOKENS = ("", "null", "none", "nan", "n/a", "na", "\\n")
 # Kinds of text, the first that matches wins ('0' and '1' are integers).
@@ -77,12 +79,22 @@ def share(part: Column, whole: Column) -> Column:
 def nearest_rank(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], rule: str = "round") -> DataFrame:
     """``by`` and one column for each quantile: the value of rank round-half-even(q*(n-1)), or floor(q*n) with rule 'floor'.
 
-    Values are counted first, so that what is sorted is the distinct values of a group and a
-    hot value is one row; without ``by`` the distinct values of all rows meet in one task.
+    Values are counted first, so that a hot value is one row. The counts are dealt to ranges of
+    (group, value); each range is summed up by itself and moved by what stands before it, so that
+    no task sorts a group's values alone.
     """
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    group = Window.partitionBy(*(list(by) or [F.lit(0)]))
-    ranked = counts.withColumn("__upto", F.sum("__c").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(group))
+    ranged = settle(counts.repartitionByRange(*by, "__v").withColumn("__part", F.spark_partition_id()))
+    parts = ranged.groupBy(*by, "__part").agg(F.sum("__c").alias("__own"))
+    group = Window.partitionBy(*(list(by) or [F.lit(0)]))  # of parts: a row for each range of a group
+    earlier = F.sum("__own").over(group.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__own")
+    keys = [F.col(c).alias(f"__k{i}") for i, c in enumerate(by)]
+    before = parts.select(*keys, F.col("__part").alias("__p"), earlier.alias("__before"), F.sum("__own").over(group).alias("__n"))
+    same = F.col("__part") == F.col("__p")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    local = Window.partitionBy(*by, "__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranged.withColumn("__upto", F.sum("__c").over(local)).join(before, same).withColumn("__upto", F.col("__upto") + F.col("__before"))
 
     def index(q: float) -> Column:
         return F.bround(F.lit(q) * (F.col("__n") - 1)) if rule == "round" else F.least(F.floor(F.lit(q) * F.col("__n")), F.col("__n") - 1)

@@ -9,30 +9,19 @@ doubling first, so that a chain costs rounds by the logarithm of its length.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.durable import settle
 from plumbline.functions.values import share
 
 #: Hops of a round, rounds after which what was found is written anew, and rows that a round may send to all tasks.
 HOPS, ROUNDS, FRONT = 3, 16, 200_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows in the checkpoint folder that the cluster names; one of this machine only where Spark runs on this machine alone."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-graphs-"))
-    return df.checkpoint(eager=True)
-
-
 def near(df: DataFrame, rows: int) -> DataFrame:
     """A frontier of a counted number of rows, sent to all tasks if it is small."""
     return F.broadcast(df) if rows <= FRONT else df

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graphs import settle
+from plumbline.functions.durable import settle
 
 # Categories of column names; the first that matches wins. A weak pattern counts after the strong ones.
 NAMES = (

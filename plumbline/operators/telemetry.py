@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from plumbline.functions.durable import settle
 from plumbline.functions.values import nearest_rank, share
 
 from . import graphs as G
@@ -178,7 +179,7 @@ def sla_board(runs: DataFrame) -> DataFrame:
 def critical_run(tasks: DataFrame, goal: str) -> DataFrame:
     """``step, task, start, finish, wait``: from the goal back through the dependency that finished last (``task, start, finish, deps``)."""
     deps = tasks.select("task", F.explode("deps").alias("dep")).join(tasks.select(F.col("task").alias("dep"), F.col("finish").alias("f")), "dep")
-    blocker = G.settle(deps.groupBy("task").agg(F.max_by("dep", F.struct("f", "dep")).alias("dep"), F.max("f").alias("f")))
+    blocker = settle(deps.groupBy("task").agg(F.max_by("dep", F.struct("f", "dep")).alias("dep"), F.max("f").alias("f")))
     path = G.follow(blocker.select(F.col("task").alias("node"), F.col("dep").alias("to")), goal)
     run = path.select("step", F.col("node").alias("task")).join(tasks.select("task", "start", "finish"), "task").join(blocker.select("task", "f"), "task", "left")
     return run.select(F.col("step").cast("int").alias("step"), "task", "start", "finish", (F.col("start") - F.col("f")).alias("wait"))
