@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.functions.durable import settle as durable
+from plumbline.functions.durable import shared_folder
+
+__all__ = ["automaton", "durable", "map_texts", "near", "phrase", "read_table", "shared_folder", "spaced", "vocabulary", "whole_text", "word_bytes"]
+
 #: Rows that a task holds as Python objects at a time.
 ROWS_AT_ONCE = 1000
 
@@ -62,22 +66,6 @@ def map_texts(docs: DataFrame, keep: Sequence[str], schema: str, build: Callable
     return narrow.mapInArrow(run, f"{fields}, {schema}" if fields else schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; one of this machine only where Spark runs on this machine alone."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
-    return named or tempfile.mkdtemp(prefix="plumbline-checkpoint-")
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder: later reads neither compute again nor depend on an executor."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 #: Rows of ids or fingerprints that are sent to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

@@ -1,35 +1,5 @@
-"""Connected components of an edge table by alternating large-star and small-star rounds."""
+"""Connected components of an edge table."""
 
-from __future__ import annotations
+from plumbline.operators.graphs import components as connected
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import durable
-
-ROUNDS = 60
-
-
-def connected(edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``node, root`` for each node of ``edges(a, b)`` that is not its component's smallest; roots are those smallest nodes.
-
-    Nodes are of any type that has an order; a struct makes the root the smallest by its fields.
-    Every round is two joins on a node with its smallest neighbour, pre-aggregated before
-    each shuffle, and is written to the checkpoint folder. Hot nodes are split by the
-    adaptive skew join, for nothing above the joins needs a key's rows together.
-    """
-    now = durable(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    seen = None
-    for _ in range(rounds):
-        mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark[0] == 0 or mark == seen:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = mark
-        both = now.union(now.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        met = large.join(low, F.col("a") == F.col("k"))
-        pairs = met.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        now = durable(pairs.select("e.a", "e.b").filter("a <> b").distinct())
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
+__all__ = ["connected"]
