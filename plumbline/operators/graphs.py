@@ -27,17 +27,16 @@ def near(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= FRONT else df
 
 
-def _reach(steps: DataFrame, front: DataFrame, depth: int | None) -> DataFrame:
-    """``by..., node, hop``: what ``steps(by..., __from, node)`` reach from ``front(by..., root, node)``, with the least number of hops."""
-    by = [c for c in steps.columns if c not in ("__from", "node")]
-    key = [*by, "root", "node"]
-    seen = settle(front.distinct().withColumn("hop", F.lit(0)))
+def _reach(steps: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
+    """``root, node, hop``: what ``steps(__from, node)`` reach from ``roots(root)``, with the least number of hops."""
+    key = ["root", "node"]
+    seen = settle(roots.select("root", F.col("root").alias("node")).distinct().withColumn("hop", F.lit(0)))
     front, done, rounds = seen, 0, 0
     while (rows := front.count()) and (depth is None or done < depth):
         hops = HOPS if depth is None else min(HOPS, depth - done)
         now, layers = near(front.select(key), rows), []
         for k in range(1, hops + 1):
-            now = now.withColumnRenamed("node", "__from").join(steps, [*by, "__from"]).select(key).distinct()
+            now = now.withColumnRenamed("node", "__from").join(steps, "__from").select(key).distinct()
             layers.append(now.withColumn("hop", F.lit(done + k)))
         found = layers[0]
         for layer in layers[1:]:
@@ -55,13 +54,19 @@ def _reach(steps: DataFrame, front: DataFrame, depth: int | None) -> DataFrame:
 def trace(edges: DataFrame, roots: DataFrame, depth: int | None = 10, direction: str = "down") -> DataFrame:
     """``root, node, hop``: what is reached from each root (``root``), with the least number of hops; upstream hops are negative.
 
-    ``direction`` is down, up or both; ``depth`` None goes as far as there are edges.
+    ``direction`` is down, up or both; ``depth`` None goes as far as there are edges. The edges
+    are kept in memory while the loop runs; what it returns is written.
     """
-    e = edges.select("src", "dst").distinct()
-    down, up = e.select(F.lit(1).alias("sign"), F.col("src").alias("__from"), F.col("dst").alias("node")), e.select(F.lit(-1).alias("sign"), F.col("dst").alias("__from"), F.col("src").alias("node"))
-    steps, signs = {"down": (down, [1]), "up": (up, [-1]), "both": (down.unionByName(up), [1, -1])}[direction]
-    front = roots.select(F.explode(F.array(*map(F.lit, signs))).alias("sign"), "root", F.col("root").alias("node"))
-    return _reach(settle(steps), front, depth).select("root", "node", (F.col("sign") * F.col("hop")).cast("int").alias("hop"))
+    e, out = edges.select("src", "dst").persist(), None
+    try:
+        for way, a, b, sign in (("down", "src", "dst", 1), ("up", "dst", "src", -1)):
+            if direction in (way, "both"):
+                found = _reach(e.select(F.col(a).alias("__from"), F.col(b).alias("node")), roots, depth)
+                found = found.select("root", "node", (F.lit(sign) * F.col("hop")).cast("int").alias("hop"))
+                out = found if out is None else out.unionByName(found)
+    finally:
+        e.unpersist()
+    return out
 
 
 def both_ways(edges: DataFrame, roots: DataFrame, depth: int | None = 10) -> DataFrame:

@@ -121,7 +121,7 @@ SELECT c_custkey, CAST(line AS INTEGER) AS line, rule, severity, CASE WHEN lengt
 @query("sec_scan", _sec_sql())
 def sec_scan(spark, d):
     """All rules on lines that hold every kind of secret."""
-    return K.secret_lines(secret_texts(spark, d), "c_custkey")
+    return K.secret_lines(X.spread(secret_texts(spark, d)), "c_custkey")
 
 
 @query("sec_documents")
@@ -133,7 +133,7 @@ def sec_documents(spark, d):
 @query("sec_entropy")
 def sec_entropy(spark, d):
     """Random-looking assignments that no rule knows: entropy by higher-order functions."""
-    return K.secret_lines(secret_texts(spark, d), "c_custkey").filter("rule = 'high_entropy'")
+    return K.secret_lines(X.spread(secret_texts(spark, d)), "c_custkey").filter("rule = 'high_entropy'")
 
 
 @query("agg_entropy", """WITH c AS (SELECT p_partkey, unnest(string_split(p_name, '')) AS ch FROM part), n AS (SELECT p_partkey, ch, count(*) AS k FROM c GROUP BY 1, 2) SELECT p_partkey, round(-sum(k / total * log2(k / total)), 6) AS entropy FROM (SELECT *, sum(k) OVER (PARTITION BY p_partkey) AS total FROM n) GROUP BY 1""")
