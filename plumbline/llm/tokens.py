@@ -24,14 +24,23 @@ from .common import map_texts, read_table, vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
-#: Pieces that a task keeps; then it starts again with none.
-KEPT = 200_000
+#: Pieces that a task keeps with their counts, or with their ids; then it starts again with none.
+KEPT, KEPT_IDS = 500_000, 350_000
 #: Bytes from which on a pre-token is merged by itself.
 LONG = 1024
 CUT = re.compile(r" (?<=\S )(?=\S)")
 # Fixed value: the pre-tokens of the byte-level vocabulary.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 NONE = np.int64(1 << 40)
+#: White space but the space and the line feed.
+WHITE = [chr(i) for i in range(0x3001) if chr(i).isspace() and chr(i) not in " \n"]
+
+
+def cut(text: str) -> list[str]:
+    """The pieces between single spaces that stand between two other characters."""
+    if text[:1] != " " and text[-1:] != " " and not ("  " in text or " \n" in text or "\n " in text or any(w in text for w in WHITE)):
+        return text.split(" ")
+    return CUT.split(text)
 
 
 def byte_letters() -> list[str]:
@@ -170,24 +179,24 @@ class Counter:
 
     def __call__(self, texts: list[str]) -> list[int]:
         kept = self.kept
-        cut = [CUT.split(t.encode("utf-8", "replace").decode()) for t in texts]
+        pieces_of = [cut(t.encode("utf-8", "replace").decode()) for t in texts]
         new: set[str] = set()
-        for pieces in cut:
+        for pieces in pieces_of:
             new |= set(pieces[1:]).difference(kept)
         if len(kept) + len(new) > self.most:
             kept.clear()
-            new = {p for pieces in cut for p in pieces[1:]}
+            new = {p for pieces in pieces_of for p in pieces[1:]}
         names = list(new)
-        firsts = [p[0] for p in cut]  # without a space before them
+        firsts = [p[0] for p in pieces_of]  # without a space before them
         counts = self.fresh([" " + x for x in names] + firsts)
         kept.update(zip(names, counts))
-        return [n + sum(map(kept.__getitem__, pieces[1:])) for n, pieces in zip(counts[len(names) :], cut)]
+        return [n + sum(map(kept.__getitem__, pieces[1:])) for n, pieces in zip(counts[len(names) :], pieces_of)]
 
 
 class Encoder:
     """Token ids of texts as little-endian 16-bit bytes, by the same cuts; the vocabulary has under 65,536 ids."""
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str, kept: int = KEPT_IDS):
         import tiktoken
 
         table = merges(path)
@@ -206,7 +215,7 @@ class Encoder:
         return struct.pack(f"<{len(ids)}H", *ids)
 
     def __call__(self, text: str) -> bytes:
-        pieces, kept = CUT.split(text.encode("utf-8", "replace").decode()), self.kept
+        pieces, kept = cut(text.encode("utf-8", "replace").decode()), self.kept
         first = self.ids(pieces[0])
         del pieces[0]
         if len(kept) > self.most:

@@ -258,6 +258,13 @@ def test_token_ids_of_strange_texts(library):
         assert np.frombuffer(encode(text), "<u2").tolist() == ids and n == len(ids), repr(text)
 
 
+def test_cuts_are_those_of_the_pattern():
+    rng = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b", " ", " ", "\n", "é", rng.choice("\t\x1f\x85\xa0\u2003\u3000\u200b")]) if rng.random() < 0.3 else rng.choice("ab c") for _ in range(rng.randint(0, 12)))
+        assert tokens.cut(text) == tokens.CUT.split(text), repr(text)
+
+
 def test_long_pretokens(library):
     table, rng = tokens.merges(vocabulary("byte_bpe_50k.json")), random.Random(9)
     for text in ["".join(rng.choice(letters) for _ in range(n)) for letters in ("abcdefghijklmnopqrstuvwxyz", "aab", "你好世界的一是不了人") for n in (1, 2, 5, 300, 1500)] + ["a" * 3001]:
