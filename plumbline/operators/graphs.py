@@ -1,6 +1,6 @@
 """Lineage and task graphs as edge tables: closures, paths, cycles, levels, critical paths, slack, overlaps.
 
-Every traversal is a loop of joins on the frontier only, several hops at a time; ``settle``
+Every traversal is a loop of joins on the frontier only, which is sent to all tasks while it is small; ``settle``
 writes each round to the checkpoint folder so that a lost executor costs one round, and plans
 stay short. Loops end when the frontier is empty, at any depth; where only a cycle can keep
 one going, they raise an error. Runs of nodes that are joined one to one are ranked by pointer
@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 from plumbline.functions.durable import settle
 from plumbline.functions.values import share
 
-#: Hops of a round, rounds after which what was found is written anew, and rows that a round may send to all tasks.
+#: Peeling steps of a round, rounds after which what was found is written anew, and rows that a round may send to all tasks.
 HOPS, ROUNDS, FRONT = 3, 16, 200_000
 
 
@@ -31,22 +31,14 @@ def _reach(steps: DataFrame, roots: DataFrame, depth: int | None) -> DataFrame:
     """``root, node, hop``: what ``steps(__from, node)`` reach from ``roots(root)``, with the least number of hops."""
     key = ["root", "node"]
     seen = settle(roots.select("root", F.col("root").alias("node")).distinct().withColumn("hop", F.lit(0)))
-    front, done, rounds = seen, 0, 0
-    while (rows := front.count()) and (depth is None or done < depth):
-        hops = HOPS if depth is None else min(HOPS, depth - done)
-        now, layers = near(front.select(key), rows), []
-        for k in range(1, hops + 1):
-            now = now.withColumnRenamed("node", "__from").join(steps, "__from").select(key).distinct()
-            layers.append(now.withColumn("hop", F.lit(done + k)))
-        found = layers[0]
-        for layer in layers[1:]:
-            found = found.unionByName(layer)
-        if len(layers) > 1:
-            found = found.groupBy(key).agg(F.min("hop").alias("hop"))
-        found = settle(found.join(seen, key, "left_anti"))
-        done, rounds = done + hops, rounds + 1
-        seen, front = seen.unionByName(found), found.filter(F.col("hop") == done)
-        if rounds % ROUNDS == 0:
+    front, hop, rows = seen, 0, seen.count()
+    while rows and (depth is None or hop < depth):
+        hop += 1
+        step = near(front.select("root", F.col("node").alias("__from")), rows).join(steps, "__from").select(key).distinct()
+        front = settle(step.join(seen, key, "left_anti").withColumn("hop", F.lit(hop)))
+        rows = front.count()
+        seen = seen.unionByName(front)
+        if hop % ROUNDS == 0:
             seen = settle(seen)
     return seen.filter("hop > 0")
 
