@@ -90,6 +90,7 @@ def format_chats(turns: DataFrame, chunk: int = CHUNK) -> DataFrame:
 
 
 def op9_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations; see ``format_chats`` for nulls, ties, long conversations, and repeated rows."""
     return format_chats(read_table(spark, sf_dir, "conversations"))
 
 

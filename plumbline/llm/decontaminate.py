@@ -178,6 +178,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
 
 
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """All documents against all of the benchmark; see ``find_contamination`` for nulls, empty tables, and repeated rows."""
     found = find_contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -203,4 +203,5 @@ def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:
+    """All documents, whole; see ``scan_licenses`` for nulls, empty and long texts, and repeated rows. Other columns are ignored."""
     return scan_licenses(read_table(spark, sf_dir, "documents"))

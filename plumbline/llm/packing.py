@@ -251,4 +251,5 @@ def pack(docs: DataFrame, path: str | None = None, weights: dict[str, float] | N
 
 
 def op7_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents in the proportions of their sources; see ``pack`` for nulls, empty texts, and repeated rows."""
     return pack(read_table(spark, sf_dir, "documents"))

@@ -114,4 +114,5 @@ def score_quality(docs: DataFrame, labels: DataFrame, site: str | Column = "sour
 
 
 def op4_quality(spark, sf_dir: str) -> DataFrame:
+    """All documents, with ``source`` as site and ``lang`` as path; see ``score_quality`` for nulls, ties, and repeated rows."""
     return score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))

@@ -199,4 +199,5 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
+    """All documents; see ``near_duplicates`` for nulls, texts without words, ties, and repeated rows."""
     return near_duplicates(read_table(spark, sf_dir, "documents"))

@@ -246,4 +246,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, k
 
 
 def op5_token_counts(spark, sf_dir: str) -> DataFrame:
+    """All documents, whole; see ``count_tokens`` for nulls, empty and long texts, and repeated rows."""
     return count_tokens(read_table(spark, sf_dir, "documents"))

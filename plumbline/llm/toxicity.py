@@ -289,6 +289,7 @@ def score_toxicity(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
+    """All documents, the model fitted on the labels that are not held out; a null text counts as an empty one, repeated rows are scored again."""
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     scored = score_toxicity(docs, fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits")
