@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import durable, near, read_table, vocabulary, whole_text
-from .tokens import VOCABULARY, Encoder
+from .tokens import VOCABULARY, kept_encoder
 
 WINDOW, QUANTUM, END = 1024, 32, 0
 #: Rows (partition, source, offset) that are sent to all tasks; more are joined by a shuffle.
@@ -153,7 +153,7 @@ def tokenise(docs: DataFrame, path: str, queue: Column) -> DataFrame:
     """``doc_id, queue, part, queue_start, doc_tokens, ids``: the ids and the place among the partition's tokens of the queue."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, so_far = Encoder(path), TaskContext.get().partitionId(), {}
+        encode, part, so_far = kept_encoder(path), TaskContext.get().partitionId(), {}
         end = np.array([END], "<u2").tobytes()
         for whole in batches:
             for at in range(0, whole.num_rows, 500):

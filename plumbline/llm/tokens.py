@@ -228,6 +228,12 @@ class Encoder:
         return first + b"".join(found)
 
 
+@lru_cache(maxsize=1)
+def kept_encoder(path: str) -> Encoder:
+    """The encoder that a Python worker keeps, with its pieces, for the tasks that it runs after one another."""
+    return Encoder(path)
+
+
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """One row for each row of ``docs``: ``keep``, UTF-8 bytes, tokens, and whether there are more than ``limit``.
 
