@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.durable import settle as durable
 from plumbline.functions.durable import shared_folder
 
-__all__ = ["automaton", "durable", "map_texts", "near", "phrase", "read_table", "shared_folder", "spaced", "vocabulary", "whole_text", "word_bytes"]
+__all__ = ["automaton", "durable", "map_texts", "near", "phrase", "read_table", "shared_folder", "spaced", "spread_join", "vocabulary", "whole_text", "word_bytes"]
 
 #: Rows that a task holds as Python objects at a time.
 ROWS_AT_ONCE = 1000
@@ -75,6 +75,24 @@ def near(keys: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= most else keys
 
 
+#: Keys that hold more than this share of all rows are told apart; there are at most so many.
+HOT_KEYS = 10_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, on: Column, count: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined to their row of ``table`` (one for each key, ``count``: the rows that have it), so that no key is hot.
+
+    A table of few rows is sent to all tasks. Of a larger one only the keys that hold more than
+    one of ``HOT_KEYS`` parts of all rows are, which are fewer than that; the others are shuffled.
+    """
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), on)
+    total = table.agg(F.sum(count)).first()[0]
+    hot = F.col(count) * HOT_KEYS > total
+    few = F.broadcast(table.filter(hot))
+    return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(table.filter(~hot), on))
+
+
 def automaton(patterns: dict[str, object]):
     """An Aho-Corasick automaton of the patterns with their payloads; None without patterns."""
     import ahocorasick

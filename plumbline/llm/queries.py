@@ -1,6 +1,6 @@
 """The registered queries of this subpackage and the SQL that DuckDB can hold them against."""
 
-from . import chat, decontaminate, exact_dedup, licenses, packing, quality, secrets, simhash, tokens, toxicity
+from . import chat, decontaminate, exact_dedup, licenses, merkle, mixing, packing, periodic, quality, secrets, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_chat_format": chat.op9_chat_format,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_mixture": mixing.op11_mixture,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_periodic_runs": periodic.op13_periodic_runs,
 }
 ORACLE_SQL = {
     "op3_decontaminate": decontaminate.OP3_SQL,
