@@ -1,39 +1,41 @@
-"""Near copies by Jaccard similarity of word shingles: SimHash tiles give the candidates, their shingle sets decide.
-
-Texts of similarity 0.8 have, on average, fingerprints that differ in 15 % of their bits. With
-a fingerprint of four 64-bit planes a radius of 60 of 256 bits (20 in the first plane) leaves
-out about one such pair in a thousand, and keeps texts apart that have little in common. The
-fingerprints of distinct shingle sets are compared exactly, tile by tile, as in
-``simhash``: tiles whose population counts differ beyond the radius are skipped, and so are
-tiles whose sets differ too much in size to be similar. What is left is held against a bound
-that is exact: the parities of a set's hashes in 512 places; where two sets' parities differ
-in more places than the sets may differ in shingles, they are not similar.
-
-Candidates are verified on whole sets in two steps, so that a group of copies does not give
-all its pairs: first each set's nearest candidates, then those that are still between
-different components.
+"""Near copies: SimHash links from tiles, completed by an exact join of word shingles, so that no link depends on a radius.
+
+Two texts link if the 64-bit fingerprints of their 4-word shingles differ in at most 4 bits
+(compared by tiles, as in ``simhash``), or if the Jaccard similarity of their sets of 5-word
+shingles is 0.8 or more. The second kind is found whole, by prefixes: two such sets share one of
+the first ``n - ceil(0.8 * n) + 1`` of their n shingles in any order that is the same for all. Here
+the order is by frequency, rarest first, from a table of counts by hash of bounded size: it sets
+the cost only, never the result. What many texts share is thus seldom in a prefix.
+
+Where many sets share a prefix shingle they do not all meet. In a round, one of them, drawn
+by hash, meets the others; what links becomes one component, and only sets of different
+components meet in the next. The pairs that are left are counted exactly; when they are no
+more than the rows, or rounds are over, they all meet. Pairs are held against two exact bounds (sizes, and
+parities of the hashes in 512 places) before whole sets are compared.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.graphs import components as connected
+
 from .common import durable, map_texts, near, whole_text
-from .components import connected
-from .simhash import SEED, TILE, deal_blocks, fingerprint, shingle_hashes
+from .simhash import RADIUS, SEED, SHINGLE, fingerprint, near_links, shingle_hashes
 
 #: The default of near-duplicate stages: words of a shingle, and similarity as a fraction.
 WORDS, LEAST = 5, (4, 5)
-#: Planes of the fingerprint, bits that may differ in the first and in all of them, places of the parity bound.
-PLANES, FIRST_RADIUS, RADIUS, PARITIES = 4, 20, 60, 512
-#: Candidates of a set that the first step verifies in a pair of blocks; it changes cost, never results.
-NEAREST = 4
-#: Rows of a block (each has about 130 bytes), and shingles that one task verifies at a time, about.
-BLOCK_ROWS, SHINGLES_AT_ONCE = 250_000, 2_000_000
+#: Bits of the table of counts: at least, at most (64 MB).
+COUNT_BITS = (16, 24)
+#: Places of the parity bound; rounds of a drawn set against the others; shingles that one task compares at a time, about.
+PARITIES, ROUNDS, SHINGLES_AT_ONCE = 512, 8, 2_000_000
+ODD = [f"p{i}" for i in range(PARITIES // 64)]
 
 
 def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
@@ -41,104 +43,83 @@ def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, size))
 
 
-def remixed(hashes: np.ndarray) -> np.ndarray:
-    """Other, independent 64 bits of each hash."""
-    x = hashes + np.uint64(0x9E3779B97F4A7C15)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-    return x ^ (x >> np.uint64(31))
+def set_id(items: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64))
 
 
-def sketch(items: np.ndarray) -> tuple[int, int, bytes, bytes]:
-    """A set's id (a hash of it), its size, its fingerprint's planes and its parities."""
-    planes, x = [], items
-    for _ in range(PLANES):
-        planes.append(fingerprint(x))
-        x = remixed(x)
+def parities(items: np.ndarray) -> list[int]:
+    """Of each of 512 places, whether an odd number of hashes falls on it."""
     odd = np.bincount((items % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-    return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64)), len(items), np.array(planes, "<i8").tobytes(), np.packbits(odd.astype(np.uint8)).tobytes()
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
+def frequencies(docs: DataFrame, size: int) -> np.ndarray:
+    """How many texts have a shingle with the same last bits: a table of bounded size, summed up in the tasks first."""
+    bits = int(min(COUNT_BITS[1], max(COUNT_BITS[0], docs.count().bit_length())))
+    blocks = 1 << (bits - COUNT_BITS[0])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for text in b.column(0).to_pylist():
+                np.add.at(held, (shingle_set(text, size) & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+        for k, part in enumerate(np.split(held, blocks)):
+            at = np.flatnonzero(part)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at.astype("<u4").tobytes()], pa.binary()), pa.array([part[at].astype("<i8").tobytes()], pa.binary())], names=["block", "at", "n"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << COUNT_BITS[0], np.int64)
+        for at, n in zip(table.column("at").to_pylist(), table.column("n").to_pylist()):
+            total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i8")
+        return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
+
+    parts = docs.select(whole_text().alias("text")).mapInArrow(count, "block int, at binary, n binary").groupBy("block").applyInArrow(add, "block int, n binary")
+    out = np.zeros(1 << bits, np.int32)
+    for r in parts.toLocalIterator():  # at most 256 rows of 256 KB
+        out[r.block << COUNT_BITS[0] : (r.block + 1) << COUNT_BITS[0]] = np.frombuffer(r.n, "<i4")
+    return out
+
+
+def rare_first(items: np.ndarray, counts: np.ndarray, least: tuple[int, int]) -> np.ndarray:
+    """The prefix of a set: any set of that similarity shares one of these with it."""
+    many, whole = least
+    length = len(items) - -(-len(items) * many // whole) + 1
+    order = np.lexsort((items, counts[(items & np.uint64(len(counts) - 1)).astype(np.int64)]))
+    return items[order[:length]]
 
 
-class Side:
-    """The sets of a block in the order of their sizes."""
+def sketches(docs: DataFrame, keep: tuple[str, ...], size: int, least: tuple[int, int]) -> DataFrame:
+    """``keep, id, n, fp, p0..p7, prefix``: a set's id (a hash of it), size, parities and prefix, and the text's fingerprint."""
+    sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size))
 
-    def __init__(self, table: pa.Table):
-        n = np.asarray(table.column("n"))
-        order = np.argsort(n, kind="stable")
-        self.n, self.id, self.root = n[order], np.asarray(table.column("id"))[order], np.asarray(table.column("root"))[order]
-        self.planes, self.parities = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u8").reshape(len(n), words)[order] for c, words in (("planes", PLANES), ("parities", PARITIES // 64)))
-        self.first = np.ascontiguousarray(self.planes[:, 0])
-        self.pop = np.bitwise_count(self.planes).sum(axis=1, dtype=np.int64)
+    def build():
+        counts = sent.value
 
+        def rows(texts):
+            out = []
+            for t in texts:
+                s = shingle_set(t, size)
+                out.append((set_id(s), len(s), fingerprint(shingle_hashes(t, SHINGLE)), *parities(s), rare_first(s, counts, least).view(np.int64).tolist() if len(s) else []))
+            return out
 
-def candidates(a: Side, b: Side | None, least: tuple[int, int] = LEAST, tile: int = TILE, strip: int = 4096):
-    """Yields (row of a, row of b, bits that differ) for what may be similar, less what has one root; b None: within a."""
-    many, whole = least
-    own, other = a, a if b is None else b
-    for s in range(0, len(own.n), tile):
-        e = min(s + tile, len(own.n))
-        low = int(np.searchsorted(other.n, -(-int(own.n[s]) * many // whole)))
-        high = int(np.searchsorted(other.n, int(own.n[e - 1]) * whole // many, "right"))
-        for t in range(max(low, s) if b is None else low, high, strip):
-            cols = slice(t, min(t + strip, high))
-            if max(other.pop[cols].min() - own.pop[s:e].max(), own.pop[s:e].min() - other.pop[cols].max()) > RADIUS:
-                continue
-            u, v = np.nonzero(np.bitwise_count(own.first[s:e, None] ^ other.first[None, cols]) <= FIRST_RADIUS)
-            u, v = u + s, v + t
-            if b is None:
-                after = u < v
-                u, v = u[after], v[after]
-            apart = own.root[u] != other.root[v]
-            u, v = u[apart], v[apart]
-            bits = np.bitwise_count(own.planes[u] ^ other.planes[v]).sum(axis=1, dtype=np.int64)
-            total = own.n[u] + other.n[v]
-            odd = np.bitwise_count(own.parities[u] ^ other.parities[v]).sum(axis=1, dtype=np.int64)
-            # similar sets of m and n items differ in at most (m + n) * (whole - many) / (whole + many) items
-            close = (bits <= RADIUS) & (odd * (whole + many) <= total * (whole - many))
-            if close.any():
-                yield u[close], v[close], bits[close]
-
-
-def nearest(node: np.ndarray, bits: np.ndarray, most: int) -> np.ndarray:
-    """Places of the ``most`` entries of each node with the fewest bits."""
-    order = np.lexsort((bits, node))
-    first = np.concatenate([[True], np.diff(node[order]) != 0])
-    rank = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    return order[rank < most]
-
-
-def candidate_pairs(sets: DataFrame, most: int | None, least: tuple[int, int] = LEAST) -> DataFrame:
-    """``a, b, n`` (ids, both sizes together) of candidates of different ``root``; ``most``: only so many of each set in a pair of blocks."""
-    many, whole = least
-    step = 64  # sizes by their logarithm, so that the keys are few
-    bucket = F.when(F.col("n") == 0, 0).otherwise(F.floor(F.log2(F.greatest(F.col("n"), F.lit(1)).cast("double")) * step) + 1).cast("long")
-    wide = np.log2(whole / many) * step + 2
-    dealt = deal_blocks(sets.select("id", "n", "planes", "parities", "root"), bucket, lambda high, low: low - high > wide, BLOCK_ROWS)
-    if dealt is None:
-        return sets.select(F.col("id").alias("a"), F.col("id").alias("b"), "n")
-
-    def compare(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        i, j = (k.as_py() for k in key)
-        blocks = np.asarray(table.column("block"))
-        a, b = (Side(table.filter(pa.array(blocks == k))) for k in (i, j))
-        found, held = [np.empty((3, 0), np.int64)], 0
-        for part in candidates(a, None if i == j else b, least):
-            found.append(np.stack(part))
-            held += len(part[0])
-            if most and held > 1_000_000:
-                found, held = [trimmed(np.concatenate(found, axis=1), most, i == j)], 0
-        u, v, bits = trimmed(np.concatenate(found, axis=1), most, i == j) if most else np.concatenate(found, axis=1)
-        return pa.table({"a": pa.array(a.id[u]), "b": pa.array(b.id[v]), "n": pa.array(a.n[u] + b.n[v])})
-
-    def trimmed(pairs: np.ndarray, most: int, same: bool) -> np.ndarray:
-        u, v, bits = pairs
-        if same:  # one numbering: a pair stays if it is near for either of its sets
-            keep = nearest(np.concatenate([u, v]), np.concatenate([bits, bits]), most) % max(1, len(u))
-        else:
-            keep = np.concatenate([nearest(u, bits, most), nearest(v, bits, most)])
-        return pairs[:, np.unique(keep)]
+        return rows
 
-    return dealt.groupBy("i", "j").applyInArrow(compare, "a long, b long, n long")
+    return map_texts(docs, keep, "id long, n long, fp long, " + ", ".join(f"{p} long" for p in ODD) + ", prefix array<long>", build)
+
+
+def may_be_similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """The distinct ``a, b`` that both bounds let through, with ``n``, both sizes together.
+
+    Similar sets of m and n items differ in at most (m + n) * (whole - many) / (whole + many) of
+    them, and where their parities differ they differ.
+    """
+    many, whole = least
+    for side in "ab":
+        own = sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), *[F.col(p).alias(f"{side}{p}") for p in ODD])
+        pairs = pairs.join(own, side)
+    odd = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in ODD), F.lit(0))
+    return pairs.filter(odd * (whole + many) <= (F.col("na") + F.col("nb")) * (whole - many)).select("a", "b", (F.col("na") + F.col("nb")).alias("n"))
 
 
 def verified(pairs: DataFrame, texts_of, least: tuple[int, int] = LEAST, size: int = WORDS) -> DataFrame:
@@ -150,14 +131,17 @@ def verified(pairs: DataFrame, texts_of, least: tuple[int, int] = LEAST, size: i
     """
     many, whole = least
     pairs = durable(pairs)
-    chunks = max(1, -(-(pairs.agg(F.sum("n")).first()[0] or 0) // SHINGLES_AT_ONCE))
+    total = pairs.agg(F.sum("n")).first()[0]
+    if not total:
+        return pairs.select("a", "b")
+    chunks = -(-total // SHINGLES_AT_ONCE)
     dealt = pairs.select("a", "b", F.pmod(F.xxhash64("a", "b"), F.lit(chunks)).alias("chunk"))
     slots = durable(dealt.select("chunk", F.explode(F.array("a", "b")).alias("id")).distinct())
 
     def build():
         def rows(texts):
             sets = [shingle_set(t, size) for t in texts]
-            return [(sketch(s)[0], s.tobytes()) for s in sets]
+            return [(set_id(s), s.tobytes()) for s in sets]
 
         return rows
 
@@ -179,39 +163,84 @@ def verified(pairs: DataFrame, texts_of, least: tuple[int, int] = LEAST, size: i
     return durable(both.repartition(min(chunks, 10_000), "chunk").groupBy("chunk").applyInArrow(verify, "a long, b long"))
 
 
-def keep_one_of_similar(docs: DataFrame, size: int = WORDS, least: tuple[int, int] = LEAST) -> DataFrame:
+def fingerprint_links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: a spanning set of the links between the ``id`` of rows whose fingerprints are within ``radius``."""
+    pairs = durable(rows.groupBy("id", "fp").agg(F.count(F.lit(1)).alias("n")))
+    classes = durable(pairs.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("ids")))
+    first = classes.select("fp", "first")
+    links = near_links(classes, radius).join(first.toDF("a", "first_a"), "a").join(first.toDF("b", "first_b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    shared = pairs.join(near(classes.filter("ids > 1").select("fp", "first")), "fp").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return durable(links.unionByName(shared).filter("a <> b").distinct())
+
+
+def similar_links(sets: DataFrame, links: DataFrame, texts_of, least: tuple[int, int] = LEAST, size: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
+    """``a, b``: ``links`` and what completes them, so that all that is similar is in one component of them.
+
+    ``sets``: ``id, n, p0..p7, prefix``, one row each. Sets without items link to nothing here.
+    """
+    many, whole = least
+    tokens = sets.select("id", "n", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+    posted = durable(tokens.join(shared, "token"))
+    met = None
+    for turn in range(rounds + 1):
+        roots = connected(links).toDF("__node", "root")
+        own = posted.join(near(durable(roots)), F.col("id") == F.col("__node"), "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
+        counts = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "root")).alias("hub"))
+        mixed = durable(counts.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.min("hub").alias("hub")).filter("k * k > same"))
+        left = mixed.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+        if not left.rows:
+            break
+        last = turn == rounds or left.pairs <= left.rows
+        if last:  # all that is left
+            x = durable(own.join(mixed.select("token"), "token"))
+            y = x.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
+            pairs = x.join(y, "token").filter((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")))
+        else:
+            hubs = mixed.select("token", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.root").alias("rb"))
+            pairs = own.join(hubs, "token").filter(F.col("root") != F.col("rb"))
+        fit = F.least("n", "nb") * whole >= F.greatest("n", "nb") * many
+        pairs = pairs.filter(fit).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+        if met is not None:
+            pairs = pairs.join(met, ["a", "b"], "left_anti")
+        pairs = durable(may_be_similar(pairs, sets, least))
+        found = verified(pairs, texts_of, least, size)
+        links = durable(links.unionByName(found))
+        if last:
+            break
+        met = pairs.select("a", "b") if met is None else met.unionByName(pairs.select("a", "b"))
+    return links
+
+
+def keep_one_of_similar(docs: DataFrame, size: int = WORDS, least: tuple[int, int] = LEAST, radius: int = RADIUS, rounds: int = ROUNDS) -> DataFrame:
     """``docs`` with all its columns, less the rows whose component has a smaller row.
 
     Texts link if the Jaccard similarity of their sets of ``size``-word shingles is ``least``
-    (numerator, denominator) or more and their fingerprints are within the radius (see above).
-    Rows are told apart by doc_id and text, in the order of doc_id (null last), so that of
-    several texts with one doc_id only the near copies go; repeated rows of one doc_id and text
-    share their fate. Null and empty texts, and others without words, are copies of one
-    another. Words are split at white space, ASCII in lower case; very long texts are read
-    whole. Shingles and sets are known by 64-bit hashes. An empty table gives no rows.
+    (numerator, denominator) or more, or if their fingerprints differ in at most ``radius`` bits;
+    no link is lost. Rows are told apart by doc_id and text, in the order of doc_id (null last),
+    so that of several texts with one doc_id only the near copies go; repeated rows of one
+    doc_id and text share their fate. Null and empty texts, and others without words, are
+    copies of one another. Words are split at white space, ASCII in lower case; very long texts
+    are read whole. Shingles and sets are known by 64-bit hashes. An empty table gives no rows;
+    further columns may have any names. ``rounds`` changes cost, never results.
     """
-    keyed = docs.select("doc_id", F.xxhash64(whole_text()).alias("text_key"), "text")
-
-    def build():
-        return lambda texts: [sketch(shingle_set(t, size)) for t in texts]
-
-    rows = durable(map_texts(keyed, ("doc_id", "text_key"), "id long, n long, planes binary, parities binary", build))
+    key = F.xxhash64(whole_text())
+    keyed = docs.select("doc_id", key.alias("text_key"), "text")
+    rows = durable(sketches(keyed, ("doc_id", "text_key"), size, least))
     named = rows.select("id", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key").alias("row"))
     best = durable(named.groupBy("id").agg(F.min("row").alias("best"), F.max("row").alias("last")))
-    sets = durable(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("planes").alias("planes"), F.first("parities").alias("parities")))
+    sets = durable(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(p).alias(p) for p in ODD]))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = best.join(near(durable(ids)), "id", "left_semi").select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__key"))
         return keyed.join(near(durable(wanted)), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left_semi")
 
-    links = verified(candidate_pairs(sets.withColumn("root", F.col("id")), NEAREST, least), texts_of, least, size)
-    roots = connected(links)
-    placed = sets.join(near(roots), F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    links = links.union(verified(candidate_pairs(placed, None, least), texts_of, least, size))
+    links = similar_links(sets, fingerprint_links(rows, radius), texts_of, least, size, rounds)
     nodes = best.select("id", "best")
     ends = links.join(nodes.toDF("a", "best_a"), "a").join(nodes.toDF("b", "best_b"), "b")
     moved = connected(ends.select(F.col("best_a").alias("a"), F.col("best_b").alias("b")))  # to the smallest row
     fate = best.join(near(moved), F.col("best") == F.col("node"), "left").filter("root is not null or best <> last").select("id", F.coalesce("root", "best").alias("stays"))
-    lost = durable(named.join(near(durable(fate)), "id").filter("row <> stays").select(F.col("row.doc_id").alias("__id"), F.col("row.text_key").alias("__key")).distinct())
-    gone = (F.xxhash64(whole_text()) == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id"))
-    return docs.join(near(lost), gone, "left_anti")
+    lost = durable(named.join(near(durable(fate)), "id").filter("row <> stays").select("row.doc_id", "row.text_key").distinct())
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("held_id"), key.alias("held_key"))
+    gone = F.col("held_id").eqNullSafe(F.col("lost_id")) & (F.col("held_key") == F.col("lost_key"))
+    return held.join(near(lost.toDF("lost_id", "lost_key")), gone, "left_anti").select("row.*")

@@ -4,7 +4,7 @@ import random
 import re
 
 import corpus_pipeline as P
-from plumbline.llm import similar
+from plumbline.llm import similar, simhash
 from plumbline.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm.test_llm_operators import brute_windows, check_packing
 
@@ -58,9 +58,10 @@ def shingles(text):
 
 def similar_roots(texts):
     sets, root = {d: shingles(t) for d, t in texts.items()}, {d: d for d in texts}
+    fps = {d: simhash.fingerprint(simhash.shingle_hashes(t)) & (2**64 - 1) for d, t in texts.items()}
     for a in sorted(sets):
         for b in sorted(sets):
-            if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            if a < b and root[a] != root[b] and ((fps[a] ^ fps[b]).bit_count() <= 4 or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])):
                 low, high = sorted((root[a], root[b]))
                 root = {d: low if r == high else r for d, r in root.items()}
     return root
@@ -90,3 +91,41 @@ def test_rows_go_by_themselves(spark):
     df = spark.createDataFrame([(1, long), (7, long + " tail"), (7, other), (None, other + " tail"), (None, "alone")], "doc_id long, text string")
     assert sorted((r.doc_id or 0, r.text) for r in similar.keep_one_of_similar(df).collect()) == sorted([(1, long), (7, other), (0, "alone")])
     assert similar.keep_one_of_similar(df.limit(0)).count() == 0
+
+
+def pairs_at_the_border(seed):
+    """Texts of 8 to 500 words and copies whose similarity is 0.80 to 0.85, the least one that counts among them."""
+    rng = random.Random(seed)
+    for n in [8] * 150 + [12, 16, 24, 40, 60, 100, 250, 500] * 6:
+        w = [f"w{rng.randrange(10**9)}" for _ in range(n)]
+        sets, tail = n - 4, 0
+        while 4 * (sets + tail + 1) <= 5 * sets:  # one shingle more for each word at the end
+            tail += 1
+        yield " ".join(w), " ".join(w + [f"w{rng.randrange(10**9)}" for _ in range(tail)])
+
+
+def test_no_link_depends_on_a_radius(spark):
+    pairs = list(pairs_at_the_border(11))
+    lost = "w390231882 w600559186 w756418445 w717589761 w301562595 w896824052 w521500536 w284389589"
+    pairs.append((lost, lost + " w826510054"))
+    texts = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    kept = similar.keep_one_of_similar(spark.createDataFrame(texts, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id for r in kept} == set(range(0, 2 * len(pairs), 2))
+
+
+def test_rounds_and_names(spark):
+    """A family of texts round a border, by each number of rounds; columns that have the stage's own names."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(4)):
+            w[rng.randrange(60)] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    rows = [(i, t, i, "k", "s", 1, "x", "y") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id long, __key string, __id string, lost_id long, held_key string, row string").repartition(3)
+    roots = similar_roots(dict(enumerate(texts)))
+    for rounds in (0, 8):
+        kept = similar.keep_one_of_similar(df, rounds=rounds)
+        assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(roots.values())
