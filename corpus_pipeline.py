@@ -24,7 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts whose five-word shingles are alike to 0.8 or more, linked or by steps, the row with the smallest doc_id."""
+    """Of texts whose fingerprints are within 4 bits or whose five-word shingles are alike to 0.8 or more, by one link or several, the row with the smallest doc_id."""
     return similar.keep_one_of_similar(docs)
 
 
