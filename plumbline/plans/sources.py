@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import telemetry as T
+from plumbline.sources import csvs as C
 from plumbline.sources import files as I
+from plumbline.sources import lines as L
 from plumbline.sources import tables as S
 from plumbline.streaming import windows as W
 
@@ -32,28 +34,36 @@ def src_rows_jsonl(spark, d):
 
 
 def broken(spark, d):
-    k = F.col("c_custkey").cast("string")
-    line = F.concat(k, F.lit(";"), "c_mktsegment", F.when(F.col("c_custkey") % 10 == 3, ";x;y").when(F.col("c_custkey") % 10 == 4, "").otherwise(F.concat(F.lit(";"), F.when(F.col("c_custkey") % 7 == 0, "CafÃ©").otherwise("z"))))
+    """A file with a mark, a repeated name, mojibake, short and long rows, and cells with delimiters, quotes and line breaks; some rows are like the header."""
+    k = F.col("c_custkey")
+    note = (
+        F.when(k % 10 == 3, "x;y").when(k % 10 == 4, "").when(k % 7 == 0, ";CafÃ©")
+        .when(k % 10 == 5, F.concat(F.lit(';"a; ""'), k.cast("string"), F.lit('"" b"')))
+        .when(k % 10 == 6, F.concat(F.lit(';"first\nsecond; '), k.cast("string"), F.lit('"'))).otherwise(";z")
+    )
+    line = F.when(k % 100 == 1, "id;name;name").when(k % 10 == 3, F.concat(k.cast("string"), F.lit(";"), "c_mktsegment", F.lit(";"), note)).otherwise(F.concat(k.cast("string"), F.lit(";"), "c_mktsegment", note))
     head = spark.createDataFrame([("﻿id;name;name",)], "line string")
     path = I.scratch(spark, "broken")
     head.unionByName(S.table(spark, d, "customer").select(line.alias("line"))).coalesce(1).write.text(path)  # one file, as such a file comes
     return path
 
 
-@query("src_csv_repair", "SELECT CAST(c_custkey AS VARCHAR) AS id, c_mktsegment AS name, CASE WHEN c_custkey % 10 = 3 THEN 'x;y' WHEN c_custkey % 10 = 4 THEN NULL WHEN c_custkey % 7 = 0 THEN 'Café' ELSE 'z' END AS name_2 FROM customer")
+@query("src_csv_repair", """SELECT CASE WHEN c_custkey % 100 = 1 THEN 'id' ELSE CAST(c_custkey AS VARCHAR) END AS id, CASE WHEN c_custkey % 100 = 1 THEN 'name' ELSE c_mktsegment END AS name,
+CASE WHEN c_custkey % 100 = 1 THEN 'name' WHEN c_custkey % 10 = 3 THEN 'x;y' WHEN c_custkey % 10 = 4 THEN NULL WHEN c_custkey % 7 = 0 THEN 'Café' WHEN c_custkey % 10 = 5 THEN 'a; "' || c_custkey || '" b' WHEN c_custkey % 10 = 6 THEN 'first' || chr(10) || 'second; ' || c_custkey ELSE 'z' END AS name_2 FROM customer""")
 def src_csv_repair(spark, d):
-    return I.repair_csv(spark, broken(spark, d))[0]
+    return C.repair_csv(spark, broken(spark, d))[0]
 
 
-@query("src_csv_findings", "SELECT 'CD004' AS code, count(*) FILTER (c_custkey % 7 = 0 AND c_custkey % 10 NOT IN (3, 4)) AS n FROM customer UNION ALL SELECT 'CD005', 1 UNION ALL SELECT 'CD006', count(*) FILTER (c_custkey % 10 IN (3, 4)) FROM customer UNION ALL SELECT 'CD007', 1")
+@query("src_csv_findings", """SELECT * FROM (SELECT 'CD001' AS code, 'low' AS severity, CAST(1 AS BIGINT) AS n UNION ALL SELECT 'CD002', CASE WHEN count(*) FILTER (c_custkey % 10 IN (3, 4)) >= 0.2 * count(*) THEN 'high' ELSE 'medium' END, count(*) FILTER (c_custkey % 10 IN (3, 4)) FROM customer
+UNION ALL SELECT 'CD003', 'medium', 2 * count(*) FILTER (c_custkey % 10 = 6 AND c_custkey % 7 <> 0) FROM customer UNION ALL SELECT 'CD005', 'medium', count(*) FILTER (c_custkey % 7 = 0 AND c_custkey % 10 NOT IN (3, 4) AND c_custkey % 100 <> 1) FROM customer UNION ALL SELECT 'CD007', 'medium', 1) WHERE n > 0""")
 def src_csv_findings(spark, d):
-    return I.repair_csv(spark, broken(spark, d))[1]
+    return C.repair_csv(spark, broken(spark, d))[1]
 
 
-@query("src_log_text", "SELECT CAST(0 AS INTEGER) AS first_n, count(*) AS lines FROM events")
+@query("src_log_text", "SELECT CAST(0 AS BIGINT) AS first_n, count(*) AS lines FROM events")
 def src_log_text(spark, d):
     S.table(spark, d, "events").select(F.concat_ws(" ", F.col("ts").cast("string"), "event_type").alias("line")).coalesce(4).write.text(path := I.scratch(spark, "logs"))
-    lines = I.read_log_lines(spark, path).filter("line <> ''")
+    lines = L.numbered_lines(spark, path).filter("line <> ''")
     return lines.agg(F.min("n").alias("first_n"), F.count(F.lit(1)).alias("lines"))
 
 
