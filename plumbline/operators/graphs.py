@@ -177,25 +177,21 @@ def core_of_cycles(edges: DataFrame) -> DataFrame:
     return whole.unionByName(inside).unionByName(ring)
 
 
-def cycle_samples(edges: DataFrame, most: int = 5, longest: int = 50) -> DataFrame:
-    """``cycle``: at most ``most`` cycles as 'a>b>a', each from its first name: the shortest ones through the first edges of the core.
+def cycle_samples(edges: DataFrame, most: int = 5) -> DataFrame:
+    """``cycle``: a report of at most ``most`` cycles, as 'a>b>a': of the first components by name, the shortest one through the first edge of its first node.
 
-    A report of a few samples: cycles of more than ``longest`` edges are not looked for.
+    Of any length: runs without branches are drawn together before a path is searched.
     """
-    core = settle(core_of_cycles(edges))
-    front = settle(core.orderBy("src", "dst").limit(most).select(F.concat_ws(">", "src", "dst").alias("root"), F.col("src").alias("goal"), F.col("dst").alias("node"), F.concat_ws(">", "src", "dst").alias("path")))
-    seen, found = front.select("root", "node"), front.filter("node = goal").select("root", "path")
-    for _ in range(longest - 1):
-        front = front.join(found.select("root"), "root", "left_anti").filter("node <> goal")
-        step = front.join(core, F.col("node") == F.col("src")).groupBy("root", "goal", F.col("dst").alias("node")).agg(F.min(F.concat_ws(">", "path", "dst")).alias("path"))
-        front = settle(step.join(seen, ["root", "node"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen, found = seen.unionByName(front.select("root", "node")), found.unionByName(front.filter("node = goal").select("root", "path"))
-    nodes = F.slice(F.split("path", ">"), 1, F.size(F.split("path", ">")) - 1)
-    at = F.array_position(nodes, F.array_min(nodes)).cast("int")
-    turned = F.concat(F.slice(nodes, at, F.size(nodes)), F.slice(nodes, F.lit(1), at - 1), F.slice(nodes, at, F.lit(1)))
-    return found.select(F.array_join(turned, ">").alias("cycle")).distinct()
+    parts = settle(strong_components(edges))
+    inner = settle(edges.select("src", "dst").distinct().join(parts.select(F.col("node").alias("src"), F.col("component").alias("c")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("d")), "dst").filter("c = d").select("c", "src", "dst"))
+    first = inner.filter("src = c").groupBy("c").agg(F.min("dst").alias("next")).orderBy("c").limit(most).collect()  # the report's rows
+    out = None
+    for r in first:
+        own = inner.filter(F.col("c") == r.c).select("src", "dst")
+        way = edges.sparkSession.createDataFrame([(r.c,)], "path string") if r.next == r.c else shortest_path(own, r.next, r.c).select("path")
+        one = way.select(F.concat_ws(">", F.lit(r.c), "path").alias("cycle"))
+        out = one if out is None else out.unionByName(one)
+    return edges.sparkSession.createDataFrame([], "cycle string") if out is None else out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -481,3 +477,84 @@ def fan_in_share(edges: DataFrame) -> DataFrame:
     total = edges.agg(F.count(F.lit(1)).alias("n"))
     g = edges.groupBy("src").agg(F.count_distinct("dst").alias("targets")).filter("targets >= 3")
     return g.join(F.broadcast(total)).select("src", "targets", share(F.col("targets"), F.col("n")).alias("share"))
+
+
+def peeled(edges: DataFrame) -> DataFrame:
+    """``src, dst``: what is left when nodes without a way in or a way out are taken away, again and again."""
+    now, n = settle(edges.select("src", "dst").distinct()), -1
+    while (m := now.count()) != n:
+        n = m
+        for _ in range(HOPS):
+            now = now.join(now.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(now.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        now = settle(now)
+    return now
+
+
+def _coloured(edges: DataFrame) -> DataFrame:
+    """``node, colour``: the largest node that reaches each (itself too). Only nodes whose colour has changed pass it on."""
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    colours = front = settle(ends.withColumn("colour", F.col("node")))
+    rows = front.count()
+    while rows:
+        step = near(front.select(F.col("node").alias("src"), F.col("colour").alias("new")), rows).join(edges, "src").groupBy(F.col("dst").alias("node")).agg(F.max("new").alias("new"))
+        moved = settle(colours.join(step, "node", "left").withColumn("more", F.coalesce(F.col("new") > F.col("colour"), F.lit(False))).select("node", F.greatest("colour", "new").alias("colour"), "more"))
+        front, colours = moved.filter("more").select("node", "colour"), moved.select("node", "colour")
+        rows = front.count()
+    return colours
+
+
+def _colour_components(edges: DataFrame) -> DataFrame:
+    """``node, component`` of the nodes of cycles, by forward colours and backward searches within them."""
+    found, now = None, peeled(edges)
+    while not now.isEmpty():
+        colours = _coloured(now)
+        own = colours.select(F.col("node").alias("src"), F.col("colour").alias("ca")).join(now, "src").join(colours.select(F.col("node").alias("dst"), F.col("colour").alias("cb")), "dst").filter("ca = cb")
+        back = settle(own.select(F.col("dst").alias("__from"), F.col("src").alias("node")))
+        # a colour's root reaches all of its nodes; those that reach the root are its component
+        front = seen = settle(colours.filter("node = colour").select("node", F.col("colour").alias("component")))
+        rows = front.count()
+        while rows:
+            step = near(front.select(F.col("node").alias("__from"), "component"), rows).join(back, "__from").select("node", "component").distinct()
+            front = settle(step.join(seen, ["node", "component"], "left_anti"))
+            rows, seen = front.count(), settle(seen.unionByName(front))
+        looped = now.filter("src = dst").select(F.col("src").alias("component"))  # else a root that is alone only stands between cycles
+        real = seen.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("component").unionByName(looped)
+        part = settle(seen.join(real.distinct(), "component", "left_semi").select("node", "component"))
+        found = part if found is None else found.unionByName(part)
+        gone = seen.select("node")
+        now = peeled(now.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return found
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """``node, component, size`` of every node that is in a cycle: components are named by their smallest node; a node with an edge to itself may be alone.
+
+    Nodes that are in no cycle are peeled off, and runs of nodes joined one to one are
+    drawn together (ranked by pointer doubling), until neither finds anything: a cycle of any
+    length without branches takes rounds by the logarithm of its length. What is left is coloured
+    forward and searched backward, all colours at a time.
+    """
+    now, runs_above, rings = peeled(edges), [], None
+    while True:
+        before = now.count()
+        e, runs, ringed = chain_runs(now)
+        if ringed:
+            ring = e.filter("link").join(runs.filter("head is null").select(F.col("node").alias("dst")), "dst", "left_semi")
+            parts = components(ring.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+            nodes = ring.select(F.col("dst").alias("node")).distinct().join(parts, "node", "left").select("node", F.coalesce("root", "node").alias("component"))
+            rings = nodes if rings is None else rings.unionByName(nodes)
+        if runs is not None:
+            runs_above.append(runs.filter("head is not null").select("node", "head"))
+        now = peeled(contracted(e, runs).select("src", "dst").distinct())
+        if now.count() == before:
+            break
+    found = _colour_components(now)
+    for runs in reversed(runs_above):  # a run is in its head's component: its head has no other way out
+        if found is not None:
+            found = settle(found.select("node", "component").unionByName(runs.join(found.withColumnRenamed("node", "head"), "head").select("node", "component")))
+    found = rings if found is None else found if rings is None else found.unionByName(rings)
+    if found is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component"), F.lit(0).cast("long").alias("size")).limit(0)
+    found = settle(found)
+    named = found.groupBy("component").agg(F.min("node").alias("first"), F.count(F.lit(1)).alias("size"))
+    return found.join(named, "component").select("node", F.col("first").alias("component"), "size")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.values import share
@@ -52,16 +52,25 @@ def join_audit(left: DataFrame, right: DataFrame, on: Mapping[str, str]) -> Data
     )
 
 
+# Match rates below which unmatched rows are a medium and a high finding, and the share of null keys that is a medium one.
+MATCH_MEDIUM, MATCH_HIGH, NULLS_MEDIUM = 0.9, 0.5, 0.01
+
+
 def join_findings(audit: DataFrame) -> DataFrame:
-    """``code, severity, value``: match rate below 0.9 (high below 0.5), null keys over 0.01, explosion, many-to-many keys."""
-    null_share = share(F.col("null_left"), F.col("null_left") + F.col("keyed_left"))
-    rules = [
-        ("JA001", F.when(F.col("match_left") < 0.5, "high").when(F.col("match_left") < 0.9, "medium"), F.col("match_left")),
-        ("JA002", F.when(null_share > 0.01, "medium"), null_share),
-        ("JA003", F.when(F.col("explosion") > 1.0, "medium"), F.col("explosion")),
-        ("JA004", F.when(F.col("many_to_many_keys") > 0, "high"), F.col("many_to_many_keys").cast("double")),
-    ]
-    cells = F.array(*[F.struct(F.lit(c).alias("code"), s.alias("severity"), v.alias("value")) for c, s, v in rules])
+    """``code, severity, side, value``: JA001 many-to-many keys (value: the explosion), JA002 left and JA003 right rows without a match (the match rate), JA004 null keys of a side (their share)."""
+
+    def unmatched(side: str) -> tuple[Column, Column]:
+        rate = F.coalesce(f"match_{side}", F.lit(0.0))
+        return F.when(rate < MATCH_HIGH, "high").when(rate < MATCH_MEDIUM, "medium"), rate
+
+    def nulls(side: str) -> tuple[Column, Column]:
+        part = share(F.col(f"null_{side}"), F.col(f"null_{side}") + F.col(f"keyed_{side}"))
+        return F.when(F.col(f"null_{side}") > 0, F.when(part >= NULLS_MEDIUM, "medium").otherwise("low")), part
+
+    rules = [("JA001", "both", F.when(F.col("many_to_many_keys") > 0, "high"), F.col("explosion"))]
+    rules += [(code, side, *unmatched(side)) for code, side in (("JA002", "left"), ("JA003", "right"))]
+    rules += [("JA004", side, *nulls(side)) for side in ("left", "right")]
+    cells = F.array(*[F.struct(F.lit(c).alias("code"), s.alias("severity"), F.lit(side).alias("side"), v.alias("value")) for c, side, s, v in rules])
     return audit.select(F.explode(cells).alias("f")).select("f.*").filter("severity is not null")
 
 

@@ -280,9 +280,9 @@ def jn_audit(spark, d):
     return audited(spark, d)
 
 
-@query("jn_findings", f"""WITH {_AUDIT}, found AS (SELECT 'JA001' AS code, CASE WHEN match_left < 0.5 THEN 'high' WHEN match_left < 0.9 THEN 'medium' END AS severity, match_left AS value FROM audit
-UNION ALL SELECT 'JA002', CASE WHEN null_left / CAST(null_left + keyed_left AS DOUBLE) > 0.01 THEN 'medium' END, null_left / CAST(null_left + keyed_left AS DOUBLE) FROM audit
-UNION ALL SELECT 'JA003', CASE WHEN explosion > 1 THEN 'medium' END, explosion FROM audit UNION ALL SELECT 'JA004', CASE WHEN many_to_many_keys > 0 THEN 'high' END, CAST(many_to_many_keys AS DOUBLE) FROM audit)
+@query("jn_findings", f"""WITH {_AUDIT}, found AS (SELECT 'JA001' AS code, CASE WHEN many_to_many_keys > 0 THEN 'high' END AS severity, 'both' AS side, explosion AS value FROM audit
+UNION ALL SELECT 'JA002', CASE WHEN match_left < 0.5 THEN 'high' WHEN match_left < 0.9 THEN 'medium' END, 'left', match_left FROM audit UNION ALL SELECT 'JA003', CASE WHEN match_right < 0.5 THEN 'high' WHEN match_right < 0.9 THEN 'medium' END, 'right', match_right FROM audit
+UNION ALL SELECT 'JA004', CASE WHEN null_left = 0 THEN NULL WHEN null_left / CAST(null_left + keyed_left AS DOUBLE) >= 0.01 THEN 'medium' ELSE 'low' END, 'left', null_left / CAST(null_left + keyed_left AS DOUBLE) FROM audit)
 SELECT * FROM found WHERE severity IS NOT NULL""")
 def jn_findings(spark, d):
     return J.join_findings(audited(spark, d))

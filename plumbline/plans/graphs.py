@@ -64,6 +64,12 @@ def ln_cycles(spark, d):
     return G.core_of_cycles(loops(spark, d))
 
 
+@query("ln_components", f"WITH {TASKS}, {_LOOPS}, n AS (SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0 GROUP BY 1 HAVING count(*) > 1) SELECT 't' || o_orderkey AS node, min('t' || o_orderkey) OVER (PARTITION BY o_custkey) AS component, count(*) OVER (PARTITION BY o_custkey) AS size FROM orders JOIN n USING (o_custkey)")
+def ln_components(spark, d):
+    """Strongly connected components: the whole graph of every third customer is one."""
+    return G.strong_components(loops(spark, d))
+
+
 @query("ln_cycle_samples")
 def ln_cycle_samples(spark, d):
     return G.cycle_samples(loops(spark, d))

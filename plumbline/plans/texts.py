@@ -260,16 +260,16 @@ def txt_vector(spark, d):
     return X.top_cosine(e, e.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), "vec_id", "embedding")
 
 
-@query("txt_hybrid", f"""WITH {_BM}, {_COS.replace("vec_id", "doc_id").replace("doc_id AS query_id", "vec_id AS query_id").replace("SELECT doc_id, embedding FROM", "SELECT vec_id AS doc_id, embedding FROM").replace("WHERE doc_id %", "WHERE vec_id %")}, v AS (SELECT query_id, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM c) WHERE r <= 100),
+@query("txt_hybrid", f"""WITH {_BM}, {_COS.replace("vec_id", "doc_id").replace("doc_id AS query_id", "vec_id AS query_id").replace("SELECT doc_id, embedding FROM", "SELECT vec_id AS doc_id, embedding FROM").replace("WHERE doc_id %", "WHERE vec_id %")}, v AS (SELECT query_id, doc_id, score FROM c),
 u AS (SELECT query_id, doc_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) * 0.3 AS part FROM s UNION ALL SELECT query_id, doc_id, terms / nullif(max(terms) OVER (PARTITION BY query_id), 0) * 0.4 FROM s UNION ALL SELECT query_id, doc_id, score / nullif(max(score) OVER (PARTITION BY query_id), 0) * 0.3 FROM v),
 f AS (SELECT query_id, doc_id, round(sum(part), 6) AS score FROM u GROUP BY 1, 2)
 SELECT query_id, doc_id, score, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f) WHERE rank <= 10""")
 def txt_hybrid(spark, d):
-    """Keyword, BM25 (all scores) and the hundred nearest vectors of each query, where an embedding's id is that of its document."""
+    """Keyword, BM25 and vector scores, all of them, of each query, where an embedding's id is that of its document."""
     postings, lengths = X.inverted_index(S.table(spark, d, "documents"), "doc_id")
     scores = X.settle(X.bm25_scores(asked(spark, d), postings, lengths, "doc_id"))
     e = S.table(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    vectors = X.top_cosine(e, e.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), "doc_id", "embedding", 100).select("query_id", "doc_id", "score")
+    vectors = X.top_cosine(e, e.filter("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), "doc_id", "embedding", None).select("query_id", "doc_id", "score")
     keyword = scores.select("query_id", "doc_id", F.col("terms").cast("double").alias("score"))
     return X.best(X.hybrid({"bm25": (scores.select("query_id", "doc_id", "score"), 0.3), "keyword": (keyword, 0.4), "vector": (vectors, 0.3)}, ["query_id", "doc_id"]), "doc_id", 10)
 
