@@ -182,8 +182,8 @@ def looped(text: Column) -> Column:
     n = F.size(w)
     a = F.pmod(g, F.greatest(n, F.lit(1))).cast("int")
     p = (1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))).cast("int")
-    # arrays count from 0 in transform and in get
-    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, a + F.pmod(i - a, p)))), " ")).otherwise(text)
+    loop = F.flatten(F.array_repeat(F.slice(w, a + 1, p), F.ceil((n - a) / p).cast("int")))  # no lambda: it would split the text for each word
+    return F.when((F.pmod(h, F.lit(10)) == 0) & (n > 0), F.array_join(F.slice(F.concat(F.slice(w, F.lit(1), a), loop), F.lit(1), n), " ")).otherwise(text)
 
 
 def op13_periodic_runs(spark, sf_dir: str) -> DataFrame:
