@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -383,11 +385,94 @@ def critical_path(edges: DataFrame, durations: DataFrame) -> DataFrame:
     return found.orderBy("v.f", "v.path").limit(1).select("node", (-F.col("v.f")).alias("finish"), F.col("v.path").alias("path"))
 
 
-def redundant(edges: DataFrame) -> DataFrame:
-    """Edges that a longer path implies: the first step of it is another edge whose end reaches the same node."""
-    e = edges.select("src", "dst").distinct()
-    reach = closure(e)
-    return e.alias("e").join(e.alias("f"), F.col("e.src") == F.col("f.src")).filter("e.dst <> f.dst").join(reach.alias("r"), (F.col("f.dst") == F.col("r.src")) & (F.col("e.dst") == F.col("r.dst")), "left_semi").select("e.src", "e.dst").distinct()
+#: Edges of the connected parts that one task takes together; larger parts are searched hop by hop.
+PART_EDGES = 200_000
+
+
+def _implied(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Places of the edges that a longer path implies, within one task."""
+    names, codes = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = codes[: len(src)].tolist(), codes[len(src) :].tolist()
+    after: list[list[tuple[int, int]]] = [[] for _ in names]
+    ins = [0] * len(names)
+    for i, (x, y) in enumerate(zip(a, b)):
+        after[x].append((y, i))
+        ins[y] += 1
+    todo, place = [x for x, n in enumerate(ins) if not n], [-1] * len(names)
+    for at, x in enumerate(todo):  # grows while it is read: a topological order
+        place[x] = at
+        for y, _ in after[x]:
+            ins[y] -= 1
+            if not ins[y]:
+                todo.append(y)
+    if len(todo) < len(names):
+        raise ValueError("the graph has a cycle")
+    out = []
+    for targets in after:
+        if len(targets) > 1:
+            targets = sorted(targets, key=lambda t: place[t[0]])
+            last, seen = place[targets[-1][0]], set()
+            for y, i in targets:
+                if y in seen:
+                    out.append(i)
+                    continue
+                stack = [y]
+                while stack:
+                    for z, _ in after[stack.pop()]:
+                        if z not in seen and place[z] <= last:
+                            seen.add(z)
+                            stack.append(z)
+    return np.array(sorted(out), np.int64)
+
+
+def _implied_far(e: DataFrame) -> DataFrame:
+    """The same for parts of any size: a search from each edge's other targets that stops at the edge's level, or when it is found."""
+    nodes = settle(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    level = settle(levels(e, nodes))
+    placed = settle(e.join(level.select(F.col("node").alias("src"), F.col("level").alias("ls")), "src").join(level.select(F.col("node").alias("dst"), F.col("level").alias("ld")), "dst"))
+    steps = settle(placed.select(F.col("src").alias("__from"), F.col("dst").alias("next"), F.col("ld").alias("at")))
+    open_ = placed.filter("ld - ls > 1").select("src", "dst", "ld")
+    first = open_.join(steps, F.col("src") == F.col("__from")).filter("at < ld").select("src", "dst", "ld", F.col("next").alias("node"))
+    front, found = settle(first), None
+    seen = front
+    while not front.isEmpty():
+        step = front.join(steps, F.col("node") == F.col("__from")).filter("at <= ld").select("src", "dst", "ld", "next", "at")
+        step = settle(step.distinct())
+        hit = settle(step.filter("next = dst").select("src", "dst").distinct())
+        found = hit if found is None else found.unionByName(hit)
+        rest = step.filter("at < ld").select("src", "dst", "ld", F.col("next").alias("node")).join(hit, ["src", "dst"], "left_anti")
+        front = settle(rest.join(seen, ["src", "dst", "ld", "node"], "left_anti"))
+        seen = settle(seen.join(hit, ["src", "dst"], "left_anti").unionByName(front))
+    return e.select("src", "dst").limit(0) if found is None else found.distinct()
+
+
+def redundant(edges: DataFrame, part: int = PART_EDGES) -> DataFrame:
+    """``src, dst``: edges that a longer path implies, for graphs without cycles (else an error).
+
+    Connected parts are told apart first. Parts of up to ``part`` edges are dealt out, some to a
+    task, and searched there in topological order; larger ones hop by hop, held to levels.
+    """
+    e = settle(edges.select("src", "dst").distinct())
+    roots = components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = settle(e.join(roots, F.col("src") == F.col("node"), "left").select("src", "dst", F.coalesce("root", "src").alias("part")))
+    sizes = settle(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
+    small, total = sizes.filter(F.col("n") <= part), e.count()
+    if not total:
+        return e
+    deals = max(e.sparkSession.sparkContext.defaultParallelism, -(-2 * total // part))
+    dealt = named.join(small.select("part"), "part", "left_semi").select("src", "dst", F.pmod(F.xxhash64("part"), F.lit(deals)).alias("deal"))
+
+    def search(table: pa.Table) -> pa.Table:
+        src, dst = (np.asarray(table.column(c).to_pylist(), object) for c in ("src", "dst"))
+        at = _implied(src, dst)
+        return table.select(["src", "dst"]).take(pa.array(at))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema.fields)
+    near_ones = dealt.groupBy("deal").applyInArrow(search, kinds)
+    large = sizes.filter(F.col("n") > part).select("part")
+    if large.isEmpty():
+        return near_ones
+    return near_ones.unionByName(_implied_far(settle(named.join(large, "part", "left_semi").select("src", "dst"))))
 
 
 def chains(edges: DataFrame, least: int = 3) -> DataFrame:

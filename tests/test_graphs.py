@@ -53,3 +53,16 @@ def test_a_cycle_of_5000_edges(spark):
 def test_no_cycles(spark):
     df = table(spark, [("a", "b"), ("b", "c"), ("a", "c")])
     assert G.strong_components(df).count() == 0 and G.cycle_samples(df).count() == 0 and G.strong_components(df.limit(0)).count() == 0
+
+
+def plain_redundant(edges):
+    r, edges = reach(edges), set(edges)
+    return sorted((a, b) for a, b in edges if any(c != b and (c == b or b in r[c]) for x, c in edges if x == a))
+
+
+@pytest.mark.parametrize("part", [G.PART_EDGES, 3])
+def test_redundant(spark, part):
+    rng = random.Random(8)
+    edges = [(f"{p}{min(x, y):02}", f"{p}{max(x, y):02}") for p in "abcd" for x, y in ((rng.randrange(25), rng.randrange(25)) for _ in range(40)) if x != y] + [("x", "y"), ("y", "z"), ("x", "z")]
+    assert sorted(map(tuple, G.redundant(table(spark, edges), part).collect())) == plain_redundant(edges)
+    assert G.redundant(table(spark, edges).limit(0)).count() == 0
