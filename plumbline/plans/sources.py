@@ -9,6 +9,8 @@ from plumbline.sources import csvs as C
 from plumbline.sources import files as I
 from plumbline.sources import lines as L
 from plumbline.sources import tables as S
+from plumbline.streaming import lag as K
+from plumbline.streaming import storms as A
 from plumbline.streaming import windows as W
 
 from .registry import query
@@ -147,6 +149,75 @@ def wm_apply(spark, d):
     return through(spark, W.tumbling(event_stream(spark, d), "ts", "2 minutes", "1 hour", ("event_type",))).withColumn("start", F.col("start").cast("string"))
 
 
+@query("wm_sliding", "WITH w AS (SELECT date_trunc('hour', ts) - k * INTERVAL 1 HOUR AS s, event_type, count(*) AS n FROM events, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1, 2), m AS (SELECT max(ts) - INTERVAL 2 MINUTE AS mark FROM events) SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM w, m WHERE s + INTERVAL 3 HOUR <= mark")
+def wm_sliding(spark, d):
+    """Counts of three hours, every hour."""
+    return through(spark, W.tumbling(event_stream(spark, d), "ts", "2 minutes", "3 hours", ("event_type",), "1 hour")).withColumn("start", F.col("start").cast("string"))
+
+
+@query("wm_dedup", "SELECT event_id, user_id FROM events")
+def wm_dedup(spark, d):
+    """Every event comes twice, as from a source that delivers at least once."""
+    s = event_stream(spark, d).select("event_id", "user_id", "ts")
+    return through(spark, W.deduplicated(s.unionByName(s), "ts", "2 minutes", ["event_id"])).select("event_id", "user_id")
+
+
+@query("wm_late", "SELECT event_id % 250 = 0 AS late, count(*) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM events GROUP BY 1")
+def wm_late(spark, d):
+    """Late events in a folder of their own, by batch."""
+    s, out = event_stream(spark, d).select("event_id", "ts", "arrival"), I.scratch(spark, "late")
+    W.split_late(s, "ts", "arrival", 120, f"{out}/on_time", f"{out}/late").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    sides = [W.read_batches(spark, "event_id long", f"{out}/{side}").withColumn("late", F.lit(side == "late")) for side in ("on_time", "late")]
+    return sides[0].unionByName(sides[1]).groupBy("late").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"))
+
+
+#: An offset snapshot of each group and hour: the end grows with the events, the committed offset with the clicks.
+SNAPSHOTS = """
+h AS (SELECT 'g' || user_id % 12 AS grp, date_trunc('hour', ts) AS t, count(*) AS n, count(*) FILTER (event_type = 'click') AS c FROM events WHERE (hour(ts) * 7 + user_id % 12) % 11 > 1 GROUP BY 1, 2),
+l AS (SELECT grp, t, CAST(greatest(n * 100 - c * 60, 0) + greatest(n * 10 - c * 20, 0) AS BIGINT) AS lag FROM h)"""
+
+
+def snapshots(spark, d):
+    """The snapshots as JSON files, one document for each group and hour."""
+    e, t = S.table(spark, d, "events"), F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    own = e.filter((F.hour("ts") * 7 + F.col("user_id") % 12) % 11 > 1).groupBy(F.concat(F.lit("g"), (F.col("user_id") % 12).cast("string")).alias("group"), t.alias("ts")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "click").alias("c"))
+    part = lambda i, a, b: F.struct(F.lit(i).alias("partition"), (F.col("n") * a).alias("log_end_offset"), (F.col("c") * b).alias("committed_offset"))
+    own.select("group", "ts", F.array(F.struct(F.lit("t").alias("topic"), F.array(part(0, 100, 60), part(1, 10, 20)).alias("partitions"))).alias("topics")).write.json(path := I.scratch(spark, "lags"))
+    return path
+
+
+@query("src_kafka", f"WITH {SNAPSHOTS} SELECT grp AS \"group\", count(*) AS snapshots, CAST(sum(lag) AS BIGINT) AS lag FROM l GROUP BY 1")
+def src_kafka(spark, d):
+    """Offset snapshots of groups, read from their files."""
+    return K.total_lags(K.read_lag_snapshots(spark, snapshots(spark, d))).groupBy("group").agg(F.count(F.lit(1)).alias("snapshots"), F.sum("lag").alias("lag"))
+
+
+@query("kfk_lag_stream", f"""WITH {SNAPSHOTS}, x AS (SELECT *, lag(lag, 1) OVER w AS b, lag(lag, 2) OVER w AS a, lead(t) OVER w AS nx, max(t) OVER () AS now FROM l WINDOW w AS (PARTITION BY grp ORDER BY t))
+SELECT grp AS "group", strftime(t, '%Y-%m-%d %H:%M:%S') AS ts, 'rising' AS kind, a AS from_lag, lag AS to_lag, CASE WHEN a > 0 THEN round(100 * (CAST(lag AS DOUBLE) / a - 1), 1) END AS growth_pct FROM x WHERE a < b AND b < lag
+UNION ALL SELECT grp, strftime(t + INTERVAL 2 HOUR, '%Y-%m-%d %H:%M:%S'), 'stalled', NULL, lag, NULL FROM x WHERE nx > t + INTERVAL 2 HOUR OR nx IS NULL AND now >= t + INTERVAL 2 HOUR""")
+def kfk_lag_stream(spark, d):
+    """Backlogs that rise three times on end, and groups without a snapshot for two hours, from a stream of snapshot files."""
+    K.with_keyed_state(spark)
+    path = snapshots(spark, d)
+    lags = K.read_lag_snapshots(spark, path, stream=True).withColumn("lag", F.greatest(F.col("end_offset") - F.col("committed"), F.lit(0)))
+    whole = lags.withWatermark("ts", "0 seconds").groupBy("group", "ts").agg(F.sum("lag").alias("lag"))
+    closed, out = I.scratch(spark, "closed"), I.scratch(spark, "alerts")
+    W.run_once(whole, f"{closed}/rows", f"{closed}/checkpoint")
+    stream = spark.readStream.schema(whole.schema).parquet(f"{closed}/rows")
+    W.run_once(K.lag_alerts(stream, 3, 7200), f"{out}/rows", f"{out}/checkpoint")
+    return spark.read.schema(K.LAG_ALERTS).parquet(f"{out}/rows").withColumn("ts", F.col("ts").cast("string"))
+
+
+@query("alert_storm_stream", """WITH m AS (SELECT max(ts) - INTERVAL 2 MINUTE AS mark FROM events), b AS (SELECT event_type AS scope, CAST(epoch(date_trunc('hour', ts)) AS BIGINT) AS s, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT b.* FROM b, m WHERE s + 3600 <= epoch(mark)),
+r AS (SELECT x.scope, x.s, x.n, list(y.n ORDER BY y.n) AS l FROM c x JOIN c y ON x.scope = y.scope AND y.s <= x.s AND y.s // 86400 > x.s // 86400 - 7 GROUP BY 1, 2, 3), g AS (SELECT ln(1.01 / 0.99) AS gamma),
+k AS (SELECT scope, s, n, 2 * exp(gamma * ceil(ln(l[len(l) // 2 + 1]) / gamma - 1e-9)) / (1 + exp(gamma)) AS mid FROM r, g) SELECT scope, s AS bucket_s, n, round(mid, 6) AS median FROM k WHERE n >= 5 AND n >= 1.5 * mid""")
+def alert_storm_stream(spark, d):
+    """Hours with half as many events again as the running median of their kind over seven days."""
+    K.with_keyed_state(spark)
+    found = A.storm_stream(event_stream(spark, d), "ts", "event_type", "2 minutes", "1 hour", 1.5)
+    return through(spark, found).withColumn("median", F.round("median", 6))
+
+
 @query("wm_sessions", """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS b FROM events), r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g),
 s AS (SELECT user_id, min(ts) AS a, max(ts) + INTERVAL 30 MINUTE AS z, count(*) AS n FROM r GROUP BY user_id, k), m AS (SELECT max(ts) - INTERVAL 2 MINUTE AS mark FROM events) SELECT user_id, rtrim(rtrim(strftime(a, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS start, rtrim(rtrim(strftime(z, '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS finish, n FROM s, m WHERE z <= mark""")
 def wm_sessions(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -31,18 +31,31 @@ def tagged_late(df: DataFrame, event: str, arrival: str, bound_s: int) -> DataFr
     return df.withColumn("late", F.unix_timestamp(arrival) - F.unix_timestamp(event) > bound_s)
 
 
-def split_late(stream: DataFrame, event: str, arrival: str, bound_s: int, on_time: Callable[[DataFrame], None], late: Callable[[DataFrame], None]):
-    """A writer that gives each micro-batch's rows on time to one sink and the late ones to another."""
+def split_late(stream: DataFrame, event: str, arrival: str, bound_s: int, on_time: str, late: str, between: Callable[[int], None] | None = None):
+    """A writer of each micro-batch's rows on time to one Parquet folder and of the late ones to another, each exactly once.
 
-    def batch(df: DataFrame, _: int) -> None:
+    A batch has a folder of its own in either; when it runs again after a failure, at whatever point (``between`` is called
+    between the two), it writes the same rows over what it left. ``read_batches`` reads them.
+    """
+
+    def batch(df: DataFrame, number: int) -> None:
         x = tagged_late(df, event, arrival, bound_s).persist()
-        on_time(x.filter("not late").drop("late"))
-        late(x.filter("late").drop("late"))
-        x.unpersist()
+        try:
+            x.filter("late is not true").drop("late").write.mode("overwrite").parquet(f"{on_time}/batch={number}")
+            if between is not None:
+                between(number)
+            x.filter("late").drop("late").write.mode("overwrite").parquet(f"{late}/batch={number}")
+        finally:
+            x.unpersist()
 
     return stream.writeStream.foreachBatch(batch)
 
 
+def read_batches(spark: SparkSession, schema: str, path: str) -> DataFrame:
+    """What the batches of ``split_late`` have written to one folder."""
+    return spark.read.schema(schema).parquet(f"{path}/batch=*")
+
+
 def remembered_alerts(stream: DataFrame, by: str, value: str, threshold: float, order: str) -> DataFrame:
     """``by, value, kind``: 'raised' when a value crosses the threshold, 'recovered' when it returns; nothing in between.
 
