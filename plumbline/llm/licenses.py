@@ -62,19 +62,43 @@ EXCEPTIONS = (
 )
 KNOWN = re.compile("|".join(f"(?P<f{i}>{x})" for i, x in enumerate(IDENTIFIERS)), re.IGNORECASE)
 OTHER = re.compile(r"(DocumentRef-[A-Za-z0-9.-]+:)?LicenseRef-[A-Za-z0-9.-]*[A-Za-z0-9]")
+#: The form of a versioned identifier that is not known: a name, a version after a hyphen, and perhaps more parts.
+VERSIONED = re.compile(r"[A-Za-z][A-Za-z0-9.]*(-[A-Za-z0-9.]+)*-v?\d+(\.\d+)*(-[A-Za-z0-9.]+)*\+?")
+# Identifiers without a version that stand for themselves.
+PLAIN = (
+    "Abstyles AMDPLPA AML ANTLR-PD Bahyph Barr Beerware blessing Borceux Caldera ClArtistic CNRI-Jython Crossword CrystalStacker Cube diffmark DOC Dotseqn DSDP dvipdfm eGenix Entessa etalab Eurosym Fair FSFUL "
+    "FSFULLR FTL GL2PS Glide Glulxe gnuplot HaskellReport HPND IJG ImageMagick Imlib2 Info-ZIP Intel Intel-ACPI JasPer-2.0 JPNIC JSON Latex2e Leptonica Libpng libtiff MakeIndex MirOS Mup NAIST-2003 Naumen "
+    "Net-SNMP NetCDF Newsletr NGPL NLPL Noweb NPOSL-3.0 NTP Nunit OGTSL OML OpenSSL Plexus psfrag psutils Qhull Rdisc RSA-MD Ruby SAX-PD Saxpath SCEA Sendmail Sleepycat SMLNJ SNIA Spencer-86 SSH-OpenSSH SSH-short "
+    "SWL TCL TCP-wrappers TMate TOSL TU-Berlin-1.0 Vim VOSTROM W3C Wsuipa Xerox xinetd Xnet xpp XSkat Zed zlib-acknowledgement"
+)
+UNVERSIONED = {x.lower() for x in PLAIN.split()}
 #: What an expression is made of (an identifier ends before a full stop that ends a sentence), and the signs that end its line.
 TOKEN = re.compile(rb"[A-Za-z0-9](?:[A-Za-z0-9.+:-]*[A-Za-z0-9+])?|[()]|[\n\r*;\"'<]")
 STOPS = set("\n\r*;\"'<")
 COPYLEFT = ("gpl", "lgpl", "agpl", "mpl", "epl", "eupl", "cddl")
 BINDS = {"or": 1, "and": 2, "with": 3}
 LIFTING = {x.lower() for x in EXCEPTIONS}
+FAMILIES = set(IDENTIFIERS.values())
 
 
 def family(identifier: str) -> str | None:
-    """The family of a known identifier; a LicenseRef- stands for itself; None for other words."""
+    """The family of a known identifier; a LicenseRef-, and what has the form of an identifier, stand for themselves; None for other words."""
     if found := KNOWN.fullmatch(identifier):
         return next(f for i, f in enumerate(IDENTIFIERS.values()) if found[f"f{i}"] is not None)
-    return identifier.lower() if OTHER.fullmatch(identifier) else None
+    return identifier.lower() if OTHER.fullmatch(identifier) or VERSIONED.fullmatch(identifier) or identifier.lower() in UNVERSIONED else None
+
+
+def is_permissive(name: str) -> bool | None:
+    """Of a family; a LicenseRef- is no copyleft; None for identifiers that are only known by their form."""
+    return name not in COPYLEFT if name in FAMILIES or "licenseref-" in name else None
+
+
+def either(a: bool | None, b: bool | None) -> bool | None:
+    return True if a or b else None if a is None or b is None else False
+
+
+def both(a: bool | None, b: bool | None) -> bool | None:
+    return False if a is False or b is False else None if a is None or b is None else True
 
 
 def to_postfix(tokens: list[str]) -> list[str] | None:
@@ -111,24 +135,24 @@ def to_postfix(tokens: list[str]) -> list[str] | None:
     return out + held[::-1]
 
 
-def evaluate(postfix: list[str]) -> tuple[set[str], bool]:
-    """The families named, and whether a permissive choice exists (any side of 'or', both of 'and'; a known exception lifts copyleft)."""
-    held: list[tuple[set[str], bool]] = []
+def evaluate(postfix: list[str]) -> tuple[set[str], bool | None]:
+    """The families named, and whether a permissive choice exists (any side of 'or', both of 'and'; a known exception lifts copyleft; None: not known)."""
+    held: list[tuple[set[str], bool | None]] = []
     for t in postfix:
         if t in BINDS:
             (b, pb), (a, pa_) = held.pop(), held.pop()
-            held.append((a, True) if t == "with" else (a | b, (pa_ or pb) if t == "or" else (pa_ and pb)))
+            held.append((a, True) if t == "with" else (a | b, either(pa_, pb) if t == "or" else both(pa_, pb)))
         elif t.lower() in LIFTING:
             held.append((set(), True))
         else:
-            held.append(({family(t)}, family(t) not in COPYLEFT))
+            held.append(({family(t)}, is_permissive(family(t))))
     return held[0]
 
 
-def expression(raw: bytes, start: int = 0) -> tuple[set[str], bool] | None:
+def expression(raw: bytes, start: int = 0) -> tuple[set[str], bool | None] | None:
     """The longest licence expression that the line begins with, from the byte ``start`` on; reading ends where none can follow.
 
-    Operands are known identifiers and LicenseRef-; 'with' stands between one of them (no
+    Operands are known identifiers, LicenseRef-, and words in the form of a versioned identifier; 'with' stands between one of them (no
     bracket) and a known exception. Other words, NONE and NOASSERTION end the expression.
     """
     tokens, whole, depth, operand = [], 0, 0, True
@@ -177,7 +201,7 @@ class Scanner:
                 if found:
                     tags += 1
                     labels |= found[0]
-                    permissive = found[1] if permissive is None else permissive and found[1]
+                    permissive = found[1] if tags == 1 else both(permissive, found[1])
         score = 1.0 - 0.5 ** len(starts) * 0.6 ** len(labels - base) * (0.1 if tags else 1.0)
         return (len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), score, permissive)
 
@@ -188,7 +212,8 @@ def scan_licenses(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataF
     Words are runs of digits, letters and non-ASCII characters after A-Z are lowered. A null
     text counts as an empty one (no words, null places, empty labels, score 0); repeated rows
     are scanned and returned again; an empty table gives no rows; other columns are ignored.
-    ``permissive`` is null without a tag's expression, which must stand on the tag's line; of
+    ``permissive`` is null without a tag's expression, which must stand on the tag's line, and where it
+    depends on an identifier that is known by its form only; of
     several tags all must be permissive. ``score`` is one minus the chance that none of the
     finds means a licence, taking a base phrase for wrong in one case of two, the label of a
     notice in six of ten, and a tag with an expression in one of ten. Very long texts are read

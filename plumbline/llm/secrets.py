@@ -42,7 +42,9 @@ IDENTIFIERS = (
     "authorization bearer basic content type length accept encoding abcdefghijklmnopqrstuvwxyz "
     "ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 00000000 11111111 xxxxxxxx XXXXXXXX the and that with this from have for not "
 )
-CANDIDATE = r"[A-Za-z0-9+/_=-]{16,}"
+CANDIDATE = r"[A-Za-z0-9+/_=.-]{16,}"
+#: A name with its sign of equality before a key, in one run of characters; characters of a key, and of one without digits, which has letters of either case.
+NAMED, KEY_LEAST, LETTERS_LEAST = r"(?:[A-Za-z_][A-Za-z0-9_.-]*=)+(?=[^=])", 16, 20
 #: An identifier that the dictionary may take, and the bytes that it holds at most (zstandard looks no further back in short texts).
 IDENTIFIER, DICTIONARY_BYTES = r"[A-Za-z_]{4,40}(?![A-Za-z0-9_])", 32_768
 #: The least novelty of what is reported: random keys have 0.8 to 1.1 bytes a character, names of known words mostly 0.4 to 0.8.
@@ -102,6 +104,7 @@ def common_identifiers(docs: DataFrame, size: int = DICTIONARY_BYTES, held: int
 class Scanner:
     def __init__(self, novelty: float = LEAST, before: int = 48, around: int = 400, identifiers: str = ""):
         self.assign, self.access, self.hex, self.candidate = map(re.compile, (ASSIGN, ACCESS, HEX, CANDIDATE))
+        self.named = re.compile(NAMED)
         self.sensitive = re.compile("|".join(SENSITIVE.split()))
         self.next_line, self.last_line = re.compile(NEXT_LINE), re.compile(LAST_LINE)
         self.least, self.before, self.around, self.measure = novelty, before, around, Novelty(f"{identifiers} {IDENTIFIERS}")
@@ -136,12 +139,17 @@ class Scanner:
         found, starts, reach = [], [a for a, _, _ in base], list(accumulate((b for _, _, b in base), max))
         stop, inherits = 0, False
         for m in self.candidate.finditer(text):
-            s, e = m.span()
+            e = m.start() + len(m[0].rstrip("."))
+            name = self.named.match(text, m.start(), e)
+            s = name.end() if name else m.end() - len(m[0].lstrip("."))
+            if e - s < KEY_LEAST:
+                continue
+            body = text[s:e]
             further = inherits and self.next_line.fullmatch(text, stop, s) is not None  # a further line of a key
             further_dense = further and bool(found) and found[-1][2] == stop
             inherits = further or self.sensitive.search(text[max(0, s - self.before) : s].lower()) is not None
             stop = e
-            if not inherits or not (any(c.isdigit() for c in m[0]) and any(c.isalpha() for c in m[0])):
+            if not inherits or not any(c.isalpha() for c in body) or not any(c.isdigit() for c in body) and not (len(body) >= LETTERS_LEAST and any(c.isupper() for c in body) and any(c.islower() for c in body)):
                 continue
             last = None
             cuts = [*range(s, max(s + 1, e - 63), BLOCK), e]  # a rest of under 64 characters goes with the block before it
