@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.durable import settle as durable
 from plumbline.functions.durable import shared_folder
 
-__all__ = ["automaton", "durable", "map_texts", "near", "phrase", "read_table", "shared_folder", "spaced", "spread_join", "vocabulary", "whole_text", "word_bytes"]
+__all__ = ["automaton", "durable", "map_texts", "near", "phrase", "read_table", "shared_folder", "spaced", "spread_join", "spread_left", "vocabulary", "whole_text", "word_bytes"]
 
 #: Rows that a task holds as Python objects at a time.
 ROWS_AT_ONCE = 1000
@@ -93,6 +93,15 @@ def spread_join(rows: DataFrame, table: DataFrame, on: Column, count: str, most:
     return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(table.filter(~hot), on))
 
 
+def spread_left(rows: DataFrame, table: DataFrame, on: Column, count: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """As ``spread_join``, but rows without a row of ``table`` stay, with nulls."""
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), on, "left")
+    hot = F.col(count) * HOT_KEYS > table.agg(F.sum(count)).first()[0]
+    few = F.broadcast(table.filter(hot))
+    return rows.join(few, on).unionByName(rows.join(few, on, "left_anti").join(table.filter(~hot), on, "left"))
+
+
 def automaton(patterns: dict[str, object]):
     """An Aho-Corasick automaton of the patterns with their payloads; None without patterns."""
     import ahocorasick

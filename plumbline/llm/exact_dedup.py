@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, durable, near, read_table, whole_text
+from .common import BROADCAST_ROWS, durable, near, read_table, spread_left, whole_text
 
 QUOTIENT_BITS, REMAINDER_BITS = 16, 48
 #: Blocks of quotients at least, and fingerprints of a block, about: what one task merges.
@@ -101,9 +101,10 @@ def exact_groups(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataF
         routed.groupBy("fp", "norm")
         .agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .filter("group_size > 1")
-        .select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "keep_id", "group_size")
+        .select(F.col("fp").alias("group_fp"), F.unhex(F.sha2("norm", 256)).alias("group_sha"), "keep_id", "group_size")
     )
-    found = narrow.join(groups, ["fp", "sha"], "left")
+    same = (F.col("fp") == F.col("group_fp")) & (F.col("sha") == F.col("group_sha"))
+    found = spread_left(narrow, durable(groups), same, "group_size", broadcast_rows)
     keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return found.select(
         "doc_id",
@@ -121,15 +122,16 @@ def keep_first_copies(docs: DataFrame, broadcast_rows: int = BROADCAST_ROWS) ->
     that repeat both doc_id and text, if there are any, are brought together.
     """
     many = exact_groups(docs, broadcast_rows).filter("group_size > 1")
-    marks = durable(many.groupBy(F.col("doc_id").alias("__kid"), F.col("text_sha256").alias("__ksha")).agg(F.bool_or("kept").alias("__stays"), F.count(F.lit(1)).alias("__n")))
-    gone, again = (marks.filter(x).select("__kid", "__ksha") for x in ("not __stays", "__stays and __n > 1"))
-    named = docs.withColumn("__id", F.col("doc_id")).withColumn("__sha", F.sha2(normalised(), 256))
-    same = F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__sha") == F.col("__ksha"))
+    marks = durable(many.groupBy(F.col("doc_id").alias("kid"), F.col("text_sha256").alias("ksha")).agg(F.bool_or("kept").alias("stays"), F.count(F.lit(1)).alias("n")))
+    gone, again = (marks.filter(x).select("kid", "ksha") for x in ("not stays", "stays and n > 1"))
+    # the row as it came is one column, whatever names its own have
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.sha2(normalised(), 256).alias("sha"))
+    same = F.col("id").eqNullSafe(F.col("kid")) & (F.col("sha") == F.col("ksha"))
     rest = named.join(near(gone, broadcast_rows), same, "left_anti")
     if not again.isEmpty():
         few = near(again, broadcast_rows)
-        rest = rest.join(few, same, "left_anti").unionByName(rest.join(few, same, "left_semi").dropDuplicates(["__id", "__sha"]))
-    return rest.select(*docs.columns)
+        rest = rest.join(few, same, "left_anti").unionByName(rest.join(few, same, "left_semi").dropDuplicates(["id", "sha"]))
+    return rest.select("row.*")
 
 
 def op6_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, near, read_table, whole_text
+from .common import durable, near, read_table, spread_join, whole_text
 from .toxicity import fit_logistic, held_out
 
 #: Labelled rows that the document model is fitted on, at most: those with the smallest hash of doc_id.
@@ -107,7 +107,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, site: str | Column = "sour
     of_paths = _strength(mean, within)
     shrunk = sites.withColumn("site_rate", (F.col("site_s") + of_sites * mean) / (F.col("site_n") + of_sites))
     priors = paths.join(shrunk, "site").select(F.col("site").alias("__site"), F.col("path").alias("__path"), "n", "s", "site_rate")
-    joined = rows.join(priors, (F.col("site") == F.col("__site")) & (F.col("path") == F.col("__path")))
+    joined = spread_join(rows, durable(priors), (F.col("site") == F.col("__site")) & (F.col("path") == F.col("__path")), "n")
     others = _bounded((F.col("s") - F.col("value") + of_paths * F.col("site_rate")) / (F.col("n") - 1 + of_paths))
     score = 1 / (1 + F.exp(-(_logit(F.col("evidence")) + F.lit(weight) * (_logit(others) - F.lit(math.log(mean / (1 - mean)))))))
     return joined.select("doc_id", "evidence", F.col("site_rate").alias("site_posterior"), others.alias("path_posterior"), score.alias("score"), (score >= threshold).alias("kept"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.graphs import components as connected
 
-from .common import durable, map_texts, near, read_table
+from .common import durable, map_texts, near, read_table, spread_join
 
 SEED, SHINGLE, RADIUS = 42, 4, 4
 #: ASCII upper to lower case.
@@ -190,13 +190,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
     are read whole.
     """
     rows = durable(fingerprints(docs, size))
-    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")).withColumn("node", F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "fp")))
+    classes = durable(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")).withColumn("node", F.struct(F.col("first_id").isNull().alias("unnamed"), "first_id", "fp")))
     named = classes.select("fp", "node")
     links = near_links(classes, radius).join(named.toDF("a", "node_a"), "a").join(named.toDF("b", "node_b"), "b")
     roots = connected(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))  # of the smallest doc_id
     moved = roots.select(F.col("node.fp").alias("__fp"), F.col("root.first_id").alias("component_id"))
-    labels = durable(classes.join(moved, F.col("fp") == F.col("__fp"), "left").select(F.col("fp").alias("__fp"), F.when(F.col("__fp").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id")))
-    return rows.join(labels, F.col("fp") == F.col("__fp")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = durable(classes.join(moved, F.col("fp") == F.col("__fp"), "left").select(F.col("fp").alias("__fp"), F.when(F.col("__fp").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"), "n"))
+    return spread_join(rows, labels, F.col("fp") == F.col("__fp"), "n").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:

@@ -658,3 +658,21 @@ def test_identifiers_by_their_form():
     assert scan("// SPDX-License-Identifier: SSPL-1.0 OR MIT")[5:8:2] == ("mit,sspl-1.0", True)
     assert scan("// SPDX-License-Identifier: SSPL-1.0 AND GPL-2.0-only")[7] is False
     assert scan("// SPDX-License-Identifier: see the file")[5] == ""
+
+
+def test_hot_keys_and_names(spark, monkeypatch):
+    """Joins by hot keys apart, and columns that are named like the operators' own."""
+    from plumbline.llm import common
+
+    texts = ["hot text of many"] * 40 + [f"twin {i // 2}" for i in range(30)] + ["alone", None, ""]
+    rows = [(i, t, "k", "s", i, f"x{i}", "h", "r") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __kid string, __sha string, __id long, sha string, kid string, row string").repartition(3)
+    want = sorted(map(tuple, exact_dedup.exact_groups(df).collect()))
+    kept = exact_dedup.keep_first_copies(df)
+    first = {t or "": i for i, t in reversed(list(enumerate(texts)))}
+    assert kept.columns == df.columns and sorted(tuple(r) for r in kept.collect()) == sorted(rows[i] for i in first.values())
+    monkeypatch.setattr(common, "HOT_KEYS", 4)
+    assert sorted(map(tuple, exact_dedup.exact_groups(df, 3).collect())) == want
+    near = sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str)
+    monkeypatch.setattr(simhash, "spread_join", lambda *a: common.spread_join(*a, most=2))
+    assert sorted(map(tuple, simhash.near_duplicates(df).collect()), key=str) == near
