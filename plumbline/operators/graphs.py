@@ -63,6 +63,38 @@ def trace(edges: DataFrame, roots: DataFrame, depth: int | None = 10, direction:
     return out
 
 
+def column_impact(columns: DataFrame, tables: DataFrame, roots: DataFrame, depth: int = 5) -> DataFrame:
+    """``root_table, root_column, table_name, column_name, hop, kind`` of what is downstream of columns (``roots``: ``table_name, column_name``).
+
+    ``columns``: ``src_table, src_column, dst_table, dst_column``; ``tables``: ``src, dst``. A root that column
+    edges leave is followed along them (kind 'column'); one that they only reach has no impact; one
+    that they do not know is followed along table edges (kind 'table', ``column_name`` null). Names
+    are held in lower case. All roots go in one search over both kinds of nodes.
+    """
+    low = lambda c: F.lower(F.trim(F.col(c)))
+    node = lambda t, c: F.concat(F.lit("column\x1f"), t, F.lit("\x1f"), c)
+    whole = lambda t: F.concat(F.lit("table\x1f"), t, F.lit("\x1f"))
+    c = columns.select(node(low("src_table"), low("src_column")).alias("src"), node(low("dst_table"), low("dst_column")).alias("dst"))
+    edges = settle(c.unionByName(tables.select(whole(low("src")).alias("src"), whole(low("dst")).alias("dst"))).distinct())
+    wanted = roots.select(low("table_name").alias("root_table"), low("column_name").alias("root_column")).distinct()
+    named = wanted.withColumn("__node", node(F.col("root_table"), F.col("root_column")))
+    leaves = edges.select(F.col("src").alias("__node"), F.lit(True).alias("__out")).distinct()
+    reached = edges.select(F.col("dst").alias("__node"), F.lit(True).alias("__in")).distinct()
+    known = named.join(leaves, "__node", "left").join(reached, "__node", "left").filter("__out or __in is null")
+    starts = settle(known.select("root_table", "root_column", F.when(F.col("__out"), F.col("__node")).otherwise(whole(F.col("root_table"))).alias("root")))
+    found = trace(edges, starts.select("root").distinct(), depth).join(starts, "root")
+    parts = F.split("node", "\x1f")
+    return found.select("root_table", "root_column", F.get(parts, 1).alias("table_name"), F.when(F.get(parts, 0) == "column", F.get(parts, 2)).alias("column_name"), "hop", F.get(parts, 0).alias("kind"))
+
+
+def dead_columns(columns: DataFrame, tables: DataFrame, final: str = "^ads") -> DataFrame:
+    """``table_name, column_name``: columns that are made and that no column edge reads, in tables that something reads (unless final)."""
+    made = columns.select(F.col("dst_table").alias("table_name"), F.col("dst_column").alias("column_name")).distinct()
+    read = columns.select(F.col("src_table").alias("table_name"), F.col("src_column").alias("column_name")).distinct()
+    used = tables.select(F.col("src").alias("table_name")).unionByName(columns.select(F.col("src_table").alias("table_name"))).distinct()
+    return made.filter(~F.col("table_name").rlike(final)).join(read, ["table_name", "column_name"], "left_anti").join(used, "table_name", "left_semi")
+
+
 def both_ways(edges: DataFrame, roots: DataFrame, depth: int | None = 10) -> DataFrame:
     return trace(edges, roots, depth, "both")
 

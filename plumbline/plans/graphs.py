@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 from plumbline.operators import graphs as G
 from plumbline.sources import tables as S
 
-from .inputs import EDGES, NODES, TASKS, deps, edges, name, nodes, tasks
+from .inputs import COLUMNS, EDGES, NODES, TASKS, column_edges, deps, edges, name, nodes, tasks
 from .registry import query
 
 NUM = "CAST(regexp_replace({}, '^[a-z]+', '') AS BIGINT)"
@@ -33,9 +33,21 @@ def ln_trace(spark, d):
     return G.both_ways(edges(spark, d), roots(spark, "s5"))
 
 
-@query("ln_column_impact", f"WITH RECURSIVE {EDGES}, {DOWN.format(root='p7', depth=5)} SELECT 'p7' AS root, node, CAST(min(hop) AS INTEGER) AS hop FROM t WHERE hop > 0 GROUP BY node")
+_ROOTS = "roots AS (SELECT * FROM (VALUES ('p7', 'qty'), ('p7', 'tax'), ('p11', 'price'), ('s3', 'price'), ('n5', 'gdp'), ('c4', 'spend'), ('c4', 'name'), ('s5', 'gdp')) v(rt, rc))"
+
+
+@query("ln_column_impact", f"""WITH RECURSIVE {EDGES}, {COLUMNS}, {_ROOTS}, t(rt, rc, tn, cn, hop) AS (SELECT rt, rc, rt, rc, 0 FROM roots UNION SELECT rt, rc, dt, dc, hop + 1 FROM t JOIN ce ON st = tn AND sc = cn WHERE hop < 5),
+f(rt, rc, tn, hop) AS (SELECT rt, rc, rt, 0 FROM roots WHERE NOT EXISTS (SELECT 1 FROM ce WHERE st = rt AND sc = rc OR dt = rt AND dc = rc) UNION SELECT rt, rc, dst, hop + 1 FROM f JOIN edges ON src = tn WHERE hop < 5)
+SELECT rt AS root_table, rc AS root_column, tn AS table_name, cn AS column_name, CAST(min(hop) AS INTEGER) AS hop, 'column' AS kind FROM t WHERE hop > 0 GROUP BY 1, 2, 3, 4 UNION ALL SELECT rt, rc, tn, NULL, CAST(min(hop) AS INTEGER), 'table' FROM f WHERE hop > 0 GROUP BY 1, 2, 3""")
 def ln_column_impact(spark, d):
-    return G.trace(edges(spark, d), roots(spark, "p7"), 5)
+    """Of columns with edges, of one that is only written (c4.spend), and of some that no column edge knows."""
+    named = spark.createDataFrame([("p7", "qty"), ("P7", "Tax"), ("p11", "price"), ("s3", "price"), ("n5", "gdp"), ("c4", "spend"), ("c4", "name"), ("s5", "gdp")], "table_name string, column_name string")
+    return G.column_impact(column_edges(spark, d), edges(spark, d), named)
+
+
+@query("ln_dead_columns", f"WITH {EDGES}, {COLUMNS} SELECT DISTINCT dt AS table_name, dc AS column_name FROM ce x WHERE dt NOT LIKE 'c1%' AND NOT EXISTS (SELECT 1 FROM ce y WHERE y.st = x.dt AND y.sc = x.dc) AND (dt IN (SELECT src FROM edges) OR dt IN (SELECT st FROM ce))")
+def ln_dead_columns(spark, d):
+    return G.dead_columns(column_edges(spark, d), edges(spark, d), "^c1")
 
 
 @query("ln_path", f"WITH RECURSIVE {EDGES}, p(node, path, hops) AS (SELECT 'p2', 'p2', 0 UNION ALL SELECT dst, min(path || '>' || dst), hops + 1 FROM p JOIN edges ON src = node WHERE hops < 8 GROUP BY dst, hops) SELECT path, CAST(hops AS INTEGER) AS hops FROM p WHERE node = 'n17' ORDER BY hops, path LIMIT 1")

@@ -100,3 +100,23 @@ def deps(spark: SparkSession, d: str) -> DataFrame:
     k, o = F.col("o_orderkey"), table(spark, d, "orders").select("o_custkey", "o_orderkey")
     lags = o.select("o_orderkey", F.lag("o_orderkey", 1).over(before).alias("x"), F.when(k % 3 == 0, F.lag("o_orderkey", 2).over(before)).alias("y"), F.when(k % 5 == 0, F.lag("o_orderkey", 3).over(before)).alias("z"))
     return lags.select(F.explode(F.array("x", "y", "z")).alias("p"), "o_orderkey").filter("p is not null").select(name("t", "p").alias("src"), name("t", "o_orderkey").alias("dst")).distinct()
+
+
+#: Column lineage by the same keys: three measures go from parts to suppliers to orders, the price of even orders on to customers.
+COLUMNS = """
+ce AS (
+  SELECT DISTINCT 'p' || l_partkey AS st, m AS sc, 's' || l_suppkey AS dt, m AS dc FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'price' WHEN 1 THEN 'qty' ELSE 'tax' END AS m FROM lineitem)
+  UNION SELECT 's' || l_suppkey, m, 'o' || l_orderkey, m FROM (SELECT *, CASE l_linenumber % 3 WHEN 0 THEN 'price' WHEN 1 THEN 'qty' ELSE 'tax' END AS m FROM lineitem)
+  UNION SELECT 'o' || o_orderkey, 'price', 'c' || o_custkey, 'spend' FROM orders WHERE o_orderkey % 2 = 0)
+"""
+
+
+def column_edges(spark: SparkSession, d: str) -> DataFrame:
+    """``src_table, src_column, dst_table, dst_column``."""
+    names = ["src_table", "src_column", "dst_table", "dst_column"]
+    measure = F.when(F.col("l_linenumber") % 3 == 0, "price").when(F.col("l_linenumber") % 3 == 1, "qty").otherwise("tax")
+    li = table(spark, d, "lineitem").withColumn("m", measure)
+    first = li.select(name("p", "l_partkey"), "m", name("s", "l_suppkey"), "m").toDF(*names)
+    second = li.select(name("s", "l_suppkey"), "m", name("o", "l_orderkey"), "m").toDF(*names)
+    third = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(name("o", "o_orderkey"), F.lit("price"), name("c", "o_custkey"), F.lit("spend")).toDF(*names)
+    return first.unionByName(second).unionByName(third).distinct()

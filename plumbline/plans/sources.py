@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import telemetry as T
 from plumbline.sources import csvs as C
+from plumbline.sources import databases as D
 from plumbline.sources import files as I
 from plumbline.sources import lines as L
+from plumbline.sources import publish as P
 from plumbline.sources import tables as S
 from plumbline.streaming import lag as K
 from plumbline.streaming import storms as A
@@ -120,6 +124,39 @@ def snk_backfill(spark, d):
     return spark.read.schema("o_orderkey long, o_orderstatus string, pt string").parquet(path).groupBy("pt").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("snk_publish_merge", """WITH o AS (SELECT o_orderkey, o_totalprice, strftime(o_orderdate, '%Y-%m-%d') AS slot FROM orders), d AS (SELECT DISTINCT slot FROM o WHERE slot >= '1996-03-01' AND slot <= '1996-04-30')
+SELECT slot, count(*) AS n, CAST(sum(CAST(CASE WHEN o_orderkey % 3 = 0 AND slot IN (SELECT slot FROM d) THEN 0 ELSE o_totalprice END AS DECIMAL(20, 2))) AS DOUBLE) AS total FROM o WHERE slot >= '1996-01-01' AND slot <= '1996-12-30' GROUP BY 1""")
+def snk_publish_merge(spark, d):
+    """A year of days, two months of which get corrected rows by key, twice."""
+    import datetime as dt
+
+    day = lambda m, k: dt.datetime(1996, m, k)
+    o, path = S.table(spark, d, "orders").select("o_orderkey", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd").alias("slot")), I.scratch(spark, "published")
+    P.publish(o, path, P.slots(day(1, 1), day(12, 30)))
+    for _ in range(2):
+        P.publish(o.filter("o_orderkey % 3 = 0").withColumn("o_totalprice", F.lit(0).cast(o.schema["o_totalprice"].dataType)), path, P.slots(day(3, 1), day(4, 30)), "merge", ["o_orderkey"])
+    rows = P.read_published(spark, path, f"o_orderkey long, o_totalprice {o.schema['o_totalprice'].dataType.simpleString()}")
+    return rows.groupBy("slot").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("o_totalprice").cast("decimal(20,2)")).cast("double").alias("total"))
+
+
+@query("snk_publish_hours", "SELECT strftime(ts, '%Y-%m-%d %H') AS slot, count(*) AS n FROM events WHERE hour(ts) <> 5 OR event_type = 'click' GROUP BY 1")
+def snk_publish_hours(spark, d):
+    """Events by hours; the fifth hour of every day is replaced by its clicks."""
+    e, path = S.table(spark, d, "events").select("event_id", "event_type", F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd HH").alias("slot")), I.scratch(spark, "hours")
+    every = [r.slot for r in e.select("slot").distinct().collect()]  # of a table of some weeks
+    P.publish(e, path, every)
+    P.publish(e.filter("event_type = 'click'"), path, [h for h in every if h.endswith(" 05")])
+    return P.read_published(spark, path, "event_id long, event_type string").groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("src_jdbc", "SELECT o_orderpriority, count(*) AS n, CAST(sum(o_custkey) AS BIGINT) AS keys FROM orders GROUP BY 1")
+def src_jdbc(spark, d):
+    """Orders through a database in memory, read in eight parts of even size by a skewed key (on one machine only: the database lives in its JVM)."""
+    url, options = f"jdbc:derby:memory:{uuid.uuid4().hex};create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    S.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority", (F.col("o_custkey") * F.col("o_custkey")).alias("k")).write.jdbc(url, "orders", properties=options)
+    return D.read_evenly(spark, url, "orders", "k", 8, 0.5, **options).groupBy(*["o_orderpriority"]).agg(F.count(F.lit(1)).alias("n"), F.sum("o_custkey").alias("keys"))
+
+
 @query("prt_compact_run", "SELECT count(*) AS n FROM orders")
 def prt_compact_run(spark, d):
     a, b = I.scratch(spark, "small"), I.scratch(spark, "large")

@@ -1,6 +1,7 @@
 """Lines, logs and broken CSV files that are read in many small blocks."""
 
 import csv
+import datetime as dt
 import io
 import random
 
@@ -92,3 +93,49 @@ def test_empty_csv(spark, tmp_path):
 
 def test_cells():
     assert cells('1,"Smith, John",Rome', ",") == ["1", "Smith, John", "Rome"] and cells('"a ""b"" c"', ",") == ['a "b" c']
+
+
+# tables that are published, and databases
+
+
+def test_a_run_that_breaks_leaves_the_old_rows(spark, tmp_path):
+    from plumbline.sources import publish as P
+
+    path, schema = str(tmp_path / "t"), "k long, v string"
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, v string, slot string")
+    read = lambda version=None: sorted((r.slot, r.k, r.v) for r in P.read_published(spark, path, schema, version).collect())
+    assert read() == []
+    days = ["2024-01-01", "2024-01-02"]
+    assert P.publish(rows((1, "a", days[0]), (2, "b", days[0]), (3, "c", days[1]), (9, "z", "2023-12-31")), path, days) == 1
+    first = [("2024-01-01", 1, "a"), ("2024-01-01", 2, "b"), ("2024-01-02", 3, "c")]
+    assert read() == first
+    with pytest.raises(P.AuditError, match="too few"):
+        P.publish(rows((1, "x", days[0])), path, days[:1], audit=lambda df: "too few" if df.count() < 2 else None)
+    with pytest.raises(P.AuditError, match="not unique"):
+        P.publish(rows((4, "x", days[0]), (4, "y", days[0])), path, days[:1], "merge", ["k"])
+    broken = rows((1, "x", days[0])).selectExpr("cast(raise_error('half way') as long) as k", "v", "slot")
+    with pytest.raises(Exception, match="half way"):
+        P.publish(broken, path, days)
+    assert read() == first
+    assert P.publish(rows((2, "B", days[0]), (None, "n", days[0])), path, days[:1], "merge", ["k"]) == 2
+    P.publish(rows((None, "N", days[0])), path, days[:1], "merge", ["k"])
+    got = {(r.slot, r.k, r.v) for r in P.read_published(spark, path, schema).collect()}
+    assert got == {("2024-01-01", 1, "a"), ("2024-01-01", 2, "B"), ("2024-01-01", None, "N"), ("2024-01-02", 3, "c")}
+    P.publish(rows(), path, days[:1])
+    assert read() == first[2:] and read(1) == first
+    assert P.slots(dt.datetime(2024, 1, 1, 22), dt.datetime(2024, 1, 2, 1), "hour") == ["2024-01-01 22", "2024-01-01 23", "2024-01-02 00", "2024-01-02 01"]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_even_parts(spark, kind):
+    from pyspark.sql import functions as F
+
+    from plumbline.sources.databases import even_predicates
+
+    rng = random.Random(3)
+    keys = [None] * 20 + [7] * 400 + [int(rng.paretovariate(0.5)) for _ in range(1600)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long").select(F.col("k").cast(kind))
+    where = even_predicates(df, "k", 8)
+    found = [df.filter(w.replace("{key}", "k")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("k").alias("kinds")).first() for w in where]
+    assert sum(r.n for r in found) == len(keys) and all(r.kinds == 1 or r.n <= 2 * len(keys) / 8 + 20 for r in found)
+    assert even_predicates(df.limit(0), "k", 8) == ["1 = 1"]
