@@ -9,9 +9,9 @@ the cost only, never the result. What many texts share is thus seldom in a prefi
 
 Where many sets share a prefix shingle they do not all meet. In a round, one of them, drawn
 by hash, meets the others; what links becomes one component, and only sets of different
-components meet in the next. The pairs that are left are counted exactly; when they are no
-more than the rows, or rounds are over, they all meet. Pairs are held against two exact bounds (sizes, and
-parities of the hashes in 512 places) before whole sets are compared.
+components meet in the next. The pairs that are left are counted; when they are few, or
+rounds are over, they all meet. Pairs are held against exact bounds (what is left of both sets
+from the first shingle that they share on, and the parities of the hashes in twice as many places) before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ from .simhash import RADIUS, SEED, SHINGLE, fingerprint, near_links, shingle_has
 WORDS, LEAST = 5, (4, 5)
 #: Bits of the table of counts: at least, at most (64 MB).
 COUNT_BITS = (16, 24)
-#: Places of the parity bound; rounds of a drawn set against the others; shingles that one task compares at a time, about.
-PARITIES, ROUNDS, SHINGLES_AT_ONCE = 512, 8, 2_000_000
-ODD = [f"p{i}" for i in range(PARITIES // 64)]
+#: Least places of the parity bound; rounds of a drawn set against the others; shingles that one task compares at a time, about.
+PLACES, ROUNDS, SHINGLES_AT_ONCE = 512, 2, 1_000_000
 
 
 def shingle_set(text: str, size: int = WORDS) -> np.ndarray:
@@ -47,10 +46,19 @@ def set_id(items: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(items.tobytes(), SEED)).view(np.int64))
 
 
-def parities(items: np.ndarray) -> list[int]:
-    """Of each of 512 places, whether an odd number of hashes falls on it."""
-    odd = np.bincount((items % np.uint64(PARITIES)).astype(np.int64), minlength=PARITIES) & 1
-    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+def parities(items: np.ndarray) -> bytes:
+    """Of each of at least 512 and twice as many places as items, whether an odd number of hashes falls on it. Places are a power of two, so that halves laid over each other are those of half as many."""
+    places = max(PLACES, 1 << (2 * len(items) - 1).bit_length()) if len(items) else PLACES
+    odd = np.bincount((items & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """Places in which two sets' parities differ: no more than the items in which the sets do."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def frequencies(docs: DataFrame, size: int) -> np.ndarray:
@@ -90,7 +98,7 @@ def rare_first(items: np.ndarray, counts: np.ndarray, least: tuple[int, int]) ->
 
 
 def sketches(docs: DataFrame, keep: tuple[str, ...], size: int, least: tuple[int, int]) -> DataFrame:
-    """``keep, id, n, fp, p0..p7, prefix``: a set's id (a hash of it), size, parities and prefix, and the text's fingerprint."""
+    """``keep, id, n, fp, parity, prefix``: a set's id (a hash of it), size, parities and prefix, and the text's fingerprint."""
     sent = docs.sparkSession.sparkContext.broadcast(frequencies(docs, size))
 
     def build():
@@ -100,12 +108,12 @@ def sketches(docs: DataFrame, keep: tuple[str, ...], size: int, least: tuple[int
             out = []
             for t in texts:
                 s = shingle_set(t, size)
-                out.append((set_id(s), len(s), fingerprint(shingle_hashes(t, SHINGLE)), *parities(s), rare_first(s, counts, least).view(np.int64).tolist() if len(s) else []))
+                out.append((set_id(s), len(s), fingerprint(shingle_hashes(t, SHINGLE)), parities(s), rare_first(s, counts, least).view(np.int64).tolist() if len(s) else []))
             return out
 
         return rows
 
-    return map_texts(docs, keep, "id long, n long, fp long, " + ", ".join(f"{p} long" for p in ODD) + ", prefix array<long>", build)
+    return map_texts(docs, keep, "id long, n long, fp long, parity binary, prefix array<long>", build)
 
 
 def may_be_similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -116,10 +124,15 @@ def may_be_similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) ->
     """
     many, whole = least
     for side in "ab":
-        own = sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), *[F.col(p).alias(f"{side}{p}") for p in ODD])
-        pairs = pairs.join(own, side)
-    odd = sum((F.bit_count(F.col(f"a{p}").bitwiseXOR(F.col(f"b{p}"))) for p in ODD), F.lit(0))
-    return pairs.filter(odd * (whole + many) <= (F.col("na") + F.col("nb")) * (whole - many)).select("a", "b", (F.col("na") + F.col("nb")).alias("n"))
+        pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = np.asarray(batch.column(2))
+            odd = np.array([apart(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], names=["a", "b", "n"]).filter(pa.array(odd * (whole + many) <= total * (whole - many)))
+
+    return pairs.select("a", "b", (F.col("na") + F.col("nb")).alias("n"), "pa", "pb").mapInArrow(close, "a long, b long, n long")
 
 
 def verified(pairs: DataFrame, texts_of, least: tuple[int, int] = LEAST, size: int = WORDS) -> DataFrame:
@@ -176,31 +189,36 @@ def fingerprint_links(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
 def similar_links(sets: DataFrame, links: DataFrame, texts_of, least: tuple[int, int] = LEAST, size: int = WORDS, rounds: int = ROUNDS) -> DataFrame:
     """``a, b``: ``links`` and what completes them, so that all that is similar is in one component of them.
 
-    ``sets``: ``id, n, p0..p7, prefix``, one row each. Sets without items link to nothing here.
+    ``sets``: ``id, n, parity, prefix``, one row each. Sets without items link to nothing here.
     """
     many, whole = least
-    tokens = sets.select("id", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("token")
+    # of a pair the smaller set has the first shared shingle so early in its order that enough of it is left
+    early = F.col("pos") * (many + whole) <= F.col("n") * (whole - many)
+    tokens = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("id", "n", "token", (F.col("n") - F.col("pos")).alias("rest"), early.alias("early"))
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.count_if("early").alias("e")).filter("k > 1 and e > 0").select("token")
     posted = durable(tokens.join(shared, "token"))
+    enough = F.least("rest", "other_rest") * (many + whole) >= (F.col("n") + F.col("other_n")) * many
     met = None
     for turn in range(rounds + 1):
-        roots = connected(links).toDF("__node", "root")
-        own = posted.join(near(durable(roots)), F.col("id") == F.col("__node"), "left").select("token", "id", "n", F.coalesce("root", "id").alias("root"))
-        counts = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct(F.xxhash64("id", F.lit(turn)), "id", "n", "root")).alias("hub"))
-        mixed = durable(counts.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("same"), F.min("hub").alias("hub")).filter("k * k > same"))
-        left = mixed.agg(F.sum((F.col("k") * F.col("k") - F.col("same")) / 2).alias("pairs"), F.sum("k").alias("rows")).first()
+        roots = connected(links).toDF("node", "root")
+        own = posted.join(near(durable(roots)), F.col("id") == F.col("node"), "left").select("token", "id", "n", "rest", "early", F.coalesce("root", "id").alias("root"))
+        drawn = F.min(F.when(F.col("early"), F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "n", "rest", "root")))
+        counts = own.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"), F.count_if("early").alias("e"), drawn.alias("hub"))
+        mixed = counts.groupBy("token").agg(F.sum("k").alias("k"), (F.sum("k") * F.sum("e") - F.sum(F.col("k") * F.col("e"))).alias("pairs"), F.min("hub").alias("hub"))
+        mixed = durable(mixed.filter("pairs > 0"))
+        left = mixed.agg(F.sum("pairs").alias("pairs"), F.sum("k").alias("rows")).first()
         if not left.rows:
             break
-        last = turn == rounds or left.pairs <= left.rows
+        last = turn == rounds or left.pairs <= 2 * left.rows
         if last:  # all that is left
             x = durable(own.join(mixed.select("token"), "token"))
-            y = x.select("token", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-            pairs = x.join(y, "token").filter((F.col("id") < F.col("b")) & (F.col("root") != F.col("rb")))
+            y = x.filter("early").select("token", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("rest").alias("other_rest"), F.col("root").alias("other_root"))
+            ordered = (F.col("n") > F.col("other_n")) | (F.col("n") == F.col("other_n")) & (F.col("id") < F.col("other"))
+            pairs = x.join(y, "token").filter(ordered & (F.col("root") != F.col("other_root")) & enough)
         else:
-            hubs = mixed.select("token", F.col("hub.id").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.root").alias("rb"))
-            pairs = own.join(hubs, "token").filter(F.col("root") != F.col("rb"))
-        fit = F.least("n", "nb") * whole >= F.greatest("n", "nb") * many
-        pairs = pairs.filter(fit).select(F.least("id", "b").alias("a"), F.greatest("id", "b").alias("b")).distinct()
+            hubs = mixed.select("token", F.col("hub.id").alias("other"), F.col("hub.n").alias("other_n"), F.col("hub.rest").alias("other_rest"), F.col("hub.root").alias("other_root"))
+            pairs = own.join(hubs, "token").filter((F.col("root") != F.col("other_root")) & enough)
+        pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
         if met is not None:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
         pairs = durable(may_be_similar(pairs, sets, least))
@@ -229,7 +247,7 @@ def keep_one_of_similar(docs: DataFrame, size: int = WORDS, least: tuple[int, in
     rows = durable(sketches(keyed, ("doc_id", "text_key"), size, least))
     named = rows.select("id", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key").alias("row"))
     best = durable(named.groupBy("id").agg(F.min("row").alias("best"), F.max("row").alias("last")))
-    sets = durable(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), *[F.first(p).alias(p) for p in ODD]))
+    sets = durable(rows.groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity")))
 
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = best.join(near(durable(ids)), "id", "left_semi").select(F.col("best.doc_id").alias("__id"), F.col("best.text_key").alias("__key"))
