@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import automaton, durable, map_texts, read_table, whole_text
+from .common import ROWS_AT_ONCE, automaton, durable, map_texts, read_table, whole_text
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of doc_id.
 SAMPLE = 12_000
@@ -302,11 +303,15 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     long texts are read whole; an empty table gives no rows. Labels are used to fit the model only.
     """
     model = fit(docs, labels)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = model.scorer()
-        for b in batches:
-            yield b.filter(pa.array([score(t or "")[0] < THRESHOLD for t in b.column(1).to_pylist()], pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):  # texts are sent once, and some rows are held at a time
+                b = whole.slice(at, ROWS_AT_ONCE)
+                texts = pc.struct_field(b.column(0), [text]).to_pylist()
+                yield b.filter(pa.array([score(t or "")[0] < THRESHOLD for t in texts], pa.bool_()))
 
     return named.mapInArrow(run, named.schema).select("row.*")
