@@ -300,3 +300,44 @@ def grant_surface(grants: DataFrame) -> DataFrame:
     last = grants.groupBy("target", "principal", "privilege").agg(F.max_by("op", F.struct("s", "op")).alias("op")).filter("op = 'grant'")
     severity = F.when(F.lower("principal").isin("public", "everyone"), "high").when((F.upper("privilege") == "ALL") | F.contains("target", F.lit("*")), "medium").otherwise("low")
     return last.select("target", "principal", "privilege", severity.alias("severity"))
+
+
+# The ratio of a stage's slowest task to its median that is skew, and tasks and bytes a task that are small files.
+SKEWED, SMALL_TASKS, SMALL_BYTES = 5.0, 200, 8 * 2**20
+
+
+def stage_metrics(tasks: DataFrame, run: str, stage: str) -> DataFrame:
+    """``run, stage, tasks, max_s, median_s, spill_bytes, input_bytes`` of a task table (``duration_s, spill_bytes, input_bytes``); medians by ranges, so that a stage of many tasks is no hot key."""
+    t = tasks.select(F.col(run).alias("run"), F.col(stage).alias("stage"), "duration_s", "spill_bytes", "input_bytes")
+    low, high = nearest_rank_pair(t, ["run", "stage"], "duration_s")
+    sums = t.groupBy("run", "stage").agg(F.count(F.lit(1)).alias("tasks"), F.max("duration_s").alias("max_s"), F.sum("spill_bytes").alias("spill_bytes"), F.sum("input_bytes").alias("input_bytes"))
+    return sums.join(low, ["run", "stage"]).join(high, ["run", "stage"]).select("run", "stage", "tasks", "max_s", ((F.col("__low") + F.col("__high")) / 2).alias("median_s"), "spill_bytes", "input_bytes")
+
+
+def nearest_rank_pair(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
+    """``by, __low`` and ``by, __high``: the two middle values of each group, the same one of an odd number."""
+    high = nearest_rank(df, by, value, {"__high": 0.5}, rule="floor")
+    negated = nearest_rank(df.withColumn("__v0", -F.col(value)), by, "__v0", {"__low": 0.5}, rule="floor")
+    return negated.withColumn("__low", -F.col("__low")), high
+
+
+def stage_causes(stages: DataFrame, runs: DataFrame) -> DataFrame:
+    """``run, code, stage, share`` of runs (``run, duration_s``) by their stages (``stage_metrics``): what held a run up, as a share of its time.
+
+    SQ001: the stage with the largest ratio of slowest task to median, if it is ``SKEWED`` or more (of
+    equal ratios the first by name); SQ006: the first stage of many tasks that read little each.
+    """
+    ratio = F.when(F.col("median_s") > 0, F.col("max_s") / F.col("median_s"))
+    worst = stages.withColumn("ratio", ratio).filter("ratio is not null").groupBy("run").agg(F.min(F.struct((-F.col("ratio")).alias("down"), "stage", "max_s", "median_s", "ratio")).alias("w")).select("run", "w.*")
+    skew = worst.filter(F.col("ratio") >= SKEWED).join(runs, "run").select("run", F.lit("SQ001").alias("code"), "stage", F.least(F.lit(1.0), (F.col("max_s") - F.col("median_s")) / F.col("duration_s")).alias("share"))
+    small = stages.filter((F.col("tasks") >= SMALL_TASKS) & (F.col("input_bytes") > 0) & (F.col("input_bytes") / F.col("tasks") < SMALL_BYTES)).groupBy("run").agg(F.min("stage").alias("stage"))
+    return skew.unionByName(small.select("run", F.lit("SQ006").alias("code"), "stage", F.lit(0.2).alias("share")))
+
+
+def stage_diff(a: DataFrame, b: DataFrame) -> DataFrame:
+    """``stage, side, max_ratio, median_ratio, spill_a, spill_b`` of two runs' stages by name: how much slower b is; ``side`` is both, a or b. A time of zero in a gives the ratio 0."""
+    x, y = (d.select("stage", *[F.col(c).alias(f"{c}_{s}") for c in ("max_s", "median_s", "spill_bytes")], F.lit(True).alias(s)) for d, s in ((a, "a"), (b, "b")))
+    both = x.join(y, "stage", "full")
+    grown = lambda c: F.when(F.col("a") & F.col("b"), F.coalesce(F.round(F.col(f"{c}_b") / F.nullif(F.col(f"{c}_a"), F.lit(0.0)), 2), F.lit(0.0)))
+    side = F.when(F.col("a") & F.col("b"), "both").when(F.col("a"), "a").otherwise("b")
+    return both.select("stage", side.alias("side"), grown("max_s").alias("max_ratio"), grown("median_s").alias("median_ratio"), F.col("spill_bytes_a").alias("spill_a"), F.col("spill_bytes_b").alias("spill_b"))

@@ -102,6 +102,34 @@ def spk_run_diag(spark, d):
     return T.run_diagnosis(r, ["name"], "run")
 
 
+#: Parts as stages of the years' runs: an order line is a task.
+_STAGES = """tk AS (SELECT 'y' || strftime(o_orderdate, '%Y') AS run, 's' || l_suppkey % 20 AS stage, CAST(l_quantity AS DOUBLE) * CASE WHEN l_orderkey % 97 = 0 THEN 9 ELSE 1 END AS duration_s, CAST(l_linenumber % 3 AS BIGINT) AS spill_bytes, CAST(l_partkey * 1000 AS BIGINT) AS input_bytes FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+sg AS (SELECT run, stage, count(*) AS tasks, max(duration_s) AS max_s, median(duration_s) AS median_s, CAST(sum(spill_bytes) AS BIGINT) AS spill_bytes, CAST(sum(input_bytes) AS BIGINT) AS input_bytes FROM tk GROUP BY 1, 2)"""
+
+
+def staged(spark, d):
+    li, o = S.table(spark, d, "lineitem"), S.table(spark, d, "orders")
+    x = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    slow = F.when(F.col("l_orderkey") % 97 == 0, 9).otherwise(1)
+    return T.stage_metrics(x.select(F.concat(F.lit("y"), F.date_format("o_orderdate", "yyyy")).alias("run"), F.concat(F.lit("s"), (F.col("l_suppkey") % 20).cast("string")).alias("stage"), (F.col("l_quantity").cast("double") * slow).alias("duration_s"), (F.col("l_linenumber") % 3).cast("long").alias("spill_bytes"), (F.col("l_partkey") * 1000).cast("long").alias("input_bytes")), "run", "stage")
+
+
+@query("spk_run_causes", f"""WITH {_STAGES}, rn AS (SELECT run, CAST(sum(tasks) AS DOUBLE) AS duration_s FROM sg GROUP BY 1), w AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY max_s / median_s DESC, stage) AS k FROM sg WHERE median_s > 0)
+SELECT run, 'SQ001' AS code, stage, round(least(1.0, (max_s - median_s) / duration_s), 6) AS share FROM w JOIN rn USING (run) WHERE k = 1 AND max_s / median_s >= 5 UNION ALL SELECT run, 'SQ006', min(stage), 0.2 FROM sg WHERE tasks >= 200 AND input_bytes > 0 AND input_bytes / CAST(tasks AS DOUBLE) < 8388608 GROUP BY 1""")
+def spk_run_causes(spark, d):
+    """Skew and small files of each year's run."""
+    stages = staged(spark, d)
+    return T.stage_causes(stages, stages.groupBy("run").agg(F.sum("tasks").cast("double").alias("duration_s"))).withColumn("share", F.round("share", 6))
+
+
+@query("spk_run_diff", f"""WITH {_STAGES}, a AS (SELECT * FROM sg WHERE run = 'y1995' AND stage <> 's3'), b AS (SELECT * FROM sg WHERE run = 'y1996' AND stage <> 's5')
+SELECT coalesce(a.stage, b.stage) AS stage, CASE WHEN b.stage IS NULL THEN 'a' WHEN a.stage IS NULL THEN 'b' ELSE 'both' END AS side, CASE WHEN a.stage IS NOT NULL AND b.stage IS NOT NULL THEN round(b.max_s / a.max_s, 2) END AS max_ratio, CASE WHEN a.stage IS NOT NULL AND b.stage IS NOT NULL THEN round(b.median_s / a.median_s, 2) END AS median_ratio, a.spill_bytes AS spill_a, b.spill_bytes AS spill_b FROM a FULL JOIN b ON a.stage = b.stage""")
+def spk_run_diff(spark, d):
+    """Two years' runs side by side, each without one of the stages."""
+    stages = staged(spark, d)
+    return T.stage_diff(stages.filter("run = 'y1995' and stage <> 's3'"), stages.filter("run = 'y1996' and stage <> 's5'"))
+
+
 @query("fresh_table", f"""WITH u AS (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN 'ods.' ELSE 'dwd.' END || 't' || user_id AS table_name, {SEC} AS s FROM events), l AS (SELECT *, s - lag(s) OVER (PARTITION BY table_name ORDER BY s) AS gap FROM u), g AS (SELECT table_name, max(s) AS last, count(*) AS n, median(gap) AS typical, arg_max(coalesce(gap, -1), s) AS last_gap FROM l GROUP BY 1), m AS (SELECT max(last) AS now FROM g),
 x AS (SELECT table_name, now - last AS age_s, CASE WHEN table_name LIKE 'ods.%' THEN 86400.0 WHEN n >= 3 THEN typical END AS interval_s, CASE WHEN table_name LIKE 'ods.%' THEN 43200 END AS max_age, last_gap FROM g, m)
 SELECT table_name, age_s, CAST(interval_s AS DOUBLE) AS interval_s, CASE WHEN age_s > 2 * interval_s THEN 'stalled' WHEN age_s > max_age THEN 'stale' WHEN last_gap > 1.25 * interval_s THEN 'late' WHEN interval_s IS NULL THEN 'unknown' ELSE 'ok' END AS state FROM x""")
