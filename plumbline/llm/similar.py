@@ -11,7 +11,7 @@ Where many sets share a prefix shingle they do not all meet. In a round, one of
 by hash, meets the others; what links becomes one component, and only sets of different
 components meet in the next. The pairs that are left are counted; when they are few, or
 rounds are over, they all meet. Pairs are held against exact bounds (what is left of both sets
-from the first shingle that they share on, and the parities of the hashes in twice as many places) before whole sets are compared.
+from the first shingle that they share on, and the parities of the hashes in as many places) before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.graphs import components as connected
 
-from .common import durable, map_texts, near, whole_text
+from .common import ROWS_AT_ONCE, durable, map_texts, near, whole_text
 from .simhash import RADIUS, SEED, SHINGLE, fingerprint, near_links, shingle_hashes
 
 #: The default of near-duplicate stages: words of a shingle, and similarity as a fraction.
@@ -47,8 +47,8 @@ def set_id(items: np.ndarray) -> int:
 
 
 def parities(items: np.ndarray) -> bytes:
-    """Of each of at least 512 and twice as many places as items, whether an odd number of hashes falls on it. Places are a power of two, so that halves laid over each other are those of half as many."""
-    places = max(PLACES, 1 << (2 * len(items) - 1).bit_length()) if len(items) else PLACES
+    """Of each of at least 512 places, and as many as there are items, whether an odd number of hashes falls on it. Places are a power of two, so that halves laid over each other are those of half as many."""
+    places = max(PLACES, 1 << (len(items) - 1).bit_length()) if len(items) else PLACES
     odd = np.bincount((items & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -69,7 +69,7 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(1 << bits, np.int64)
         for b in batches:
-            for text in b.column(0).to_pylist():
+            for text in (t for at in range(0, b.num_rows, ROWS_AT_ONCE) for t in b.column(0).slice(at, ROWS_AT_ONCE).to_pylist()):
                 np.add.at(held, (shingle_set(text, size) & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
         for k, part in enumerate(np.split(held, blocks)):
             at = np.flatnonzero(part)
@@ -127,7 +127,7 @@ def may_be_similar(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) ->
         pairs = pairs.join(sets.select(F.col("id").alias(side), F.col("n").alias(f"n{side}"), F.col("parity").alias(f"p{side}")), side)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole_batch.slice(at, ROWS_AT_ONCE) for whole_batch in batches for at in range(0, whole_batch.num_rows, ROWS_AT_ONCE)):
             total = np.asarray(batch.column(2))
             odd = np.array([apart(x, y) for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())], np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(3)], names=["a", "b", "n"]).filter(pa.array(odd * (whole + many) <= total * (whole - many)))
@@ -194,9 +194,11 @@ def similar_links(sets: DataFrame, links: DataFrame, texts_of, least: tuple[int,
     many, whole = least
     # of a pair the smaller set has the first shared shingle so early in its order that enough of it is left
     early = F.col("pos") * (many + whole) <= F.col("n") * (whole - many)
-    tokens = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token")).select("id", "n", "token", (F.col("n") - F.col("pos")).alias("rest"), early.alias("early"))
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.count_if("early").alias("e")).filter("k > 1 and e > 0").select("token")
-    posted = durable(tokens.join(shared, "token"))
+    tokens = sets.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
+    narrow = tokens.select("token", "id", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("code"))  # one long for size and place
+    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.count_if(early).alias("e")).filter("k > 1 and e > 0").select("token")
+    placed = narrow.join(shared, "token").select("token", "id", F.shiftright("code", 32).alias("n"), F.col("code").bitwiseAND(F.lit((1 << 32) - 1)).alias("pos"))
+    posted = durable(placed.select("token", "id", "n", (F.col("n") - F.col("pos")).alias("rest"), early.alias("early")))
     enough = F.least("rest", "other_rest") * (many + whole) >= (F.col("n") + F.col("other_n")) * many
     met = None
     for turn in range(rounds + 1):
