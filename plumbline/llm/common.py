@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.durable import settle as durable
 from plumbline.functions.durable import shared_folder
 
-__all__ = ["automaton", "durable", "map_texts", "near", "phrase", "read_table", "shared_folder", "spaced", "spread_join", "spread_left", "vocabulary", "whole_text", "word_bytes"]
+__all__ = ["automaton", "durable", "map_texts", "near", "phrase", "read_table", "shared_folder", "small_batches", "spaced", "spread_join", "spread_left", "vocabulary", "whole_text", "word_bytes"]
 
 #: Rows that a task holds as Python objects at a time.
 ROWS_AT_ONCE = 1000
@@ -39,6 +39,18 @@ def word_bytes(text: str) -> tuple[bytes, list[bytes]]:
     return flat, flat.split()
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """``docs``; what its session sends to Python from now on goes in batches of at most ``ROWS_AT_ONCE`` rows.
+
+    A batch of texts is held outside of the heap on the one side and by the worker on the
+    other, by each task. A smaller number that the session has stays.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS_AT_ONCE:
+        conf.set(name, str(ROWS_AT_ONCE))
+    return docs
+
+
 def map_texts(docs: DataFrame, keep: Sequence[str], schema: str, build: Callable[[], Callable[[list[str]], list]], text: Column | None = None) -> DataFrame:
     """Rows of ``docs``: the columns ``keep`` and those that the built function makes of the texts.
 
@@ -51,7 +63,7 @@ def map_texts(docs: DataFrame, keep: Sequence[str], schema: str, build: Callable
     types = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<string>": pa.list_(pa.string())}
     kinds = [types[x.strip().split()[1]] for x in schema.split(",")]
     kept = list(keep)
-    narrow = docs.select(*kept, (whole_text() if text is None else text).alias("__text"))
+    narrow = small_batches(docs).select(*kept, (whole_text() if text is None else text).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_of = build()

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, map_texts, read_table, whole_text, word_bytes
+from .common import durable, map_texts, read_table, small_batches, whole_text, word_bytes
 
 WINDOW = 10
 #: UTF-8 bytes of benchmark text that one automaton holds and that the driver and a broadcast hold at a time; a larger benchmark is scanned in several passes.
@@ -167,7 +167,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW
         numbered = _numbered(docs, row)
         return numbered.join(_hits_by_row(numbered, chain((block, more), blocks), width).select("__row").distinct(), "__row", "left_anti").select("row.*")
     sent = docs.sparkSession.sparkContext.broadcast(block)
-    named = docs.select(row, whole_text().alias("text"))
+    named = small_batches(docs).select(row, whole_text().alias("text"))
 
     def run(batches):
         match = kept_matcher(sent.value, width)

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import durable, near, read_table, vocabulary, whole_text
+from .common import durable, near, read_table, small_batches, vocabulary, whole_text
 from .tokens import VOCABULARY, kept_encoder
 
 WINDOW, QUANTUM, END = 1024, 32, 0
@@ -165,7 +165,7 @@ def tokenise(docs: DataFrame, path: str, queue: Column) -> DataFrame:
                     so_far[q] = starts[-1] + len(x) // 2
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([part] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array([len(x) // 2 for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "part", "queue_start", "doc_tokens", "ids"])
 
-    narrow = docs.select("doc_id", queue.alias("queue"), whole_text().alias("text"))
+    narrow = small_batches(docs).select("doc_id", queue.alias("queue"), whole_text().alias("text"))
     kind = narrow.schema["doc_id"].dataType.simpleString()
     return narrow.mapInArrow(run, f"doc_id {kind}, queue string, part int, queue_start long, doc_tokens long, ids binary")
 

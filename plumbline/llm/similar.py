@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators.graphs import components as connected
 
-from .common import ROWS_AT_ONCE, durable, map_texts, near, whole_text
+from .common import ROWS_AT_ONCE, durable, map_texts, near, small_batches, whole_text
 from .simhash import RADIUS, SEED, SHINGLE, fingerprint, near_links, shingle_hashes
 
 #: The default of near-duplicate stages: words of a shingle, and similarity as a fraction.
@@ -82,7 +82,7 @@ def frequencies(docs: DataFrame, size: int) -> np.ndarray:
             total[np.frombuffer(at, "<u4")] += np.frombuffer(n, "<i8")
         return pa.table({"block": table.column("block").slice(0, 1), "n": pa.array([np.minimum(total, 2**31 - 1).astype("<i4").tobytes()], pa.binary())})
 
-    parts = docs.select(whole_text().alias("text")).mapInArrow(count, "block int, at binary, n binary").groupBy("block").applyInArrow(add, "block int, n binary")
+    parts = small_batches(docs).select(whole_text().alias("text")).mapInArrow(count, "block int, at binary, n binary").groupBy("block").applyInArrow(add, "block int, n binary")
     out = np.zeros(1 << bits, np.int32)
     for r in parts.toLocalIterator():  # at most 256 rows of 256 KB
         out[r.block << COUNT_BITS[0] : (r.block + 1) << COUNT_BITS[0]] = np.frombuffer(r.n, "<i4")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROWS_AT_ONCE, automaton, durable, map_texts, read_table, whole_text
+from .common import ROWS_AT_ONCE, automaton, durable, map_texts, read_table, small_batches, whole_text
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of doc_id.
 SAMPLE = 12_000
@@ -303,7 +303,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     long texts are read whole; an empty table gives no rows. Labels are used to fit the model only.
     """
     model = fit(docs, labels)
-    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = small_batches(docs).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     text = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -129,3 +129,24 @@ def test_rounds_and_names(spark):
     for rounds in (0, 8):
         kept = similar.keep_one_of_similar(df, rounds=rounds)
         assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(roots.values())
+
+
+def test_small_batches(spark):
+    """Texts go to the workers some at a time; what the session has set lower stays."""
+    import pyarrow as pa
+    from plumbline.llm.common import ROWS_AT_ONCE, small_batches
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, df = spark.conf.get(name), spark.range(0, 5000, 1, 1)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["n"])
+
+    try:
+        for given, most in (("10000", ROWS_AT_ONCE), ("0", ROWS_AT_ONCE), ("70", 70)):
+            spark.conf.set(name, given)
+            got = [r.n for r in small_batches(df).mapInArrow(sizes, "n long").collect()]
+            assert max(got) == most and sum(got) == 5000
+    finally:
+        spark.conf.set(name, before)
