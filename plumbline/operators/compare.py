@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -293,9 +294,9 @@ def report_diff(old: DataFrame, new: DataFrame, counters: Sequence[str]) -> Data
     return both.select(F.col("column_name").alias("counter"), "old", "new", (F.col("new") - F.col("old")).alias("delta"))
 
 
-def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], numeric: Sequence[str] = ()) -> dict[str, DataFrame]:
-    """All stages of a comparison, each a lazy DataFrame: schema, count, keyed, aggregate, profile, checksum."""
-    shared = [c for c in a.columns if c in b.columns]
+def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], numeric: Sequence[str] = (), columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
+    """All stages of a comparison, each a lazy DataFrame: schema, count, keyed, aggregate, profile, checksum; the last two over ``columns``, else all shared ones."""
+    shared = [c for c in a.columns if c in b.columns] if columns is None else list(columns)
     return {
         "schema": schema_diff(a.sparkSession, a.schema, b.schema),
         "count": row_count_diff(a, b),
@@ -306,6 +307,38 @@ def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], numeric: Sequence[s
     }
 
 
+def stage_findings(stages: Mapping[str, DataFrame]) -> DataFrame:
+    """``stage, findings`` of ``compare``'s stages: columns, rows of difference, keys, metrics, profile values and segments that differ."""
+    apart = F.count_if(~F.coalesce(F.col("same"), F.lit(False)))
+    count = {"schema": F.count(F.lit(1)), "keyed": F.count(F.lit(1)), "count": F.sum(F.abs("delta"))}
+    return reduce(DataFrame.unionByName, [d.agg(F.lit(stage).alias("stage"), count.get(stage, apart).alias("findings")) for stage, d in stages.items()])
+
+
+def batch_report(a: Mapping[str, DataFrame], b: Mapping[str, DataFrame]) -> DataFrame:
+    """``table_name, schema_changes, rows_a, rows_b, delta, mismatches, has_diffs`` of the tables that both sides have, names without regard to case.
+
+    ``mismatches`` counts the aggregates that differ of columns numeric on both sides. A table
+    is one row that its own scans make; tables of one side only are not listed. ``a`` must not be empty.
+    """
+    other = {n.lower(): d for n, d in b.items()}
+    out = []
+    for name, x in a.items():
+        if name.lower() not in other:
+            continue
+        y = other[name.lower()]
+        numeric = {f.name.lower() for f in y.schema.fields if isinstance(f.dataType, T.NumericType)}
+        shared = [f.name for f in x.schema.fields if isinstance(f.dataType, T.NumericType) and f.name.lower() in numeric]
+        changes = schema_diff(x.sparkSession, x.schema, y.schema).count()  # of columns, not of rows
+        apart = F.count_if(~F.coalesce(F.col("same"), F.lit(False))).alias("mismatches")
+        found = aggregate_diff(x, y, shared).agg(apart) if shared else x.sparkSession.range(1).select(F.lit(0).cast("long").alias("mismatches"))
+        counts = row_count_diff(x, y).select(F.lit(name.lower()).alias("table_name"), F.lit(changes).cast("long").alias("schema_changes"), "rows_a", "rows_b", "delta")
+        out.append(counts.join(F.broadcast(found), F.lit(True)))  # one row each
+    if not out:
+        empty = "table_name string, schema_changes long, rows_a long, rows_b long, delta long, mismatches long"
+        out = [next(iter(a.values())).sparkSession.createDataFrame([], empty)]
+    return reduce(DataFrame.unionByName, out).withColumn("has_diffs", (F.col("schema_changes") > 0) | (F.col("delta") != 0) | (F.col("mismatches") > 0))
+
+
 def trend(history: DataFrame, by: Sequence[str], time: str, metric: str) -> DataFrame:
     """The metric, its previous known value and the jump from it, per series."""
     w = Window.partitionBy(*by).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)

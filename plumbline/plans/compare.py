@@ -215,12 +215,47 @@ def cmp_report_diff(spark, d):
     return C.report_diff(old, new, ["n", "buyers"])
 
 
-@query("cmp_report", f"""WITH {ORDERS_B} SELECT 'count' AS stage, abs((SELECT count(*) FROM orders) - (SELECT count(*) FROM orders_b)) AS findings UNION ALL
-SELECT 'keyed', count(*) FROM orders a FULL JOIN orders_b b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR abs(a.o_totalprice - b.o_totalprice) / greatest(a.o_totalprice, b.o_totalprice) >= 1e-6""")
+def _values_sql(t, columns):
+    """The profile of ``t``, as texts."""
+    parts = []
+    for c in columns:
+        values = {"ndv": f"count(DISTINCT {c})", "null_pct": f"round(count(*) FILTER ({c} IS NULL) * 100.0 / count(*), 4)", "min": f"min({c})", "max": f"max({c})"}
+        parts += [f"SELECT '{c}' AS column_name, '{m}' AS metric, CAST({v} AS VARCHAR) AS value FROM {t}" for m, v in values.items()]
+    return " UNION ALL ".join(parts)
+
+
+_APART = "NOT coalesce(a.value = b.value OR abs(a.value - b.value) / greatest(abs(a.value), abs(b.value), 1e-9) < 1e-6, a.value IS NULL AND b.value IS NULL)"
+
+
+@query("cmp_report", f"""WITH {ORDERS_B}, aa AS ({_AGG.format(t="orders")}), ab AS ({_AGG.format(t="orders_b")}),
+pa AS ({_values_sql("orders", ["o_orderkey", *COLUMNS])}), pb AS ({_values_sql("orders_b", ["o_orderkey", *COLUMNS])}),
+sa AS ({_SEG.format(row=_ROW, t="orders")}), sb AS ({_SEG.format(row=_ROW, t="orders_b")})
+SELECT 'schema' AS stage, CAST(0 AS BIGINT) AS findings UNION ALL
+SELECT 'count', abs((SELECT count(*) FROM orders) - (SELECT count(*) FROM orders_b)) UNION ALL
+SELECT 'keyed', count(*) FROM orders a FULL JOIN orders_b b ON a.o_orderkey = b.o_orderkey WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR abs(a.o_totalprice - b.o_totalprice) / greatest(a.o_totalprice, b.o_totalprice) >= 1e-6 UNION ALL
+SELECT 'aggregate', count(*) FROM aa a JOIN ab b USING (column_name, metric) WHERE {_APART} UNION ALL
+SELECT 'profile', count(*) FROM pa a JOIN pb b USING (column_name, metric) WHERE a.value IS DISTINCT FROM b.value UNION ALL
+SELECT 'checksum', count(*) FROM sa a FULL JOIN sb b USING (segment) WHERE a.n IS DISTINCT FROM b.n OR a.checksum IS DISTINCT FROM b.checksum""")
 def cmp_report(spark, d):
-    stages = C.compare(*sides(spark, d), ["o_orderkey"], ["o_totalprice"])
-    count = stages["count"].select(F.lit("count").alias("stage"), F.abs("delta").alias("findings"))
-    return count.unionByName(stages["keyed"].agg(F.count(F.lit(1)).alias("findings")).withColumn("stage", F.lit("keyed")))
+    """All six stages."""
+    return C.stage_findings(C.compare(*sides(spark, d), ["o_orderkey"], ["o_totalprice"], ["o_orderkey", *COLUMNS]))
+
+
+def _batch_sql(name, a, b, columns, changes):
+    side = lambda t: " UNION ALL ".join(_AGG.replace("o_totalprice", c).format(t=t) for c in columns)
+    return f"""SELECT '{name}' AS table_name, CAST({changes} AS BIGINT) AS schema_changes, (SELECT count(*) FROM {a}) AS rows_a, (SELECT count(*) FROM {b}) AS rows_b, (SELECT count(*) FROM ({side(a)}) a JOIN ({side(b)}) b USING (column_name, metric) WHERE {_APART}) AS mismatches"""
+
+
+@query("cmp_batch", f"""WITH {ORDERS_B}, part_b AS (SELECT * FROM part WHERE p_partkey % 50 <> 0), r AS (
+{_batch_sql("orders", "orders", "orders_b", ["o_orderkey", "o_custkey", "o_totalprice"], 0)} UNION ALL
+{_batch_sql("part", "part", "part_b", ["p_partkey", "p_retailprice"], 2)} UNION ALL
+{_batch_sql("supplier", "supplier", "supplier", ["s_suppkey", "s_nationkey", "s_acctbal"], 0)})
+SELECT table_name, schema_changes, rows_a, rows_b, rows_a - rows_b AS delta, mismatches, schema_changes > 0 OR rows_a <> rows_b OR mismatches > 0 AS has_diffs FROM r""")
+def cmp_batch(spark, d):
+    """The tables that two sides have in common: changed orders, parts with a column more and one of another type, suppliers as they were."""
+    a = {n: S.table(spark, d, n) for n in ("orders", "part", "region", "supplier")}
+    parts = a["part"].filter("p_partkey % 50 <> 0").withColumn("p_size", F.col("p_size").cast("string")).withColumn("p_note", F.lit(""))
+    return C.batch_report(a, {"ORDERS": orders_b(spark, d), "Part": parts, "nation": S.table(spark, d, "nation"), "SUPPLIER": a["supplier"]})
 
 
 _REC = f"""WITH {ORDERS_B}, a AS (SELECT o_orderpriority AS p, strftime(o_orderdate, '%Y-%m') AS ym, CAST(sum(CAST(o_totalprice AS DECIMAL(20, 2))) AS DOUBLE) AS gmv, CAST(count(*) AS DOUBLE) AS n FROM orders GROUP BY 1, 2),

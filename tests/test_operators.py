@@ -285,3 +285,30 @@ def test_chunked_comparison_of_rows_without_a_key(spark):
 def test_names_by_comments_and_weak_names(spark):
     c = spark.createDataFrame([("t", "mobile", ""), ("t", "name", "电话"), ("t", "name", None), ("t", "x", None)], "table_name string, column_name string, comment string")
     assert sorted((r.column_name, r.category) for r in masking.pii_by_name(c).collect()) == [("mobile", "phone"), ("name", "person_name"), ("name", "phone")]
+
+
+def test_batch_report(spark):
+    """Tables that both sides have: equal, changed in a column, empty, without numbers, on one side only."""
+    make = spark.createDataFrame
+    same = make([(1, 2.0), (2, None)], "k long, v double")
+    texts = make([("x",)], "t string")
+    a = {"Same": same, "changed": same, "empty": same.limit(0), "texts": texts, "left": same}
+    b = {"same": same, "CHANGED": make([(1, 2.0), (2, 5.0)], "k long, V double"), "Empty": same.limit(0), "texts": make([("x", 1)], "t string, n int"), "right": same}
+    got = {r.table_name: tuple(r)[1:] for r in compare.batch_report(a, b).collect()}
+    assert got == {
+        "same": (0, 2, 2, 0, 0, False),
+        "changed": (0, 2, 2, 0, 4, True),  # sum, avg, max, nulls
+        "empty": (0, 0, 0, 0, 0, False),
+        "texts": (1, 1, 1, 0, 0, True),
+    }
+    assert compare.batch_report({"left": same}, {}).collect() == []
+
+
+def test_stage_findings(spark):
+    a = spark.createDataFrame([(1, 2.0, "x"), (2, 3.0, None)], "k long, v double, s string")
+    none = {r.stage: r.findings for r in compare.stage_findings(compare.compare(a, a, ["k"], ["v"])).collect()}
+    assert none == dict.fromkeys(["schema", "count", "keyed", "aggregate", "profile", "checksum"], 0)
+    b = spark.createDataFrame([(1, 4.0, "x"), (3, 3.0, None), (4, 3.0, "y")], "k long, v double, s string")
+    got = {r.stage: r.findings for r in compare.stage_findings(compare.compare(a, b, ["k"], ["v"], ["k"])).collect()}
+    # 2 gone, 3 and 4 new, 1 changed; sum, avg, min and max of v; of k one value more, another largest; two or more segments
+    assert (got["schema"], got["count"], got["keyed"], got["aggregate"], got["profile"]) == (0, 1, 4, 4, 2) and got["checksum"] >= 1
