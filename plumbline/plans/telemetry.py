@@ -168,7 +168,11 @@ def sla_board(spark, d):
     return T.sla_board(rn)
 
 
-@query("sla_trace")
+@query("sla_trace", """WITH RECURSIVE t AS (SELECT o_orderkey AS k, o_orderkey * 10 AS start, o_orderkey * 10 + 5 + o_orderkey % 7 AS finish FROM orders),
+d AS (SELECT k, k // 2 AS dep FROM t WHERE k > 2 UNION SELECT k, k // 3 FROM t WHERE k > 2),
+b AS (SELECT d.k, arg_max(dep, (t.finish, CAST(dep AS VARCHAR))) AS dep, max(t.finish) AS f FROM d JOIN t ON t.k = dep GROUP BY 1),
+p(step, k) AS (SELECT 0, max(k) FROM t UNION ALL SELECT step + 1, b.dep FROM p JOIN b USING (k))
+SELECT p.step, CAST(t.k AS VARCHAR) AS task, start, finish, start - b.f AS wait FROM p JOIN t USING (k) LEFT JOIN b USING (k)""")
 def sla_trace(spark, d):
     """The critical path to one task over all orders as tasks: each waits for the two orders at a half and a third of its key."""
     o, k = S.table(spark, d, "orders"), F.col("o_orderkey")

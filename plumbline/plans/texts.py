@@ -92,30 +92,39 @@ _LINES = [
 SECRET_LINES = "sl AS (SELECT c_custkey, unnest([" + ", ".join("'" + x.replace("'", "''").replace("{k}", f"' || {_KEYS} || '") + "'" for x in _LINES) + f"]) AS x, unnest(range(1, {len(_LINES) + 1})) AS line FROM customer)"
 
 
-def secret_texts(spark, d):
-    k = F.lpad(F.col("c_custkey").cast("string"), 8, "0")
+#: Every document with one of these lines below it, by its id.
+DOCUMENT_LINES = "sl AS (SELECT doc_id, unnest(p) AS x, unnest(range(1, len(p) + 1)) AS line FROM (SELECT doc_id, string_split_regex(coalesce(text, '') || chr(10) || [" + ", ".join("'" + x.replace("'", "''").replace("{k}", f"' || {_KEYS.replace('c_custkey', 'doc_id')} || '") + "'" for x in _LINES) + f"][doc_id % {len(_LINES)} + 1], '\\r\\n|[\\r\\n]') AS p FROM documents))"
+
+
+def _secret_lines(key: str):
+    k = F.lpad(F.col(key).cast("string"), 8, "0")
     lines = []
     for x in _LINES:
         parts = x.split("{k}")
         lines.append(F.concat(*[y for i, part in enumerate(parts) for y in ([F.lit(part)] if i == 0 else [k, F.lit(part)])]))
+    return lines
+
+
+def secret_texts(spark, d):
+    lines = _secret_lines("c_custkey")
     return S.table(spark, d, "customer").select("c_custkey", F.concat_ws("\n", *lines).alias("text"))
 
 
-def _sec_sql():
+def _sec_sql(lines=SECRET_LINES, key="c_custkey"):
     hits = []
     for rule, severity, p, group in K.SECRETS:
         pattern = p.replace("'", "''")
         value = f"regexp_extract(x, '{pattern}', {group})"
         bad = " OR ".join(f"contains(lower({value}), '{m}')" for m in K.PLACEHOLDERS)
-        hits.append(f"SELECT c_custkey, line, x, '{rule}' AS rule, '{severity}' AS severity, {value} AS v FROM open WHERE regexp_matches(x, '{pattern}')" + (f" AND NOT ({bad})" if group else ""))
+        hits.append(f"SELECT {key}, line, x, '{rule}' AS rule, '{severity}' AS severity, {value} AS v FROM open WHERE regexp_matches(x, '{pattern}')" + (f" AND NOT ({bad})" if group else ""))
     entropy = K.ENTROPY_PATTERN.replace("'", "''")
     bad = " OR ".join(f"contains(lower(v), '{m}')" for m in K.PLACEHOLDERS)
-    return f"""WITH {SECRET_LINES}, open AS (SELECT * FROM sl WHERE NOT contains(x, '{K.PRAGMA}')), h AS ({" UNION ALL ".join(hits)}), hi AS (SELECT DISTINCT c_custkey, line FROM h WHERE severity = 'high'),
-kept AS (SELECT h.* FROM h LEFT JOIN hi ON h.c_custkey = hi.c_custkey AND h.line = hi.line WHERE NOT (hi.line IS NOT NULL AND rule IN ('apikey_assign', 'password_assign'))),
-e AS (SELECT c_custkey, line, x, regexp_extract(x, '{entropy}', 1) AS v FROM open o WHERE regexp_matches(x, '{entropy}') AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.c_custkey = o.c_custkey AND k.line = o.line)),
-c AS (SELECT c_custkey, line, v, ch, count(*) AS n FROM (SELECT c_custkey, line, v, unnest(string_split(v, '')) AS ch FROM e) GROUP BY ALL), s AS (SELECT c_custkey, line, v, -sum(n / length(v) * log2(n / length(v))) AS bits FROM c GROUP BY ALL),
-r AS (SELECT c_custkey, line, 'high_entropy' AS rule, 'low' AS severity, v FROM s WHERE bits >= {K.ENTROPY_LEAST} AND CAST(regexp_matches(v, '[a-z]') AS INT) + CAST(regexp_matches(v, '[A-Z]') AS INT) + CAST(regexp_matches(v, '[0-9]') AS INT) >= 2 AND NOT ({bad}))
-SELECT c_custkey, CAST(line AS INTEGER) AS line, rule, severity, CASE WHEN length(v) <= 8 THEN substr(v, 1, 2) || '…' ELSE substr(v, 1, 4) || '…' || right(v, 2) END AS masked FROM (SELECT c_custkey, line, rule, severity, v FROM kept UNION ALL SELECT * FROM r)"""
+    return f"""WITH {lines}, open AS (SELECT * FROM sl WHERE NOT contains(x, '{K.PRAGMA}')), h AS ({" UNION ALL ".join(hits)}), hi AS (SELECT DISTINCT {key}, line FROM h WHERE severity = 'high'),
+kept AS (SELECT h.* FROM h LEFT JOIN hi ON h.{key} = hi.{key} AND h.line = hi.line WHERE NOT (hi.line IS NOT NULL AND rule IN ('apikey_assign', 'password_assign'))),
+e AS (SELECT {key}, line, x, regexp_extract(x, '{entropy}', 1) AS v FROM open o WHERE regexp_matches(x, '{entropy}') AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.{key} = o.{key} AND k.line = o.line)),
+c AS (SELECT {key}, line, v, ch, count(*) AS n FROM (SELECT {key}, line, v, unnest(string_split(v, '')) AS ch FROM e) GROUP BY ALL), s AS (SELECT {key}, line, v, -sum(n / length(v) * log2(n / length(v))) AS bits FROM c GROUP BY ALL),
+r AS (SELECT {key}, line, 'high_entropy' AS rule, 'low' AS severity, v FROM s WHERE bits >= {K.ENTROPY_LEAST} AND CAST(regexp_matches(v, '[a-z]') AS INT) + CAST(regexp_matches(v, '[A-Z]') AS INT) + CAST(regexp_matches(v, '[0-9]') AS INT) >= 2 AND NOT ({bad}))
+SELECT {key}, CAST(line AS INTEGER) AS line, rule, severity, CASE WHEN length(v) <= 8 THEN substr(v, 1, 2) || '…' ELSE substr(v, 1, 4) || '…' || right(v, 2) END AS masked FROM (SELECT {key}, line, rule, severity, v FROM kept UNION ALL SELECT * FROM r)"""
 
 
 @query("sec_scan", _sec_sql())
@@ -124,13 +133,15 @@ def sec_scan(spark, d):
     return K.secret_lines(X.spread(secret_texts(spark, d)), "c_custkey")
 
 
-@query("sec_documents")
+@query("sec_documents", _sec_sql(DOCUMENT_LINES, "doc_id"))
 def sec_documents(spark, d):
-    """All rules on every line of the documents."""
-    return K.secret_lines(X.spread(S.table(spark, d, "documents").select("doc_id", "text")), "doc_id")
+    """All rules on every line of the documents, each with a line below it that may hold a secret."""
+    below = F.element_at(F.array(*_secret_lines("doc_id")), (F.col("doc_id") % len(_LINES) + 1).cast("int"))
+    docs = S.table(spark, d, "documents").select("doc_id", F.concat_ws("\n", F.coalesce("text", F.lit("")), below).alias("text"))
+    return K.secret_lines(X.spread(docs), "doc_id")
 
 
-@query("sec_entropy")
+@query("sec_entropy", f"SELECT * FROM ({_sec_sql()}) WHERE rule = 'high_entropy'")
 def sec_entropy(spark, d):
     """Random-looking assignments that no rule knows: entropy by higher-order functions."""
     return K.secret_lines(X.spread(secret_texts(spark, d)), "c_custkey").filter("rule = 'high_entropy'")
