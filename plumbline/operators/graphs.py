@@ -325,6 +325,34 @@ def duplicate_pipelines(edges: DataFrame) -> DataFrame:
     return sets.groupBy("sources").agg(F.array_join(F.array_sort(F.collect_list("dst")), ",").alias("targets"), F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
+def equal_expressions(edges: DataFrame, expressions: DataFrame, least: float = 0.5) -> DataFrame:
+    """``a, b, targets_a, targets_b, shared, share``: targets with one set of sources whose output expressions (``dst, expression``) are the same to ``least`` or more.
+
+    The share is of the smaller set of expressions; empty ones and ``*`` do not count. Targets
+    with the same sources and the same expressions are one class, known by its smallest name, with
+    their number; a class of several is a row with itself (a = b). Of two sets that share
+    ``least`` of the smaller one's ``n``, one has one of the other's ``n - ceil(least * n) + 1`` rarest
+    expressions: only these are joined, so that classes without a common expression never meet.
+    Targets without expressions or sources are in no row.
+    """
+    sets = edges.filter("src is not null").select("dst", "src").distinct().groupBy("dst").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("src"))), 256).alias("sources"))
+    own = expressions.filter("expression <> '' and expression <> '*'").select("dst", "expression").distinct()
+    per = own.groupBy("dst").agg(F.array_sort(F.collect_list("expression")).alias("e")).join(sets, "dst")
+    classes = settle(per.groupBy("sources", "e").agg(F.min("dst").alias("name"), F.count(F.lit(1)).alias("targets")))
+    held = classes.select("sources", "name", F.explode("e").alias("x"))
+    df = held.groupBy("sources", "x").agg(F.count(F.lit(1)).alias("df"))
+    ranked = held.join(df, ["sources", "x"]).groupBy("name").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("s"))
+    head = ranked.select("name", F.explode(F.slice("s.x", 1, (F.size("s") - F.ceil(F.size("s") * least) + 1).cast("int"))).alias("x"))
+    met = head.join(held.select("name", "sources"), "name").distinct().join(held.withColumnRenamed("name", "other"), ["sources", "x"]).filter("name <> other")
+    met = met.select(F.least("name", "other").alias("a"), F.greatest("name", "other").alias("b")).distinct()
+    side = classes.select("name", "e", "targets")
+    both = met.join(side.toDF("a", "ea", "targets_a"), "a").join(side.toDF("b", "eb", "targets_b"), "b").withColumn("shared", F.size(F.array_intersect("ea", "eb")))
+    smaller = F.least(F.size("ea"), F.size("eb"))
+    apart = both.filter(F.col("shared") >= smaller * least).select("a", "b", "targets_a", "targets_b", "shared", share(F.col("shared"), smaller).alias("share"))
+    alike = classes.filter("targets > 1").select(F.col("name").alias("a"), F.col("name").alias("b"), F.col("targets").alias("targets_a"), F.col("targets").alias("targets_b"), F.size("e").alias("shared"), F.lit(1.0).alias("share"))
+    return apart.unionByName(alike)
+
+
 def overlapping_pipelines(edges: DataFrame, least: float = 0.6) -> DataFrame:
     """``a, b, shared, jaccard, kind``: pairs of targets whose sources overlap: equal, subset (all of a's are b's), superset, or overlap of ``least`` or more.
 

@@ -153,6 +153,19 @@ def ln_dup_pipelines(spark, d):
     return G.duplicate_pipelines(S.table(spark, d, "orders").select(name("c", "o_orderpriority").alias("src"), name("c", "o_custkey").alias("dst")))
 
 
+@query("ln_dup_expressions", """WITH e AS (SELECT DISTINCT 'o' || l_orderkey AS dst, l_returnflag || l_linestatus AS src FROM lineitem), x AS (SELECT DISTINCT 'o' || l_orderkey AS dst, 'qty' || CAST(l_quantity AS BIGINT) % 7 AS x FROM lineitem),
+s AS (SELECT dst, string_agg(src, '|' ORDER BY src) AS sources FROM e GROUP BY 1), y AS (SELECT dst, list(x ORDER BY x) AS e FROM x GROUP BY 1),
+k AS (SELECT sources, e, min(dst) AS name, count(*) AS n FROM s JOIN y USING (dst) GROUP BY 1, 2),
+h AS (SELECT sources, name, unnest(e) AS x FROM k), p AS (SELECT a.name AS a, b.name AS b, count(*) AS shared FROM h a JOIN h b ON a.sources = b.sources AND a.x = b.x AND a.name < b.name GROUP BY 1, 2)
+SELECT a, b, ka.n AS targets_a, kb.n AS targets_b, CAST(shared AS INTEGER) AS shared, shared / CAST(least(len(ka.e), len(kb.e)) AS DOUBLE) AS share FROM p JOIN k ka ON ka.name = a JOIN k kb ON kb.name = b WHERE shared * 2 >= least(len(ka.e), len(kb.e))
+UNION ALL SELECT name, name, n, n, CAST(len(e) AS INTEGER), 1.0 FROM k WHERE n > 1""")
+def ln_dup_expressions(spark, d):
+    """Orders as targets of their lines' flags and states; their quantities modulo 7 stand for expressions."""
+    lines = S.table(spark, d, "lineitem").withColumn("o", name("o", "l_orderkey"))
+    made = lines.select(F.col("o").alias("dst"), F.concat(F.lit("qty"), (F.col("l_quantity").cast("long") % 7).cast("string")).alias("expression"))
+    return G.equal_expressions(lines.select(F.concat("l_returnflag", "l_linestatus").alias("src"), F.col("o").alias("dst")), made)
+
+
 _PARTS_OF = "e AS (SELECT DISTINCT 'o' || l_orderkey AS dst, 'p' || l_partkey AS src FROM lineitem)"
 
 

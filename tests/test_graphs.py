@@ -66,3 +66,25 @@ def test_redundant(spark, part):
     edges = [(f"{p}{min(x, y):02}", f"{p}{max(x, y):02}") for p in "abcd" for x, y in ((rng.randrange(25), rng.randrange(25)) for _ in range(40)) if x != y] + [("x", "y"), ("y", "z"), ("x", "z")]
     assert sorted(map(tuple, G.redundant(table(spark, edges), part).collect())) == plain_redundant(edges)
     assert G.redundant(table(spark, edges).limit(0)).count() == 0
+
+
+def test_equal_expressions(spark):
+    rng = random.Random(3)
+    sources, made = {}, {}
+    for i in range(60):
+        sources[f"t{i}"] = frozenset(rng.sample(["a", "b", "c"], rng.randrange(1, 3)))
+        made[f"t{i}"] = frozenset(rng.sample([f"x{j}" for j in range(12)], rng.randrange(0, 6)))
+    edges = spark.createDataFrame([(s, t) for t, own in sources.items() for s in own], "src string, dst string")
+    rows = [(t, x) for t, own in made.items() for x in [*own, "*", "", None]]
+    got = {(r.a, r.b): (r.targets_a, r.targets_b, r.shared, round(r.share, 9)) for r in G.equal_expressions(edges, spark.createDataFrame(rows, "dst string, expression string")).collect()}
+    classes = {}
+    for t in sorted(made):
+        if made[t]:
+            classes.setdefault((sources[t], made[t]), []).append(t)
+    want = {}
+    for (s, e), own in classes.items():
+        for (s2, e2), others in classes.items():
+            n, shared = min(len(e), len(e2)), len(e & e2)
+            if s == s2 and (own[0] < others[0] and shared * 2 >= n or e == e2 and len(own) > 1):
+                want[own[0], others[0]] = (len(own), len(others), shared, round(shared / n, 9))
+    assert got == want and len(want) > 20
