@@ -134,7 +134,11 @@ def hot_key_join(left: DataFrame, right: DataFrame, key: str, hot: Sequence, how
 
 
 def salted_join(left: DataFrame, right: DataFrame, key: str, salts: int, row: str) -> DataFrame:
-    """An inner join with each key's rows dealt over ``salts`` tasks; the right side is repeated ``salts`` times."""
+    """An inner join with each key's rows dealt over ``salts`` tasks; the right side is repeated ``salts`` times.
+
+    Both sides are shuffled, whatever their sizes: an estimate of the right side leaves out its
+    repetition, and a side that is small enough for the driver needs no salt.
+    """
     x = left.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
     y = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return x.join(y, [key, "__salt"]).drop("__salt")
+    return x.join(y.hint("merge"), [key, "__salt"]).drop("__salt")
