@@ -22,6 +22,8 @@ from plumbline.functions.values import share
 
 #: Peeling steps of a round, rounds after which what was found is written anew, and rows that a round may send to all tasks.
 HOPS, ROUNDS, FRONT = 3, 16, 200_000
+#: Edges of the connected parts that one task takes together; larger parts are searched hop by hop.
+PART_EDGES = 200_000
 
 
 def near(df: DataFrame, rows: int) -> DataFrame:
@@ -191,8 +193,43 @@ def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
     return spark.createDataFrame([], "path string, hops int")
 
 
-def core_of_cycles(edges: DataFrame) -> DataFrame:
-    """``src, dst``: edges in cycles or between them; what has no way in or no way out is peeled off until nothing is."""
+def _core(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """Places of the edges that are left when nodes without a way in or out are taken away, within one task."""
+    names, codes = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    ends = codes[: len(src)].tolist(), codes[len(src) :].tolist()
+    kept = np.ones(len(src), bool)
+    for a, b in (ends, ends[::-1]):  # forward by ways in, then backward by ways out
+        ways: list[list[int]] = [[] for _ in names]
+        n = [0] * len(names)
+        for i in np.flatnonzero(kept).tolist():
+            ways[a[i]].append(i)
+            n[b[i]] += 1
+        todo = [x for x, k in enumerate(n) if not k]
+        for x in todo:  # grows while it is read
+            for i in ways[x]:
+                kept[i] = False
+                n[b[i]] -= 1
+                if not n[b[i]]:
+                    todo.append(b[i])
+    return np.flatnonzero(kept)
+
+
+def core_of_cycles(edges: DataFrame, part: int = PART_EDGES) -> DataFrame:
+    """``src, dst``: edges in cycles or between them; what has no way in or no way out is peeled off until nothing is.
+
+    Connected parts of up to ``part`` edges are peeled some to a task; larger ones layer by layer.
+    """
+    dealt, large = parted(edges, part)
+
+    def search(table: pa.Table) -> pa.Table:
+        return table.select(["src", "dst"]).take(pa.array(_core(*ends_of(table))))
+
+    near_ones = dealt.groupBy("deal").applyInArrow(search, fields_of(dealt))
+    return near_ones if large is None else near_ones.unionByName(_core_far(large))
+
+
+def _core_far(edges: DataFrame) -> DataFrame:
+    """The same for parts of any size."""
     e, runs, _ = chain_runs(edges)
     inner = contracted(e, runs).select("src", "dst").distinct()
     now, n = settle(inner), -1
@@ -211,21 +248,49 @@ def core_of_cycles(edges: DataFrame) -> DataFrame:
     return whole.unionByName(inside).unionByName(ring)
 
 
-def cycle_samples(edges: DataFrame, most: int = 5) -> DataFrame:
+def _way(edges: list[tuple[str, str]], start: str, goal: str) -> str:
+    """The shortest path within one task, of equal lengths the first by names."""
+    after: dict[str, list[str]] = {}
+    for a, b in edges:
+        after.setdefault(a, []).append(b)
+    known, front = {start}, {start: start}
+    while goal not in front:
+        step: dict[str, str] = {}
+        for node, path in front.items():
+            for b in after.get(node, ()):
+                if b not in known and (b not in step or f"{path}>{b}" < step[b]):
+                    step[b] = f"{path}>{b}"
+        known.update(step)
+        front = step
+    return front[goal]
+
+
+def cycle_samples(edges: DataFrame, most: int = 5, part: int = PART_EDGES) -> DataFrame:
     """``cycle``: a report of at most ``most`` cycles, as 'a>b>a': of the first components by name, the shortest one through the first edge of its first node.
 
-    Of any length: runs without branches are drawn together before a path is searched.
+    Of any length: components of up to ``part`` edges are searched in a task each; in larger
+    ones runs without branches are drawn together before a path is searched.
     """
-    parts = settle(strong_components(edges))
-    inner = settle(edges.select("src", "dst").distinct().join(parts.select(F.col("node").alias("src"), F.col("component").alias("c")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("d")), "dst").filter("c = d").select("c", "src", "dst"))
-    first = inner.filter("src = c").groupBy("c").agg(F.min("dst").alias("next")).orderBy("c").limit(most).collect()  # the report's rows
-    out = None
+    spark, parts = edges.sparkSession, settle(strong_components(edges, part))
+    chosen = [r.component for r in parts.select("component").distinct().orderBy("component").limit(most).collect()]  # the report's rows
+    own = parts.filter(F.col("component").isin(chosen)).select("node", F.col("component").alias("c"))
+    ends = own.join(edges.select("src", "dst").distinct(), F.col("node") == F.col("src")).select("c", "src", "dst")
+    inner = settle(ends.join(own.select(F.col("node").alias("dst"), F.col("c").alias("d")), "dst").filter("c = d").select("c", "src", "dst"))
+    first = inner.groupBy("c").agg(F.min(F.when(F.col("src") == F.col("c"), F.col("dst"))).alias("next"), F.count(F.lit(1)).alias("n")).orderBy("c").collect()  # one for each of them
+
+    def search(table: pa.Table) -> pa.Table:
+        c, src, dst = (table.column(x).to_pylist() for x in ("c", "src", "dst"))
+        goal = c[0]
+        return pa.table({"cycle": [f"{goal}>{_way(list(zip(src, dst)), min(b for a, b in zip(src, dst) if a == goal), goal)}"]})
+
+    small = [r.c for r in first if r.n <= part]
+    out = inner.filter(F.col("c").isin(small)).groupBy("c").applyInArrow(search, "cycle string")
     for r in first:
-        own = inner.filter(F.col("c") == r.c).select("src", "dst")
-        way = edges.sparkSession.createDataFrame([(r.c,)], "path string") if r.next == r.c else shortest_path(own, r.next, r.c).select("path")
-        one = way.select(F.concat_ws(">", F.lit(r.c), "path").alias("cycle"))
-        out = one if out is None else out.unionByName(one)
-    return edges.sparkSession.createDataFrame([], "cycle string") if out is None else out
+        if r.n > part:
+            far = inner.filter(F.col("c") == r.c).select("src", "dst")
+            way = spark.createDataFrame([(r.c,)], "path string") if r.next == r.c else shortest_path(far, r.next, r.c).select("path")
+            out = out.unionByName(way.select(F.concat_ws(">", F.lit(r.c), "path").alias("cycle")))
+    return out
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -234,7 +299,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds. Nodes are of any type that has an order; a struct makes the root the smallest by its fields.
     Every round is two joins on a node with its smallest neighbour, pre-aggregated before
     each shuffle, and is written to the checkpoint folder. Hot nodes are split by the
-    adaptive skew join, for nothing above the joins needs a key's rows together.
+    adaptive skew join, for nothing above the joins needs a key's rows together. No side is
+    sent through the driver, for a hash table of each round would stay there.
     """
     now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     seen = None
@@ -245,9 +311,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = mark
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.filter("v > u").join(least.hint("merge"), F.col("u") == F.col("k")).select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), "m")
-        met = large.join(low, F.col("a") == F.col("k"))
+        met = large.join(low.hint("merge"), F.col("a") == F.col("k"))
         pairs = met.select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         now = settle(pairs.select("e.a", "e.b").filter("a <> b").distinct())
     raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -445,10 +511,6 @@ def critical_path(edges: DataFrame, durations: DataFrame) -> DataFrame:
     return found.orderBy("v.f", "v.path").limit(1).select("node", (-F.col("v.f")).alias("finish"), F.col("v.path").alias("path"))
 
 
-#: Edges of the connected parts that one task takes together; larger parts are searched hop by hop.
-PART_EDGES = 200_000
-
-
 def _implied(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """Places of the edges that a longer path implies, within one task."""
     names, codes = np.unique(np.concatenate([src, dst]), return_inverse=True)
@@ -506,33 +568,40 @@ def _implied_far(e: DataFrame) -> DataFrame:
     return e.select("src", "dst").limit(0) if found is None else found.distinct()
 
 
+def parted(edges: DataFrame, part: int) -> tuple[DataFrame, DataFrame | None]:
+    """``(src, dst, deal)``, ``(src, dst)``: distinct edges of connected parts of up to ``part`` edges, dealt out some parts to a task, and those of larger parts (None without)."""
+    e = settle(edges.select("src", "dst").dropna().distinct())
+    roots = components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = settle(e.join(roots, F.col("src") == F.col("node"), "left").select("src", "dst", F.coalesce("root", "src").alias("part")))
+    large = settle(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part).select("part"))
+    deals = max(e.sparkSession.sparkContext.defaultParallelism, -(-2 * e.count() // part))
+    deal = F.pmod(F.xxhash64("part"), F.lit(deals)).alias("deal")
+    if large.isEmpty():
+        return named.select("src", "dst", deal), None
+    return named.join(large, "part", "left_anti").select("src", "dst", deal), settle(named.join(large, "part", "left_semi").select("src", "dst"))
+
+
+def ends_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.asarray(table.column(c).to_pylist(), object) for c in ("src", "dst"))
+
+
+def fields_of(e: DataFrame) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema.fields if f.name in ("src", "dst"))
+
+
 def redundant(edges: DataFrame, part: int = PART_EDGES) -> DataFrame:
     """``src, dst``: edges that a longer path implies, for graphs without cycles (else an error).
 
     Connected parts are told apart first. Parts of up to ``part`` edges are dealt out, some to a
     task, and searched there in topological order; larger ones hop by hop, held to levels.
     """
-    e = settle(edges.select("src", "dst").distinct())
-    roots = components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    named = settle(e.join(roots, F.col("src") == F.col("node"), "left").select("src", "dst", F.coalesce("root", "src").alias("part")))
-    sizes = settle(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")))
-    small, total = sizes.filter(F.col("n") <= part), e.count()
-    if not total:
-        return e
-    deals = max(e.sparkSession.sparkContext.defaultParallelism, -(-2 * total // part))
-    dealt = named.join(small.select("part"), "part", "left_semi").select("src", "dst", F.pmod(F.xxhash64("part"), F.lit(deals)).alias("deal"))
+    dealt, large = parted(edges, part)
 
     def search(table: pa.Table) -> pa.Table:
-        src, dst = (np.asarray(table.column(c).to_pylist(), object) for c in ("src", "dst"))
-        at = _implied(src, dst)
-        return table.select(["src", "dst"]).take(pa.array(at))
+        return table.select(["src", "dst"]).take(pa.array(_implied(*ends_of(table))))
 
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in e.schema.fields)
-    near_ones = dealt.groupBy("deal").applyInArrow(search, kinds)
-    large = sizes.filter(F.col("n") > part).select("part")
-    if large.isEmpty():
-        return near_ones
-    return near_ones.unionByName(_implied_far(settle(named.join(large, "part", "left_semi").select("src", "dst"))))
+    near_ones = dealt.groupBy("deal").applyInArrow(search, fields_of(dealt))
+    return near_ones if large is None else near_ones.unionByName(_implied_far(large))
 
 
 def chains(edges: DataFrame, least: int = 3) -> DataFrame:
@@ -671,9 +740,73 @@ def _colour_components(edges: DataFrame) -> DataFrame:
     return found
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _strong(src: np.ndarray, dst: np.ndarray) -> list[tuple[object, object, int]]:
+    """``node, component, size`` of the nodes of cycles, within one task (Tarjan's search without recursion)."""
+    names, codes = np.unique(np.concatenate([src, dst]), return_inverse=True)  # in order, so that the smallest code is the smallest name
+    after: list[list[int]] = [[] for _ in names]
+    for x, y in zip(codes[: len(src)].tolist(), codes[len(src) :].tolist()):
+        after[x].append(y)
+    at, low, held, out = [0] * len(names), [0] * len(names), [False] * len(names), []
+    stack: list[int] = []
+    clock = 0
+    for root in range(len(names)):
+        if at[root]:
+            continue
+        todo = [(root, iter(after[root]))]
+        clock += 1
+        at[root] = low[root] = clock
+        stack.append(root)
+        held[root] = True
+        while todo:
+            x, ways = todo[-1]
+            for y in ways:
+                if not at[y]:
+                    clock += 1
+                    at[y] = low[y] = clock
+                    stack.append(y)
+                    held[y] = True
+                    todo.append((y, iter(after[y])))
+                    break
+                if held[y]:
+                    low[x] = min(low[x], at[y])
+            else:
+                todo.pop()
+                if todo:
+                    low[todo[-1][0]] = min(low[todo[-1][0]], low[x])
+                if low[x] == at[x]:
+                    cut = len(stack) - 1
+                    while stack[cut] != x:
+                        cut -= 1
+                    own = stack[cut:]
+                    del stack[cut:]
+                    for y in own:
+                        held[y] = False
+                    if len(own) > 1 or x in after[x]:
+                        first = names[min(own)]
+                        out += [(names[y], first, len(own)) for y in own]
+    return out
+
+
+def strong_components(edges: DataFrame, part: int = PART_EDGES) -> DataFrame:
     """``node, component, size`` of every node that is in a cycle: components are named by their smallest node; a node with an edge to itself may be alone.
 
+    Connected parts of up to ``part`` edges are searched some to a task, larger ones together.
+    """
+    dealt, large = parted(edges, part)
+    kind = dealt.schema["src"].dataType.simpleString()
+
+    def search(table: pa.Table) -> pa.Table:
+        found, own = _strong(*ends_of(table)), table.schema.field("src").type
+        node, component, size = zip(*found) if found else ((), (), ())
+        return pa.table({"node": pa.array(node, own), "component": pa.array(component, own), "size": pa.array(size, pa.int64())})
+
+    near_ones = dealt.groupBy("deal").applyInArrow(search, f"node {kind}, component {kind}, size long")
+    return near_ones if large is None else near_ones.unionByName(_strong_far(large))
+
+
+def _strong_far(edges: DataFrame) -> DataFrame:
+    """The same for parts of any size.
+
     Nodes that are in no cycle are peeled off, and runs of nodes joined one to one are
     drawn together (ranked by pointer doubling), until neither finds anything: a cycle of any
     length without branches takes rounds by the logarithm of its length. What is left is coloured

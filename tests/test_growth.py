@@ -1,6 +1,12 @@
 """What keeps figures in proportion to the input: no sides that only look small, no rows that a table's size multiplies."""
 
+import random
+
+import pytest
+
+from plumbline.operators import graphs as G
 from plumbline.operators import joins as J
+from tests.test_graphs import plain_components, table
 
 
 def plan(df):
@@ -14,3 +20,37 @@ def test_a_repeated_side_is_not_sent_to_all_tasks(spark):
     out = J.salted_join(left, right, "k", 4, "row")
     assert "BroadcastHashJoin" not in plan(out)
     assert sorted((r.k, r.row, r.v) for r in out.collect()) == sorted((i % 3, i, "ab"[i % 3]) for i in range(30) if i % 3 < 2)
+
+
+def plain_core(edges):
+    edges = set(edges)
+    while True:
+        left = {(a, b) for a, b in edges if a in {d for _, d in edges} and b in {s for s, _ in edges}}
+        if left == edges:
+            return sorted(edges)
+        edges = left
+
+
+@pytest.mark.parametrize("part", [G.PART_EDGES, 3])
+def test_cycles_of_small_and_large_parts(spark, part):
+    rng = random.Random(11)
+    edges = [(f"{p}{rng.randrange(20):02}", f"{p}{rng.randrange(20):02}") for p in "abc" for _ in range(22)] + [("s", "s"), ("s", "t"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "w"), ("w", "z"), (None, "x"), ("x", None)]
+    whole = [e for e in edges if None not in e]
+    df = table(spark, edges)
+    assert sorted(map(tuple, G.core_of_cycles(df, part).collect())) == plain_core(whole)
+    want = plain_components(whole)
+    assert sorted(map(tuple, G.strong_components(df, part).collect())) == want
+    got = sorted(r.cycle.split(">") for r in G.cycle_samples(df, 4, part).collect())
+    assert [c[0] for c in got] == sorted({c for _, c, _ in want})[:4] and all(c[0] == c[-1] and set(zip(c, c[1:])) <= set(whole) for c in got)
+    assert all(c[1] == min(b for a, b in whole if a == c[0] and (b, c[0]) in {(n, k) for n, k, _ in want}) for c in got)
+    for f in (G.core_of_cycles, G.strong_components, G.cycle_samples):
+        assert f(df.limit(0)).count() == 0
+
+
+def test_many_small_graphs_take_no_round_for_each_layer(spark, monkeypatch):
+    """Chains of 60 nodes with skips, which have no runs to draw together: a peel by layers takes ten rounds of three, the parts are known after some rounds."""
+    edges = [(f"g{g}n{i:02}", f"g{g}n{i + k:02}") for g in range(5) for i in range(58) for k in (1, 2)]
+    written = []
+    monkeypatch.setattr(G, "settle", lambda df, own=G.settle: written.append(1) or own(df))
+    assert G.core_of_cycles(table(spark, edges)).count() == 0
+    assert len(written) <= 14
