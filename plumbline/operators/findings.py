@@ -30,7 +30,7 @@ HOT_LAYERS = ("dwd", "dws", "ads")
 CAPTURE_ERRORS = (("schema_change", r"(?i)(alter\s+table|schema|ddl|unknown column|column count)"), ("duplicate_key", r"(?i)(duplicate\s+(entry|key)|primary)"), ("connection", r"(?i)(connect|timeout|eof|broken pipe|reset|refused)"))
 # What marks an error line of a job log, and what stands for its volatile parts, in the order of replacement.
 LOG_STAMP, LOG_ERROR = r"^\d{4}-\d{2}-\d{2}T[\d:.]+Z\s?", r"##\[error\]|^Traceback \(most recent call last\)|^(?:FAILED|ERROR)\b|[A-Za-z]*Error\b|\berror\[|npm ERR!|FATAL"
-LOG_PARTS = ((r"\b[0-9a-f]{7,40}\b", "<hash>"), (r"\b\d+(\.\d+)+\b", "<ver>"), (r"\b\d+\b", "<n>"), (r"(?:[A-Za-z]:)?[\\/][\w.\\/-]{6,}", "<path>"), (r"'[^']{1,80}'", "'<s>'"), (r'"[^"]{1,80}"', '"<s>"'), (r"\s+", " "))
+LOG_PARTS = ((r"\b(?=\d*[a-f])[0-9a-f]{7,40}\b", "<hash>"), (r"\b\d+(\.\d+)+\b", "<ver>"), (r"\b\d+\b", "<n>"), (r"(?:[A-Za-z]:)?[\\/][\w.\\/-]{6,}", "<path>"), (r"'[^']{1,80}'", "'<s>'"), (r'"[^"]{1,80}"', '"<s>"'), (r"\s+", " "))
 # Families of column types.
 BITS = {"tinyint": 8, "smallint": 16, "int": 32, "integer": 32, "bigint": 64}
 #: Fixed value: names of keys.

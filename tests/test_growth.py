@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from plumbline.operators import findings as N
 from plumbline.operators import graphs as G
 from plumbline.operators import joins as J
 from tests.test_graphs import plain_components, table
@@ -54,3 +55,9 @@ def test_many_small_graphs_take_no_round_for_each_layer(spark, monkeypatch):
     monkeypatch.setattr(G, "settle", lambda df, own=G.settle: written.append(1) or own(df))
     assert G.core_of_cycles(table(spark, edges)).count() == 0
     assert len(written) <= 14
+
+
+def test_long_numbers_are_no_hashes(spark):
+    lines = [f"2024-01-01T00:00:00.000Z ##[error]ValueError: bad value {k} in /data/in/x{k}.csv at 1.{k}, abcdef0 and 1234567e" for k in (7, 1234567, 10**12)]
+    got = N.log_error_templates(spark.createDataFrame([("j", x) for x in lines], "job string, line string")).collect()
+    assert [tuple(r) for r in got] == [("ValueError: bad value <n> in <path> at <ver>, <hash> and <hash>", 3, 1)]
