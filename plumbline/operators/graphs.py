@@ -423,14 +423,22 @@ def overlapping_pipelines(edges: DataFrame, least: float = 0.6) -> DataFrame:
     """``a, b, shared, jaccard, kind``: pairs of targets whose sources overlap: equal, subset (all of a's are b's), superset, or overlap of ``least`` or more.
 
     Two sets of that similarity share one of the first ``n - ceil(least * n) + 1`` sources of
-    each, the rarest first, and a subset shares its rarest: only these are joined.
+    each, the rarest first, and a subset shares its rarest: only these are joined. Where they
+    meet, masks of 64 places (a place is set if a source's hash falls on it) are held against
+    each other: places that only one side has are sources that only that side has. Only pairs
+    that may be in the result leave the join; whole sets are compared for these alone.
     """
     e = edges.select("src", "dst").distinct()
     df = e.groupBy("src").agg(F.count(F.lit(1)).alias("df"))
-    ranked = e.join(df, "src").groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("df", "src"))).alias("s"))
-    sets = settle(ranked.select("dst", F.col("s.src").alias("src"), F.size("s").alias("n")))
-    head = sets.select("dst", F.explode(F.slice("src", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("k"))
-    met = head.join(e.select(F.col("src").alias("k"), F.col("dst").alias("other")), "k").filter("dst <> other").select(F.least("dst", "other").alias("a"), F.greatest("dst", "other").alias("b")).distinct()
+    ranked = e.join(df, "src").groupBy("dst").agg(F.array_sort(F.collect_list(F.struct("df", "src"))).alias("s"), F.bit_or(F.expr("shiftleft(1L, cast(pmod(xxhash64(src), 64) as int))")).alias("mask"))
+    sets = settle(ranked.select("dst", F.col("s.src").alias("src"), F.size("s").alias("n"), "mask"))
+    head = sets.select("dst", "n", "mask", F.explode(F.slice("src", 1, (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("k"))
+    all_ = sets.select(F.explode("src").alias("k"), F.col("dst").alias("other"), F.col("n").alias("n2"), F.col("mask").alias("mask2"))
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseAND(F.bitwise_not(F.col(y))))
+    x, y = apart("mask", "mask2"), apart("mask2", "mask")
+    may = (x == 0) | (y == 0) | ((x + y) * (1 + least) <= (1 - least) * (F.col("n") + F.col("n2")) + 1e-6)
+    met = head.join(all_.hint("merge"), "k").filter((F.col("dst") != F.col("other")) & may).select(F.least("dst", "other").alias("a"), F.greatest("dst", "other").alias("b")).distinct()
+    sets = sets.drop("mask")
     both = met.join(sets.toDF("a", "sa", "na"), "a").join(sets.toDF("b", "sb", "nb"), "b").withColumn("shared", F.size(F.array_intersect("sa", "sb")))
     union = F.col("na") + F.col("nb") - F.col("shared")
     kind = F.when((F.col("shared") == F.col("na")) & (F.col("shared") == F.col("nb")), "equal").when(F.col("shared") == F.col("na"), "subset").when(F.col("shared") == F.col("nb"), "superset").when(F.col("shared") >= least * union, "overlap")

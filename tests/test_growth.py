@@ -61,3 +61,18 @@ def test_long_numbers_are_no_hashes(spark):
     lines = [f"2024-01-01T00:00:00.000Z ##[error]ValueError: bad value {k} in /data/in/x{k}.csv at 1.{k}, abcdef0 and 1234567e" for k in (7, 1234567, 10**12)]
     got = N.log_error_templates(spark.createDataFrame([("j", x) for x in lines], "job string, line string")).collect()
     assert [tuple(r) for r in got] == [("ValueError: bad value <n> in <path> at <ver>, <hash> and <hash>", 3, 1)]
+
+
+def test_only_pairs_that_may_overlap_leave_the_join(spark):
+    rng = random.Random(5)
+    sets = {f"t{i:03}": frozenset(rng.sample([f"s{j}" for j in range(30)], rng.randrange(1, 9))) for i in range(120)}
+    sets |= {"t_c": frozenset(["s1", "s2", "s3", "s4", "s5"]), "t_d": frozenset(["s1", "s2", "s3", "s4", "s6"]), "wide": frozenset(f"s{j}" for j in range(30)), "t_a": frozenset(["s1", "s2"]), "t_b": frozenset(["s1", "s2"])}
+    df = G.overlapping_pipelines(spark.createDataFrame([(s, t) for t, own in sets.items() for s in own], "src string, dst string"))
+    want = {}
+    for a in sets:
+        for b in sets:
+            x, y, both = sets[a], sets[b], len(sets[a] & sets[b])
+            if a < b and both and (kind := "equal" if x == y else "subset" if x < y else "superset" if x > y else "overlap" if both >= 0.6 * len(x | y) else None):
+                want[a, b] = (both, round(both / len(x | y), 9), kind)
+    assert {(r.a, r.b): (r.shared, round(r.jaccard, 9), r.kind) for r in df.collect()} == want and {k for _, _, k in want.values()} == {"equal", "subset", "superset", "overlap"}
+    assert "bit_count" in df._jdf.queryExecution().analyzed().toString()
