@@ -1,12 +1,15 @@
 """What keeps figures in proportion to the input: no sides that only look small, no rows that a table's size multiplies."""
 
+import math
 import random
 
+import numpy as np
 import pytest
 
 from plumbline.operators import findings as N
 from plumbline.operators import graphs as G
 from plumbline.operators import joins as J
+from plumbline.operators import texts as T
 from tests.test_graphs import plain_components, table
 
 
@@ -76,3 +79,63 @@ def test_only_pairs_that_may_overlap_leave_the_join(spark):
                 want[a, b] = (both, round(both / len(x | y), 9), kind)
     assert {(r.a, r.b): (r.shared, round(r.jaccard, 9), r.kind) for r in df.collect()} == want and {k for _, _, k in want.values()} == {"equal", "subset", "superset", "overlap"}
     assert "bit_count" in df._jdf.queryExecution().analyzed().toString()
+
+
+def plain_bm25(docs, asked, k):
+    words = {i: t.split() for i, t in docs}
+    n, mean = len(docs), sum(map(len, words.values())) / len(docs)
+    df = {t: sum(t in w for w in words.values()) for t in {t for w in words.values() for t in w}}
+    scores, shared = {}, {}
+    for q, text in asked:
+        for i, w in words.items():
+            own = set(text.split()) & set(w)
+            if own:
+                shared[q, i] = len(own)
+                scores[q, i] = round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in own), 6)
+    return scores, shared
+
+
+def plain_best(scores, k):
+    return [(q, i, pytest.approx(v, abs=2e-6), r) for q in {q for q, _ in scores} for r, (v, i) in enumerate(sorted(((s, i) for (x, i), s in scores.items() if x == q), key=lambda x: (-x[0], x[1]))[:k], 1)]
+
+
+def searched(spark, monkeypatch):
+    monkeypatch.setattr(T, "QUERY_BLOCK", 3)
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(["the", "of", f"w{rng.randrange(40)}", f"r{rng.randrange(900)}"]) for _ in range(rng.randrange(0, 30)))) for i in range(300)]
+    asked = [(i, t) for i, t in docs if i % 25 == 0]
+    df = spark.createDataFrame(docs, "id long, text string").repartition(2)
+    return docs, asked, *T.inverted_index(df, "id"), spark.createDataFrame(asked + asked[:2], "query_id long, query string")
+
+
+def matches(got, want):
+    want = {(w[0], w[3]): w for w in want}
+    assert len(got) == len(want)
+    for q, i, score, rank in got:
+        assert (q, i, score, rank) == want[q, rank]
+
+
+def test_bm25_of_blocks_of_queries_with_few_rows_that_leave_the_tasks(spark, monkeypatch):
+    docs, asked, postings, lengths, queries = searched(spark, monkeypatch)
+    scores, _ = plain_bm25(docs, asked, 4)
+    matches(sorted(map(tuple, T.bm25(queries, postings, lengths, "id", 4).select("query_id", "id", "score", "rank").collect())), plain_best(scores, 4))
+    rows, terms = T.weighed_terms(queries, postings, lengths, "id")
+    left = sum(T._top(rows.coalesce(2), b, "id", 4, ("bigint", "bigint")).count() for b in T.query_blocks(terms))
+    assert left < len(scores) / 4
+
+
+def test_hybrid_of_blocks_of_queries(spark, monkeypatch):
+    docs, asked, postings, lengths, queries = searched(spark, monkeypatch)
+    rng = np.random.default_rng(3)
+    # some documents have no vector, some vectors no document, one is zero, one has another length
+    vectors = {i: rng.integers(-9, 9, 4).astype(float) for i in range(0, 330, 3)} | {3: np.zeros(4), 6: np.ones(3)}
+    own = {q: vectors[q] for q in vectors if q % 25 == 0}
+    scores, shared = plain_bm25(docs, asked, 5)
+    near = {(q, i): round(float(a @ b / np.sqrt((a * a).sum() * (b * b).sum())), 5) for q, a in own.items() for i, b in vectors.items() if len(a) == len(b) and a.any() and b.any()}
+    whole = {}
+    for part, weight in ((scores, 0.3), (shared, 0.4), (near, 0.3)):
+        for (q, i), v in part.items():
+            whole[q, i] = whole.get((q, i), 0) + weight * v / max(x for (p, _), x in part.items() if p == q)
+    table_of = lambda x, c: spark.createDataFrame([(k, v.tolist()) for k, v in x.items()], f"{c} long, v array<double>")
+    got = T.hybrid(queries, postings, lengths, table_of(vectors, "id"), table_of(own, "query_id"), "id", "v", {"bm25": 0.3, "keyword": 0.4, "vector": 0.3}, 5)
+    matches(sorted(map(tuple, got.select("query_id", "id", "score", "rank").collect())), plain_best({k: round(v, 6) for k, v in whole.items()}, 5))
