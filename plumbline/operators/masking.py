@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -207,12 +207,20 @@ def pii_spread(column_edges: DataFrame, sensitive: DataFrame, depth: int = 5) ->
     return hops.groupBy(F.col("root").alias("src_column"), "category").agg(F.count_distinct("node").alias("reached"), F.count_if(~F.col("masked")).alias("unmasked_edges"))
 
 
+def once(x: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: a lambda's variable, for an expression within lambdas is worked out anew for each of their items."""
+    return F.element_at(F.transform(F.array(x), use), 1)
+
+
 def entropy(x: Column) -> Column:
     """Shannon entropy of a text's characters, in bits."""
-    chars = F.filter(F.split(x, ""), lambda c: c != "")
-    n = F.size(chars).cast("double")
-    parts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda y: y == c)) / n)
-    return F.when(n > 0, -F.aggregate(F.transform(parts, lambda p: p * F.log2(p)), F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
+
+    def bits(chars: Column) -> Column:
+        n = F.size(chars).cast("double")
+        parts = F.transform(F.array_distinct(chars), lambda c: F.size(F.filter(chars, lambda y: y == c)) / n)
+        return F.when(n > 0, -F.aggregate(F.transform(parts, lambda p: p * F.log2(p)), F.lit(0.0), lambda a, b: a + b)).otherwise(F.lit(0.0))
+
+    return once(F.filter(F.split(x, ""), lambda c: c != ""), bits)
 
 
 def _placeholder(x: Column) -> Column:
@@ -240,11 +248,11 @@ def secret_lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
         ok = F.col("x").rlike(p) & (~_placeholder(value) if group else F.lit(True))
         cells.append(F.when(ok, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), preview(value).alias("masked"))))
     found = F.array_compact(F.array(*cells))
-    high = F.exists(found, lambda f: f["severity"] == "high")
-    kept = F.filter(found, lambda f: ~(high & f["rule"].isin("apikey_assign", "password_assign")))
+    is_high = lambda x: F.exists(x, lambda f: f["severity"] == "high")
+    kept = once(found, lambda x: once(is_high(x), lambda high: F.filter(x, lambda f: ~(high & f["rule"].isin("apikey_assign", "password_assign")))))
     v = F.regexp_extract("x", ENTROPY_PATTERN, 1)
     classes = v.rlike("[a-z]").cast("int") + v.rlike("[A-Z]").cast("int") + v.rlike("[0-9]").cast("int")
     random = F.col("x").rlike(ENTROPY_PATTERN) & ~_placeholder(v) & (classes >= 2) & (entropy(v) >= ENTROPY_LEAST)
     rest = F.when(random, F.array(F.struct(F.lit("high_entropy").alias("rule"), F.lit("low").alias("severity"), preview(v).alias("masked"))))
-    all_found = F.when(F.size(kept) > 0, kept).otherwise(rest)
+    all_found = once(kept, lambda x: F.when(F.size(x) > 0, x).otherwise(rest))
     return lines.select(key, (F.col("line") + 1).alias("line"), F.explode(all_found).alias("f")).select(key, "line", "f.rule", "f.severity", "f.masked")

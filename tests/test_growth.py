@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import findings as N
 from plumbline.operators import graphs as G
 from plumbline.operators import joins as J
+from plumbline.operators import masking as K
 from plumbline.operators import texts as T
 from tests.test_graphs import plain_components, table
 
@@ -153,3 +154,15 @@ def test_words_of_a_text_are_split_once_and_not_for_each_shingle(spark):
     assert [len(r.s) for r in out.collect()] == [2, 1, 0]
     want = df.limit(1).select(F.sort_array(F.array(F.xxhash64(F.lit("a b c d e")), F.xxhash64(F.lit("b c d e f"))))).first()[0]
     assert out.first().s == want
+
+
+def test_characters_of_a_value_are_split_once_and_not_for_each_character(spark):
+    df = spark.createDataFrame([("aabb",), ("",), ("abcd",), (None,)], "v string")
+    out = df.select(K.entropy(F.col("v")).alias("e"))
+    assert splits(out) == 1
+    assert [r.e for r in out.collect()] == [1.0, 0.0, 2.0, 0.0]
+
+
+def test_rules_on_a_line_are_tried_once(spark):
+    out = K.secret_lines(spark.createDataFrame([(1, "password = 'hunter2hunter2'")], "id long, text string"), "id")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("aws_access_key") == 1
