@@ -695,10 +695,13 @@ def usage(edges: DataFrame, nodes: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def fan_in_share(edges: DataFrame) -> DataFrame:
-    """``src, targets, share``: sources that three or more targets read, and their share of all edges."""
-    total = edges.agg(F.count(F.lit(1)).alias("n"))
-    g = edges.groupBy("src").agg(F.count_distinct("dst").alias("targets")).filter("targets >= 3")
-    return g.join(F.broadcast(total)).select("src", "targets", share(F.col("targets"), F.col("n")).alias("share"))
+    """``src, targets, share``: sources that three or more targets read, and their share of all edges.
+
+    Edges are read once: the number of all of them is summed up from the sources' own.
+    """
+    own = settle(edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("k")).groupBy("src").agg(F.count("dst").alias("targets"), F.sum("k").alias("k")))
+    total = own.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
+    return own.filter("targets >= 3").join(F.broadcast(total)).select("src", "targets", share(F.col("targets"), F.col("n")).alias("share"))
 
 
 def peeled(edges: DataFrame) -> DataFrame:

@@ -166,3 +166,17 @@ def test_characters_of_a_value_are_split_once_and_not_for_each_character(spark):
 def test_rules_on_a_line_are_tried_once(spark):
     out = K.secret_lines(spark.createDataFrame([(1, "password = 'hunter2hunter2'")], "id long, text string"), "id")
     assert out._jdf.queryExecution().optimizedPlan().toString().count("aws_access_key") == 1
+
+
+def test_shares_read_the_edges_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = [("a", x) for x in "bcdd"] + [("e", "b"), ("e", None), ("e", "c"), (None, "x"), (None, "y"), (None, "z")]
+    e = spark.createDataFrame(rows, "src string, dst string").mapInArrow(count, "src string, dst string")
+    assert sorted(map(tuple, G.fan_in_share(e).collect()), key=str) == [("a", 3, 0.3), (None, 3, 0.3)]
+    assert read.value == len(rows)
