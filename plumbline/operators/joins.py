@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.durable import settle
 from plumbline.functions.values import share
 
 # Name endings that make a column joinable, and names that never are.
@@ -87,18 +88,32 @@ def suggest_joins(columns: DataFrame) -> DataFrame:
 
 
 def with_overlap(suggestions: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """Suggestions with each side's distinct values and how many both have: one job over the distinct values of key columns."""
+    """Suggestions with each side's distinct values and how many both have: one pass over the values of key columns.
+
+    Values are grouped, not columns, so that no task holds a column: of each value bits tell the
+    columns that have it, 63 to a long, and what is compared is one row for each set of columns.
+    """
     keys = [(n, c) for n, t in tables.items() for c in t.columns if c.lower().endswith(KEY_SUFFIXES) or c.lower() == "id"]
+    words = [f"w{i}" for i in range(-(-len(keys) // 63))]
+    place = {k: i for i, k in enumerate(keys)}
     values = None
-    for n, c in keys:
-        one = tables[n].select(F.lit(n.lower()).alias("t"), F.lit(c.lower()).alias("c"), F.col(c).cast("string").alias("v")).filter("v is not null").distinct()
-        values = one if values is None else values.unionByName(one)
-    ndv = values.groupBy("t", "c").agg(F.count(F.lit(1)).alias("ndv"))
+    for n, t in tables.items():
+        own = [(c, place[n, c]) for c in t.columns if (n, c) in place]
+        if own:
+            cells = [F.struct(F.col(f"`{c}`").cast("string").alias("v"), *[F.lit(1 << i % 63 if i // 63 == k else 0).cast("long").alias(w) for k, w in enumerate(words)]) for c, i in own]
+            one = t.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+            values = one if values is None else values.unionByName(one)
+    if values is None:
+        return suggestions.withColumns({x: F.lit(0).cast("long") for x in ("ndv_a", "ndv_b", "shared")}).limit(0)
+    sets = settle(values.filter("v is not null").groupBy("v").agg(*[F.bit_or(w).alias(w) for w in words]).groupBy(*words).agg(F.count(F.lit(1)).alias("n")))
+    bits = [F.when(F.getbit(f"w{i // 63}", F.lit(i % 63)) == 1, F.struct(F.lit(n.lower()).alias("t"), F.lit(c.lower()).alias("c"))) for i, (n, c) in enumerate(keys)]
+    held = sets.select(F.array_compact(F.array(*bits)).alias("columns"), "n")
+    ndv = held.select(F.explode("columns").alias("x"), "n").groupBy("x.t", "x.c").agg(F.sum("n").alias("ndv"))
     out = suggestions
     for s in "ab":
         out = out.join(ndv.toDF("__t", "__c", f"ndv_{s}"), (F.col(f"table_{s}") == F.col("__t")) & (F.col(f"column_{s}") == F.col("__c"))).drop("__t", "__c")
-    a = suggestions.join(values.toDF("table_a", "column_a", "v"), ["table_a", "column_a"])
-    both = a.join(values.toDF("table_b", "column_b", "v"), ["table_b", "column_b", "v"]).groupBy("table_a", "column_a", "table_b", "column_b").agg(F.count(F.lit(1)).alias("shared"))
+    pairs = held.select("columns", "n", F.explode("columns").alias("a")).select("n", "a", F.explode("columns").alias("b")).groupBy("a", "b").agg(F.sum("n").alias("shared"))
+    both = pairs.select(F.col("a.t").alias("table_a"), F.col("a.c").alias("column_a"), F.col("b.t").alias("table_b"), F.col("b.c").alias("column_b"), "shared")
     return out.join(both, ["table_a", "column_a", "table_b", "column_b"], "left").fillna({"shared": 0})
 
 
