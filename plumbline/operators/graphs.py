@@ -90,11 +90,15 @@ def column_impact(columns: DataFrame, tables: DataFrame, roots: DataFrame, depth
 
 
 def dead_columns(columns: DataFrame, tables: DataFrame, final: str = "^ads") -> DataFrame:
-    """``table_name, column_name``: columns that are made and that no column edge reads, in tables that something reads (unless final)."""
-    made = columns.select(F.col("dst_table").alias("table_name"), F.col("dst_column").alias("column_name")).distinct()
-    read = columns.select(F.col("src_table").alias("table_name"), F.col("src_column").alias("column_name")).distinct()
-    used = tables.select(F.col("src").alias("table_name")).unionByName(columns.select(F.col("src_table").alias("table_name"))).distinct()
-    return made.filter(~F.col("table_name").rlike(final)).join(read, ["table_name", "column_name"], "left_anti").join(used, "table_name", "left_semi")
+    """``table_name, column_name``: columns that are made and that no column edge reads, in tables that something reads (unless final).
+
+    Column edges are read once, with both ends in one shuffle.
+    """
+    ends = F.array(*[F.struct(F.col(f"{end}_table").alias("table_name"), F.col(f"{end}_column").alias("column_name"), F.lit(end == "src").alias("read")) for end in ("dst", "src")])
+    held = columns.select(F.explode(ends).alias("e")).select("e.*").groupBy("table_name", "column_name").agg(F.max(~F.col("read")).alias("made"), F.max("read").alias("read"))
+    dead = held.filter(F.col("made") & (~F.col("read") | F.col("column_name").isNull()) & ~F.col("table_name").rlike(final)).select("table_name", "column_name")
+    used = tables.select(F.col("src").alias("table_name")).distinct().unionByName(columns.select(F.col("src_table").alias("table_name")).distinct())
+    return dead.join(used, "table_name", "left_semi")
 
 
 def both_ways(edges: DataFrame, roots: DataFrame, depth: int | None = 10) -> DataFrame:
@@ -319,11 +323,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def degrees(nodes: DataFrame, edges: DataFrame, more: Sequence[str] = ()) -> DataFrame:
+    """``node, known, ins, outs, more...``: of every node (one row each) and every end of an edge, whether it is one of ``nodes``, and how many edges reach and leave it.
+
+    Edges are read once, and all is counted in one shuffle.
+    """
+    none = [F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in more]
+    ends = F.array(F.struct(F.col("dst").alias("node"), F.lit(1).alias("ins"), F.lit(0).alias("outs")), F.struct(F.col("src").alias("node"), F.lit(0).alias("ins"), F.lit(1).alias("outs")))
+    found = edges.select(F.explode(ends).alias("e")).filter("e.node is not null").select("e.node", F.lit(False).alias("known"), "e.ins", "e.outs", *none)
+    own = nodes.select("node", F.lit(True).alias("known"), F.lit(0).alias("ins"), F.lit(0).alias("outs"), *more)
+    return own.unionByName(found).groupBy("node").agg(F.max("known").alias("known"), F.sum("ins").alias("ins"), F.sum("outs").alias("outs"), *[F.max(c).alias(c) for c in more])
+
+
 def health(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``node, ins, outs, state``: isolated, source, leaf or inner."""
-    ins, outs = edges.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("ins")), edges.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("outs"))
-    x = nodes.join(ins, "node", "left").join(outs, "node", "left").fillna({"ins": 0, "outs": 0})
-    return x.withColumn("state", F.when((F.col("ins") == 0) & (F.col("outs") == 0), "isolated").when(F.col("outs") == 0, "leaf").when(F.col("ins") == 0, "source").otherwise("inner"))
+    """``node, ins, outs, state``: isolated, source, leaf or inner. Nodes are one row each."""
+    state = F.when((F.col("ins") == 0) & (F.col("outs") == 0), "isolated").when(F.col("outs") == 0, "leaf").when(F.col("ins") == 0, "source").otherwise("inner")
+    return degrees(nodes, edges).filter("known").select("node", "ins", "outs", state.alias("state"))
 
 
 def merge(graphs: Sequence[DataFrame]) -> DataFrame:
@@ -350,9 +365,9 @@ def change_impact(edges: DataFrame, changes: DataFrame) -> DataFrame:
 
 def hygiene(nodes: DataFrame, edges: DataFrame, final: str = "^ads") -> DataFrame:
     """``node, problem``: outputs that nothing reads (unless final), and nodes of edges that are not defined."""
-    orphan = health(nodes, edges).filter((F.col("state") == "leaf") & ~F.col("node").rlike(final)).select("node", F.lit("orphan_output").alias("problem"))
-    used = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    return orphan.unionByName(used.join(nodes, "node", "left_anti").select("node", F.lit("dangling").alias("problem")))
+    orphan = F.col("known") & (F.col("ins") > 0) & (F.col("outs") == 0) & ~F.col("node").rlike(final)
+    problem = F.when(~F.col("known"), "dangling").when(orphan, "orphan_output")
+    return degrees(nodes, edges).select("node", problem.alias("problem")).filter("problem is not null")
 
 
 def layers(edges: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -446,8 +461,9 @@ def overlapping_pipelines(edges: DataFrame, least: float = 0.6) -> DataFrame:
 
 
 def dictionary(edges: DataFrame, ranks: DataFrame) -> DataFrame:
-    """``node, layer, ins, outs`` of every node of a layer table."""
-    return health(ranks.select("node"), edges.select("src", "dst").distinct()).select("node", "ins", "outs").join(ranks, "node")
+    """``node, ins, outs, layer`` of every node of a layer table (``node, layer``, one row each)."""
+    more = [c for c in ranks.columns if c != "node"]
+    return degrees(ranks, edges.select("src", "dst").distinct(), more).filter("known").select("node", "ins", "outs", *more)
 
 
 def sla_impact(edges: DataFrame, root: str, slas: DataFrame) -> DataFrame:

@@ -78,9 +78,17 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nodes(spark: SparkSession, d: str) -> DataFrame:
-    e = edges(spark, d)
-    lone = table(spark, d, "lineitem").select(name("lone", "l_returnflag").alias("node"))
-    return e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).unionByName(lone).distinct()
+    """The ends of all edges and the lone flags, drawn from the keys themselves: kinds and numbers are told apart before they are named. A key that is null names none; all of them are one null node."""
+    li, o, c, n = (table(spark, d, t) for t in ("lineitem", "orders", "customer", "nation"))
+    keys = ((li, {"p": "l_partkey", "s": "l_suppkey", "o": "l_orderkey"}), (o, {"o": "o_orderkey", "c": "o_custkey"}), (c, {"c": "c_custkey", "n": "c_nationkey"}), (n, {"n": "n_nationkey", "r": "n_regionkey"}))
+    out = None
+    for t, kinds in keys:
+        cells = [F.struct(F.when(F.col(k).isNotNull(), kind).alias("kind"), F.col(k).cast("long").alias("key")) for kind, k in kinds.items()]
+        part = t.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+        out = part if out is None else out.unionByName(part)
+    flags = li.select("l_returnflag").distinct()
+    named = out.distinct().select(F.concat("kind", F.col("key").cast("string")).alias("node"))
+    return named.unionByName(flags.filter("l_returnflag is not null").select(name("lone", "l_returnflag").alias("node"))).unionByName(flags.filter("l_returnflag is null").select(F.lit(None).cast("string").alias("node")))
 
 
 #: Task graphs, one for each customer: an order runs after the one before it, some after those two and three before as well.
@@ -115,8 +123,8 @@ def column_edges(spark: SparkSession, d: str) -> DataFrame:
     """``src_table, src_column, dst_table, dst_column``."""
     names = ["src_table", "src_column", "dst_table", "dst_column"]
     measure = F.when(F.col("l_linenumber") % 3 == 0, "price").when(F.col("l_linenumber") % 3 == 1, "qty").otherwise("tax")
-    li = table(spark, d, "lineitem").withColumn("m", measure)
-    first = li.select(name("p", "l_partkey"), "m", name("s", "l_suppkey"), "m").toDF(*names)
-    second = li.select(name("s", "l_suppkey"), "m", name("o", "l_orderkey"), "m").toDF(*names)
-    third = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(name("o", "o_orderkey"), F.lit("price"), name("c", "o_custkey"), F.lit("spend")).toDF(*names)
-    return first.unionByName(second).unionByName(third).distinct()
+    li = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_orderkey", measure.alias("m"))
+    first = li.select("l_partkey", "l_suppkey", "m").distinct().select(name("p", "l_partkey"), "m", name("s", "l_suppkey"), "m").toDF(*names)
+    second = li.select("l_suppkey", "l_orderkey", "m").distinct().select(name("s", "l_suppkey"), "m", name("o", "l_orderkey"), "m").toDF(*names)
+    third = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select("o_orderkey", "o_custkey").distinct().select(name("o", "o_orderkey"), F.lit("price"), name("c", "o_custkey"), F.lit("spend")).toDF(*names)
+    return first.unionByName(second).unionByName(third)
