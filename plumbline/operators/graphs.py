@@ -24,6 +24,8 @@ from plumbline.functions.values import share
 HOPS, ROUNDS, FRONT = 3, 16, 200_000
 #: Edges of the connected parts that one task takes together; larger parts are searched hop by hop.
 PART_EDGES = 200_000
+#: Links that a task draws together at a time.
+CHUNK = 50_000
 
 
 def near(df: DataFrame, rows: int) -> DataFrame:
@@ -297,21 +299,74 @@ def cycle_samples(edges: DataFrame, most: int = 5, part: int = PART_EDGES) -> Da
     return out
 
 
+def _rank(x: object) -> tuple:
+    """A node as Spark orders it: nulls first, structs by their fields."""
+    return (False,) if x is None else (True, *map(_rank, x.values())) if isinstance(x, dict) else (True, x)
+
+
+def _stars(a: list, b: list) -> dict:
+    """Of links within one task, each node's rank to that of the smallest node that it is linked to."""
+    root: dict = {}
+
+    def find(x):
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = x = root.setdefault(up, up)
+        return x
+
+    for x, y in zip(a, b):
+        x, y = find(x), find(y)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return {x: find(x) for x in list(root)}
+
+
+def drawn_together(links: DataFrame, chunk: int | None = None) -> DataFrame:
+    """``a, b`` with the components of the links ``a, b``, fewer of them: each task draws together what it has, ``chunk`` links at a time, to pairs of a node and the smallest."""
+    chunk = chunk or CHUNK
+
+    def draw(table: pa.Table) -> pa.RecordBatch:
+        values = [table.column(c).to_pylist() for c in ("a", "b")]
+        plain = not any(isinstance(x, dict) or x is None for v in values for x in v[:1])
+        ranks = values if plain else [[_rank(x) for x in v] for v in values]
+        node = None if plain else dict(zip(ranks[0] + ranks[1], values[0] + values[1]))
+        found = [(x, y) for x, y in _stars(*ranks).items() if x != y]
+        columns = [[p[i] if plain else node[p[i]] for p in found] for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([pa.array(v, table.schema.field(i).type) for i, v in enumerate(columns)], names=["a", "b"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= chunk:
+                yield draw(pa.Table.from_batches(held))
+                held, n = [], 0
+        if held:
+            yield draw(pa.Table.from_batches(held))
+
+    x = links.select("a", "b")
+    return x.mapInArrow(run, x.schema)
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root`` for each node of ``edges(a, b)`` that is not its component's smallest; roots are those smallest nodes.
 
-    Alternating large-star and small-star rounds. Nodes are of any type that has an order; a struct makes the root the smallest by its fields.
+    Tasks draw together the links that they have; up to ``CHUNK`` links that are left are drawn
+    together at once, more in alternating large-star and small-star rounds. Nodes are of any type
+    that has an order; a struct makes the root the smallest by its fields.
     Every round is two joins on a node with its smallest neighbour, pre-aggregated before
     each shuffle, and is written to the checkpoint folder. Hot nodes are split by the
     adaptive skew join, for nothing above the joins needs a key's rows together. No side is
     sent through the driver, for a hash table of each round would stay there.
     """
-    now = settle(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = settle(drawn_together(edges.filter("a <> b")))
     seen = None
     for _ in range(rounds):
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark[0] == 0 or mark == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        if mark[0] <= CHUNK:
+            return settle(drawn_together(now.coalesce(1), CHUNK + 1)).select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = mark
         both = now.union(now.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
@@ -594,11 +649,12 @@ def _implied_far(e: DataFrame) -> DataFrame:
 
 def parted(edges: DataFrame, part: int) -> tuple[DataFrame, DataFrame | None]:
     """``(src, dst, deal)``, ``(src, dst)``: distinct edges of connected parts of up to ``part`` edges, dealt out some parts to a task, and those of larger parts (None without)."""
-    e = settle(edges.select("src", "dst").dropna().distinct())
-    roots = components(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    own = settle(edges.select("src", "dst").dropna())
+    roots = components(own.select(F.col("src").alias("a"), F.col("dst").alias("b")))  # before rows are dealt anew, for links may lie together
+    e = own.distinct()
     named = settle(e.join(roots, F.col("src") == F.col("node"), "left").select("src", "dst", F.coalesce("root", "src").alias("part")))
     large = settle(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > part).select("part"))
-    deals = max(e.sparkSession.sparkContext.defaultParallelism, -(-2 * e.count() // part))
+    deals = max(e.sparkSession.sparkContext.defaultParallelism, -(-2 * named.count() // part))
     deal = F.pmod(F.xxhash64("part"), F.lit(deals)).alias("deal")
     if large.isEmpty():
         return named.select("src", "dst", deal), None

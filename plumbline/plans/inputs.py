@@ -104,10 +104,11 @@ def tasks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def deps(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each pair while keys of orders are, with a customer's rows in one partition; operators of graphs take repeats for one edge."""
     before = Window.partitionBy("o_custkey").orderBy("o_orderkey")
     k, o = F.col("o_orderkey"), table(spark, d, "orders").select("o_custkey", "o_orderkey")
     lags = o.select("o_orderkey", F.lag("o_orderkey", 1).over(before).alias("x"), F.when(k % 3 == 0, F.lag("o_orderkey", 2).over(before)).alias("y"), F.when(k % 5 == 0, F.lag("o_orderkey", 3).over(before)).alias("z"))
-    return lags.select(F.explode(F.array("x", "y", "z")).alias("p"), "o_orderkey").filter("p is not null").select(name("t", "p").alias("src"), name("t", "o_orderkey").alias("dst")).distinct()
+    return lags.select(F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("p"), "o_orderkey").filter("p is not null").select(name("t", "p").alias("src"), name("t", "o_orderkey").alias("dst"))
 
 
 #: Column lineage by the same keys: three measures go from parts to suppliers to orders, the price of even orders on to customers.

@@ -21,3 +21,33 @@ def test_overlap_is_counted_by_values_and_not_by_columns(spark):
         own = {row[names.index(c)] for row in rows} - {None}
         assert got.pop(c) == (len(own), len(other), len(own & other))
     assert not got
+
+
+def test_few_links_are_drawn_together_without_rounds(spark, monkeypatch):
+    """Chains, a star and struct nodes with nulls, at once and by rounds, against a search; few links take no shuffle."""
+    import random
+
+    from plumbline.operators import graphs as G
+
+    rng = random.Random(3)
+    chain = [(f"n{i:03}", f"n{i + 1:03}") for i in range(150) if i % 40] + [("n010", f"m{i}") for i in range(20)] + [("n005", "n005")]
+    rng.shuffle(chain)
+    least = {x: x for e in chain for x in e}
+    while any(least[a] != least[b] for a, b in chain):
+        for a, b in chain:
+            least[a] = least[b] = min(least[a], least[b])
+    want = {(x, r) for x, r in least.items() if x != r}
+    links = spark.createDataFrame(chain, "a string, b string").repartition(7)
+    for chunk in (50_000, 5):
+        monkeypatch.setattr(G, "CHUNK", chunk)
+        assert {tuple(r) for r in G.components(links).collect()} == want
+    monkeypatch.setattr(G, "CHUNK", 50_000)
+    steps = []
+    settle = G.settle
+    monkeypatch.setattr(G, "settle", lambda df: steps.append(plan(df)) or settle(df))
+    G.components(links).collect()
+    assert len(steps) == 2 and not any("Join" in x or "Aggregate" in x for x in steps)
+    pairs = [((True, None, 1), (False, 9, 4)), ((True, None, 1), (True, None, 0)), ((False, 7, None), (False, 7, 2))]
+    kind = "struct<u: boolean, i: long, k: long>"
+    got = {(tuple(r.node), tuple(r.root)) for r in G.components(spark.createDataFrame(pairs, f"a {kind}, b {kind}")).collect()}
+    assert got == {((True, None, 1), (False, 9, 4)), ((True, None, 0), (False, 9, 4)), ((False, 7, 2), (False, 7, None))}
