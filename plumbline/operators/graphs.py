@@ -174,8 +174,43 @@ def run_names(runs: DataFrame) -> DataFrame:
     return runs.filter("head is not null").groupBy("head").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hops", "node"))), lambda x: x["node"]), ">").alias("names"))
 
 
+def _short_way(e: DataFrame, start: str, goal: str) -> tuple[tuple[str, int] | None, bool]:
+    """``(path, hops)`` of up to ``ROUNDS`` hops, of equal lengths the first by names, and whether that is the answer: edges are only read from a frontier on."""
+    if start == goal:
+        return (start, 0), True
+    seen = front = settle(e.sparkSession.createDataFrame([(start, start)], "node string, path string"))
+    rows = 1
+    for hop in range(1, ROUNDS + 1):
+        step = near(front, rows).join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node"), F.concat_ws(">", "path", "dst").alias("path")).groupBy("node").agg(F.min("path").alias("path"))
+        front = settle(step.join(seen.select("node"), "node", "left_anti"))
+        if hit := front.filter(F.col("node") == goal).first():
+            return (hit.path, hop), True
+        if not (rows := front.count()):
+            return None, True
+        seen = seen.unionByName(front)
+    return None, False
+
+
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
-    """``path, hops`` from start to goal, else from goal to start; of equal lengths the first by names. No row if there is none."""
+    """``path, hops`` from start to goal, else from goal to start; of equal lengths the first by names. No row if there is none.
+
+    Short paths are searched for on the edges as they are; only if that leaves it open, runs without branches are drawn together.
+    """
+    e = edges.select("src", "dst").persist()
+    try:
+        for a, b in ((start, goal), (goal, start)):
+            path, settled = _short_way(e, a, b)
+            if path is not None:
+                return edges.sparkSession.createDataFrame([path], "path string, hops int")
+            if not settled:
+                return _long_path(edges, start, goal)
+    finally:
+        e.unpersist()
+    return edges.sparkSession.createDataFrame([], "path string, hops int")
+
+
+def _long_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """The same for paths of any length."""
     spark = edges.sparkSession
     e, runs, _ = chain_runs(edges, keep=(start, goal))
     steps = settle(contracted(e, runs, trails=True).select(F.col("src").alias("__from"), F.col("dst").alias("to"), F.col("hops").alias("more"), "trail"))
