@@ -788,9 +788,11 @@ def write_overlaps(runs: DataFrame) -> DataFrame:
 def rollback_levels(edges: DataFrame, nodes: DataFrame, root: str, durations: DataFrame) -> DataFrame:
     """``level, tasks, slowest``: what must run again after a rollback of a node, in topological levels, with the slowest task of each."""
     hit = trace(edges, edges.sparkSession.createDataFrame([(root,)], "root string"), None).select("node").unionByName(edges.sparkSession.createDataFrame([(root,)], "node string"))
-    inner = edges.join(hit.select(F.col("node").alias("src")), "src", "left_semi").join(hit.select(F.col("node").alias("dst")), "dst", "left_semi").select("src", "dst")
-    lv = levels(inner, hit)
-    return lv.join(durations, "node").groupBy("level").agg(F.count(F.lit(1)).alias("tasks"), F.max("duration").alias("slowest"))
+    hit = settle(hit)
+    n = hit.count()
+    inner = edges.join(near(hit.select(F.col("node").alias("src")), n), "src", "left_semi").join(near(hit.select(F.col("node").alias("dst")), n), "dst", "left_semi").select("src", "dst")
+    lv = settle(levels(inner, hit))
+    return durations.join(near(lv, n), "node").groupBy("level").agg(F.count(F.lit(1)).alias("tasks"), F.max("duration").alias("slowest"))
 
 
 def usage(edges: DataFrame, nodes: DataFrame, log: DataFrame) -> DataFrame:
