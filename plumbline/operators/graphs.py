@@ -79,11 +79,13 @@ def column_impact(columns: DataFrame, tables: DataFrame, roots: DataFrame, depth
     node = lambda t, c: F.concat(F.lit("column\x1f"), t, F.lit("\x1f"), c)
     whole = lambda t: F.concat(F.lit("table\x1f"), t, F.lit("\x1f"))
     c = columns.select(node(low("src_table"), low("src_column")).alias("src"), node(low("dst_table"), low("dst_column")).alias("dst"))
-    edges = settle(c.unionByName(tables.select(whole(low("src")).alias("src"), whole(low("dst")).alias("dst"))).distinct())
+    edges = c.unionByName(tables.select(whole(low("src")).alias("src"), whole(low("dst")).alias("dst")))  # a search takes repeats for one edge
     wanted = roots.select(low("table_name").alias("root_table"), low("column_name").alias("root_column")).distinct()
     named = wanted.withColumn("__node", node(F.col("root_table"), F.col("root_column")))
-    leaves = edges.select(F.col("src").alias("__node"), F.lit(True).alias("__out")).distinct()
-    reached = edges.select(F.col("dst").alias("__node"), F.lit(True).alias("__in")).distinct()
+    asked = named.select("__node")  # a request: what is known of others is not gathered
+    asked = near(asked, asked.count())
+    leaves = c.select(F.col("src").alias("__node"), F.lit(True).alias("__out")).join(asked, "__node", "left_semi").distinct()
+    reached = c.select(F.col("dst").alias("__node"), F.lit(True).alias("__in")).join(asked, "__node", "left_semi").distinct()
     known = named.join(leaves, "__node", "left").join(reached, "__node", "left").filter("__out or __in is null")
     starts = settle(known.select("root_table", "root_column", F.when(F.col("__out"), F.col("__node")).otherwise(whole(F.col("root_table"))).alias("root")))
     found = trace(edges, starts.select("root").distinct(), depth).join(starts, "root")
