@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -357,8 +358,8 @@ def _stars(a: list, b: list) -> dict:
     return {x: find(x) for x in list(root)}
 
 
-def drawn_together(links: DataFrame, chunk: int | None = None) -> DataFrame:
-    """``a, b`` with the components of the links ``a, b``, fewer of them: each task draws together what it has, ``chunk`` links at a time, to pairs of a node and the smallest."""
+def drawn_together(links: DataFrame, chunk: int | None = None, roots: bool = False) -> DataFrame:
+    """``a, b`` with the components of the links ``a, b``, fewer of them: each task draws together what it has, ``chunk`` links at a time, to pairs of a node and the smallest (with ``roots``, of the smallest and itself too)."""
     chunk = chunk or CHUNK
 
     def draw(table: pa.Table) -> pa.RecordBatch:
@@ -366,7 +367,7 @@ def drawn_together(links: DataFrame, chunk: int | None = None) -> DataFrame:
         plain = not any(isinstance(x, dict) or x is None for v in values for x in v[:1])
         ranks = values if plain else [[_rank(x) for x in v] for v in values]
         node = None if plain else dict(zip(ranks[0] + ranks[1], values[0] + values[1]))
-        found = [(x, y) for x, y in _stars(*ranks).items() if x != y]
+        found = [(x, y) for x, y in _stars(*ranks).items() if roots or x != y]
         columns = [[p[i] if plain else node[p[i]] for p in found] for i in (0, 1)]
         return pa.RecordBatch.from_arrays([pa.array(v, table.schema.field(i).type) for i, v in enumerate(columns)], names=["a", "b"])
 
@@ -415,6 +416,21 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def parts_of(links: DataFrame) -> DataFrame:
+    """``node, root`` as ``components`` gives them, for links that mostly lie beside the others of their part, as a window by part leaves them.
+
+    Tasks draw together what they have. Only roots that share a node are linked and go through rounds.
+    """
+    drawn = settle(drawn_together(links.filter("a <> b"), roots=True))
+    own = settle(drawn.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high")))
+    shared = settle(own.filter("low <> high").select("a", "low"))
+    if n := shared.count():
+        met = drawn.join(near(shared, n), "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+        top = components(met).withColumnsRenamed({"node": "low", "root": "top"})
+        own = own.join(near(top, top.count()), "low", "left").withColumn("low", F.coalesce("top", "low"))
+    return own.filter("a <> low").select(F.col("a").alias("node"), F.col("low").alias("root"))
+
+
 def degrees(nodes: DataFrame, edges: DataFrame, more: Sequence[str] = ()) -> DataFrame:
     """``node, known, ins, outs, more...``: of every node (one row each) and every end of an edge, whether it is one of ``nodes``, and how many edges reach and leave it.
 
@@ -599,8 +615,8 @@ def _acyclic(edges: DataFrame, durations: DataFrame | None = None) -> tuple[Data
     return e, runs
 
 
-def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``node, level``: the longest path to each node, for graphs without cycles (else an error)."""
+def _levels_far(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The same for parts of any size, by walks after runs are drawn together."""
     e, runs = _acyclic(edges)
     steps = contracted(e, runs).groupBy(F.col("src").alias("__from"), F.col("dst").alias("to")).agg(F.max("hops").alias("more"))
     start = nodes.select("node", F.lit(0).alias("v")) if runs is None else nodes.select("node", F.lit(0).alias("v")).join(runs.select("node"), "node", "left_anti")
@@ -611,8 +627,8 @@ def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node").join(found, "node").select("node", F.col("v").cast("int").alias("level"))
 
 
-def critical_path(edges: DataFrame, durations: DataFrame) -> DataFrame:
-    """``node, finish, path`` of the longest path by ``node, duration``; of equal lengths the first path by names. Durations are not negative."""
+def _critical_far(edges: DataFrame, durations: DataFrame) -> DataFrame:
+    """The same for parts of any size, by walks after runs are drawn together."""
     e, runs = _acyclic(edges, durations)
     own = durations.select(F.col("node").alias("to"), "duration")
     steps = contracted(e, runs, trails=True).withColumnsRenamed({"src": "__from", "dst": "to"}).join(own, "to").select("__from", "to", (F.col("length") + F.col("duration")).alias("more"), "trail")
@@ -627,6 +643,123 @@ def critical_path(edges: DataFrame, durations: DataFrame) -> DataFrame:
     return found.orderBy("v.f", "v.path").limit(1).select("node", (-F.col("v.f")).alias("finish"), F.col("v.path").alias("path"))
 
 
+def dealt_tasks(edges: DataFrame, nodes: DataFrame, part: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """``(node, dst, duration, deal)``, ``(src, dst)``, ``(node, duration)``: edges (``duration`` null) and nodes (``dst`` null) of connected parts of up to ``part`` rows, dealt out some parts to a task; edges and nodes of larger parts (None without)."""
+    e = settle(edges.select("src", "dst").dropna())
+    duration = F.col("duration").cast("double") if "duration" in nodes.columns else F.lit(None).cast("double")
+    rows = e.select(F.col("src").alias("node"), "dst", F.lit(None).cast("double").alias("duration")).unionByName(nodes.select("node", F.lit(None).cast(e.schema["dst"].dataType).alias("dst"), duration.alias("duration")))
+    n = e.count() + nodes.count()
+    if n <= part:
+        return rows.withColumn("deal", F.lit(0)), None, None
+    roots = parts_of(e.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    named = settle(rows.join(roots.hint("merge"), "node", "left").select("node", "dst", "duration", F.coalesce("root", "node").alias("part")))
+    deals = max(e.sparkSession.sparkContext.defaultParallelism, -(-2 * n // part))
+    dealt = named.select("node", "dst", "duration", F.pmod(F.xxhash64("part"), F.lit(deals)).alias("deal"), "part")
+    large = settle(named.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > part) & F.col("part").isNotNull()).select("part"))
+    if not (m := large.count()):
+        return dealt.drop("part"), None, None
+    far = settle(named.join(near(large, m), "part", "left_semi"))
+    return dealt.join(near(large, m), "part", "left_anti").drop("part"), far.filter("dst is not null").select(F.col("node").alias("src"), "dst"), far.filter("dst is null").select("node", "duration")
+
+
+def _laid_out(table: pa.Table) -> tuple[pa.Array, list[int], list[float | None], list[float | None], list[list[int]], list[int]] | None:
+    """Of a task's rows ``names, own, given, duration, after, order``: nodes by number, those of its rows with what they give, the longest of each number (None if not known), ways on, and a topological order; None if there is a cycle."""
+    e, n = (table.filter(keep(table["dst"])) for keep in (pc.is_valid, pc.is_null))
+    ends = [x.combine_chunks() for x in (e["node"], e["dst"], n["node"])]
+    found = pa.concat_arrays(ends).dictionary_encode(null_encoding="encode")
+    codes, k, size = found.indices.to_pylist(), e.num_rows, len(found.dictionary)
+    own, given = codes[2 * k :], n["duration"].to_pylist()
+    duration: list[float | None] = [None] * size
+    for x, d in zip(own, given):
+        if d is not None and (duration[x] is None or d > duration[x]):
+            duration[x] = d
+    after: list[list[int]] = [[] for _ in range(size)]
+    ins = [0] * size
+    for x, y in zip(codes[:k], codes[k : 2 * k]):
+        after[x].append(y)
+        ins[y] += 1
+    order = [x for x, i in enumerate(ins) if not i]
+    for x in order:  # grows while it is read
+        for y in after[x]:
+            ins[y] -= 1
+            if not ins[y]:
+                order.append(y)
+    return (found.dictionary, own, given, duration, after, order) if len(order) == size else None
+
+
+def _searched(dealt: DataFrame, search, fields: str) -> DataFrame:
+    """The columns that ``search`` gives of each task's rows; a cycle in any of them is an error."""
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(table: pa.Table) -> pa.Table:
+        graph = _laid_out(table)
+        columns = [[None]] * len(names) if graph is None else search(*graph)
+        return pa.table([*columns, [graph is None] * len(columns[0])], schema=shape)
+
+    kinds = {"string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    shape = pa.schema([*((f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")), ("cycle", pa.bool_())])
+    found = settle(dealt.groupBy("deal").applyInArrow(run, f"{fields}, cycle boolean"))
+    if not found.filter("cycle").isEmpty():
+        raise ValueError("the graph has a cycle")
+    return found.drop("cycle")
+
+
+def _levels(names, own, given, duration, after, order) -> list:
+    level = [-1] * len(names)
+    for x in own:
+        level[x] = 0
+    for x in order:
+        if level[x] >= 0:
+            for y in after[x]:
+                level[y] = max(level[y], level[x] + 1)
+    own = sorted(set(own))
+    return [names.take(pa.array(own, pa.int64())), [level[x] for x in own]]
+
+
+def levels(edges: DataFrame, nodes: DataFrame, part: int = PART_EDGES) -> DataFrame:
+    """``node, level``: the longest path to each node, for graphs without cycles (else an error).
+
+    Connected parts are dealt out, some to a task, and taken there in topological order; those of more than ``part`` rows by walks.
+    """
+    dealt, e, own = dealt_tasks(edges, nodes.select("node"), part)
+    found = _searched(dealt, _levels, "node string, level int")
+    return found if e is None else found.unionByName(_levels_far(e, own))
+
+
+def _critical(names, own, given, duration, after, order) -> list:
+    """The best path of a task's rows: from the ends of the longest back over edges that keep its length, then forward by the first name."""
+    finish = list(duration)
+    for x in order:
+        if duration[x] is not None:
+            for y in after[x]:
+                if duration[y] is not None:
+                    finish[y] = max(finish[y], finish[x] + duration[y])
+    most = max((f for f in finish if f is not None), default=None)
+    if most is None:
+        return [[], [], []]
+    names = names.to_pylist()
+    leads = [f == most for f in finish]
+    keeps = lambda x: [y for y in after[x] if leads[y] and finish[x] + duration[y] == finish[y]]
+    for x in reversed(order):
+        leads[x] = leads[x] or duration[x] is not None and bool(keeps(x))
+    path, ways = [], [x for x in order if leads[x] and finish[x] == duration[x]]
+    while not path or finish[path[-1]] != most:
+        path.append(min(ways, key=lambda x: names[x] if finish[x] == most else names[x] + ">"))
+        ways = keeps(path[-1])
+    return [[names[path[-1]]], [most], [">".join(names[x] for x in path)]]
+
+
+def critical_path(edges: DataFrame, durations: DataFrame, part: int = PART_EDGES) -> DataFrame:
+    """``node, finish, path`` of the longest path by ``node, duration``; of equal lengths the first path by names. Durations are not negative.
+
+    Connected parts are dealt out, some to a task, which gives its best path; those of more than ``part`` rows go by walks.
+    """
+    dealt, e, own = dealt_tasks(edges, durations.select("node", "duration").dropna(), part)
+    found = _searched(dealt, _critical, "node string, finish double, path string")
+    found = found if e is None else found.unionByName(_critical_far(e, own))
+    return found.orderBy(F.desc("finish"), "path").limit(1)
+
+
 def _implied(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
     """Places of the edges that a longer path implies, within one task."""
     names, codes = np.unique(np.concatenate([src, dst]), return_inverse=True)
@@ -666,7 +799,7 @@ def _implied(src: np.ndarray, dst: np.ndarray) -> np.ndarray:
 def _implied_far(e: DataFrame) -> DataFrame:
     """The same for parts of any size: a search from each edge's other targets that stops at the edge's level, or when it is found."""
     nodes = settle(e.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    level = settle(levels(e, nodes))
+    level = settle(_levels_far(e, nodes))
     placed = settle(e.join(level.select(F.col("node").alias("src"), F.col("level").alias("ls")), "src").join(level.select(F.col("node").alias("dst"), F.col("level").alias("ld")), "dst"))
     steps = settle(placed.select(F.col("src").alias("__from"), F.col("dst").alias("next"), F.col("ld").alias("at")))
     open_ = placed.filter("ld - ls > 1").select("src", "dst", "ld")
@@ -738,8 +871,8 @@ def rerun_plan(edges: DataFrame, states: DataFrame) -> DataFrame:
     return x.select("node", reason.alias("reason"), F.coalesce("origins", F.lit(0)).alias("origins")).filter("reason is not null")
 
 
-def schedule(edges: DataFrame, durations: DataFrame, goal: str, deadline: float) -> DataFrame:
-    """``node, start, finish, slack``: earliest times, and for what runs before the goal how late it may finish."""
+def _schedule_far(edges: DataFrame, durations: DataFrame, goal: str, deadline: float) -> DataFrame:
+    """The same for parts of any size, by walks after runs are drawn together."""
     e, runs = _acyclic(edges, durations)
     base, n = contracted(e, runs), durations.count()
     own = durations.select("node", "duration")
@@ -756,6 +889,36 @@ def schedule(edges: DataFrame, durations: DataFrame, goal: str, deadline: float)
     return now.join(late, "node", "left").select("node", "start", (F.col("start") + F.col("duration")).alias("finish"), (F.col("latest") - F.col("start") - F.col("duration")).alias("slack"))
 
 
+def schedule(edges: DataFrame, durations: DataFrame, goal: str, deadline: float, part: int = PART_EDGES) -> DataFrame:
+    """``node, start, finish, slack``: earliest times, and for what runs before the goal how late it may finish.
+
+    Connected parts are dealt out, some to a task, and taken there in topological order; those of more than ``part`` rows by walks.
+    """
+
+    def search(names, own, given, duration, after, order):
+        start, latest = [None] * len(names), [None] * len(names)
+        for x in own:
+            start[x] = 0.0
+        for x in order:
+            if duration[x] is not None:
+                for y in after[x]:
+                    start[y] = max(start[y] or 0.0, start[x] + duration[x])
+        if (at := names.index(goal).as_py()) >= 0:
+            latest[at] = float(deadline)
+        for x in reversed(order):
+            for y in after[x]:
+                if latest[y] is not None and duration[y] is not None:
+                    at = latest[y] - duration[y]
+                    latest[x] = at if latest[x] is None else min(latest[x], at)
+        finish = [None if d is None else start[x] + d for x, d in zip(own, given)]
+        slack = [None if d is None or latest[x] is None else latest[x] - start[x] - d for x, d in zip(own, given)]
+        return [names.take(pa.array(own, pa.int64())), [start[x] for x in own], finish, slack]
+
+    dealt, e, own = dealt_tasks(edges, durations.filter("node is not null"), part)
+    found = _searched(dealt, search, "node string, start double, finish double, slack double")
+    return found if e is None else found.unionByName(_schedule_far(e, own, goal, deadline))
+
+
 def follow(pointers: DataFrame, start: str) -> DataFrame:
     """``step, node``: from the start along ``node, to`` (one row a node) to its end, by doubling: rounds by the logarithm of its length."""
     jump = settle(pointers.select("node", "to").filter("to is not null"))

@@ -51,3 +51,55 @@ def test_few_links_are_drawn_together_without_rounds(spark, monkeypatch):
     kind = "struct<u: boolean, i: long, k: long>"
     got = {(tuple(r.node), tuple(r.root)) for r in G.components(spark.createDataFrame(pairs, f"a {kind}, b {kind}")).collect()}
     assert got == {((True, None, 1), (False, 9, 4)), ((True, None, 0), (False, 9, 4)), ((False, 7, 2), (False, 7, None))}
+
+
+def plain_tasks(edges, took, goal, deadline):
+    """Levels, the best path, and starts, finishes and slacks, from all walks."""
+    after = {}
+    for a, b in set(edges):
+        after.setdefault(a, []).append(b)
+    level, start, best, latest = {}, {}, (1.0, ""), {}
+
+    def walk(path, length):
+        nonlocal best
+        x = path[-1]
+        level[x], start[x] = max(level.get(x, 0), len(path) - 1), max(start.get(x, 0.0), length)
+        best = min(best, (-(length + took[x]), ">".join(path)))
+        if x == goal:
+            for i, y in enumerate(path):
+                at = deadline - sum(took[z] for z in path[i + 1 :])
+                latest[y] = min(latest.get(y, at), at)
+        for y in after.get(x, ()):
+            walk([*path, y], length + took[x])
+
+    for x in took:
+        walk([x], 0.0)
+    slack = {x: (start[x], start[x] + t, latest[x] - start[x] - t if x in latest else None) for x, t in took.items()}
+    return level, best, slack
+
+
+def test_tasks_of_parts_take_no_round_for_each_layer(spark, monkeypatch):
+    """Levels, critical paths and slacks of small and large parts, with ties, repeats and tasks that take no time, against all walks."""
+    import random
+
+    from plumbline.operators import graphs as G
+
+    rng = random.Random(4)
+    edges = [(f"t{p}{min(x, y)}", f"t{p}{max(x, y)}") for p in range(1, 9) for x, y in ((rng.randrange(12), rng.randrange(12)) for _ in range(14)) if x != y]
+    edges += [("t1", "t10"), ("t10", "t100"), ("t1", "t100"), *edges[:5]]
+    took = {x: float(rng.randrange(3)) for x in sorted({x for e in edges for x in e} | {"alone"})}
+    goal = edges[3][1]
+    level, best, slack = plain_tasks(edges, took, goal, 20.0)
+    e, n = spark.createDataFrame(edges, "src string, dst string").repartition(3), spark.createDataFrame(list(took.items()), "node string, duration double")
+    for part, chunk in ((G.PART_EDGES, G.CHUNK), (45, 4), (18, 50)):
+        monkeypatch.setattr(G, "CHUNK", chunk)
+        assert {r.node: r.level for r in G.levels(e, n, part).collect()} == level
+        r = G.critical_path(e, n, part).first()
+        assert (-r.finish, r.path) == best and r.path.split(">")[-1] == r.node
+        assert {r.node: (r.start, r.finish, r.slack) for r in G.schedule(e, n, goal, 20.0, part).collect()} == slack
+    written = []
+    monkeypatch.setattr(G, "CHUNK", 50)
+    monkeypatch.setattr(G, "settle", lambda df, own=G.settle: written.append(1) or own(df))
+    deep = [(f"g{g}n{i:02}", f"g{g}n{i + k:02}") for g in range(5) for i in range(58) for k in (1, 2)]
+    assert G.levels(spark.createDataFrame(deep, "src string, dst string"), spark.createDataFrame(sorted({(x,) for p in deep for x in p}), "node string"), 200).agg({"level": "max"}).first()[0] == 58
+    assert len(written) <= 14
