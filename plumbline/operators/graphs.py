@@ -106,6 +106,28 @@ def dead_columns(columns: DataFrame, tables: DataFrame, final: str = "^ads") ->
     return dead.join(used, "table_name", "left_semi")
 
 
+def ahead(edges: DataFrame, starts: DataFrame, hops: int = ROUNDS) -> DataFrame:
+    """``src, dst``: the edges that lead on from ``starts(node)``, read hop by hop from where the last hop ended; all edges where that is deeper than ``hops``.
+
+    A front is held against the edges as they are, before anything is shuffled: its names while
+    it is small, then their hashes, and the names after that.
+    """
+    seen = front = settle(starts.select("node").dropna().distinct())
+    found, rows = None, front.count()
+    for _ in range(hops):
+        if not rows:
+            return edges.select("src", "dst").limit(0) if found is None else found
+        own = front.withColumnRenamed("node", "src")
+        step = edges.select("src", "dst")
+        if FRONT < rows <= 10 * FRONT:
+            step = step.withColumn("__h", F.xxhash64("src")).join(F.broadcast(own.select(F.xxhash64("src").alias("__h"))), "__h", "left_semi").select("src", "dst")
+        step = settle(step.join(near(own, rows), "src", "left_semi").distinct())
+        front = settle(step.select(F.col("dst").alias("node")).dropna().distinct().join(seen, "node", "left_anti"))
+        rows = front.count()
+        seen, found = seen.unionByName(front), step if found is None else found.unionByName(step)
+    return edges if rows else found
+
+
 def both_ways(edges: DataFrame, roots: DataFrame, depth: int | None = 10) -> DataFrame:
     return trace(edges, roots, depth, "both")
 

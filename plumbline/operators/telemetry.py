@@ -151,10 +151,11 @@ def missing_slots(updates: DataFrame, by: str, day: Column, start: str, end: str
 def cascade(missing: DataFrame, edges: DataFrame) -> DataFrame:
     """``node, day, hop``: what must run again downstream of missing days (``node, day``), with the largest number of hops: batches in order.
 
-    At any depth; a graph with a cycle is an error.
+    At any depth; a cycle downstream is an error. Only edges that lead on from what is asked are drawn together and walked.
     """
-    asked = missing.select("node", "day").distinct()
-    e, runs, rings = G.chain_runs(edges, keep=asked.select("node").distinct())
+    asked = settle(missing.select("node", "day").distinct())
+    nodes = asked.select("node").distinct()
+    e, runs, rings = G.chain_runs(G.ahead(edges, nodes), keep=nodes)
     if rings:
         raise ValueError("the graph has a cycle")
     steps = G.contracted(e, runs).groupBy(F.col("src").alias("__from"), F.col("dst").alias("to")).agg(F.max("hops").alias("more"))

@@ -103,3 +103,23 @@ def test_tasks_of_parts_take_no_round_for_each_layer(spark, monkeypatch):
     deep = [(f"g{g}n{i:02}", f"g{g}n{i + k:02}") for g in range(5) for i in range(58) for k in (1, 2)]
     assert G.levels(spark.createDataFrame(deep, "src string, dst string"), spark.createDataFrame(sorted({(x,) for p in deep for x in p}), "node string"), 200).agg({"level": "max"}).first()[0] == 58
     assert len(written) <= 14
+
+
+def test_a_cascade_reads_only_what_is_downstream(spark, monkeypatch):
+    """A ring elsewhere is no error, and edges that nothing asked leads to are in no step."""
+    import pytest
+
+    from plumbline.operators import graphs as G
+    from plumbline.operators import telemetry as T
+
+    rows = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "y"), ("y", "x"), ("y", "a"), (None, "a"), ("d", None), ("a", "b")]
+    e = spark.createDataFrame(rows, "src string, dst string").repartition(3)
+    missing = spark.createDataFrame([("a", 1), ("c", 2), ("gone", 2), ("a", 1)], "node string, day int")
+    want = {("a", 1): 0, ("b", 1): 1, ("c", 1): 2, ("d", 1): 3, ("c", 2): 0, ("d", 2): 1, ("gone", 2): 0}
+    for front in (G.FRONT, 1, 0):
+        monkeypatch.setattr(G, "FRONT", front)
+        assert sorted((r.src, r.dst or "") for r in G.ahead(e, missing).collect()) == [("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "")]
+    assert {(r.node, r.day): r.hop for r in T.cascade(missing, e.filter("dst is not null")).collect()} == want
+    assert G.ahead(e, missing, 1).count() == len(rows) and G.ahead(e, missing.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="cycle"):
+        T.cascade(spark.createDataFrame([("x", 1)], "node string, day int"), e).count()
