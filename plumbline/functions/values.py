@@ -76,14 +76,14 @@ def share(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
 
 
-def nearest_rank(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], rule: str = "round") -> DataFrame:
-    """``by`` and one column for each quantile: the value of rank round-half-even(q*(n-1)), or floor(q*n) with rule 'floor'.
+def nearest_rank(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float], rule: str = "round", weight: str | None = None) -> DataFrame:
+    """``by`` and one column for each quantile: the value of rank round-half-even(q*(n-1)), or floor(q*n) with rule 'floor'; a row stands for ``weight`` rows, if that is named.
 
     Values are counted first, so that a hot value is one row. The counts are dealt to ranges of
     (group, value); each range is summed up by itself and moved by what stands before it, so that
     no task sorts a group's values alone.
     """
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("__c"))
     ranged = settle(counts.repartitionByRange(*by, "__v").withColumn("__part", F.spark_partition_id()))
     parts = ranged.groupBy(*by, "__part").agg(F.sum("__c").alias("__own"))
     group = Window.partitionBy(*(list(by) or [F.lit(0)]))  # of parts: a row for each range of a group

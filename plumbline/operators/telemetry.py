@@ -308,17 +308,18 @@ SKEWED, SMALL_TASKS, SMALL_BYTES = 5.0, 200, 8 * 2**20
 
 
 def stage_metrics(tasks: DataFrame, run: str, stage: str) -> DataFrame:
-    """``run, stage, tasks, max_s, median_s, spill_bytes, input_bytes`` of a task table (``duration_s, spill_bytes, input_bytes``); medians by ranges, so that a stage of many tasks is no hot key."""
+    """``run, stage, tasks, max_s, median_s, spill_bytes, input_bytes`` of a task table (``duration_s, spill_bytes, input_bytes``); medians by ranges, so that a stage of many tasks is no hot key. Tasks are read once, to one row for each time of a stage."""
     t = tasks.select(F.col(run).alias("run"), F.col(stage).alias("stage"), "duration_s", "spill_bytes", "input_bytes")
-    low, high = nearest_rank_pair(t, ["run", "stage"], "duration_s")
-    sums = t.groupBy("run", "stage").agg(F.count(F.lit(1)).alias("tasks"), F.max("duration_s").alias("max_s"), F.sum("spill_bytes").alias("spill_bytes"), F.sum("input_bytes").alias("input_bytes"))
+    held = settle(t.groupBy("run", "stage", "duration_s").agg(F.count(F.lit(1)).alias("tasks"), F.sum("spill_bytes").alias("spill_bytes"), F.sum("input_bytes").alias("input_bytes")))
+    low, high = nearest_rank_pair(held, ["run", "stage"], "duration_s", "tasks")
+    sums = held.groupBy("run", "stage").agg(F.sum("tasks").alias("tasks"), F.max("duration_s").alias("max_s"), F.sum("spill_bytes").alias("spill_bytes"), F.sum("input_bytes").alias("input_bytes"))
     return sums.join(low, ["run", "stage"]).join(high, ["run", "stage"]).select("run", "stage", "tasks", "max_s", ((F.col("__low") + F.col("__high")) / 2).alias("median_s"), "spill_bytes", "input_bytes")
 
 
-def nearest_rank_pair(df: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, DataFrame]:
-    """``by, __low`` and ``by, __high``: the two middle values of each group, the same one of an odd number."""
-    high = nearest_rank(df, by, value, {"__high": 0.5}, rule="floor")
-    negated = nearest_rank(df.withColumn("__v0", -F.col(value)), by, "__v0", {"__low": 0.5}, rule="floor")
+def nearest_rank_pair(df: DataFrame, by: Sequence[str], value: str, weight: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """``by, __low`` and ``by, __high``: the two middle values of each group, the same one of an odd number; a row counts as ``weight`` rows."""
+    high = nearest_rank(df, by, value, {"__high": 0.5}, rule="floor", weight=weight)
+    negated = nearest_rank(df.withColumn("__v0", -F.col(value)), by, "__v0", {"__low": 0.5}, rule="floor", weight=weight)
     return negated.withColumn("__low", -F.col("__low")), high
 
 

@@ -123,3 +123,18 @@ def test_a_cascade_reads_only_what_is_downstream(spark, monkeypatch):
     assert G.ahead(e, missing, 1).count() == len(rows) and G.ahead(e, missing.limit(0)).count() == 0
     with pytest.raises(ValueError, match="cycle"):
         T.cascade(spark.createDataFrame([("x", 1)], "node string, day int"), e).count()
+
+
+def test_stage_metrics_read_tasks_once(spark):
+    """Nothing after the first grouping reads the tasks again; medians of times that repeat, of odd and even numbers, and of times that are null."""
+    import statistics
+
+    from plumbline.operators import telemetry as T
+
+    tasks = spark.range(101).selectExpr("'r' as run", "concat('s', id % 3) as stage", "case when id % 17 = 1 then null else double(id % 7) end as duration_s", "id as spill_bytes", "2L as input_bytes")
+    rows = [(i, None if i % 17 == 1 else float(i % 7)) for i in range(101)]
+    out = T.stage_metrics(tasks, "run", "stage")
+    assert "Range" not in plan(out)
+    own = {f"s{k}": [(i, d) for i, d in rows if i % 3 == k] for k in range(3)}
+    want = {s: (len(v), 6.0, statistics.median(d for _, d in v if d is not None), sum(i for i, _ in v), 2 * len(v)) for s, v in own.items()}
+    assert {r.stage: tuple(r)[2:] for r in out.collect()} == want
