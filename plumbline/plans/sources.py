@@ -83,13 +83,14 @@ def src_event_log(spark, d):
 
 @query("ln_from_spark", "SELECT 'file:/lake/t' || l_partkey % 40 AS src, 'file:/lake/out' || l_suppkey % 7 AS dst, count(DISTINCT l_orderkey) AS runs, CAST(max(l_orderkey * 1000) AS BIGINT) AS last_ms FROM lineitem GROUP BY 1, 2")
 def ln_from_spark(spark, d):
-    """Edges from an event log with one write for each order and target, which scans the folders of the order's parts."""
-    li = S.table(spark, d, "lineitem").select("l_orderkey", F.concat(F.lit("file:/lake/out"), (F.col("l_suppkey") % 7).cast("string")).alias("dst"), F.concat(F.lit("file:/lake/t"), (F.col("l_partkey") % 40).cast("string")).alias("src"))
-    scan = F.concat(F.lit("(1) Scan parquet \nOutput [1]: [a#0]\nBatched: true\nLocation: InMemoryFileIndex ["), "src", F.lit("]\nReadSchema: struct<a:int>\n\n"))
-    insert = F.concat(F.lit("(4) Execute InsertIntoHadoopFsRelationCommand\nInput: []\nArguments: "), "dst", F.lit(", false, Parquet, [path=x], Overwrite, [a]\n"))
-    plans = li.groupBy("l_orderkey", "dst").agg(F.array_join(F.collect_list(scan), "").alias("scans"))
+    """Edges from a compressed event log with one write for each order and target, which scans the folders of the order's parts; plans are spelled out after the shuffle."""
+    li = S.table(spark, d, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 7).alias("to"), (F.col("l_partkey") % 40).cast("int").alias("of"))
+    before, after = "(1) Scan parquet \nOutput [1]: [a#0]\nBatched: true\nLocation: InMemoryFileIndex [file:/lake/t", "]\nReadSchema: struct<a:int>\n\n"
+    scans = F.when(F.size("of") > 0, F.concat(F.lit(before), F.array_join(F.col("of").cast("array<string>"), after + before), F.lit(after))).otherwise("")
+    insert = F.concat(F.lit("(4) Execute InsertIntoHadoopFsRelationCommand\nInput: []\nArguments: file:/lake/out"), F.col("to").cast("string"), F.lit(", false, Parquet, [path=x], Overwrite, [a]\n"))
+    plans = li.groupBy("l_orderkey", "to").agg(F.collect_list("of").alias("of")).withColumn("scans", scans)
     event = F.struct(F.lit("org.apache.spark.sql.execution.ui.SparkListenerSQLExecutionStart").alias("Event"), F.col("l_orderkey").alias("executionId"), (F.col("l_orderkey") * 1000).alias("time"), F.concat(F.lit("== Physical Plan ==\n\n"), "scans", insert).alias("physicalPlanDescription"))
-    plans.select(F.to_json(event).alias("line")).write.text(path := I.scratch(spark, "sqllog"))
+    plans.select(F.to_json(event).alias("line")).write.option("compression", "gzip").text(path := I.scratch(spark, "sqllog"))
     return I.read_plan_edges(spark, path)
 
 

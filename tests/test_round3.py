@@ -138,3 +138,16 @@ def test_stage_metrics_read_tasks_once(spark):
     own = {f"s{k}": [(i, d) for i, d in rows if i % 3 == k] for k in range(3)}
     want = {s: (len(v), 6.0, statistics.median(d for _, d in v if d is not None), sum(i for i, _ in v), 2 * len(v)) for s, v in own.items()}
     assert {r.stage: tuple(r)[2:] for r in out.collect()} == want
+
+
+def test_the_written_event_log_is_compressed(spark, tmp_path, monkeypatch):
+    """One event for each order and target, in less than a tenth of its text."""
+    from plumbline.plans import sources as P
+
+    monkeypatch.setattr(P.I, "scratch", lambda spark, name: str(tmp_path / name))
+    d = "/root/testdata/sf0.001"
+    P.ln_from_spark(spark, d).collect()
+    files = [f for f in (tmp_path / "sqllog").iterdir() if f.name.startswith("part-")]
+    lines = spark.read.text(str(tmp_path / "sqllog"))
+    assert lines.count() == spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey", "l_suppkey % 7").distinct().count()
+    assert sum(f.stat().st_size for f in files) * 10 < lines.selectExpr("sum(length(value))").first()[0]
