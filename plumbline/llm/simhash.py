@@ -17,33 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.similar import shingle_hashes
+
 from .common import durable, map_texts, near, read_table, spread_join
 from .components import connected
 
-SEED, SHINGLE, RADIUS = 42, 4, 4
-#: ASCII upper to lower case.
-LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+SHINGLE, RADIUS = 4, 4
 BLOCKS, BLOCK_ROWS, TILE = 16, 1_000_000, 256
 #: Tasks that pairs of blocks are dealt to, at most.
 PAIR_TASKS = 10_000
 
 
-def shingle_hashes(text: str, size: int = SHINGLE) -> np.ndarray:
-    """XXH64 of the ``size``-word shingles, repeats included; of the whole if there are fewer words; none without words."""
-    import xxhash
-
-    words = text.encode("utf-8", "surrogatepass").translate(LOWER).split()  # bytes split at 20 and 09-0D only
-    if not words:
-        return np.empty(0, np.uint64)
-    line, digest = b" ".join(words), xxhash.xxh64_intdigest
-    if len(words) <= size:
-        return np.array([digest(line, SEED)], np.uint64)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    return np.array([digest(line[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist())], np.uint64)
-
-
 def fingerprint(hashes: np.ndarray) -> int:
     """Bit by bit, 1 if set in over half of the hashes; 0 of none. Signed, for a bigint column."""
     n = len(hashes)
